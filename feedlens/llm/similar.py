@@ -28,15 +28,16 @@ def _alike(bits: int, percent: int) -> str:
 
 
 def linked(profiles: DataFrame, verify: Callable[[DataFrame], DataFrame], bits: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Components and links of profiles (id, n, s1, s2, bands array<bigint>), one row for each distinct set.
+    """Components and links of profiles (id, n, s1, s2, bands array<bigint>); rows of one id are the same set.
 
     verify takes a stored table of pairs (a, b), a < b, without repeats and returns those that are linked. Gives
     (id, component) of all linked ids, and the verified links (a, b).
     """
     keys = profiles.select(F.explode("bands").alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
-    crowded = stored(keys.join(shared, "key"))
-    facts = profiles.select("id", "n", "s1", "s2")
+    crowded = stored(keys.join(shared, "key").distinct())
+    facts = profiles.select("id", "n", "s1", "s2").join(crowded.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    facts = stored(facts)
     star = crowded.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     x, y = facts.alias("x"), facts.alias("y")
     near = stored(star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_alike(bits, percent)).select("a", "b"))
@@ -52,5 +53,5 @@ def linked(profiles: DataFrame, verify: Callable[[DataFrame], DataFrame], bits:
     links = first.unionByName(second)
     more = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(second)
     out = components(more)
-    dropped(crowded, rest)
+    dropped(crowded, rest, facts)
     return out, links
