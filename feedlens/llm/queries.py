@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, decontaminate, line_dedup, near_dedup, quality, secrets, substring_dedup
+from feedlens.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality, secrets, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_line_dedup"] = op6_line_dedup
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    shares = [F.round(F.get("p", F.lit(k)), 6).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return out.select("doc_id", "n_words", *shares, F.round("rate", 6).alias("rate"))
+
+
+QUERIES["op5_mixing"] = op5_mixing
