@@ -15,9 +15,11 @@ from feedlens.llm.similar import linked
 
 SHINGLE = 7
 PERCENT = 80
-COORDINATES = 64
+#: At a similarity of 0.8 a pair of lines shares none of the 12 bands of 4 coordinates with a probability of 0.002.
 ROWS = 4
 BANDS = 12
+#: Coordinates of the sketch, one bit of each, made for lines that share a band with others.
+BITS = 512
 
 _POINTS = 0xA24BAED4963EE407
 _SECOND = 0x9FB21C651E98DF25
@@ -38,6 +40,19 @@ def _lines(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return points, begin, end, doc, number
 
 
+def _values(points: np.ndarray) -> np.ndarray:
+    return rolling.mixed(points.astype(np.uint64) * np.uint64(_POINTS) + np.uint64(1))
+
+
+def _shingles(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles of each line, repeats included, and where each line's begin; a line of fewer
+    characters is its only shingle."""
+    count = np.maximum(end - begin - SHINGLE + 1, 1)
+    first = np.cumsum(count) - count
+    at = np.arange(int(count.sum())) + np.repeat(begin - first, count)
+    return rolling.hash_of_ranges(values, at, np.minimum(at + SHINGLE, np.repeat(end, count)), rolling._WORD_BASE), first
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tid, text) to one row for each distinct line of a document that holds a word."""
     for batch in batches:
@@ -47,7 +62,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(~((points == 32) | ((points >= 9) & (points <= 13))), out=solid[1:])
             some = solid[end] > solid[begin]
             begin, end, doc, number = begin[some], end[some], doc[some], number[some]
-            values = rolling.mixed(points.astype(np.uint64) * np.uint64(_POINTS) + np.uint64(1))
+            values = _values(points)
             size = (end - begin).astype(np.uint64)
             h1 = rolling.mixed(rolling.hash_of_ranges(values, begin, end, rolling._BASE) + size)
             h2 = rolling.mixed(rolling.hash_of_ranges(values, begin, end, _SECOND) ^ size)
@@ -56,22 +71,18 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again[1:] = (doc[order][1:] == doc[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
             keep = np.sort(order[~again])
             begin, end, doc, number, h1, h2 = (x[keep] for x in (begin, end, doc, number, h1, h2))
-            count = np.maximum(end - begin - SHINGLE + 1, 1)
-            first = np.cumsum(count) - count
-            at = np.arange(int(count.sum())) + np.repeat(begin - first, count)
-            shingles = rolling.hash_of_ranges(values, at, np.minimum(at + SHINGLE, np.repeat(end, count)), rolling._WORD_BASE)
-            signature = rolling.circulant_minhash(shingles, first, COORDINATES)
-            keys = rolling.bands(signature[:, : ROWS * BANDS], ROWS)
+            shingles, first = _shingles(values, begin, end)
+            keys = rolling.bands(rolling.circulant_minhash(shingles, first, ROWS * BANDS), ROWS)
             rows = pa.array(doc + s.first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number), *(pa.array(x.view(np.int64)) for x in (h1, h2)),
-                 pa.array(rolling.sketch(signature).reshape(-1).view(np.int64)), rolling.list_array(np.full(len(doc), BANDS), keys.reshape(-1))],
-                names=["doc_id", "tid", "line", "h1", "h2", "s1", "bands"],
+                 rolling.list_array(np.full(len(doc), BANDS), keys.reshape(-1))],
+                names=["doc_id", "tid", "line", "h1", "h2", "bands"],
             )
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted array<struct<line, id>>) to (id, line text)."""
+    """(text, wanted array<struct<line, id>>) to (id, sketch, line text)."""
     for batch in batches:
         ids, lines = [], []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
@@ -79,7 +90,12 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted.as_py():
                 ids.append(w["id"])
                 lines.append(cut[w["line"]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "text"])
+        texts, ids = pa.array(lines, pa.string()), pa.array(ids, pa.int64())
+        for s in rolling.slices(texts):
+            points, begin, end, _, _ = _lines(s)
+            shingles, first = _shingles(_values(points), begin, end)
+            bits = rolling.sketch(rolling.circulant_minhash(shingles, first, BITS))
+            yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.rows), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)), texts.slice(s.first, s.rows)], names=["id", "sketch", "text"])
 
 
 def shingles_of(line: str, size: int = SHINGLE) -> frozenset[str]:
@@ -134,21 +150,24 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     named = rows.where("doc_id is not null").select("doc_id", "tid", "text")
-    seen = stored(named.mapInArrow(_profile, "doc_id bigint, tid bigint, line bigint, h1 bigint, h2 bigint, s1 bigint, bands array<bigint>"))
+    seen = stored(named.mapInArrow(_profile, "doc_id bigint, tid bigint, line bigint, h1 bigint, h2 bigint, bands array<bigint>"))
     places = seen.select("doc_id", "tid", "line", "h1", "h2")
-    profiles = seen.select(F.col("h1").alias("id"), F.lit(1).alias("n"), "s1", F.lit(0).cast("bigint").alias("s2"), "bands")
+    profiles = seen.select(F.col("h1").alias("id"), F.lit(1).alias("n"), "bands")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = ids.withColumnRenamed("id", "h1")
         one = places.join(wanted, "h1").groupBy("h1").agg(F.min("doc_id").alias("doc_id"))
         one = places.join(one, ["h1", "doc_id"]).dropDuplicates(["h1"])
         asked = one.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("line", F.col("h1").alias("id"))).alias("wanted"))
-        lines = stored(named.join(asked, ["doc_id", "tid"]).select("text", "wanted").mapInArrow(_picked, "id bigint, text string").dropDuplicates(["id"]))
+        picked = named.join(asked.hint("merge"), ["doc_id", "tid"]).select("text", "wanted").mapInArrow(_picked, "id bigint, sketch array<bigint>, text string")
+        return stored(picked.dropDuplicates(["id"]))
+
+    def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         a = lines.select(F.col("id").alias("a"), F.col("text").alias("mine"))
         b = lines.select(F.col("id").alias("b"), F.col("text").alias("other"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "mine", "other").mapInArrow(_verified, "a bigint, b bigint")
 
-    found, _ = linked(profiles, verify, COORDINATES, PERCENT)
+    found = linked(profiles, fetch, verify, BITS, PERCENT)
     # The first place of each line, then the first of each component.
     copies = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     fuzzy = found.withColumnRenamed("id", "h1")

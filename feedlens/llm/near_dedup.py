@@ -15,8 +15,12 @@ from feedlens.llm.similar import linked
 
 SHINGLE = 5
 PERCENT = 75
+#: Coordinates of the signature, and of them in a band: at a similarity of 0.75 a pair shares none of the 32 bands
+#: with a probability of 5e-6.
 COORDINATES = 128
 ROWS = 4
+#: Coordinates of the sketch, one bit of each, made for documents that share a band with others.
+BITS = 1024
 
 
 def shingle_sets(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -47,32 +51,40 @@ def shingle_sets(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray]:
     return values[new], total[first]
 
 
-PROFILE = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2 bigint, bands array<bigint>"
+PROFILE = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to set sizes, 128-bit set digests, sketches and band keys."""
+    """(doc_id, text) to set sizes, 128-bit set digests and band keys."""
     for batch in batches:
         for s in rolling.slices(batch.column(1)):
             values, first = shingle_sets(s)
             size = np.diff(first)
             some = np.flatnonzero(size)
             starts = first[some]
-            signature = rolling.circulant_minhash(values, starts, COORDINATES)
-            keys = rolling.bands(signature, ROWS)
-            bits = rolling.sketch(signature)
-            cells = {k: np.zeros(s.rows, np.uint64) for k in ("d1", "d2", "s1", "s2")}
+            keys = rolling.bands(rolling.circulant_minhash(values, starts, COORDINATES), ROWS)
+            digest = np.zeros((2, s.rows), np.uint64)
             if len(some):
-                cells["d1"][some] = np.add.reduceat(rolling.mixed(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                cells["d2"][some] = np.add.reduceat(rolling.mixed(values + np.uint64(0x14057B7EF767814F)), starts)
-                cells["s1"][some], cells["s2"][some] = bits[:, 0], bits[:, 1]
+                digest[0, some] = np.add.reduceat(rolling.mixed(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
+                digest[1, some] = np.add.reduceat(rolling.mixed(values + np.uint64(0x14057B7EF767814F)), starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.first, s.rows).cast(pa.int64()), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in cells.values()),
+                [batch.column(0).slice(s.first, s.rows), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in digest),
                  rolling.list_array(np.where(size > 0, COORDINATES // ROWS, 0), keys.reshape(-1))],
-                names=["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "bands"],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
             )
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) of documents with words to (id, sketch, text)."""
+    for batch in batches:
+        for s in rolling.slices(batch.column(1)):
+            values, first = shingle_sets(s)
+            bits = rolling.sketch(rolling.circulant_minhash(values, first[:-1], BITS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(s.first, s.rows), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)), batch.column(1).slice(s.first, s.rows)], names=["id", "sketch", "text"]
+            )
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text, other) to the pairs (a, b) whose full sets meet 100 * common >= PERCENT * union."""
     for batch in batches:
@@ -105,17 +117,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     owner = stored(sets.select("doc_id", "d1", "d2").join(first, ["d1", "d2"]).select("doc_id", "d1", "d2", "id"))
     reps = sets.join(owner.where("doc_id = id").select("doc_id", "d1", "d2").distinct(), ["doc_id", "d1", "d2"])
-    reps = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", "bands").dropDuplicates(["id"])
-    texts = docs.where("doc_id is not null")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        some = stored(texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        a = some.select(F.col("doc_id").alias("a"), F.col("text").alias("mine"))
-        b = some.select(F.col("doc_id").alias("b"), F.col("text").alias("other"))
+    reps = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        some = texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sketched, "id bigint, sketch array<bigint>, text string")
+        return stored(some.where("text is not null").dropDuplicates(["id"]))
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        a = texts.select(F.col("id").alias("a"), F.col("text").alias("mine"))
+        b = texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "mine", "other").mapInArrow(_verified, "a bigint, b bigint")
 
-    found, _ = linked(reps, verify, COORDINATES, PERCENT)
+    found = linked(reps, fetch, verify, BITS, PERCENT)
     of = owner.select("doc_id", "id").distinct().join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
     of = of.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = seen.select("doc_id", "n_shingles").join(of, "doc_id", "left")

@@ -3,7 +3,8 @@
 Round one compares each member of a bucket with the bucket's smallest id alone (a star), so a group of n near
 copies costs n comparisons. Verified links give components. Round two looks again at the buckets whose members
 still lie in several components, and compares only members of different components that pass the size bound and
-a 128-bit sketch; so no link between different components is lost, and members already connected cost nothing.
+a sketch of many bits, each pair in the first bucket they share; so no link between different components is lost,
+and members already connected cost nothing.
 """
 
 from __future__ import annotations
@@ -17,41 +18,40 @@ from feedlens.llm.common import components, dropped, stored
 
 
 def _alike(bits: int, percent: int) -> str:
-    """A pair may have a Jaccard similarity of percent / 100: the size bound, and the share of equal sketch bits.
+    """A pair x, y may have a Jaccard similarity of percent / 100: the size bound, and the share of equal sketch bits.
 
     At that similarity j a sketch bit agrees with probability (1 + j) / 2; five standard deviations below it the
     chance to lose a pair is under one in a million.
     """
     p = (1 + percent / 100) / 2
     least = int(bits * p - 5 * (bits * p * (1 - p)) ** 0.5)
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {bits} - bit_count(x.s1 ^ y.s1) - bit_count(x.s2 ^ y.s2) >= {least}"
+    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(bits // 64))
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differ} <= {bits - least}"
 
 
-def linked(profiles: DataFrame, verify: Callable[[DataFrame], DataFrame], bits: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Components and links of profiles (id, n, s1, s2, bands array<bigint>); rows of one id are the same set.
+def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], bits: int, percent: int) -> DataFrame:
+    """(id, component) of all linked ids among profiles (id, n, bands array<bigint>); rows of one id are the same set.
 
-    verify takes a stored table of pairs (a, b), a < b, without repeats and returns those that are linked. Gives
-    (id, component) of all linked ids, and the verified links (a, b).
+    fetch takes distinct ids and returns a stored table (id, sketch array<bigint>, text); verify takes distinct
+    pairs (a, b), a < b, with that table, and returns those that are linked.
     """
     keys = profiles.select(F.explode("bands").alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
     crowded = stored(keys.join(shared, "key").distinct())
-    facts = profiles.select("id", "n", "s1", "s2").join(crowded.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    facts = stored(facts)
+    ids = stored(crowded.select("id").distinct())
+    texts = fetch(ids)
+    facts = stored(profiles.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(texts.select("id", "sketch"), "id").select("id", "n", "sketch", "bands"))
     star = crowded.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    x, y = facts.alias("x"), facts.alias("y")
+    x, y = facts.drop("bands").alias("x"), facts.drop("bands").alias("y")
     near = stored(star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_alike(bits, percent)).select("a", "b"))
-    first = stored(verify(near))
-    found = components(first)
+    found = components(verify(near, texts))
     at = crowded.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = stored(at.join(open_keys, "key").join(facts, "id"))
     x, y = rest.alias("x"), rest.alias("y")
-    again = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and x.component != y.component and {_alike(bits, percent)}"))
-    again = again.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = stored(verify(stored(again.join(near, ["a", "b"], "left_anti"))))
-    links = first.unionByName(second)
-    more = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(second)
+    again = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and x.component != y.component and {_alike(bits, percent)} and array_intersect(x.bands, y.bands)[0] = x.key"))
+    again = stored(again.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(near, ["a", "b"], "left_anti"))
+    more = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(verify(again, texts))
     out = components(more)
-    dropped(crowded, rest, facts)
-    return out, links
+    dropped(crowded, ids, facts, near, rest, again)
+    return out
