@@ -180,17 +180,18 @@ def fitted(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> Classifier:
     return Classifier(mix.buckets, model.chosen, weight.astype(float), offset.astype(float))
 
 
-def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, tid, n_words, p array<double>) of every row of docs."""
+def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
+    """The columns `keep`, n_words and p array<double> (posteriors by DOMAINS) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, p = model.posteriors(batch.column(2))
+            n, p = model.posteriors(batch.column(1))
             offset = pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(offset, pa.array(p.reshape(-1)))], names=["doc_id", "tid", "n_words", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(offset, pa.array(p.reshape(-1)))], names=["row", "n_words", "p"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(run, "doc_id bigint, tid bigint, n_words bigint, p array<double>")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_words bigint, p array<double>")
+    return out.select(*[F.col(f"row.`{c}`") for c in keep], "n_words", "p")
 
 
 def _rate(residuals: list[list[float]], ridge: float) -> str:
@@ -227,9 +228,11 @@ def rates(scored: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, list[float],
     return scored.withColumn("rate", F.expr(_rate(residuals, mix.ridge))), target, now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, tid (a hash of the text), n_words, p (posteriors by DOMAINS) and rate of every row of docs.
+def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix(), keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (doc_id by default), n_words, p (posteriors by DOMAINS) and rate of every row of docs.
 
-    Null text counts as empty; repeated rows each get a row; an empty table gives none; extra columns are left out.
+    Null text counts as empty; repeated rows each get a row; an empty table gives none; columns of docs named as
+    the added ones give way to them.
     """
-    return rates(stored(posteriors(docs, fitted(docs, labels, mix))), mix)[0]
+    kept = [c for c in (keep or ["doc_id"]) if c not in ("n_words", "p", "rate")]
+    return rates(stored(posteriors(docs, fitted(docs, labels, mix), kept)), mix)[0]

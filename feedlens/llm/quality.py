@@ -102,6 +102,14 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.filter(F.array(*broken), lambda x: x.isNotNull())
 
 
+BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
+
+
+def accepted(rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a row of measured() passes the base test and every rule."""
+    return ~F.expr(BASE_FAILED) & (F.size(verdict(rules)) == 0)
+
+
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Document id, the counts, base_failed, the broken rules and kept.
 
@@ -110,7 +118,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     if text != "text":
         docs = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     m = measured(docs.select("doc_id", "text")).select("*", verdict(rules).alias("broken"))
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    failed = F.expr(BASE_FAILED)
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.size("broken") == 0)).alias("kept"), "n_lines", "n_stop_words", F.array_join("broken", ",").alias("broken"),
