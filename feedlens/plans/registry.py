@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "FLAGSHIP_canonical_page"
+MODULES = ("articles",)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -25,3 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"feedlens.plans.{name}")
