@@ -18,8 +18,9 @@ PERCENT = 80
 #: At a similarity of 0.8 a pair of lines shares none of the 12 bands of 4 coordinates with a probability of 0.002.
 ROWS = 4
 BANDS = 12
-#: Coordinates of the sketch, one bit of each, made for lines that share a band with others.
-BITS = 512
+#: Coordinates of the sketch, one bit of each, and bits of the bitmap, made for lines that share a band with others.
+BITS = 256
+MAP = 2048
 
 _POINTS = 0xA24BAED4963EE407
 _SECOND = 0x9FB21C651E98DF25
@@ -82,7 +83,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted array<struct<line, id>>) to (id, sketch, line text)."""
+    """(text, wanted array<struct<line, id>>) to (id, n, sketch, map, line text)."""
     for batch in batches:
         ids, lines = [], []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
@@ -95,7 +96,12 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points, begin, end, _, _ = _lines(s)
             shingles, first = _shingles(_values(points), begin, end)
             bits = rolling.sketch(rolling.circulant_minhash(shingles, first, BITS))
-            yield pa.RecordBatch.from_arrays([ids.slice(s.first, s.rows), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)), texts.slice(s.first, s.rows)], names=["id", "sketch", "text"])
+            on = rolling.bitmap(shingles, first, MAP)
+            n = np.array([len(np.unique(x)) for x in np.split(shingles, first[1:])])
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(s.first, s.rows), pa.array(n), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)), rolling.list_array(np.full(s.rows, MAP // 64), on.reshape(-1)), texts.slice(s.first, s.rows)],
+                names=["id", "n", "sketch", "map", "text"],
+            )
 
 
 def shingles_of(line: str, size: int = SHINGLE) -> frozenset[str]:
@@ -152,14 +158,14 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     named = rows.where("doc_id is not null").select("doc_id", "tid", "text")
     seen = stored(named.mapInArrow(_profile, "doc_id bigint, tid bigint, line bigint, h1 bigint, h2 bigint, bands array<bigint>"))
     places = seen.select("doc_id", "tid", "line", "h1", "h2")
-    profiles = seen.select(F.col("h1").alias("id"), F.lit(1).alias("n"), "bands")
+    profiles = seen.select(F.col("h1").alias("id"), "bands")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = ids.withColumnRenamed("id", "h1")
         one = places.join(wanted, "h1").groupBy("h1").agg(F.min("doc_id").alias("doc_id"))
         one = places.join(one, ["h1", "doc_id"]).dropDuplicates(["h1"])
         asked = one.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("line", F.col("h1").alias("id"))).alias("wanted"))
-        picked = named.join(asked.hint("merge"), ["doc_id", "tid"]).select("text", "wanted").mapInArrow(_picked, "id bigint, sketch array<bigint>, text string")
+        picked = named.join(asked.hint("merge"), ["doc_id", "tid"]).select("text", "wanted").mapInArrow(_picked, "id bigint, n bigint, sketch array<bigint>, map array<bigint>, text string")
         return stored(picked.dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ PERCENT = 75
 #: with a probability of 5e-6.
 COORDINATES = 128
 ROWS = 4
-#: Coordinates of the sketch, one bit of each, made for documents that share a band with others.
-BITS = 1024
+#: Coordinates of the sketch, one bit of each, and bits of the bitmap, made for documents that share a band with others.
+BITS = 256
+MAP = 4096
 
 
 def shingle_sets(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +76,17 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) of documents with words to (id, sketch, text)."""
+    """(id, text) of documents with words to (id, n, sketch, map, text)."""
     for batch in batches:
         for s in rolling.slices(batch.column(1)):
             values, first = shingle_sets(s)
             bits = rolling.sketch(rolling.circulant_minhash(values, first[:-1], BITS))
+            on = rolling.bitmap(values, first[:-1], MAP)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.first, s.rows), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)), batch.column(1).slice(s.first, s.rows)], names=["id", "sketch", "text"]
-            )
+                [batch.column(0).slice(s.first, s.rows), pa.array(np.diff(first)), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)),
+                 rolling.list_array(np.full(s.rows, MAP // 64), on.reshape(-1)), batch.column(1).slice(s.first, s.rows)],
+                names=["id", "n", "sketch", "map", "text"],
+            )
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +121,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     owner = stored(sets.select("doc_id", "d1", "d2").join(first, ["d1", "d2"]).select("doc_id", "d1", "d2", "id"))
     reps = sets.join(owner.where("doc_id = id").select("doc_id", "d1", "d2").distinct(), ["doc_id", "d1", "d2"])
-    reps = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands")
+    reps = reps.select(F.col("doc_id").alias("id"), "bands")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        some = texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sketched, "id bigint, sketch array<bigint>, text string")
+        some = texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sketched, "id bigint, n bigint, sketch array<bigint>, map array<bigint>, text string")
         return stored(some.where("text is not null").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:

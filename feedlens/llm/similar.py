@@ -2,8 +2,8 @@
 
 Round one compares each member of a bucket with the bucket's smallest id alone (a star), so a group of n near
 copies costs n comparisons. Verified links give components. Round two looks again at the buckets whose members
-still lie in several components, and compares only members of different components that pass the size bound and
-a sketch of many bits, each pair in the first bucket they share; so no link between different components is lost,
+still lie in several components, and compares only members of different components that pass the size bound, a
+sketch of many bits and a bound from bitmaps, each pair in the first bucket they share; so no link between different components is lost,
 and members already connected cost nothing.
 """
 
@@ -29,27 +29,34 @@ def _alike(bits: int, percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {differ} <= {bits - least}"
 
 
+def _bounded(percent: int) -> str:
+    """The bitmaps leave room for the similarity: exact, no pair that has it is lost."""
+    alone = lambda a, b: f"aggregate(zip_with({a}.map, {b}.map, (p, q) -> bit_count(p & ~q)), 0, (n, c) -> n + c)"
+    common = f"least(x.n - {alone('x', 'y')}, y.n - {alone('y', 'x')})"
+    return f"(100 + {percent}) * {common} >= {percent} * (x.n + y.n)"
+
+
 def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], bits: int, percent: int) -> DataFrame:
-    """(id, component) of all linked ids among profiles (id, n, bands array<bigint>); rows of one id are the same set.
+    """(id, component) of all linked ids among profiles (id, bands array<bigint>); rows of one id are the same set.
 
-    fetch takes distinct ids and returns a stored table (id, sketch array<bigint>, text); verify takes distinct
-    pairs (a, b), a < b, with that table, and returns those that are linked.
+    fetch takes distinct ids and returns a stored table (id, n, sketch array<bigint>, map array<bigint>, text) with
+    the size of the set, its sketch and its bitmap; verify takes distinct pairs (a, b), a < b, with that table, and returns those that are linked.
     """
     keys = profiles.select(F.explode("bands").alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
     crowded = stored(keys.join(shared, "key").distinct())
     ids = stored(crowded.select("id").distinct())
     texts = fetch(ids)
-    facts = stored(profiles.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(texts.select("id", "sketch"), "id").select("id", "n", "sketch", "bands"))
+    facts = stored(profiles.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(texts.select("id", "n", "sketch", "map"), "id").select("id", "n", "sketch", "map", "bands"))
     star = crowded.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     x, y = facts.drop("bands").alias("x"), facts.drop("bands").alias("y")
-    near = stored(star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_alike(bits, percent)).select("a", "b"))
+    near = stored(star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(f"{_alike(bits, percent)} and {_bounded(percent)}").select("a", "b"))
     found = components(verify(near, texts))
     at = crowded.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = stored(at.join(open_keys, "key").join(facts, "id"))
     x, y = rest.alias("x"), rest.alias("y")
-    again = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and x.component != y.component and {_alike(bits, percent)} and array_intersect(x.bands, y.bands)[0] = x.key"))
+    again = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and x.component != y.component and {_alike(bits, percent)} and array_intersect(x.bands, y.bands)[0] = x.key and {_bounded(percent)}"))
     again = stored(again.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(near, ["a", "b"], "left_anti"))
     more = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(verify(again, texts))
     out = components(more)
