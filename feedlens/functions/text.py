@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as JavaScript's trim sees it: Java's plus no-break space and the byte order mark.
 BLANK = "[\\s\\x{00A0}\\x{FEFF}]"
@@ -33,7 +34,7 @@ def stripped_html(x: Column) -> Column:
     return F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]+>", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def numeric_entities(x: pd.Series) -> pd.Series:
     """Decimal and hexadecimal character references to UTF-16 code units, as fromCharCode does."""
     unit = lambda n: chr(n & 0xFFFF) if not 0xD800 <= (n & 0xFFFF) < 0xE000 else "�"
@@ -88,7 +89,7 @@ def canonical_url(x: Column) -> Column:
     return F.when(link.rlike("^(?i:https?)://"), whole).otherwise(F.coalesce(link, F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolved_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", (x or "").strip()) if (x or "").strip() else "" for b, x in zip(base, link, strict=True)])
 
@@ -128,7 +129,7 @@ def has_term(lowered: Column, term: str, flexible: bool = False) -> Column:
     return F.coalesce(F.contains(lowered, F.lit(t)), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(x: pd.Series) -> pd.Series:
     """NFKD without combining marks; Spark has no such function."""
     return pd.Series(["".join(c for c in unicodedata.normalize("NFKD", t or "") if not 0x300 <= ord(c) <= 0x36F) for t in x])
