@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "FLAGSHIP_canonical_page"
-MODULES = ("articles", "reports", "scalars", "rules", "sinks", "sources")
+MODULES = ("articles", "reports", "scalars", "rules", "sinks", "sources", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
