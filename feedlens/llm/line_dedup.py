@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm import rolling
-from feedlens.llm.common import stored
+from feedlens.llm.common import dropped, stored
 from feedlens.llm.similar import linked
 
 SHINGLE = 7
@@ -20,7 +20,7 @@ ROWS = 4
 BANDS = 12
 #: Coordinates of the sketch, one bit of each, and bits of the bitmap, made for lines that share a band with others.
 BITS = 256
-MAP = 2048
+MAP = 4096
 
 _POINTS = 0xA24BAED4963EE407
 _SECOND = 0x9FB21C651E98DF25
@@ -148,7 +148,7 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Lines are parted by \\n. Lines of equal text, and lines whose sets of 7-character shingles have a Jaccard similarity
     of 0.8 or more, form components; of each the line of the smallest (doc_id, line number) stays, all others go.
-    Lines without a word stay where they are. Null text stays null, with no lines; rows of a null doc_id lose only
+    Equal lines are told by a 128-bit hash, whose first half names a line in the graph. Lines without a word stay. Null text stays null, with no lines; rows of a null doc_id lose only
     their own repeated lines; repeated rows get the same result; an empty table gives no rows; columns of docs
     named as the added ones give way to them.
     """
@@ -157,14 +157,13 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     named = rows.where("doc_id is not null").select("doc_id", "tid", "text")
     seen = stored(named.mapInArrow(_profile, "doc_id bigint, tid bigint, line bigint, h1 bigint, h2 bigint, bands array<bigint>"))
-    places = seen.select("doc_id", "tid", "line", "h1", "h2")
-    profiles = seen.select(F.col("h1").alias("id"), "bands")
+    places = stored(seen.select("doc_id", "tid", "line", "h1", "h2"))
+    profiles = stored(seen.select(F.col("h1").alias("id"), "bands").dropDuplicates(["id"]))
+    dropped(seen)
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = ids.withColumnRenamed("id", "h1")
-        one = places.join(wanted, "h1").groupBy("h1").agg(F.min("doc_id").alias("doc_id"))
-        one = places.join(one, ["h1", "doc_id"]).dropDuplicates(["h1"])
-        asked = one.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("line", F.col("h1").alias("id"))).alias("wanted"))
+        one = places.join(ids.withColumnRenamed("id", "h1"), "h1").groupBy("h1").agg(F.min(F.struct("doc_id", "tid", "line")).alias("at"))
+        asked = one.groupBy("at.doc_id", "at.tid").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), F.col("h1").alias("id"))).alias("wanted"))
         picked = named.join(asked.hint("merge"), ["doc_id", "tid"]).select("text", "wanted").mapInArrow(_picked, "id bigint, n bigint, sketch array<bigint>, map array<bigint>, text string")
         return stored(picked.dropDuplicates(["id"]))
 
@@ -174,6 +173,7 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         return pairs.join(a, "a").join(b, "b").select("a", "b", "mine", "other").mapInArrow(_verified, "a bigint, b bigint")
 
     found = linked(profiles, fetch, verify, BITS, PERCENT)
+    dropped(profiles)
     # The first place of each line, then the first of each component.
     copies = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     fuzzy = found.withColumnRenamed("id", "h1")

@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     owner = stored(sets.select("doc_id", "d1", "d2").join(first, ["d1", "d2"]).select("doc_id", "d1", "d2", "id"))
     reps = sets.join(owner.where("doc_id = id").select("doc_id", "d1", "d2").distinct(), ["doc_id", "d1", "d2"])
-    reps = reps.select(F.col("doc_id").alias("id"), "bands")
+    reps = stored(reps.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
 
     def fetch(ids: DataFrame) -> DataFrame:

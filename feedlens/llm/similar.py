@@ -37,17 +37,20 @@ def _bounded(percent: int) -> str:
 
 
 def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], bits: int, percent: int) -> DataFrame:
-    """(id, component) of all linked ids among profiles (id, bands array<bigint>); rows of one id are the same set.
+    """(id, component) of all linked ids among profiles (id, bands array<bigint>), one row for each id.
 
     fetch takes distinct ids and returns a stored table (id, n, sketch array<bigint>, map array<bigint>, text) with
     the size of the set, its sketch and its bitmap; verify takes distinct pairs (a, b), a < b, with that table, and returns those that are linked.
     """
     keys = profiles.select(F.explode("bands").alias("key"), "id")
-    shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
-    crowded = stored(keys.join(shared, "key").distinct())
+    shared = stored(keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last"), F.count("*").alias("size")).where("size > 1"))
+    # A bucket of two is its least and greatest id; only the members of larger ones are looked up.
+    two = shared.where("size = 2")
+    pairs = two.select("key", F.col("center").alias("id"), "center").unionByName(two.select("key", F.col("last").alias("id"), "center"))
+    crowded = stored(pairs.unionByName(keys.join(shared.where("size > 2").select("key", "center"), "key").select("key", "id", "center")))
     ids = stored(crowded.select("id").distinct())
     texts = fetch(ids)
-    facts = stored(profiles.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(texts.select("id", "n", "sketch", "map"), "id").select("id", "n", "sketch", "map", "bands"))
+    facts = stored(profiles.join(ids, "id", "left_semi").join(texts.select("id", "n", "sketch", "map"), "id").select("id", "n", "sketch", "map", "bands"))
     star = crowded.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     x, y = facts.drop("bands").alias("x"), facts.drop("bands").alias("y")
     near = stored(star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(f"{_alike(bits, percent)} and {_bounded(percent)}").select("a", "b"))
@@ -60,5 +63,5 @@ def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     again = stored(again.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).join(near, ["a", "b"], "left_anti"))
     more = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(verify(again, texts))
     out = components(more)
-    dropped(crowded, ids, facts, near, rest, again)
+    dropped(shared, crowded, ids, facts, near, rest, again)
     return out
