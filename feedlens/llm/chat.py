@@ -46,14 +46,17 @@ def unescaped(text: Column, t: Template = PRODUCTION) -> Column:
 
 
 def _shown(role: Column, t: Template) -> Column:
-    out = escaped(role, t)
+    """A role's name in the template; any other role escaped, with the head's end too, after a sign of its own."""
+    end = t.head_end[:1]
+    out = F.concat(F.lit(f"{t.escape}r"), F.replace(escaped(role, t), F.lit(end), F.lit(f"{t.escape}c")))
     for k, v in t.shown.items():
         out = F.when(role == k, F.lit(v)).otherwise(out)
     return out
 
 
 def _role(shown: Column, t: Template) -> Column:
-    out = unescaped(shown, t)
+    sign = f"{t.escape}r"
+    out = unescaped(F.replace(F.substring(shown, F.lit(len(sign) + 1), F.length(shown)), F.lit(f"{t.escape}c"), F.lit(t.head_end[:1])), t)
     for k, v in t.shown.items():
         out = F.when(shown == v, F.lit(k)).otherwise(out)
     return out

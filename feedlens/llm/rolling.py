@@ -1,7 +1,7 @@
 """Words, shingles and windows of whole Arrow batches at once: polynomial (Rabin-Karp) hashes with numpy.
 
-A batch is cut into slices of some megabytes between documents, so that working memory is bounded by the
-slice (or by one document that is longer). All hashes are 64-bit, taken modulo 2**64 with odd bases, and
+A batch is cut into slices of a megabyte, or some thousand rows, between documents, so that working memory is
+bounded by the slice (or by one document that is longer). All hashes are 64-bit, taken modulo 2**64 with odd bases, and
 mixed so that single bits of the input reach all bits.
 """
 
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 13
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
@@ -83,7 +84,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offset, offset[at] + most, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offset, offset[at] + most, "right")) - 1), at + SLICE_ROWS)
         yield Slice(at, data[offset[at] : offset[to]], offset[at : to + 1] - offset[at])
         at = to
 
@@ -194,10 +195,16 @@ def sketch(signature: np.ndarray) -> np.ndarray:
 def bitmap(shingles: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
     """For each set the bits that its shingles name, packed: what one set's bitmap has and another's lacks is in the
     one set alone, so bitmaps bound the size of an intersection from above, for certain."""
-    rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(shingles))))
-    on = np.zeros((len(starts), bits), np.uint8)
-    on[rows, (spread(shingles ^ np.uint64(_BASE)) & np.uint32(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(on, axis=1).view(">u8").astype(np.uint64)
+    ends = np.append(starts[1:], len(shingles))
+    bit = (spread(shingles ^ np.uint64(_BASE)) & np.uint32(bits - 1)).astype(np.int64)
+    out = np.empty((len(starts), bits // 64), np.uint64)
+    for first in range(0, len(starts), 1024):
+        last = min(first + 1024, len(starts))
+        size = ends[first:last] - starts[first:last]
+        on = np.zeros((last - first, bits), np.uint8)
+        on[np.repeat(np.arange(last - first), size), bit[starts[first] : ends[last - 1]]] = 1
+        out[first:last] = np.packbits(on, axis=1).view(">u8")
+    return out
 
 
 def list_array(lengths: np.ndarray, values: np.ndarray) -> pa.Array:

@@ -149,11 +149,12 @@ def test_quality(docs, empty):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "hi ### \\h # </turn>\n"), (1, 1, "assistant", "a\\"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (3, None, None, None), (4, 0, "tool: ###", "x: y"), (None, 0, "user", "q")]
+    rows = [(1, 0, "user", "hi ### \\h # </turn>\n"), (1, 1, "assistant", "a\\"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (3, None, None, None), (4, 0, "tool: ###", "x: y"), (None, 0, "user", "q"), (5, 0, "User", "\\r"), (5, 1, "\\rsystem", "")]
     out = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("loss", F.lit(1)))
     back = {r.conv_id: ([(x.role, x.text) for x in r.b], r.valid) for r in out.select("conv_id", "valid", chat.read_back(F.col("formatted")).alias("b")).collect()}
     assert back[1] == ([("user", "hi ### \\h # </turn>\n"), ("assistant", "a\\")], True)
     assert back[2] == ([("assistant", "b")] * 2, False) and back[3] == ([("", "")], False) and back[4] == ([("tool: ###", "x: y")], False) and None in back
+    assert back[5] == ([("User", "\\r"), ("\\rsystem", "")], False)
     assert chat.formatted(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
@@ -177,9 +178,16 @@ def test_mixing(spark, sf_dir, empty):
 
 
 def test_mixing_reaches_targets(spark):
-    scored = common.stored(spark.createDataFrame([(k, 100 + k % 7, [0.7, 0.2, 0.1] if k % 3 else [0.0, 0.3, 0.7]) for k in range(60)], "doc_id bigint, n_words bigint, p array<double>"))
-    out, target, now = mixing.rates(scored, mixing.Mix(weights=(0.2, None, None), ridge=1e-6, steps=200))
-    assert abs(now[0] - target[0]) < 0.02 * sum(target)
+    """Targets that some rates meet exactly (half of one group, 1.2 times the other) are met."""
+    p = {True: [0.7, 0.2, 0.1], False: [0.0, 0.3, 0.7]}
+    rows = [(k, 100 + k % 7, p[k % 3 > 0]) for k in range(60)]
+    whole = sum(n for _, n, _ in rows)
+    weights = tuple(sum(n * q[i] * (0.5 if k % 3 else 1.2) for k, n, q in rows) / whole for i in range(3))
+    scored = common.stored(spark.createDataFrame(rows, "doc_id bigint, n_words bigint, p array<double>"))
+    out, target, now = mixing.rates(scored, mixing.Mix(weights=weights, ridge=0.0, steps=60, settled=1e-9))
+    assert all(abs(a - b) < 0.01 * whole for a, b in zip(target, now, strict=True))
+    seen = {r.g: r.x for r in out.groupBy((F.col("doc_id") % 3 > 0).alias("g")).agg(F.avg("rate").alias("x")).collect()}
+    assert abs(seen[True] - 0.5) < 0.05 and abs(seen[False] - 1.2) < 0.05
     assert out.where("rate < 0").count() == 0
 
 
