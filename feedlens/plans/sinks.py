@@ -59,7 +59,7 @@ def snk5(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "articles").select("id", merge.array_merge(old, new).alias("m")).select("id", F.array_join("m.value", ",").alias("merged"), F.col("m.changed").alias("changed"))
 
 
-@query("SNK6_replace_on_sync", with_roles("SELECT feedId, count(*) AS n FROM (SELECT feedId FROM articles WHERE n < 400 AND feedId NOT IN ('src1', 'src2') UNION ALL SELECT feedId FROM articles WHERE n >= 400 AND n < 500 AND feedId IN ('src1', 'src2', 'src3')) GROUP BY feedId", "articles"))
+@query("SNK6_replace_on_sync", with_roles("SELECT feedId, count(*) AS n FROM (SELECT feedId FROM articles WHERE n < 400 AND feedId NOT IN (SELECT feedId FROM articles WHERE n >= 400 AND n < 500 AND feedId IN ('src1', 'src2')) UNION ALL SELECT feedId FROM articles WHERE n >= 400 AND n < 500 AND feedId IN ('src1', 'src2', 'src3')) GROUP BY feedId", "articles"))
 def snk6(spark: SparkSession, sf: str) -> DataFrame:
     a = role(spark, sf, "articles")
     batch = a.where("n >= 400 and n < 500 and feedId in ('src1', 'src2', 'src3')").select("id", "feedId", (F.col("feedId") != "src3").alias("hasDate"))
