@@ -75,9 +75,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda acc, x: acc + F.coalesce(x, F.lit(0)),
     )
+    # The row number, never negative, keeps the optimizer from copying these expressions into a filter above them, where
+    # they would be evaluated again, arrays inside lambdas once for each element.
+    none = F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
     return e.select(
         *keep,
-        F.size(w).cast("bigint").alias("n_words"),
+        (F.size(w) + none).cast("bigint").alias("n_words"),
         F.length(F.translate(t, WHITE, "")).cast("bigint").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.size(lines).cast("bigint").alias("n_lines"),
