@@ -56,17 +56,22 @@ COPYRIGHT_LINE = "(^|\\n)[^\\n\\p{Alnum}]*(copyright|\\(c\\)|©|all rights reser
 
 def canonical(text: Column) -> Column:
     """Lower case A-Z, no copyright lines, runs of punctuation and white space as one space, one spelling of each word."""
-    out = ascii_lower(text)
+    low = ascii_lower(text)
+    out = low
     for _ in range(2):  # neighbouring copyright lines share their line break
         out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "), F.lit(" "))
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.btrim(F.regexp_replace(out, " +", " "))
+    marked = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("all rights reserved"))
+    out = F.concat(F.lit(" "), F.regexp_replace(F.when(marked, out).otherwise(low), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "), F.lit(" "))
+    spelled = out
+    for x, y in SPELLINGS:
+        spelled = F.replace(spelled, F.lit(f" {x} "), F.lit(f" {y} "))
+    other = " (?:" + "|".join(x for x, _ in SPELLINGS) + ") "
+    return F.btrim(F.when(out.rlike(other), spelled).otherwise(out))
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    """Never null, so that a join doesn't evaluate it once more for a null check."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
 def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
