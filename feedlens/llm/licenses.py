@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,27 +33,79 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+#: Full texts as files of this folder, each named by its identifier; those above are kept with their paragraphs unwrapped.
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Identifier, then titles. A notice is a title, or a title after one of LEADS, or the SPDX tag.
+TITLES = (
+    ("MIT", "MIT License", "The MIT License (MIT)"), ("ISC", "ISC License"), ("Zlib", "zlib License", "zlib/libpng License"),
+    ("0BSD", "BSD Zero Clause License", "Zero-Clause BSD License"), ("BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"), ("Unlicense", "The Unlicense"),
+    ("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    ("BSD-2-Clause", "2-Clause BSD License", "BSD 2-Clause License", "Simplified BSD License"), ("BSD-3-Clause", "3-Clause BSD License", "BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    ("MPL-1.1", "Mozilla Public License 1.1", "Mozilla Public License, version 1.1"), ("MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
+    ("EPL-1.0", "Eclipse Public License 1.0", "Eclipse Public License, version 1.0"), ("EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    ("Artistic-2.0", "Artistic License 2.0", "Artistic License, version 2.0"), ("OFL-1.1", "SIL Open Font License 1.1", "SIL Open Font License, Version 1.1"),
+    *((f"{x}GPL-{v}", f"{x}GPL-{v}", f"{x}GPLv{v.removesuffix('.0')}", *(f"GNU {name} {before}{w}" for w in dict.fromkeys((v, v.removesuffix(".0"))) for before in ("", "v", "version ")))
+      for x, name, versions in (("", "General Public License", ("1.0", "2.0", "3.0")), ("L", "Lesser General Public License", ("2.1", "3.0")), ("L", "Library General Public License", ("2.0",)), ("A", "Affero General Public License", ("3.0",)))
+      for v in versions),
+    *((f"GFDL-{v}", f"GNU Free Documentation License {v}", f"GNU Free Documentation License, Version {v}") for v in ("1.1", "1.2", "1.3")),
+    *((f"CC-{x}-{v}", f"CC {x} {v}", f"Creative Commons {name} {v} {port}", f"Creative Commons {name} {v} {port} License", f"Creative Commons {name} {v} License", f"Creative Commons {name} {v}")
+      for x, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for v, port in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))),
+    ("CC0-1.0", "CC0 1.0 Universal", "CC0 1.0", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0 1.0 Universal Public Domain Dedication"),
+)
+LEADS = tuple(
+    f"{x} {y} ".lstrip()
+    for x in ("", "This work is", "This software is", "This project is", "This program is")
+    for y in ("licensed under", "released under", "distributed under", "available under", "licensed under the terms of")
+) + ("This work is marked with ",)
+
+
+def _terms(text: str) -> str:
+    """The terms between their heading and their end, without preamble and appendix."""
+    end = text.index("END OF TERMS AND CONDITIONS")
+    return text[text.rindex("TERMS AND CONDITIONS", 0, end) : end]
+
+
+def _part(name: str, start: str, end: str) -> str:
+    """The part of a full text, from start through end: the notice that files are to carry."""
+    text = TEXTS[name]
+    at = text.rindex(start)
+    return text[at : text.index(end, at) + len(end)]
+
+
+def _known() -> Iterator[tuple[str, str]]:
+    bsd3 = TEXTS["BSD-3-Clause"]
+    for old, new in (("the University", "the copyright holder"), ("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND"), ("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")):
+        bsd3 = bsd3.replace(old, new)
+    names = {t[0]: t[1:] for t in TITLES}
+    for name, text in (("MIT", _MIT), ("ISC", _ISC), ("Zlib", _ZLIB), ("BSD-3-Clause", bsd3), *TEXTS.items()):
+        for body in dict.fromkeys((text, text.replace("http:", "https:"), text.replace("https:", "http:"))):
+            rest = body.partition("\n\n")[2].strip()
+            bodies = (body, rest) if len(rest) > 0.9 * len(body) else (body,)
+            yield from ((name, b) for b in bodies)
+            if len(body) < 5000:
+                yield from ((name, f"{the}{title}\n\n{b}") for title in names.get(name, ()) for the in ("", "The ") for b in bodies)
+            elif "END OF TERMS AND CONDITIONS" in body:
+                yield name, _terms(body)
+                yield name, body[: body.index("END OF TERMS AND CONDITIONS") + 27]
+                yield name, body[: body.index("END OF TERMS AND CONDITIONS")]
+    yield "Apache-2.0", _part("Apache-2.0", "Licensed under the Apache License", "limitations under the License.")
+    yield "MPL-2.0", _part("MPL-2.0", "This Source Code Form is subject", "MPL/2.0/.")
+    yield "MPL-2.0", _part("MPL-2.0", "This Source Code Form is subject", "MPL/2.0/.").replace("http:", "https:")
+    lesser = _part("LGPL-2.1", "This library is free software", "for more details.")
+    general = _part("GPL-3.0", "This program is free software", "for more details.")
+    yield from (("LGPL-2.1", lesser), ("LGPL-3.0", lesser.replace("version 2.1", "version 3")), ("LGPL-3.0", general.replace("General Public License", "Lesser General Public License")))
+    yield from (("GPL-3.0", general), ("AGPL-3.0", general.replace("General Public License", "Affero General Public License")))
+    yield from (("GPL-2.0", _part("GPL-2.0", "This program is free software", "for more details.")), ("LGPL-2.0", _part("LGPL-2.0", "This library is free software", "for more details.")))
+    for name, *titles in TITLES:
+        tags = [name] + [name + x for x in ("-only", "-or-later", "+") if "GPL" in name or "GFDL" in name]
+        yield from ((name, f"SPDX-License-Identifier: {t}") for t in tags)
+        yield from ((name, t) for t in titles)
+        yield from ((name, lead + the + t) for lead in LEADS for t in titles for the in (("a ", "the ") if t.startswith("Creative") else ("",) if t.startswith("CC") else ("", "the ")))
+
+
 #: Known licences by identifier, whole texts and the notices that stand for them.
-KNOWN = (
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n\n" + _ISC),
-    ("Zlib", _ZLIB),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("BSD-3-Clause", "Released under the 3-Clause BSD License."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "This work is marked with CC0 1.0 Universal."),
-)
+KNOWN = tuple(dict.fromkeys(_known()))
 COPYRIGHT_LINE = "(^|\\n)[^\\n\\p{Alnum}]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*"
 
 

@@ -166,6 +166,17 @@ def test_licenses(spark, empty):
     assert licenses.licenses(empty).count() == 0
 
 
+def test_licenses_of_common_full_texts_and_notices(spark):
+    texts = licenses.TEXTS
+    rows = [(name, text) for name, text in texts.items()] + [(f"{name}s", text.replace("http:", "https:").upper()) for name, text in texts.items()]
+    notices = [("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("MPL-2.0", "Released under the Mozilla Public License, version 2.0"), ("AGPL-3.0", "// SPDX-License-Identifier: AGPL-3.0-or-later"), ("EPL-2.0", "This project is licensed under the Eclipse Public License 2.0.")]
+    rows += [(f"notice {name}", f"words\n{line}\nmore") for name, line in notices]
+    out = by_id(licenses.licenses(spark.createDataFrame(rows, "doc_id string, text string")))
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(texts)
+    assert all(out[name][0] == out[f"{name}s"][0] == name for name in texts)
+    assert all(out[f"notice {name}"] == (None, 1, name) for name, _ in notices)
+
+
 def test_mixing(spark, sf_dir, empty):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = mixing.mixed(docs, labels)
