@@ -106,17 +106,19 @@ def _known() -> Iterator[tuple[str, str]]:
 
 #: Known licences by identifier, whole texts and the notices that stand for them.
 KNOWN = tuple(dict.fromkeys(_known()))
-COPYRIGHT_LINE = "(^|\\n)[^\\n\\p{Alnum}]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*"
+#: A line that is a copyright notice: a sign, a placeholder or a year tells it from licence text that is wrapped before
+#: the word "copyright" or begins with the item "(c)".
+COPYRIGHT_LINE = (
+    "(?<![^\\n])[^\\n\\p{Alnum}©]*(?:(?:portions )?(?:spdx-filecopyrighttext:|copyright(?![a-z]|[^\\n\\p{Alnum}]+(?:notices?|holders?|owners?|treaty|law|license)\\b)"
+    "(?:[\\x20\\t:]*(?:\\(c\\)|©|[0-9\\[<{])|[\\x20\\t]+by[\\x20\\t]|[^\\n]*\\b(?:19|20)[0-9]{2}\\b))|\\(c\\)[^\\n]*\\b(?:19|20)[0-9]{2}\\b|©|all rights reserved[^\\n\\p{Alnum}]*(?=\\n|$))[^\\n]*"
+)
 
 
 def canonical(text: Column) -> Column:
     """Lower case A-Z, no copyright lines, runs of punctuation and white space as one space, one spelling of each word."""
     low = ascii_lower(text)
-    out = low
-    for _ in range(2):  # neighbouring copyright lines share their line break
-        out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
     marked = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("all rights reserved"))
-    out = F.concat(F.lit(" "), F.regexp_replace(F.when(marked, out).otherwise(low), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "), F.lit(" "))
     spelled = out
     for x, y in SPELLINGS:
         spelled = F.replace(spelled, F.lit(f" {x} "), F.lit(f" {y} "))
@@ -129,17 +131,43 @@ def digest(text: Column) -> Column:
     return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
+#: A known text of more characters is also looked for within documents. Each holds one of the cues, as any document with it.
+LONG = 120
+CUES = ("license", "licence", "permission", "permitted", "redistribution")
+
+
 def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """(license, digest) of the known texts; as many rows as the table has, so it may be broadcast."""
     return spark.createDataFrame(list(texts), "license string, text string").select("license", digest(F.col("text")).alias("digest")).distinct()
 
 
+def known_long(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+    """(license, passage) of the long known texts in canonical form between spaces, but for those that hold another of
+    the same licence (one with a title, say): where they stand the other does."""
+    long = [(name, text) for name, text in texts if len(text) > LONG]
+    long = [(name, text) for name, text in long if not any(n == name and t != text and t in text for n, t in long)]
+    if lost := [text for _, text in long if not any(cue in text.lower() for cue in CUES)]:
+        raise ValueError(f"no cue is in the known text {lost[0][:60]!r}")
+    return spark.createDataFrame(long, "license string, text string").select("license", F.concat(F.lit(" "), canonical(F.col("text")), F.lit(" ")).alias("passage")).distinct()
+
+
+def _within(rows: DataFrame, texts: tuple[tuple[str, str], ...]) -> DataFrame:
+    """doc_id, tid and license of each long known text that stands in a document, whatever its wrapping and surroundings."""
+    low = ascii_lower(F.col("text"))
+    cued = F.contains(low, F.lit(CUES[0]))
+    for cue in CUES[1:]:
+        cued = cued | F.contains(low, F.lit(cue))
+    # The generator keeps the optimizer from evaluating the canonical form for each use of body.
+    held = rows.where(cued).select("doc_id", "tid", F.explode_outer(F.array(F.concat(F.lit(" "), canonical(F.col("text")), F.lit(" ")))).alias("body"))
+    return held.join(F.broadcast(known_long(rows.sparkSession, texts)), F.expr("contains(body, passage)")).select("doc_id", "tid", "license")
+
+
 def licenses(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, whole_license (of the entire text), n_notices (lines that are known texts) and licenses (all, sorted).
 
-    The entire text, each paragraph (parted by blank lines) and each line are looked up by digest. Null text counts as
-    empty and is no licence. Rows of equal doc_id and text get the same result; an empty table gives no rows;
-    extra columns are left out.
+    The entire text, each paragraph (parted by blank lines) and each line are looked up by digest; the known texts of
+    more than LONG characters also wherever they stand in a document. Null text counts as empty and is no licence. Rows
+    of equal doc_id and text get the same result; an empty table gives no rows; extra columns are left out.
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), whole(F.col("text")).alias("text"))
     rows = rows.select("*", F.xxhash64("text").alias("tid"))
@@ -152,7 +180,8 @@ def licenses(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN) -> Dat
         )
     )
     parts = rows.select("doc_id", "tid", unit.alias("u")).where(F.btrim("u.part", F.lit(WHITE)) != "").select("doc_id", "tid", "u.unit", digest(F.col("u.part")).alias("digest"))
-    found = parts.join(table, "digest").groupBy("doc_id", "tid").agg(
+    every = parts.join(table, "digest").select("doc_id", "tid", "unit", "license").unionByName(_within(rows, texts).select("doc_id", "tid", F.lit("within").alias("unit"), "license"))
+    found = every.groupBy("doc_id", "tid").agg(
         F.min(F.when(F.col("unit") == "whole", F.col("license"))).alias("whole_license"),
         F.count(F.when(F.col("unit") == "line", True)).alias("n"),
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("names"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,26 @@ def test_licenses_of_common_full_texts_and_notices(spark):
     assert all(out[f"notice {name}"] == (None, 1, name) for name, _ in notices)
 
 
+def test_licenses_at_any_wrap_and_inside_documents(spark):
+    """A licence is found at every width of lines, alone and in a document that goes on before and after it."""
+    bodies = {"MIT": licenses._MIT, "ISC": licenses._ISC, "Zlib": licenses._ZLIB}
+    bodies |= {name: licenses.TEXTS[name] for name in ("BSD-2-Clause", "Apache-2.0", "MPL-2.0", "CC-BY-SA-4.0", "Unlicense")}
+    rows = []
+    for name, text in bodies.items():
+        for width in (30, 57, 72, 80):
+            wrapped = "\n\n".join(p if p.strip().lower().startswith(("copyright (c)", "copyright [")) else textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+            rows += [(f"{name} {width}", "Copyright (c) 2020 A\n\n" + wrapped), (f"{name} {width} in", f"/*\nTool.\nCopyright 2021 B\n\n{wrapped}\n*/\n\nint main;\n")]
+    rows.append(("none", "The copyright notice and this permission notice appear in all copies."))
+    out = by_id(licenses.licenses(spark.createDataFrame(rows, "doc_id string, text string")))
+    assert [d for d in out if d != "none" and out[d][2] != d.split()[0]] == []
+    assert [d for d in out if d != "none" and not d.endswith("in") and out[d][0] != d.split()[0]] == []
+    assert out["none"] == (None, 0, "")
+    kept = ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "(c) You must retain", "copyright treaty adopted on 20 December 1996", "copyrighted 1999 words"]
+    gone = ["Copyright (c) 2020 A", "* Copyright 1999, 2001 The Regents", "© A", "(C) 2020 A", "Copyright Jane Doe 2019", "All rights reserved.", "Copyright [yyyy] [name of copyright owner]"]
+    lines = spark.createDataFrame([(x,) for x in kept + gone], "t string").select("t", licenses.canonical(F.col("t")).alias("c"))
+    assert {r.t for r in lines.collect() if not r.c} == set(gone)
+
+
 def test_mixing(spark, sf_dir, empty):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = mixing.mixed(docs, labels)
