@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import textwrap
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,23 @@ def test_mixing_reaches_targets(spark):
     assert out.where("rate < 0").count() == 0
 
 
+def test_mixing_settles_with_the_production_values(spark):
+    """Explicit targets for every domain over overlapping posteriors: the rates are those of the minimum."""
+    rng = np.random.default_rng(5)
+    score = rng.normal(0, 1.5, (3000, 3)) + [-2.0, 1.5, 0.0]
+    p, n = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True), rng.integers(20, 900, 3000)
+    scored = common.stored(spark.createDataFrame([(k, int(n[k]), p[k].tolist()) for k in range(3000)], "doc_id bigint, n_words bigint, p array<double>"))
+    mass = n @ p
+    for weights in ((0.0, None, None), (0.0, 0.2, 0.8), (0.05, 0.35, 0.6)):
+        mix = mixing.Mix(weights=weights)
+        out, target, now = mixing.rates(scored, mix)
+        x = np.array([r.rate for r in out.orderBy("doc_id").collect()])
+        assert np.allclose(n * x @ p, now, rtol=1e-6)
+        slope = p @ ((np.array(now) - target) / mass) + mix.ridge * (x - 1)
+        assert np.abs(np.where(x > 0, slope, np.minimum(slope, 0))).max() < 1e-4
+    assert np.abs(np.array(now) - target).max() < 0.01 * n.sum()
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = mixing.fitted(docs, labels.where("doc_id % 2 = 0"))
