@@ -41,9 +41,13 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near copies stays, and one of repeated equal rows; rows of a null doc_id pass."""
+    kept = stored(near_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
+    once = docs.join(kept.where("n = 1").hint("merge"), "doc_id", "left_semi")
+    # Rows of repeated ids alone are compared by their text.
+    again = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    out = once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,3 +284,13 @@ def test_pipeline(spark, sf_dir):
     left = set(texts(e))
     clean = [k for k in texts(d) if k in labels and not labels[k].toxic]
     assert len([k for k in clean if k in left]) >= 0.95 * len(clean)
+
+
+def test_pipeline_near_dedup_of_null_and_repeated_ids(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    rows = [(None, "a b c d e f", 1), (None, None, 1), (1, "a b c d e f", 1), (1, "a b c d e f", 1), (2, "a b c d e f", 1), (3, "other words of this one row", 1), (3, "and a second text of it", 1), (4, None, 1), (4, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    out = sorted((tuple(r) for r in cp.near_duplicates(spark, docs, sf_dir).select("doc_id", "text").collect()), key=str)
+    left = [(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (3, "other words of this one row"), (3, "and a second text of it"), (4, None)]
+    assert out == sorted(left, key=str)
