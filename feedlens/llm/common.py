@@ -30,22 +30,40 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local master gets a temporary folder of its own; on a cluster that is an error, because
+    executors wouldn't see each other's files in one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-"))
             context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context.get()
     return found
 
 
+#: Spark's setting that removes a finished query's shuffle files at once instead of at some later garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
+    """The rows written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
+
+    The table replaces the shuffles behind it, so their files go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/feedlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,4 +107,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         before = found
     else:
         raise RuntimeError(f"the components have not settled after {most_rounds} rounds")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    ends = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = stored(ends)
+    dropped(now)
+    return out

@@ -7,6 +7,7 @@ i..j of the document, whose offsets in the original text are found again where t
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,9 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.common import stored
+
 WINDOW = 10
-#: The benchmark is scanned in blocks of items with at most so many bytes of text, each with its own automaton.
-BLOCK_BYTES = 16 << 20
+#: Windows of one automaton, which is what a task's memory holds of the benchmark (some 200 MB); a benchmark of more of
+#: them is scanned block by block, one automaton at a time.
+MOST_WINDOWS = 200_000
+#: Word numbers written as one character: those up to 0xFFFFF without NUL and the surrogates. Larger numbers are two characters
+#: of the last plane, the first from its lower and the second from its upper half, so that no match begins within a word.
+SINGLE = 0xD7FF + 0x100000 - 0xE000
 
 _OTHER = 0x20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else _OTHER for c in range(256))
@@ -31,44 +38,58 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 def _symbol(number: int) -> str:
-    """A character for each word number, without the surrogates."""
-    code = number + 1
-    return chr(code if code < 0xD800 else code + 0x800)
+    if number >= SINGLE:
+        high, low = divmod(number - SINGLE, 0x8000)
+        return chr(0x100000 + high) + chr(0x108000 + low)
+    return chr(number + 1 if number < 0xD7FF else number + 1 + 0x800)
 
 
 class Automaton:
-    """The windows of some items as patterns over word symbols."""
+    """The windows of some items as patterns over word symbols. An item of a null id has windows but no owner."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: tuple[tuple[int | None, str], ...], window: int = WINDOW) -> None:
         self.symbols: dict[bytes, str] = {}
         self.tree = ahocorasick.Automaton()
-        found: dict[str, set[int]] = {}
+        found: dict[str, tuple[int, set[int]]] = {}
         for item, text in items:
-            coded = "".join(self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in normal_words(text))
+            coded = [self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in normal_words(text)]
             for k in range(max(1, len(coded) - window + 1) if coded else 0):
-                found.setdefault(coded[k : k + window], set()).add(item)
-        for pattern, owners in found.items():
-            self.tree.add_word(pattern, (len(pattern), tuple(owners)))
+                part = coded[k : k + window]
+                owners = found.setdefault("".join(part), (len(part), set()))[1]
+                if item is not None:
+                    owners.add(item)
+        for pattern, (size, owners) in found.items():
+            self.tree.add_word(pattern, (size, tuple(owners)))
         if found:
             self.tree.make_automaton()
         self.empty = not found
 
     def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         """First word, end and items of each occurrence."""
-        if not self.empty:
-            get = self.symbols.get
-            for last, (size, owners) in self.tree.iter("".join([get(w, "\0") for w in words])):
-                yield last - size + 1, last + 1, owners
+        if self.empty:
+            return
+        get = self.symbols.get
+        coded = [get(w, "\0") for w in words]
+        text = "".join(coded)
+        word = range(len(words)) if len(text) == len(words) else [k for k, c in enumerate(coded) for _ in c]
+        for last, (size, owners) in self.tree.iter(text):
+            yield word[last] + 1 - size, word[last] + 1, owners
+
+
+@functools.lru_cache(maxsize=1)
+def automaton(items: tuple[tuple[int | None, str], ...], window: int) -> Automaton:
+    """Built once in a worker process, for all its tasks."""
+    return Automaton(items, window)
 
 
 FOUND = "n_words bigint, words array<bigint>, items array<bigint>, offsets array<bigint>"
 
 
-def _scan(items: list[tuple[int, str | None]], window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(items: tuple[tuple[int | None, str], ...], window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(row, text, words, items): adds what this block of items hits to what earlier blocks did."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items, window)
+        tree = automaton(items, window)
         for batch in batches:
             out: dict[str, list] = {"n_words": [], "words": [], "items": [], "offsets": []}
             texts = batch.column(1).cast(pa.large_string())
@@ -76,7 +97,7 @@ def _scan(items: list[tuple[int, str | None]], window: int) -> Callable[[Iterato
                 text = text.as_py() or ""
                 words = normal_words(text)
                 hit, owners = set(old_words.as_py()), set(old_items.as_py())
-                for a, b, found in automaton.matches(words):
+                for a, b, found in tree.matches(words):
                     hit.update(range(a, b))
                     owners.update(found)
                 places = [(m.start(), m.end()) for m in _WORD.finditer(_CAPITALS.sub(lambda m: m[0].lower(), text))] if hit else []
@@ -93,30 +114,34 @@ def _scan(items: list[tuple[int, str | None]], window: int) -> Callable[[Iterato
 
 
 def _usable(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    return benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
 
 
-def _blocks(benchmark: DataFrame) -> list[tuple[int, int]]:
-    """Numbers (k, n) of blocks, so many that each holds about half of BLOCK_BYTES at most."""
-    total = _usable(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 if total <= BLOCK_BYTES else -(-2 * total // BLOCK_BYTES)
+def _blocks(benchmark: DataFrame, window: int) -> list[tuple[int, int]]:
+    """Numbers (k, n) of blocks, so many that each holds about half of MOST_WINDOWS at most."""
+    words = F.regexp_count("text", F.lit(_WORD.pattern))
+    total = _usable(benchmark).agg(F.sum(F.greatest(words - (window - 1), F.lit(1)))).first()[0] or 0
+    n = 1 if total <= MOST_WINDOWS else -(-2 * total // MOST_WINDOWS)
     return [(k, n) for k in range(n)]
 
 
-def _items(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, str | None]]:
-    return [tuple(r) for r in _usable(benchmark).where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator()]
+def _items(benchmark: DataFrame, k: int, n: int) -> tuple[tuple[int | None, str], ...]:
+    rows = _usable(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return tuple((r.item_id, r.text) for r in rows.toLocalIterator())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default) plus n_words, words (numbers of the hit words), items (ids of
     items with an occurring window) and offsets (start and end of each hit word in the original text, code points).
 
-    Null text has no words; items with null text or id are no items; an empty benchmark hits nothing. Repeated rows
-    each get a row; columns of docs named as the added ones give way to them. Items of up to BLOCK_BYTES are one
-    automaton; a larger benchmark goes block by block over the same rows, each adding to the findings.
+    Null and empty texts have no words. Items of null text are no items; an item of a null id hits words but isn't
+    listed; repeated items count once; an empty benchmark hits nothing. Repeated rows each get a row, a null doc_id
+    included; a very long text is one string of symbols; an empty table gives no rows; columns of docs named as the added
+    ones give way to them. Up to MOST_WINDOWS windows are one automaton; a larger benchmark goes block by block over the
+    stored rows, each block adding to the findings, so that memory doesn't grow with the benchmark.
     """
     kept = [c for c in (keep or docs.columns) if c not in ("n_words", "words", "items", "offsets")]
-    blocks = _blocks(benchmark)
+    blocks = _blocks(benchmark, window)
     carried = kept if len(blocks) == 1 or "text" in kept else [*kept, "text"]
     none = F.array().cast("array<bigint>")
     row = F.struct(*[F.col(f"`{c}`") for c in carried])
@@ -124,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     shape = f"row {out.schema['row'].dataType.simpleString()}, {FOUND}"
     for k, block in enumerate(blocks):
         if k:
-            out = out.select("row", F.col("row.text").cast("string").alias("text"), "words", "items")
+            out = stored(out).select("row", F.col("row.text").cast("string").alias("text"), "words", "items")
         out = out.mapInArrow(_scan(_items(benchmark, *block), window), shape)
     return out.select(*[F.col(f"row.`{c}`") for c in kept], "n_words", "words", "items", "offsets")
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm import rolling
-from feedlens.llm.common import dropped, stored
+from feedlens.llm.common import WHITE, dropped, stored
 from feedlens.llm.similar import linked
 
 SHINGLE = 7
@@ -18,172 +19,133 @@ PERCENT = 80
 #: At a similarity of 0.8 a pair of lines shares none of the 12 bands of 4 coordinates with a probability of 0.002.
 ROWS = 4
 BANDS = 12
-#: Coordinates of the sketch, one bit of each, and bits of the bitmap, made for lines that share a band with others.
-BITS = 256
-MAP = 4096
+#: Bits of the bitmap made for lines that round two compares.
+MAP = 2048
 
 _POINTS = 0xA24BAED4963EE407
-_SECOND = 0x9FB21C651E98DF25
 
 
-def _lines(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of a slice; for each line its begin, end, document and number in it."""
+def _points(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a slice of lines, where each line begins in them, and where its shingles begin among all: a line of
+    fewer characters than a shingle is its only one."""
     points = np.frombuffer(s.data.tobytes().decode().encode("utf-32-le"), np.uint32)
     lead = np.zeros(len(s.data) + 1, np.int64)
     np.cumsum((s.data & 0xC0) != 0x80, out=lead[1:])
     offset = lead[s.offset]
-    breaks = np.flatnonzero(points == 10)
-    begin = np.sort(np.concatenate((offset[:-1], breaks + 1)))
-    end = np.sort(np.concatenate((breaks, offset[1:])))
-    count = 1 + np.diff(np.searchsorted(breaks, offset))
-    doc = np.repeat(np.arange(s.rows), count)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return points, begin, end, doc, number
-
-
-def _values(points: np.ndarray) -> np.ndarray:
-    return rolling.mixed(points.astype(np.uint64) * np.uint64(_POINTS) + np.uint64(1))
-
-
-def _shingles(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the shingles of each line, repeats included, and where each line's begin; a line of fewer
-    characters is its only shingle."""
-    count = np.maximum(end - begin - SHINGLE + 1, 1)
-    first = np.cumsum(count) - count
-    at = np.arange(int(count.sum())) + np.repeat(begin - first, count)
-    return rolling.hash_of_ranges(values, at, np.minimum(at + SHINGLE, np.repeat(end, count)), rolling._WORD_BASE), first
-
-
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tid, text) to one row for each distinct line of a document that holds a word."""
+    first = np.zeros(s.rows + 1, np.int64)
+    np.cumsum(np.maximum(np.diff(offset) - SHINGLE + 1, 1), out=first[1:])
+    return points, offset, first
+
+
+def _scattered(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """A 32-bit number for each shingle of each line, repeats included, and where each line's begin: what banding needs."""
+    points, offset, first = _points(s)
+    values = points * np.uint32(0x9E3779B1)
+    values ^= values >> np.uint32(15)
+    n = max(len(points) - SHINGLE + 1, 0)
+    out = values[:n].copy()
+    for k in range(1, SHINGLE):
+        out *= np.uint32(0x01000193)
+        out += values[k : n + k]
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x85EBCA77)
+    out ^= out >> np.uint32(13)
+    inside = np.ones(n, bool)  # not across the end of a line
+    across = (offset[1:, None] - np.arange(1, SHINGLE)).reshape(-1)
+    inside[across[(across >= 0) & (across < n)]] = False
+    short = np.flatnonzero(np.diff(offset) < SHINGLE)
+    found = np.empty(first[-1], np.uint32)
+    own = np.zeros(first[-1], bool)
+    own[first[short]] = True
+    found[~own] = out[inside]
+    found[own] = [zlib.crc32(s.text(k)) for k in short.tolist()]
+    return found, first
+
+
+def _shingles(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the shingles of each line of a slice, repeats included, and where each line's begin."""
+    points, offset, first = _points(s)
+    values = rolling.mixed(points.astype(np.uint64) * np.uint64(_POINTS) + np.uint64(1))
+    count = np.diff(first)
+    at = np.arange(first[-1]) + np.repeat(offset[:-1] - first[:-1], count)
+    return rolling.hash_of_ranges(values, at, np.minimum(at + SHINGLE, np.repeat(offset[1:], count)), rolling._WORD_BASE), first
+
+
+def line_sets(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray]:
+    return rolling.distinct_of_each(*_shingles(s))
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) of lines to (id, bands)."""
     for batch in batches:
-        for s in rolling.slices(batch.column(2)):
-            points, begin, end, doc, number = _lines(s)
-            solid = np.zeros(len(points) + 1, np.int64)
-            np.cumsum(~((points == 32) | ((points >= 9) & (points <= 13))), out=solid[1:])
-            some = solid[end] > solid[begin]
-            begin, end, doc, number = begin[some], end[some], doc[some], number[some]
-            values = _values(points)
-            size = (end - begin).astype(np.uint64)
-            h1 = rolling.mixed(rolling.hash_of_ranges(values, begin, end, rolling._BASE) + size)
-            h2 = rolling.mixed(rolling.hash_of_ranges(values, begin, end, _SECOND) ^ size)
-            order = np.lexsort((number, h2, h1, doc))
-            again = np.zeros(len(order), bool)
-            again[1:] = (doc[order][1:] == doc[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-            keep = np.sort(order[~again])
-            begin, end, doc, number, h1, h2 = (x[keep] for x in (begin, end, doc, number, h1, h2))
-            shingles, first = _shingles(values, begin, end)
-            keys = rolling.bands(rolling.circulant_minhash(shingles, first, ROWS * BANDS), ROWS)
-            rows = pa.array(doc + s.first)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number), *(pa.array(x.view(np.int64)) for x in (h1, h2)),
-                 rolling.list_array(np.full(len(doc), BANDS), keys.reshape(-1))],
-                names=["doc_id", "tid", "line", "h1", "h2", "bands"],
-            )
-
-
-def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted array<struct<line, id>>) to (id, n, sketch, map, line text)."""
-    for batch in batches:
-        ids, lines = [], []
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            cut = text.as_py().split("\n")
-            for w in wanted.as_py():
-                ids.append(w["id"])
-                lines.append(cut[w["line"]])
-        texts, ids = pa.array(lines, pa.string()), pa.array(ids, pa.int64())
-        for s in rolling.slices(texts):
-            points, begin, end, _, _ = _lines(s)
-            shingles, first = _shingles(_values(points), begin, end)
-            bits = rolling.sketch(rolling.circulant_minhash(shingles, first, BITS))
-            on = rolling.bitmap(shingles, first, MAP)
-            n = np.array([len(np.unique(x)) for x in np.split(shingles, first[1:])])
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(s.first, s.rows), pa.array(n), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)), rolling.list_array(np.full(s.rows, MAP // 64), on.reshape(-1)), texts.slice(s.first, s.rows)],
-                names=["id", "n", "sketch", "map", "text"],
-            )
-
-
-def shingles_of(line: str, size: int = SHINGLE) -> frozenset[str]:
-    return frozenset(line[k : k + size] for k in range(max(1, len(line) - size + 1)))
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, mine, other) to the pairs whose shingle sets meet the similarity, compared as strings."""
-    for batch in batches:
-        keep, last, mine = [], None, frozenset()
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if x != last:
-                last, mine = x, shingles_of(x)
-            other = shingles_of(y)
-            common = len(mine & other)
-            keep.append(100 * common >= PERCENT * (len(mine) + len(other) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        for s in rolling.slices(batch.column(1)):
+            scattered, first = _scattered(s)
+            keys = rolling.bands(rolling.minhash(scattered, first[:-1], ROWS * BANDS), ROWS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), rolling.list_array(np.full(s.rows, BANDS), keys.reshape(-1))], names=["id", "bands"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, gone) to row, n_lines, n_removed and the text without the lines gone and without repeats of its own."""
+    """(row, text, marks array<struct<line, component>>) to row, n_lines, n_removed and what is left of the text: without
+    the lines marked without a component, and with the first line alone of each component and of its own repeats."""
     for batch in batches:
         counts, removed, texts = [], [], []
-        for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+        for text, marks in zip(batch.column(1), batch.column(2), strict=True):
             lines = text.as_py().split("\n") if text.is_valid else []
-            dead = {lines[k] for k in gone.as_py() or ()}
-            kept, seen, n = [], set(), 0
-            for line in lines:
-                if line.strip(" \t\n\x0b\f\r"):
+            component = {m["line"]: m["component"] for m in marks.as_py() or ()}
+            kept, seen, n, cut = [], set(), 0, 0
+            for k, line in enumerate(lines):
+                if line.strip(WHITE):
                     n += 1
-                    if line in dead or line in seen:
+                    name = component.get(k, line)
+                    if name is None or name in seen:
+                        cut += 1
                         continue
-                    seen.add(line)
+                    seen.add(name)
                 kept.append(line)
             counts.append(n)
-            removed.append(n - len(seen))
+            removed.append(cut)
             texts.append("\n".join(kept) if text.is_valid else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["row", "n_lines", "n_removed", "kept_text"])
 
 
+def _digest(text: Column) -> Column:
+    """128 bits of SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default), n_lines (lines with a word), n_removed and kept_text.
 
     Lines are parted by \\n. Lines of equal text, and lines whose sets of 7-character shingles have a Jaccard similarity
     of 0.8 or more, form components; of each the line of the smallest (doc_id, line number) stays, all others go.
-    Equal lines are told by a 128-bit hash, whose first half names a line in the graph. Lines without a word stay. Null text stays null, with no lines; rows of a null doc_id lose only
-    their own repeated lines; repeated rows get the same result; an empty table gives no rows; columns of docs
-    named as the added ones give way to them.
+    Each distinct line has a number of its own, under which it is banded, compared and connected; documents find their
+    lines' fate again by 128 bits of SHA-256. Lines without a word stay. Null text stays null, with no lines; an empty text
+    has no lines; rows of a null doc_id lose only their own repeated lines. Repeated rows get the same result, and rows of
+    one doc_id and different texts each keep a line whose component begins in that doc_id. A very long text is one row, and
+    a very long line one set. An empty table gives no rows; columns of docs named as the added ones give way to them.
     """
     kept = [c for c in (keep or docs.columns) if c not in ("n_lines", "n_removed", "kept_text")]
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
-    named = rows.where("doc_id is not null").select("doc_id", "tid", "text")
-    seen = stored(named.mapInArrow(_profile, "doc_id bigint, tid bigint, line bigint, h1 bigint, h2 bigint, bands array<bigint>"))
-    places = stored(seen.select("doc_id", "tid", "line", "h1", "h2"))
-    profiles = stored(seen.select(F.col("h1").alias("id"), "bands").dropDuplicates(["id"]))
-    dropped(seen)
+    each = rows.where("doc_id is not null").select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.btrim("text", F.lit(WHITE)) != "")
+    # One row for each distinct line, with its first document; copies of any number cost one comparison from here on.
+    distinct = each.groupBy("text").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    lines = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "low", "n", "text"))
+    profiles = stored(lines.select("id", "text").mapInArrow(_banded, "id bigint, bands array<bigint>"))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        one = places.join(ids.withColumnRenamed("id", "h1"), "h1").groupBy("h1").agg(F.min(F.struct("doc_id", "tid", "line")).alias("at"))
-        asked = one.groupBy("at.doc_id", "at.tid").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), F.col("h1").alias("id"))).alias("wanted"))
-        picked = named.join(asked.hint("merge"), ["doc_id", "tid"]).select("text", "wanted").mapInArrow(_picked, "id bigint, n bigint, sketch array<bigint>, map array<bigint>, text string")
-        return stored(picked.dropDuplicates(["id"]))
-
-    def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-        a = lines.select(F.col("id").alias("a"), F.col("text").alias("mine"))
-        b = lines.select(F.col("id").alias("b"), F.col("text").alias("other"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "mine", "other").mapInArrow(_verified, "a bigint, b bigint")
+        return stored(lines.select("id", "text").join(ids, "id", "left_semi"))
 
-    found = linked(profiles, fetch, verify, BITS, PERCENT)
+    found = linked(profiles, fetch, line_sets, PERCENT, MAP)
     dropped(profiles)
-    # The first place of each line, then the first of each component.
-    copies = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    fuzzy = found.withColumnRenamed("id", "h1")
-    heads = stored(places.join(fuzzy, "h1").select("component", "doc_id", "line"))
-    low = heads.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
-    head = heads.join(low, ["component", "doc_id"]).groupBy("component", "doc_id").agg(F.min("line").alias("line"))
-    exact = places.join(copies.where("low < high"), ["h1", "h2"]).where("doc_id > low").select("doc_id", "tid", "line")
-    head = head.select("component", F.col("doc_id").alias("head_doc"), F.col("line").alias("head_line"))
-    near = places.join(fuzzy, "h1").join(head, "component").where("doc_id != head_doc or line != head_line").select("doc_id", "tid", "line")
-    gone = exact.unionByName(near).groupBy("doc_id", "tid").agg(F.collect_set("line").alias("gone"))
-    joined = rows.join(gone, ["doc_id", "tid"], "left").select("row", "text", "gone")
+    fuzzy = stored(lines.join(found, "id").select(_digest(F.col("text")).alias("digest"), "low", "component"))
+    heads = stored(fuzzy.groupBy("component").agg(F.min("low").alias("head")))
+    alone = lines.where("n > 1").join(found, "id", "left_anti").select(_digest(F.col("text")).alias("digest"), F.col("id").alias("component"), F.col("low").alias("head"))
+    fates = stored(fuzzy.join(heads, "component").select("digest", "component", "head").unionByName(alone))
+    dropped(lines, found, fuzzy, heads)
+    met = each.select("doc_id", "tid", "line", _digest(F.col("text")).alias("digest")).join(fates, "digest")
+    mark = F.struct("line", F.when(F.col("doc_id") == F.col("head"), F.col("component")).alias("component"))
+    marks = met.groupBy("doc_id", "tid").agg(F.collect_set(mark).alias("marks"))
+    joined = rows.join(marks, ["doc_id", "tid"], "left").select("row", "text", "marks")
     shape = f"row {joined.schema['row'].dataType.simpleString()}, n_lines bigint, n_removed bigint, kept_text string"
     return joined.mapInArrow(_cut, shape).select(*[F.col(f"row.`{c}`") for c in kept], "n_lines", "n_removed", "kept_text")

@@ -1,15 +1,14 @@
 """Mixing sources to target weights: soft domain posteriors, then nonnegative document rates.
 
 The domains are those of the labelled table: toxic, plain (quality 0) and good (quality 1). A softmax regression
-over the presence of hashed words, fit on a bounded sample of labelled rows, gives each document's posterior. The rates x_d >= 0 minimise
-
-    sum over domains k of (sum over d of x_d n_d p_dk - T_k)^2 / M_k  +  ridge * sum over d of n_d (x_d - 1)^2
-
-with n_d the words, p_dk the posteriors, M_k = sum over d of n_d p_dk and T_k the target. The minimum is found by Newton
-steps on its dual, a function of as many numbers as there are domains, and an error is raised where they don't settle.
-Without a ridge, where the minimum isn't unique, projected-gradient steps begin at rates of 1 (in the scale of n_d the
-gradient's largest eigenvalue is 1, so full steps converge). A step needs only a few sums over the documents, one Spark
-aggregate; a document's rate follows from its own posterior and those numbers, so no step moves document rows.
+over the presence of hashed words, fit on a bounded sample of labelled rows, gives each document's posterior. With n_d the
+words and p_d the posteriors of document d, the rates x_d >= 0 give expected totals t = sum over d of x_d n_d p_d; they
+minimise the squares of t minus the targets, in the metric of G^-1 where G = sum over d of n_d p_d p_d'.
+
+Projected gradient from rates of 1: x_d <- max(0, y_d - p_d . G^-1 (t(y) - T)), y being x with Nesterov's momentum. In this
+metric the gradient's largest eigenvalue is 1, so full steps converge, and where no rate is at 0 one step reaches the
+targets. A step needs one Spark aggregate of twice as many numbers as there are domains; a document's rate follows from its
+own posterior and the steps' numbers, so no step moves document rows.
 """
 
 from __future__ import annotations
@@ -26,25 +25,23 @@ from feedlens.llm import rolling
 from feedlens.llm.common import stored
 
 DOMAINS = ("toxic", "plain", "good")
-#: Newton steps to the minimum; about ten are needed.
-MOST_STEPS = 60
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Target weights by domain, as shares of all words now; None: the domain's present share. The classifier is
-    bounded by buckets of hashed words, features chosen for each domain, and labelled, the most labelled rows it is
-    fit on: where there are more, a hash of doc_id picks about so many."""
+    """Target weights by domain, as shares of all words now; None: the domain's present share. steps: projected-gradient
+    steps at most; they end where no total is further from its target than settled, as a share of all words, or the totals
+    stand still. The classifier is bounded by buckets of hashed words, features chosen for each domain, and labelled, the
+    most labelled rows it is fit on: where there are more, a hash of doc_id picks about so many."""
 
-    weights: tuple[float | None, ...] = (0.0, None, None)
+    weights: tuple[float | None, ...] = (0.01, 0.14, 0.85)
     buckets: int = 1 << 18
     features: int = 96
     labelled: int = 20_000
     epochs: int = 400
     penalty: float = 1e-4
-    steps: int = 25
-    settled: float = 1e-6
-    ridge: float = 1e-3
+    steps: int = 60
+    settled: float = 1e-5
 
 
 _LETTERS = np.zeros(256, bool)
@@ -197,92 +194,58 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame
     return out.select(*[F.col(f"row.`{c}`") for c in keep], "n_words", "p")
 
 
-def _rate(residuals: list[list[float]], ridge: float) -> str:
-    """SQL for a row's rate after the steps whose residuals are given: x <- max(0, x - p . r - ridge (x - 1))."""
-    if not residuals:
-        return "1D"
-    steps = ", ".join("array(" + ", ".join(f"{r!r}D" for r in row) + ")" for row in residuals)
-    dot = " + ".join(f"p[{k}] * r[{k}]" for k in range(len(DOMAINS)))
-    return f"aggregate(array({steps}), 1D, (x, r) -> greatest(0D, x - ({dot}) - {ridge!r}D * (x - 1D)))"
+def _rate(steps: list[list[float]]) -> str:
+    """SQL for a row's struct<x, y> after the given steps (g, momentum): x <- max(0, y - p . g), y <- x + momentum (x - x before)."""
+    if not steps:
+        return "named_struct('x', 1D, 'y', 1D)"
+    table = ", ".join("array(" + ", ".join(f"{g!r}D" for g in row) + ")" for row in steps)
+    x, last = "greatest(0D, s.y - (" + " + ".join(f"p[{k}] * g[{k}]" for k in range(len(DOMAINS))) + "))", f"g[{len(DOMAINS)}]"
+    return f"aggregate(array({table}), named_struct('x', 1D, 'y', 1D), (s, g) -> named_struct('x', {x}, 'y', (1D + {last}) * {x} - {last} * s.x))"
 
 
 def rates(scored: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, list[float], list[float]]:
     """scored (a stored table of posteriors) with a rate for each row; targets and expected totals of the domains.
 
-    A document without words has the rate of its posterior but no weight; an empty table gives rates of none.
+    A document without words has the rate of its posterior but no weight; an empty table gives rates of none. Targets that
+    no rates meet are met as nearly as the squares allow; compare them with the totals.
     """
     n = range(len(DOMAINS))
-
-    def totals(rate: str) -> list[float]:
-        row = scored.agg(*[F.expr(f"sum(n_words * p[{k}] * {rate})") for k in n]).first()
-        return [float(x or 0.0) for x in row]
-
-    mass = totals("1D")
-    whole = sum(mass) or 1.0
-    target = [m if w is None else w * whole for m, w in zip(mass, mix.weights, strict=True)]
-    if mix.ridge:
-        rate, now = _optimum(scored, mass, target, mix)
-        return scored.withColumn("rate", F.expr(rate)), target, now
-    now, residuals = mass, []
-    for _ in range(mix.steps):
-        residuals.append([(a - t) / m if m else 0.0 for a, t, m in zip(now, target, mass, strict=True)])
-        after = totals(_rate(residuals, mix.ridge))
-        still = max(abs(a - b) for a, b in zip(after, now, strict=True)) <= mix.settled * whole
-        now = after
-        if still:
-            break
-    return scored.withColumn("rate", F.expr(_rate(residuals, mix.ridge))), target, now
-
-
-def _optimum(scored: DataFrame, mass: list[float], target: list[float], mix: Mix) -> tuple[str, list[float]]:
-    """SQL for the rates at the minimum, and the domains' totals there.
-
-    At the minimum x_d = max(0, 1 - p_d . r / ridge) with r_k = (total_k - T_k) / M_k, so r minimises the convex function
-
-        sum over k of (M_k r_k^2 / 2 + T_k r_k)  +  ridge / 2 * sum over d of n_d max(0, 1 - p_d . r / ridge)^2
-
-    of as many numbers as there are domains: Newton steps, halved until the function falls. A step is one aggregate.
-    """
-    n, m, t = range(len(DOMAINS)), np.array(mass), np.array(target)
-    live, whole = m > 0, sum(mass) or 1.0
     pairs = [(j, k) for j in n for k in n if j <= k]
 
-    def rate(r: np.ndarray) -> str:
-        return "greatest(0D, 1D - (" + " + ".join(f"p[{k}] * {float(r[k] / mix.ridge)!r}D" for k in n) + "))"
-
-    def at(r: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The function's value, the totals and the words of pairs of domains in documents of a rate above 0."""
-        x = rate(r)
-        rows = scored.select("n_words", "p", F.expr(x).alias("x"))
-        sums = [F.expr("sum(n_words * x * x)")] + [F.expr(f"sum(n_words * p[{k}] * x)") for k in n] + [F.expr(f"sum(if(x > 0, n_words * p[{j}] * p[{k}], 0D))") for j, k in pairs]
-        found = [float(v or 0.0) for v in rows.agg(*sums).first()]
-        both = np.zeros((len(m), len(m)))
-        for (j, k), v in zip(pairs, found[1 + len(m) :], strict=True):
-            both[j, k] = both[k, j] = v
-        return float(m @ r**2 / 2 + t @ (r * live) + mix.ridge / 2 * found[0]), np.array(found[1 : 1 + len(m)]), both
-
-    r = np.zeros(len(m))
-    value, now, both = at(r)
-    for _ in range(MOST_STEPS):
-        slope = np.where(live, m * r + t - now, 0.0)
-        if np.abs(slope).max() <= mix.settled * whole:
-            return rate(r), now.tolist()
-        step = np.zeros(len(m))
-        step[live] = np.linalg.solve((np.diag(m) + both / mix.ridge)[np.ix_(live, live)], -slope[live])
-        for halved in range(40):
-            tried = r + step / 2**halved
-            after = at(tried)
-            if after[0] <= value + 1e-4 / 2**halved * float(slope @ step) + 1e-12 * abs(value):
-                break
-        r, (value, now, both) = tried, after
-    raise RuntimeError(f"the rates have not settled after {MOST_STEPS} steps: {np.abs(slope).max() / whole:.2g} of all words off the minimum")
+    def sums(steps: list[list[float]], *terms: str) -> list[float]:
+        # Behind a generator, so that a row's state is evaluated once for all sums.
+        rows = scored.select("n_words", "p", F.explode(F.array(F.expr(_rate(steps)))).alias("s"))
+        return [float(v or 0.0) for v in rows.agg(*[F.expr(f"sum(n_words * {t})") for t in terms]).first()]
+
+    found = sums([], *[f"p[{j}] * p[{k}]" for j, k in pairs], *[f"p[{k}]" for k in n])
+    gram, now = np.zeros((len(DOMAINS), len(DOMAINS))), np.array(found[len(pairs) :])
+    for (j, k), v in zip(pairs, found, strict=False):
+        gram[j, k] = gram[k, j] = v
+    whole = now.sum() or 1.0
+    target = np.array([m if w is None else w * whole for m, w in zip(now, mix.weights, strict=True)])
+    inverse = np.linalg.pinv(gram / whole, rcond=1e-9, hermitian=True) / whole
+    steps: list[list[float]] = []
+    ahead, t, moved = now, 1.0, np.inf
+    while len(steps) < mix.steps and np.abs(now - target).max() > mix.settled * whole and moved > mix.settled / 100 * whole:
+        following = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        steps.append([*(inverse @ (ahead - target)).tolist(), (t - 1) / following])
+        both = np.array(sums(steps, *[f"p[{k}] * s.{c}" for c in "xy" for k in n]))
+        after, ahead, t = both[: len(n)], both[len(n) :], following
+        if (after - target) @ inverse @ (after - target) > (now - target) @ inverse @ (now - target):
+            t = 1.0  # the momentum went too far
+        moved, now = np.abs(after - now).max(), after
+    return scored.withColumn("rate", F.expr(f"({_rate(steps)}).x")), target.tolist(), now.tolist()
 
 
 def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix(), keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id by default), n_words, p (posteriors by DOMAINS) and rate of every row of docs.
+    """The columns `keep` (doc_id by default), n_words, p (posteriors by DOMAINS), rate and residual (the largest
+    difference of a domain's expected total from its target, over all words; the same in every row) of every row of docs.
 
-    Null text counts as empty; repeated rows each get a row; an empty table gives none; columns of docs named as
-    the added ones give way to them.
+    Null and empty texts have no words and the posterior of no feature. Repeated rows, a null doc_id included, each get a
+    row with the same rate; a very long text is one row; without usable labels all domains are alike; an empty table gives
+    no rows; columns of docs named as the added ones give way to them.
     """
-    kept = [c for c in (keep or ["doc_id"]) if c not in ("n_words", "p", "rate")]
-    return rates(stored(posteriors(docs, fitted(docs, labels, mix), kept)), mix)[0]
+    kept = [c for c in (keep or ["doc_id"]) if c not in ("n_words", "p", "rate", "residual")]
+    rated, target, now = rates(stored(posteriors(docs, fitted(docs, labels, mix), kept)), mix)
+    off = max(abs(a - b) for a, b in zip(now, target, strict=True)) / (sum(target) or 1.0)
+    return rated.withColumn("residual", F.lit(off))

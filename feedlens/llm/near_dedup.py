@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm import rolling
-from feedlens.llm.common import stored
+from feedlens.llm.common import components, dropped, stored
 from feedlens.llm.similar import linked
 
 SHINGLE = 5
@@ -19,8 +19,7 @@ PERCENT = 75
 #: with a probability of 5e-6.
 COORDINATES = 128
 ROWS = 4
-#: Coordinates of the sketch, one bit of each, and bits of the bitmap, made for documents that share a band with others.
-BITS = 256
+#: Bits of the bitmap made for documents that round two compares.
 MAP = 4096
 
 
@@ -42,23 +41,16 @@ def shingle_sets(s: rolling.Slice) -> tuple[np.ndarray, np.ndarray]:
     own[first[short]] = True
     values[~own] = hashes
     values[own] = whole
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        values[a:b].sort()
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    new[first[:-1][sizes > 0]] = True
-    total = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(new, out=total[1:])
-    return values[new], total[first]
+    return rolling.distinct_of_each(values, first)
 
 
-PROFILE = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
+PROFILE = "doc_id bigint, tid bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to set sizes, 128-bit set digests and band keys."""
+    """(doc_id, tid, text) to set sizes, 128-bit set digests and band keys."""
     for batch in batches:
-        for s in rolling.slices(batch.column(1)):
+        for s in rolling.slices(batch.column(2)):
             values, first = shingle_sets(s)
             size = np.diff(first)
             some = np.flatnonzero(size)
@@ -69,73 +61,47 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest[0, some] = np.add.reduceat(rolling.mixed(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 digest[1, some] = np.add.reduceat(rolling.mixed(values + np.uint64(0x14057B7EF767814F)), starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.first, s.rows), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in digest),
+                [*(batch.column(k).slice(s.first, s.rows) for k in (0, 1)), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in digest),
                  rolling.list_array(np.where(size > 0, COORDINATES // ROWS, 0), keys.reshape(-1))],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                names=["doc_id", "tid", "n_shingles", "d1", "d2", "bands"],
             )
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) of documents with words to (id, n, sketch, map, text)."""
-    for batch in batches:
-        for s in rolling.slices(batch.column(1)):
-            values, first = shingle_sets(s)
-            bits = rolling.sketch(rolling.circulant_minhash(values, first[:-1], BITS))
-            on = rolling.bitmap(values, first[:-1], MAP)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s.first, s.rows), pa.array(np.diff(first)), rolling.list_array(np.full(s.rows, BITS // 64), bits.reshape(-1)),
-                 rolling.list_array(np.full(s.rows, MAP // 64), on.reshape(-1)), batch.column(1).slice(s.first, s.rows)],
-                names=["id", "n", "sketch", "map", "text"],
-            )
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text, other) to the pairs (a, b) whose full sets meet 100 * common >= PERCENT * union."""
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for s in rolling.slices(batch.column(2), rolling.SLICE_BYTES):
-            mine, first = shingle_sets(s)
-            at = 0
-            for o in rolling.slices(batch.column(3).slice(s.first, s.rows)):
-                other, begin = shingle_sets(o)
-                for k in range(o.rows):
-                    x, y = mine[first[at] : first[at + 1]], other[begin[k] : begin[k + 1]]
-                    both = np.concatenate((x, y))
-                    both.sort()
-                    common = int(np.count_nonzero(both[1:] == both[:-1]))
-                    keep[s.first + at] = len(both) > 0 and 100 * common >= PERCENT * (len(both) - common)
-                    at += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included) and kept.
 
-    Null and empty texts have an empty set and link with nothing; equal sets are one class from the start, so
-    copies of any number cost one comparison. Rows of a null doc_id link with nothing and have null component_id
-    and kept false. Repeated rows each get a row; an empty table gives none; extra columns are left out.
+    Null and empty texts have an empty set and link with nothing; equal sets are one class from the start (told by a
+    128-bit digest of the set), so copies of any number cost one comparison. Rows of a null doc_id link with nothing and
+    have null component_id and kept false. Repeated rows each get a row; rows of one doc_id and different texts are one
+    document in the graph, each with its own set. A very long text is one set. An empty table gives no rows; extra
+    columns are left out.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(docs.mapInArrow(profile, PROFILE))
-    sets = seen.where("n_shingles > 0 and doc_id is not null")
-    first = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    owner = stored(sets.select("doc_id", "d1", "d2").join(first, ["d1", "d2"]).select("doc_id", "d1", "d2", "id"))
-    reps = sets.join(owner.where("doc_id = id").select("doc_id", "d1", "d2").distinct(), ["doc_id", "d1", "d2"])
-    reps = stored(reps.select(F.col("doc_id").alias("id"), "bands").dropDuplicates(["id"]))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    full = stored(docs.mapInArrow(profile, PROFILE))
+    sets = full.where("n_shingles > 0 and doc_id is not null")
+    classes = sets.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tid")).alias("first"), F.any_value("bands").alias("bands"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "first.*", "bands"))
+    seen = stored(full.drop("bands", "tid"))
+    dropped(full)
 
     def fetch(ids: DataFrame) -> DataFrame:
-        some = texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sketched, "id bigint, n bigint, sketch array<bigint>, map array<bigint>, text string")
-        return stored(some.where("text is not null").dropDuplicates(["id"]))
-
-    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("mine"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "mine", "other").mapInArrow(_verified, "a bigint, b bigint")
-
-    found = linked(reps, fetch, verify, BITS, PERCENT)
-    of = owner.select("doc_id", "id").distinct().join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    of = of.groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = seen.select("doc_id", "n_shingles").join(of, "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+        asked = classes.select("id", "doc_id", "tid").join(ids, "id")
+        return stored(docs.join(asked.hint("merge"), ["doc_id", "tid"]).select("id", "text").dropDuplicates(["id"]))
+
+    found = linked(classes.select("id", "bands"), fetch, shingle_sets, PERCENT, MAP)
+    of = stored(seen.where("n_shingles > 0 and doc_id is not null").select("doc_id", "d1", "d2").join(classes.select("id", "d1", "d2"), ["d1", "d2"]).select("doc_id", "id").distinct())
+    # A doc_id with several texts connects their classes.
+    several = of.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    joints = stored(of.join(several, "doc_id").where("id != a").select("a", F.col("id").alias("b")))
+    if not joints.isEmpty():
+        linked_too = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(joints)
+        before, found = found, components(linked_too)
+        dropped(before)
+    named = classes.select("id", "d1", "d2", "doc_id").join(found, "id", "left").select("d1", "d2", "doc_id", F.coalesce("component", "id").alias("component"))
+    low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    low = stored(named.join(low, "component").select("d1", "d2", "component_id"))
+    dropped(classes, of, joints, found)
+    out = seen.join(low, ["d1", "d2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -2,8 +2,9 @@
 
 A pattern is the one or two words right before an identifier. Seeds are the valid base spans. In each round a pattern's
 confidence is the score of its instances over their number, and an instance's score is the chance that at least
-one of its confident patterns is right; instances that seeds haven't named can so gain a score. Identifier-like
-strings in a confident pattern's slot become spans of the kind "ctx". Built-in functions only.
+one of its confident patterns is right; so instances that seeds haven't named gain a score, and count as support of further
+patterns in the next round, until no pattern is added. Identifier-like strings in a confident pattern's slot become spans of
+the kind "ctx". Built-in functions only.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ SHAPES = (
     "(?:(?<![0-9])|\\G)[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
     "[0-9](?:[\\x20-]?[0-9])++",
     "\\+[0-9][\\x20().0-9-]+[0-9]",
-    # candidates: runs of letters, digits, _ / - with five digits or more
-    "(?<![A-Za-z0-9_/-])(?:[A-Za-z_/-]*+[0-9]){5}[A-Za-z0-9_/-]*+",
+    # candidates: runs of letters, digits, _ / - with a digit, also several joined by single dots or blanks
+    "(?<![A-Za-z0-9_/.-])[A-Za-z_/-]*+[0-9][A-Za-z0-9_/-]*+(?:[.\\x20][A-Za-z_/-]*+[0-9][A-Za-z0-9_/-]*+)*+",
 )
+#: The least digits of a candidate.
+DIGITS = 5
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """Rounds of scoring; the least confidence of a pattern and the least number of seeds it must hold."""
+    """The most rounds of scoring; the least confidence of a pattern, and the least number of instances it must hold whose
+    own score reaches that confidence; code points before an instance in which its pattern is looked for."""
 
-    rounds: int = 3
+    rounds: int = 12
     confidence: float = 0.6
     seeds: int = 3
     reach: int = 60
@@ -50,7 +54,7 @@ def _valid(kind: Column, value: Column) -> Column:
         lambda acc, x: acc + F.when(x > 9, x - 9).otherwise(x),
     )
     card = n.between(12, 19) & F.when(n.between(12, 19), tens % 10 == 0).otherwise(False)
-    return F.when(kind == 1, ip).when(kind == 2, card).when(kind == 3, n.between(9, 15)).otherwise(F.lit(True))
+    return F.when(kind == 1, ip).when(kind == 2, card).when(kind == 3, n.between(9, 15)).when(kind == 4, n >= DIGITS).otherwise(F.lit(True))
 
 
 def _matches(k: int, rule: Bootstrap) -> Column:
@@ -92,15 +96,18 @@ def confident(spans: DataFrame, rule: Bootstrap = Bootstrap()) -> DataFrame:
     """The confident patterns, from the graph of distinct (pattern, instance) pairs, after the rounds of scoring."""
     edges = stored(spans.where("pattern != ''").groupBy("pattern", "value").agg(F.max(F.when(F.col("kind") < 4, 1.0).otherwise(0.0)).alias("seed")))
     seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    scored = seeds.select("value", F.col("seed").alias("score"))
+    scored, found = seeds.select("value", F.col("seed").alias("score")), -1
     for _ in range(rule.rounds):
         each = edges.join(scored, "value")
         patterns = stored(
             each.groupBy("pattern")
-            .agg(F.sum("score").alias("mass"), F.count("*").alias("n"), F.sum("seed").alias("seeds"))
-            .select("pattern", "seeds", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
-            .where(f"seeds >= {rule.seeds} and confidence >= {rule.confidence}")
+            .agg(F.sum("score").alias("mass"), F.count("*").alias("n"), F.count(F.when(F.col("score") >= rule.confidence, True)).alias("support"))
+            .select("pattern", "support", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
+            .where(f"support >= {rule.seeds} and confidence >= {rule.confidence}")
         )
+        before, found = found, patterns.count()
+        if found == before:
+            break
         gained = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("confidence"))))).alias("gain"))
         scored = seeds.join(gained, "value", "left").select("value", F.greatest("seed", F.coalesce("gain", F.lit(0.0))).alias("score"))
     return patterns
@@ -109,8 +116,9 @@ def confident(spans: DataFrame, rule: Bootstrap = Bootstrap()) -> DataFrame:
 def pii(docs: DataFrame, rule: Bootstrap = Bootstrap()) -> DataFrame:
     """doc_id and found, array<struct<start, kind, end>> in order, for every row of docs; kind by KINDS.
 
-    Null text counts as empty. Rows of equal doc_id and text, a null doc_id included, get the same result; an empty
-    table gives no rows; extra columns are left out.
+    Null text counts as empty. Spans of different kinds that start together are ordered by kind. Rows of equal doc_id and
+    text, a null doc_id included, get the same result; a very long text is one row of matches; an empty table gives no
+    rows; extra columns are left out.
     """
     spans = stored(occurrences(docs, rule))
     patterns = confident(spans, rule)

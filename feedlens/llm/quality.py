@@ -45,7 +45,7 @@ RULES = (
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every input column plus the counts that rules name; built-in functions alone, nothing shuffled.
 
-    Null text counts as empty (all counts 0). A window's identity is a 64-bit hash of its three words within
+    Null text counts as empty (all counts 0). Input columns must not be named as the counts: passing() takes any. A window's identity is a 64-bit hash of its three words within
     one document; only documents that hold a repeated window sort their windows.
     """
     keep = [F.col(f"`{c}`") for c in docs.columns]
@@ -113,10 +113,17 @@ def accepted(rules: tuple[Rule, ...] = RULES) -> Column:
     return ~F.expr(BASE_FAILED) & (F.size(verdict(rules)) == 0)
 
 
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs that pass, with all their columns, whatever these are called."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return measured(rows).where(accepted(rules)).select("row.*")
+
+
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Document id, the counts, base_failed, the broken rules and kept.
 
-    Repeated rows each get a row; an empty table gives none; extra columns don't reach the result.
+    Null and empty texts have no words and fail; a very long text is one row like any other; repeated rows, a null doc_id
+    included, each get a row; an empty table gives none; extra columns, whatever their names, don't reach the result.
     """
     if text != "text":
         docs = docs.select("doc_id", F.col(f"`{text}`").alias("text"))

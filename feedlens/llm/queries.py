@@ -120,7 +120,7 @@ QUERIES["op6_line_dedup"] = op6_line_dedup
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     shares = [F.round(F.get("p", F.lit(k)), 6).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
-    return out.select("doc_id", "n_words", *shares, F.round("rate", 6).alias("rate"))
+    return out.select("doc_id", "n_words", *shares, F.round("rate", 6).alias("rate"), F.round("residual", 6).alias("residual"))
 
 
 QUERIES["op5_mixing"] = op5_mixing

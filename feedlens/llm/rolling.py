@@ -148,7 +148,7 @@ def spread(x: np.ndarray) -> np.ndarray:
     return (mixed(x) >> np.uint64(32)).astype(np.uint32)
 
 
-BLOCK = 200_000
+BLOCK = 150_000
 
 
 def circulant_minhash(shingles: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray:
@@ -187,9 +187,22 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """A bit of each coordinate, packed into 64-bit numbers (b-bit minwise hashing with b = 1)."""
-    return np.packbits(((signature >> np.uint32(8)) & np.uint32(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
+def minhash(points: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarray:
+    """MinHash: one row of coordinates for each non-empty set of well-mixed 32-bit numbers. Coordinate k is the least value
+    of its own permutation of them, the product with an odd number modulo 2**32. starts: where each set begins."""
+    out = np.empty((len(starts), coordinates), np.uint32)
+    odd = (mixed(np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(_BASE)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    ends = np.append(starts[1:], len(points))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, "right")))
+        at = points[starts[first] : ends[last - 1]]
+        inner, x = starts[first:last] - starts[first], np.empty_like(at)
+        for k in range(coordinates):
+            np.multiply(at, odd[k], out=x)
+            out[first:last, k] = np.minimum.reduceat(x, inner)
+        first = last
+    return out
 
 
 def bitmap(shingles: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
@@ -207,6 +220,18 @@ def bitmap(shingles: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def distinct_of_each(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each range first[k] : first[k + 1], sorted within it, and where each begins; sorts in place."""
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[first[:-1][first[1:] > first[:-1]]] = True
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(new, out=total[1:])
+    return values[new], total[first]
+
+
 def list_array(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
     """array<bigint> rows of the given lengths."""
     offset = np.zeros(len(lengths) + 1, np.int32)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
+DIGIT, LETTER, CASES = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]"), re.compile(rb"[a-z][A-Z]")
 #: Words that make a context sensitive, and identifiers that code commonly holds.
 SENSITIVE = re.compile(rb"pass(?:word|wd|phrase)|secret|token|api.?key|credential|private.?key|access.?key|bearer|authorization|signature|client.?id", re.IGNORECASE)
 IDENTIFIERS = (
@@ -31,10 +33,12 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Novelty:
-    """A candidate is novel if it adds at least percent / 100 of its length to the compressed context before it."""
+    """A candidate is novel if it adds at least percent / 100 of its length to the compressed context before it; strict for
+    one without a digit or without a letter. reach: bytes between it and a sensitive word on either side."""
 
     reach: int = 64
     percent: int = 70
+    strict: int = 85
     level: int = 19
 
 
@@ -46,9 +50,9 @@ class Meter:
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.size = lambda x, c=zstandard.ZstdCompressor(level=rule.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False): len(c.compress(x))
 
-    def novel(self, data: bytes, start: int, end: int) -> bool:
+    def novel(self, data: bytes, start: int, end: int, percent: int) -> bool:
         around = data[max(0, start - self.rule.reach) : start] + b"\n" + data[end : end + self.rule.reach] + b"\n"
-        return 100 * (self.size(around + data[start:end]) - self.size(around)) >= self.rule.percent * (end - start)
+        return 100 * (self.size(around + data[start:end]) - self.size(around)) >= percent * (end - start)
 
 
 def spans_of(data: bytes, meter: Meter) -> list[tuple[int, int, int]]:
@@ -56,19 +60,34 @@ def spans_of(data: bytes, meter: Meter) -> list[tuple[int, int, int]]:
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(data) if len(m[2]) >= 12]
     found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(data) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(data)]
+    words = [m.span() for m in SENSITIVE.finditer(data)]
+    if not words:
+        return found
+    rule, more, chained = meter.rule, [], -1
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     taken = sorted(found)
-    reach, more = meter.rule.reach, []
-    until = 0
-    for m in SENSITIVE.finditer(data):
-        for c in CANDIDATE.finditer(data, max(until, m.end()), min(len(data), m.end() + reach)):
-            a, b = c.span()
-            if b == m.end() + reach:  # the window's edge must not cut a candidate
-                b = CANDIDATE.match(data, a).end()
-            until = max(until, b)
-            x = data[a:b]
-            mixed = any(48 <= y <= 57 for y in x) and any(y >= 65 for y in x)
-            if mixed and not any(s < b and a < e for s, e, _ in taken) and meter.novel(data, a, b):
-                more.append((a, b, 3))
+    begun, reached = [a for a, _, _ in taken], []
+    for _, b, _ in taken:
+        reached.append(max(b, reached[-1]) if reached else b)
+    for m in CANDIDATE.finditer(data):
+        a, b = m.span()
+        k = bisect_right(ends, a) - 1
+        before = k >= 0 and a - ends[k] <= rule.reach
+        k = bisect_left(starts, b)
+        after = k < len(starts) and starts[k] - b <= rule.reach
+        # What follows a novel string at once, as the lines of a key do, is of its context.
+        if not (before or after or 0 <= a - chained <= 2):
+            continue
+        k = bisect_left(begun, b) - 1
+        if k >= 0 and reached[k] > a:
+            continue
+        x = m[0]
+        digit, letter = DIGIT.search(x), LETTER.search(x)
+        if not (digit and letter) and not CASES.search(x):
+            continue
+        if meter.novel(data, a, b, rule.percent if digit and letter else rule.strict):
+            more.append((a, b, 3))
+            chained = b
     return found + more
 
 
@@ -95,8 +114,11 @@ def _scan(rule: Novelty):  # noqa: ANN202
 def secret_spans(docs: DataFrame, rule: Novelty = Novelty()) -> DataFrame:
     """doc_id and found, array<struct<start, end, kind>> by start and kind (numbers of KINDS), in code points.
 
-    Null and empty texts hold nothing. Repeated rows each get a row; an empty table gives none; extra columns are
-    left out. Only strings in a sensitive context are compressed, each with a bounded context.
+    Null and empty texts hold nothing. Base spans of different kinds may overlap and are all kept, ordered by start and
+    kind; novel spans overlap none. Repeated rows, a null doc_id included, each get a row; a very long text is scanned in
+    one pass; an empty table gives none; extra columns are left out. Only strings in a sensitive context (a sensitive word
+    within reach on either side, or a novel string right before) are compressed, each with a bounded context; those without
+    a digit only if lower case turns upper inside.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(rule), "doc_id bigint, found array<struct<start:bigint,end:bigint,kind:int>>")

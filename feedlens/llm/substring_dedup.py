@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm import rolling
-from feedlens.llm.common import stored
+from feedlens.llm.common import dropped, stored
 
 WINDOW = 50
 GRAM = 20
@@ -106,8 +106,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     """doc_id, n_words, n_removed and kept_sha256 of each document; with texts also kept_text, null where nothing goes.
 
     A word goes if a window that covers it also starts in a document of a smaller doc_id; all windows are judged on
-    the input. Null text has no words. A null doc_id neither removes nor loses anything. Repeated rows each get a
-    row with the same result; an empty table gives none; extra columns are left out.
+    the input. Null and empty texts have no words. A null doc_id neither removes nor loses anything. Repeated rows each get
+    a row with the same result, and rows of one doc_id don't remove each other's words; a very long text is one row of
+    windows; an empty table gives no rows; extra columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tid"), F.col("text").cast("string").alias("text"))
     seen = stored(docs.mapInArrow(_profile(window, gram), "doc_id bigint, tid bigint, n_words bigint, kept_sha256 string, anchors array<bigint>"))
@@ -116,7 +117,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     copies = long.select("doc_id", "tid", "kept_sha256").join(first.where("low < high"), "kept_sha256").where("doc_id > low").select("doc_id", "tid", F.lit(True).alias("copy")).distinct()
     copies = stored(copies)
     anchors = long.join(copies, ["doc_id", "tid"], "left_anti").select("doc_id", "tid", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    # Stored, so that Spark may split the join that follows where an anchor is hot: it doesn't where a join shares its shuffle
+    # with a count.
+    shared = stored(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
     named = anchors.join(shared, "anchor").groupBy("doc_id", "tid").agg(F.collect_set("anchor").alias("anchors"))
     some = stored(docs.where("doc_id is not null").join(named, ["doc_id", "tid"]).select("doc_id", "tid", "text", "anchors"))
     runs = stored(some.mapInArrow(_runs(window, gram), "doc_id bigint, tid bigint, anchor bigint, digest bigint, pos bigint, n bigint, hashes array<bigint>"))
@@ -128,15 +131,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     several = same.groupBy("anchor").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.min("low").alias("c"), F.max("low").alias("d")).where("a != b and c != d").select("anchor")
     firsts = runs.join(same.join(several, "anchor").select("anchor", "digest", F.col("low").alias("doc_id")), ["anchor", "digest", "doc_id"])
     singles = stored(firsts.select("anchor", "doc_id", "tid", "pos", F.posexplode("hashes").alias("k", "hash")))
-    counted = singles.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    counted = stored(singles.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
     later = singles.join(counted, ["anchor", "hash"]).where("doc_id > low").select("doc_id", "tid", (F.col("pos") + F.col("k")).alias("pos"))
     spans = repeats.unionByName(later.select("doc_id", "tid", "pos", (F.col("pos") + window).alias("stop")))
-    spans = spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "stop")).alias("spans"))
+    spans = stored(spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "stop")).alias("spans")))
+    sizes = stored(seen.drop("anchors"))
+    dropped(seen, shared, runs, same, singles, counted)
     cut = some.join(spans, ["doc_id", "tid"]).select("doc_id", "tid", "text", "spans")
     cut = cut.mapInArrow(_cut, "doc_id bigint, tid bigint, n_removed bigint, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "tid"])
     if not texts:
         cut = cut.drop("kept_text")
-    out = seen.drop("anchors").join(cut.withColumnRenamed("kept_sha256", "left_sha256"), ["doc_id", "tid"], "left").join(copies, ["doc_id", "tid"], "left")
+    out = sizes.join(cut.withColumnRenamed("kept_sha256", "left_sha256"), ["doc_id", "tid"], "left").join(copies, ["doc_id", "tid"], "left")
     nothing = F.sha2(F.lit(""), 256)
     return out.select(
         "doc_id",

@@ -67,6 +67,16 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert kinds[0] == [0] and kinds[6] == [4] and kinds[99] == []
 
 
+def test_pii_patterns_spread_over_several_hops(spark):
+    """Mail addresses make "contact" a pattern, staff numbers behind it make "badge" one, and so another number is found."""
+    said = [f"please contact user{i}@mail.org now" for i in range(30)] + [f"please contact ST-{i}-77120 now" for i in range(6)]
+    said += [f"use badge ST-{i}-77120 here" for i in range(6)] + ["use badge DE89 3704 0044 0532 01 here", "see page 1234567 there"]
+    out = by_id(pii.pii(spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")))
+    kinds = {d: [s["kind"] for s in r[0]] for d, r in out.items()}
+    assert kinds[36] == [4] and kinds[42] == [4] and kinds[43] == []
+    assert said[42][out[42][0][0]["start"] : out[42][0][0]["end"]] == "DE89 3704 0044 0532 01"
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame(list(ITEMS.items()), "item_id bigint, text string")
     assert by_id(decontaminate.report(decontaminate.contamination(docs, bench))) == brute.contaminated(DOCS, ITEMS)
@@ -76,7 +86,7 @@ def test_decontamination(spark, docs, empty):
 
 
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 8)
     bench = spark.createDataFrame(list(ITEMS.items()), "item_id bigint, text string")
     found = decontaminate.contamination(docs, bench)
     assert by_id(decontaminate.report(found)) == brute.contaminated(DOCS, ITEMS)
@@ -85,6 +95,19 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert [p.lower() for p in places] == [brute.bench_words(DOCS[row.doc_id])[k].lower() for k in row.words]
 
 
+def test_decontamination_with_numbers_beyond_one_character(spark, docs, monkeypatch):
+    """More words than single characters: word numbers of two characters give the same result; null ids hit words."""
+    monkeypatch.setattr(decontaminate, "SINGLE", 3)
+    decontaminate.automaton.cache_clear()
+    tree = decontaminate.Automaton(tuple((k, t) for k, t in ITEMS.items() if t))
+    plain = {d: {w for a, b, _ in tree.matches(decontaminate.normal_words(t)) for w in range(a, b)} for d, t in DOCS.items()}
+    assert {d: len(h) for d, h in plain.items()} == {d: r[1] for d, r in brute.contaminated(DOCS, ITEMS).items()}
+    monkeypatch.undo()
+    assert len({decontaminate._symbol(k) for k in range(0, 3_000_000, 7)}) == len(range(0, 3_000_000, 7))
+    none = decontaminate.report(decontaminate.contamination(docs, spark.createDataFrame([(None, ITEMS[1])], "item_id bigint, text string")))
+    assert none.where("n_hit > 0").count() > 0 and none.where("n_items > 0").count() == 0
+
+
 def test_secrets(docs, empty):
     found = by_id(secrets.digests(secrets.secret_spans(docs)))
     assert {d: r[:4] for d, r in found.items()} == {d: brute.secrets(t) for d, t in DOCS.items()}
@@ -99,6 +122,14 @@ def test_secret_novelty_leaves_plain_identifiers(spark):
     assert [out[k][5] for k in (1, 2, 3)] == [0, 1, 0]
 
 
+def test_secret_novelty_on_both_sides_and_over_lines(spark):
+    key = "MIIEpQx7LmZ2vT9kQw3\nYb8RnC4hJdF6sUaGe1X\nPo5iWtKzNv0HyMr2B7q"
+    rows = [(1, "Qz8xW2vN5mK1pR7tY4uJ is the access key"), (2, "private key\n" + key + "\nend"), (3, "bearer qZxWvNmKpRtYuJbGhLsD end"), (4, "secret documentation internationalisation")]
+    rows.append((5, "token " + " ".join(f"{k:032x}" for k in range(2**70, 2**70 + 3000))))
+    out = by_id(secrets.digests(secrets.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))))
+    assert [out[k][5] for k in (1, 2, 3, 4)] == [1, 3, 1, 0] and out[5][2] == 3000
+
+
 def test_substring_dedup(docs, empty):
     assert by_id(substring_dedup.substring_dedup(docs)) == brute.repeats(DOCS)
     assert substring_dedup.substring_dedup(empty).count() == 0
@@ -204,7 +235,7 @@ def test_mixing(spark, sf_dir, empty):
     out = mixing.mixed(docs, labels)
     assert out.count() == docs.count() and out.where("rate < 0").count() == 0
     seen = out.join(labels, "doc_id").groupBy("toxic").agg(F.avg("rate").alias("r")).orderBy("toxic").collect()
-    assert seen[0].r > 0.9 and seen[1].r < 0.2
+    assert seen[0].r > 0.8 and seen[1].r < 0.35
     assert mixing.mixed(empty, labels).count() == 0
     alike = mixing.mixed(docs, labels.where("false"))
     assert alike.where("rate < 0").count() == 0
@@ -217,28 +248,38 @@ def test_mixing_reaches_targets(spark):
     whole = sum(n for _, n, _ in rows)
     weights = tuple(sum(n * q[i] * (0.5 if k % 3 else 1.2) for k, n, q in rows) / whole for i in range(3))
     scored = common.stored(spark.createDataFrame(rows, "doc_id bigint, n_words bigint, p array<double>"))
-    out, target, now = mixing.rates(scored, mixing.Mix(weights=weights, ridge=0.0, steps=60, settled=1e-9))
-    assert all(abs(a - b) < 0.01 * whole for a, b in zip(target, now, strict=True))
+    out, target, now = mixing.rates(scored, mixing.Mix(weights=weights))
+    assert all(abs(a - b) < 1e-4 * whole for a, b in zip(target, now, strict=True))
     seen = {r.g: r.x for r in out.groupBy((F.col("doc_id") % 3 > 0).alias("g")).agg(F.avg("rate").alias("x")).collect()}
     assert abs(seen[True] - 0.5) < 0.05 and abs(seen[False] - 1.2) < 0.05
     assert out.where("rate < 0").count() == 0
 
 
 def test_mixing_settles_with_the_production_values(spark):
-    """Explicit targets for every domain over overlapping posteriors: the rates are those of the minimum."""
+    """Explicit targets for every domain over overlapping posteriors, against the same steps on the whole table in numpy:
+    feasible targets are met, others as nearly as the squares allow."""
     rng = np.random.default_rng(5)
     score = rng.normal(0, 1.5, (3000, 3)) + [-2.0, 1.5, 0.0]
     p, n = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True), rng.integers(20, 900, 3000)
     scored = common.stored(spark.createDataFrame([(k, int(n[k]), p[k].tolist()) for k in range(3000)], "doc_id bigint, n_words bigint, p array<double>"))
-    mass = n @ p
-    for weights in ((0.0, None, None), (0.0, 0.2, 0.8), (0.05, 0.35, 0.6)):
-        mix = mixing.Mix(weights=weights)
-        out, target, now = mixing.rates(scored, mix)
+    inverse = np.linalg.inv((p * n[:, None]).T @ p)
+    for weights, feasible in (((0.0, None, None), False), ((0.05, 0.35, 0.6), True), ((0.06, 0.6, 0.34), True)):
+        out, target, now = mixing.rates(scored, mixing.Mix(weights=weights))
         x = np.array([r.rate for r in out.orderBy("doc_id").collect()])
-        assert np.allclose(n * x @ p, now, rtol=1e-6)
-        slope = p @ ((np.array(now) - target) / mass) + mix.ridge * (x - 1)
-        assert np.abs(np.where(x > 0, slope, np.minimum(slope, 0))).max() < 1e-4
-    assert np.abs(np.array(now) - target).max() < 0.01 * n.sum()
+        assert np.allclose(n * x @ p, now, rtol=1e-6) and (x >= 0).all()
+        best = np.ones(3000)
+        for _ in range(3000):
+            best = np.maximum(0, best - p @ (inverse @ (n * best @ p - target)))
+        cost = lambda t: float((t - target) @ inverse @ (t - target))
+        assert cost(np.array(now)) - cost(n * best @ p) <= 0.02 * cost(n @ p)  # of the distance at rates of 1
+        assert not feasible or np.abs(np.array(now) - target).max() < 1e-4 * n.sum()
+
+
+def test_mixing_of_the_corpus_meets_its_targets(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = mixing.mixed(docs, labels)
+    got = out.agg(F.max("residual").alias("r"), F.sum("n_words").alias("n"), *[F.expr(f"sum(n_words * rate * p[{k}])").alias(f"t{k}") for k in range(3)]).first()
+    assert got.r < 0.01 and all(abs(got[f"t{k}"] / got.n - w) < 0.01 for k, w in enumerate(mixing.Mix().weights))
 
 
 def test_held_out_accuracy(spark):
@@ -282,6 +323,7 @@ def test_pipeline(spark, sf_dir):
     e = stages["mixing"](spark, d, sf_dir)
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     left = set(texts(e))
+    assert e.where("rate <= 0 or rate is null").count() == 0
     clean = [k for k in texts(d) if k in labels and not labels[k].toxic]
     assert len([k for k in clean if k in left]) >= 0.95 * len(clean)
 
@@ -294,3 +336,17 @@ def test_pipeline_near_dedup_of_null_and_repeated_ids(spark, sf_dir):
     out = sorted((tuple(r) for r in cp.near_duplicates(spark, docs, sf_dir).select("doc_id", "text").collect()), key=str)
     left = [(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (3, "other words of this one row"), (3, "and a second text of it"), (4, None)]
     assert out == sorted(left, key=str)
+
+
+def test_pipeline_stages_keep_any_columns(spark, sf_dir):
+    """Columns named as the operators' own come back as they were; nulls, long texts, repeated rows and empty tables pass."""
+    import corpus_pipeline as cp
+
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "word " * 30000, "en", "s", 1)], plain.schema)
+    docs = plain.unionByName(odd).unionByName(odd).select("*", *[F.lit(f"{c} x").alias(c) for c in ("n_words", "words", "n_lines", "p", "kept_text", "row", "items", "id")])
+    for name, stage in cp.STAGES:
+        out = common.stored(stage(spark, docs, sf_dir))
+        assert out.columns == docs.columns + ["rate"] * (name == "mixing")
+        assert out.where("n_words != 'n_words x' or words != 'words x' or n_lines != 'n_lines x' or row != 'row x'").count() == 0 and out.count() > 0
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
