@@ -1,7 +1,7 @@
 """Similarity links over MinHash bands without emitting the pairs of a bucket.
 
-Round one compares each member of a bucket with the bucket's smallest id (a star), in larger buckets with its greatest
-too, so a group of n near copies costs about n comparisons. Verified links give components. Round two takes the buckets
+Round one compares each member of a bucket with the bucket's smallest id (a star), in larger buckets with three more
+centers, so a group of n near copies costs about n comparisons. Verified links give components. Round two takes the buckets
 whose members still lie in several components and meets only their outsiders, those beyond the component of the
 smallest id, with the members of other components. A pair goes on if its sizes and bitmaps leave room for the similarity,
 a bound that is exact: no link is lost, and members already connected cost nothing. Outsiders are dealt over blocks, so that no
@@ -28,7 +28,7 @@ from feedlens.llm.common import components, dropped, stored
 Sets = Callable[[rolling.Slice], tuple[np.ndarray, np.ndarray]]
 #: Partners of a text in one block of comparisons.
 BLOCK = 256
-#: Members of a bucket from which on its greatest id is a second center; its square is a block of round two.
+#: Members of a bucket from which on it has more centers; its square is a block of round two.
 LARGE = 32
 
 
@@ -103,7 +103,13 @@ def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: S
     crowded = stored(pairs.unionByName(keys.join(shared.where("size > 2"), "key").select("key", "id", "center", "last", "size")))
     texts = fetch(crowded.select("id").distinct())
     star = crowded.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b"), "size")
-    star = star.unionByName(crowded.where(f"size > {LARGE} and id not in (center, last)").select(F.col("last").alias("a"), F.col("id").alias("b"), "size"))
+    # In large buckets the ends by two other orders are centers too: what one center misses another finds, and what none
+    # does is an outsider of round two.
+    large = crowded.where(f"size > {LARGE}")
+    ends = stored(large.groupBy("key").agg(F.array_distinct(F.array(F.max("id"), *[f("id", F.xxhash64("id")) for f in (F.min_by, F.max_by)])).alias("ends")))
+    more = large.join(ends, "key").select("id", "center", "size", F.explode("ends").alias("a")).where("a not in (id, center)")
+    star = star.unionByName(more.select("a", F.col("id").alias("b"), "size"))
+    star = star.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b", "size").groupBy("low", "high").agg(F.max(F.struct("size", "a", "b")).alias("x")).select("x.a", "x.b", "x.size")
     near = stored(verified(star.groupBy("a", "b").agg(F.max("size").alias("degree")), texts, sets, percent))
     found = components(near)
     at = stored(crowded.join(found, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component")))
@@ -111,7 +117,7 @@ def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: S
     opened = at.join(spread, "key")
     facts = stored(texts.join(opened.select("id").distinct(), "id").select("id", "text").mapInArrow(_measured(sets, bits), "id bigint, n bigint, map array<bigint>"))
     rest = stored(opened.join(facts, "id").withColumn("blocks", F.ceil(F.col("size") / LARGE**2)))
-    dropped(shared, crowded, near, at, spread, facts)
+    dropped(shared, crowded, ends, near, at, spread, facts)
     x = rest.where("component != low").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).alias("x")
     y = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     met = x.join(y, F.expr(f"x.key = y.key and x.block = y.block and x.component != y.component and (y.component = y.low or x.id < y.id) and {_bounded(percent)}"))
