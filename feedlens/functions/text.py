@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from datetime import date, timedelta
 from urllib.parse import urljoin
@@ -18,6 +19,7 @@ STOP_WORDS = (
     "the", "and", "for", "with", "that", "from", "this", "have", "your", "into", "about", "after", "their", "they",
     "will", "would", "said", "over", "more", "than", "been", "also", "amid", "under", "news", "alert",
 )
+#: Query parameters that a canonical address drops.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ved")
 
 
@@ -125,7 +127,10 @@ def has_term(lowered: Column, term: str, flexible: bool = False) -> Column:
     if not t:
         return F.lit(False)
     if flexible or all(c.isascii() and (c.isalnum() or c in " -\t") for c in t):
-        return F.coalesce(lowered.rlike(term_pattern(t, flexible)), F.lit(False))
+        # A plain substring test first: the pattern is only tried where the term's first word occurs.
+        first = re.match("[a-z0-9]+", t)
+        said = lowered.rlike(term_pattern(t, flexible))
+        return F.coalesce(F.contains(lowered, F.lit(first[0])) & said if first else said, F.lit(False))
     return F.coalesce(F.contains(lowered, F.lit(t)), F.lit(False))
 
 

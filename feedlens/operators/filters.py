@@ -106,8 +106,8 @@ def source_health() -> Column:
 
 
 def resolve_feed(feeds: DataFrame, wanted: str) -> DataFrame:
-    """The first feed, by creation, that the text names by id, address, domain or name."""
+    """The feed created last (ties by id) that the text names by id, address, domain or name."""
     key = wanted.strip().lower()
     host = F.regexp_extract(F.lower("rssUrl"), "^[a-z]+://(?:www\\.)?([^/?#:]+)", 1)
     bare = F.regexp_replace(F.lower("rssUrl"), "/+$", "")
-    return feeds.where((F.lower("id") == key) | (bare == key.rstrip("/")) | (host == key.removeprefix("www.")) | (F.lower("name") == key)).orderBy(F.desc("id")).limit(1)
+    return feeds.where((F.lower("id") == key) | (bare == key.rstrip("/")) | (host == key.removeprefix("www.")) | (F.lower("name") == key)).orderBy(F.desc("createdAt"), "id").limit(1)

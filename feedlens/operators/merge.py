@@ -122,14 +122,17 @@ def seed_actions(current: DataFrame, desired: DataFrame, key: str, retired: Data
 
 
 def import_outcomes(rows: DataFrame, existing: DataFrame, key: str, order: str, valid: Column, most: int) -> DataFrame:
-    """Each row with its outcome: invalid, a duplicate of a stored or earlier row, over the cap, or added."""
+    """Each row with its outcome: invalid, a duplicate of a stored or earlier row, over the cap, or added; order is unique."""
     stored = existing.select(key, F.lit(True).alias("_s")).distinct()
     checked = rows.withColumn("_v", valid).join(stored, key, "left")
     same = Window.partitionBy("_v", key).orderBy(order)
     ranked = checked.withColumn("_n", F.row_number().over(same))
     fresh = F.col("_v") & F.col("_s").isNull() & (F.col("_n") == 1)
-    counted = ranked.withColumn("_a", fresh.cast("int")).withColumn("_c", F.sum("_a").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    outcome = F.when(~F.col("_v"), "invalid").when(F.col("_s").isNotNull(), "duplicate_of_stored").when(F.col("_n") > 1, "duplicate_in_batch").when(F.col("_c") > most, "over_cap").otherwise("added")
+    # The cap is a top-k: its last row's place tells which rows come after it, without a running sum over all rows.
+    last = ranked.where(fresh).orderBy(order).limit(most).agg(F.max(order).alias("_last"), (F.count("*") >= most).alias("_full"))
+    counted = ranked.crossJoin(F.broadcast(last))
+    beyond = F.col("_full") & F.coalesce(F.col(order) > F.col("_last"), F.lit(True))
+    outcome = F.when(~F.col("_v"), "invalid").when(F.col("_s").isNotNull(), "duplicate_of_stored").when(F.col("_n") > 1, "duplicate_in_batch").when(beyond, "over_cap").otherwise("added")
     return counted.select(order, key, outcome.alias("outcome"))
 
 

@@ -29,11 +29,29 @@ def page(articles: DataFrame, number: int = 1, size: int = 200, most: int = 200)
 
 
 def candidates(articles: DataFrame, most: int) -> DataFrame:
-    """The newest `most` candidates, deduped; truncated tells whether there were more."""
-    head = articles.orderBy(*newest_first()).limit(most + 1)
-    ranked = head.withColumn("_r", F.row_number().over(Window.orderBy(*newest_first())))
-    over = head.agg((F.count("*") > most).alias("truncated"))
-    return dedupe_canonical(ranked.where(F.col("_r") <= most).drop("_r")).crossJoin(F.broadcast(over))
+    """The newest `most` candidates, deduped; truncated tells whether the limit was reached."""
+    head = articles.orderBy(*newest_first()).limit(most)
+    over = head.agg((F.count("*") >= most).alias("truncated"))
+    return dedupe_canonical(head).crossJoin(F.broadcast(over))
+
+
+def canonical_page(articles: DataFrame, matches: Column, number: int = 1, size: int = 200, most: int = 1500) -> DataFrame:
+    """The article API's page: filter, order, candidate limit, dedupe, then the page; with total (of the deduped) and
+    truncated. The filter comes first, so a match isn't lost to a newer twin that doesn't match, and it reaches the scan."""
+    found = candidates(articles.where(matches), most)
+    total = found.agg(F.count("*").alias("total"))
+    return page(found.crossJoin(F.broadcast(total)), number, size)
+
+
+def numbered(rows: DataFrame, part: Column, *order: str) -> DataFrame:
+    """rows with pos, their number from 1 in an order that `part` doesn't break (a day of a leading timestamp, say): numbers
+    within each part plus the counts of the parts before, so that only one row a part meets in one task. Rows of a null
+    part are left out."""
+    dealt = rows.withColumn("_part", part)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(before, "_part").withColumn("pos", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def composite(components: list[DataFrame]) -> DataFrame:

@@ -62,7 +62,7 @@ def flt12(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "feeds").where("isActive and lastStatus = 'success' and sourceType in ('rss')").select("id", "name")
 
 
-@query("FLT13_resolve_feed", with_roles("SELECT id, rssUrl FROM feeds WHERE lower(regexp_extract(rssUrl, '^[a-z]+://([^/]+)', 1)) = 'src12.example.com' ORDER BY id DESC LIMIT 1", "feeds"))
+@query("FLT13_resolve_feed", with_roles("SELECT id, rssUrl FROM feeds WHERE lower(regexp_extract(rssUrl, '^[a-z]+://([^/]+)', 1)) = 'src12.example.com' ORDER BY createdAt DESC, id LIMIT 1", "feeds"))
 def flt13(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_feed(role(spark, sf, "feeds"), " SRC12.example.com ").select("id", "rssUrl")
 
@@ -118,10 +118,15 @@ NEWEST = "pubDate DESC, createdAt DESC, id ASC"
 DEDUPED = f"SELECT * FROM (SELECT *, {KEY} AS canonicalKey, row_number() OVER (PARTITION BY {KEY} ORDER BY {NEWEST}) AS r FROM articles) WHERE r = 1"
 
 
-@query("FLAGSHIP_canonical_page", with_roles(f"SELECT id, title, canonicalKey, CAST(pubDate AS VARCHAR) AS pub FROM ({DEDUPED}) WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(contentSnippet, '')), 'e') ORDER BY {NEWEST} LIMIT 200", "articles"))
+_MATCHING = "SELECT * FROM articles WHERE contains(lower(coalesce(title, '')), 'de') OR contains(lower(coalesce(contentSnippet, '')), 'de')"
+_CANDIDATES = f"SELECT *, count(*) OVER () >= 1500 AS truncated FROM ({_MATCHING} ORDER BY {NEWEST} LIMIT 1500)"
+_RANKED = f"SELECT *, {KEY} AS canonicalKey, row_number() OVER (PARTITION BY {KEY} ORDER BY {NEWEST}) AS r FROM ({_CANDIDATES})"
+
+
+@query("FLAGSHIP_canonical_page", with_roles(f"SELECT id, title, canonicalKey, CAST(pubDate AS VARCHAR) AS pub, count(*) OVER () AS total, truncated FROM ({_RANKED}) WHERE r = 1 ORDER BY {NEWEST} LIMIT 200", "articles"))
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    rows = paging.dedupe_canonical(role(spark, sf, "articles")).where(search_predicate("e", ("title", "contentSnippet")))
-    return paging.page(rows, 1, 200).select("id", "title", "canonicalKey", F.col("pubDate").cast("string").alias("pub"))
+    rows = paging.canonical_page(role(spark, sf, "articles"), search_predicate("de", ("title", "contentSnippet")), 1, 200)
+    return rows.select("id", "title", "canonicalKey", F.col("pubDate").cast("string").alias("pub"), "total", "truncated")
 
 
 @query("WIN1_canonical_dedupe", with_roles(f"SELECT id, canonicalKey FROM ({DEDUPED})", "articles"))
@@ -132,7 +137,7 @@ def win1(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "WIN2_candidates",
     with_roles(
-        f"SELECT id, (SELECT count(*) > 150 FROM articles) AS truncated FROM (SELECT id, row_number() OVER (PARTITION BY {KEY} ORDER BY {NEWEST}) AS r FROM (SELECT * FROM articles ORDER BY {NEWEST} LIMIT 150)) WHERE r = 1",
+        f"SELECT id, (SELECT count(*) >= 150 FROM articles) AS truncated FROM (SELECT id, row_number() OVER (PARTITION BY {KEY} ORDER BY {NEWEST}) AS r FROM (SELECT * FROM articles ORDER BY {NEWEST} LIMIT 150)) WHERE r = 1",
         "articles",
     ),
 )
@@ -210,10 +215,10 @@ def set1(spark: SparkSession, sf: str) -> DataFrame:
     return paging.composite([a.where("topic = 'Banknotes'"), a.where(holds(F.col("title"), "de")), a.where(holds(F.col("title"), "on"))]).select("id", "component")
 
 
-@query("SET2_append_page", with_roles("SELECT id FROM articles WHERE n < 120", "articles"))
+@query("SET2_append_page", with_roles("SELECT id FROM articles", "articles"))
 def set2(spark: SparkSession, sf: str) -> DataFrame:
     a = role(spark, sf, "articles")
-    return paging.append_page(a.where("n < 80"), a.where("n >= 40 and n < 120")).select("id")
+    return paging.append_page(a.where("n % 3 < 2"), a.where("n % 3 > 0")).select("id")
 
 
 @query("SET3_pool_merge", with_roles("SELECT key, min(n) AS n FROM (SELECT CASE WHEN coalesce(canonicalLink, '') <> '' THEN 'canonical:' || canonicalLink ELSE 'id:' || id END AS key, n FROM articles) GROUP BY key", "articles"))
@@ -275,7 +280,8 @@ def prj3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("PRJ4_feedback_export", with_roles("SELECT articleId, reason, 'exclude' AS expectedAction, row_number() OVER (ORDER BY createdAt, articleId, clientId) AS pos FROM feedback", "feedback"))
 def prj4(spark: SparkSession, sf: str) -> DataFrame:
-    return role(spark, sf, "feedback").select("articleId", "reason", F.lit("exclude").alias("expectedAction"), F.row_number().over(Window.orderBy("createdAt", "articleId", "clientId")).cast("bigint").alias("pos"))
+    rows = paging.numbered(role(spark, sf, "feedback"), F.to_date("createdAt"), "createdAt", "articleId", "clientId")
+    return rows.select("articleId", "reason", F.lit("exclude").alias("expectedAction"), "pos")
 
 
 @query("PRJ5_nested_matches", with_roles("SELECT a.id, coalesce(string_agg(b.wishlistItemId || ':' || i.workflowStatus, ',' ORDER BY b.wishlistItemId) FILTER (WHERE i.id IS NOT NULL), '') AS matches FROM articles a LEFT JOIN bridge b ON b.articleId = a.id LEFT JOIN items i ON i.id = b.wishlistItemId GROUP BY a.id", "articles", "bridge", "items"))

@@ -64,10 +64,13 @@ def rul5(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "news").select("id", gate["reason"].alias("reason"))
 
 
-@query("RUL6_default_stream", with_roles(relevance.SQL, "news"))
+GATES = (relevance.FeedGate("feed src9", ("weather report",), "emergency_dispatch_alert_context"),)
+
+
+@query("RUL6_default_stream", with_roles(relevance.sql(GATES), "news"))
 def rul6(spark: SparkSession, sf: str) -> DataFrame:
     rows = role(spark, sf, "news").withColumn("feedMeta", F.lower(F.concat_ws(" ", "feedName", "source")))
-    return rows.select("id", relevance.default_stream().alias("d")).select("id", "d.accepted", "d.reason")
+    return rows.select("id", relevance.default_stream(GATES).alias("d")).select("id", "d.accepted", "d.reason")
 
 
 @query("RUL7_grouped_sources", with_roles("SELECT title, count(*) AS n, min(n) AS first_n FROM news WHERE source NOT IN ('src1', 'src2') GROUP BY title", "news"))
@@ -128,10 +131,21 @@ def rul13(spark: SparkSession, sf: str) -> DataFrame:
 ITEMS = (("w1", "Slovenia passport", True, "Open"), ("w2", "Croatia residence permit 2024", True, "Open"), ("w3", "Croatia residence permit", True, "Completed"), ("w4", "national id card", True, "Open"), ("w5", "Central visa", True, "Open"))
 
 
-@query("RUL14_wishlist", with_roles("SELECT id AS \"articleId\", 'w1' AS \"itemId\" FROM news WHERE n % 16 = 1 UNION ALL SELECT id, 'w2' FROM news WHERE n % 16 = 15 UNION ALL SELECT id, 'w4' FROM news WHERE n % 16 = 6", "news"))
+#: Item, country, document and the year that a passage (or a neighbour of it) must name.
+_WANTED = (("w1", "slovenian?", "passports?", ""), ("w2", "croatia", "residence permits?", "2024"), ("w4", "national", "(?:id|identity) cards?", ""), ("w5", "central", "visas?", ""))
+_RUL14 = rf""", t AS (SELECT id, list_filter(list_transform(regexp_split_to_array(lower(title || chr(10) || contentSnippet), '[.!?]+|\n+'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM news),
+p AS (SELECT id, ps[i] AS p, concat_ws(' ', ps[i - 1], ps[i], ps[i + 1]) AS near, len(list_filter(ps, lambda x: regexp_matches(x, '{matching.PAYMENT}'))) > 0 AS payment FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM t)),
+m AS (SELECT DISTINCT id, item FROM p JOIN (VALUES {", ".join(f"('{i}', '{c}', '{d}', '{y}')" for i, c, d, y in _WANTED)}) v(item, country, document, year)
+  ON regexp_matches(p, '\b(?:' || country || ')\b') AND regexp_matches(p, '\b(?:' || document || ')\b') AND (year = '' OR regexp_matches(near, '\b' || year || '\b'))
+  WHERE regexp_matches(p, '{matching.POSITIVE}') AND (NOT regexp_matches(p, '{matching.GENERAL}') OR regexp_matches(p, '{matching.STRONG}'))
+    AND NOT (document = 'visas?' AND payment) AND NOT (document = 'passports?' AND regexp_matches(p, '{matching.SERVICE}')))
+SELECT id AS "articleId", min(item) AS "itemId" FROM m GROUP BY id HAVING count(*) = 1"""
+
+
+@query("RUL14_wishlist", with_roles(_RUL14, "news"))
 def rul14(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.createDataFrame(list(ITEMS), "id string, title string, isActive boolean, workflowStatus string")
-    return matching.wishlist_matches(role(spark, sf, "news").withColumn("contentSnippet", F.lit("")), items).select("articleId", "itemId")
+    return matching.wishlist_matches(role(spark, sf, "news"), items).select("articleId", "itemId")
 
 
 @query("JON9_theta_containment", with_roles("SELECT n.id, t.term FROM news n JOIN (VALUES ('biometric passport'), ('central bank'), ('security'), ('id card'), ('missing term')) t(term) ON contains(' ' || regexp_replace(lower(n.title), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || t.term || ' ')", "news"))

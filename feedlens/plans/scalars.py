@@ -14,9 +14,9 @@ def _news(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
     return role(spark, sf, "news").select("id", *[c.alias(k) for k, c in columns.items()])
 
 
-@query("SCL1_normal_text", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace('  ' || left(text, 20) || chr(160), '^[\\s\\x{00A0}\\x{FEFF}]+', ''), '[\\s\\x{00A0}\\x{FEFF}]+$', ''), ''), 'none') AS t FROM documents")
+@query("SCL1_normal_text", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace('  ' || text || chr(160), '^[\\s\\x{00A0}\\x{FEFF}]+', ''), '[\\s\\x{00A0}\\x{FEFF}]+$', ''), ''), 'none') AS t FROM documents")
 def scl1(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.normal_text(F.concat(F.lit("  "), F.left("text", F.lit(20)), F.lit(" ")), "none").alias("t"))
+    return table(spark, sf, "documents").select("doc_id", T.normal_text(F.concat(F.lit("  "), F.col("text"), F.lit(" ")), "none").alias("t"))
 
 
 _ENT = "replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')"

@@ -12,11 +12,11 @@ from feedlens.plans.registry import query
 from feedlens.sources.tables import role, with_roles
 
 
-@query("SNK1_insert", with_roles("SELECT id, coalesce(nullif(topic, ''), topic, '') AS topic, 'pending' AS status FROM articles WHERE n < 50 UNION ALL SELECT 'new' || id, 'General', 'pending' FROM articles WHERE n < 5", "articles"))
+@query("SNK1_insert", with_roles("SELECT id, topic, 'pending' AS status FROM articles WHERE n % 5 <> 0 UNION ALL SELECT 'new' || id, 'General', 'pending' FROM articles WHERE n % 5 = 0", "articles"))
 def snk1(spark: SparkSession, sf: str) -> DataFrame:
     a = role(spark, sf, "articles")
-    table = a.where("n < 50").select("id", "topic", F.lit("pending").alias("status"))
-    return merge.insert(table, a.where("n < 5").select(F.concat(F.lit("new"), "id").alias("id")), {"topic": "General", "status": "pending"})
+    table = a.where("n % 5 != 0").select("id", "topic", F.lit("pending").alias("status"))
+    return merge.insert(table, a.where("n % 5 = 0").select(F.concat(F.lit("new"), "id").alias("id")), {"topic": "General", "status": "pending"})
 
 
 @query("SNK2_sparse_update", with_roles("SELECT id, CASE WHEN n % 10 = 0 THEN 'updated ' || id ELSE title END AS title, fetchStatus FROM articles", "articles"))
@@ -26,8 +26,8 @@ def snk2(spark: SparkSession, sf: str) -> DataFrame:
     return merge.sparse_update(a.select("id", "title", "fetchStatus"), updates)
 
 
-_SNK3 = """, s AS (SELECT id, title, 'https://c/' || (n % 300) AS c, thumbnail, contentSnippet AS sn, n FROM articles WHERE n < 300),
-i AS (SELECT CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) ELSE 'x' || n END AS id, 'new ' || n AS title, 'https://c/' || CASE WHEN n % 4 = 3 THEN n + 1000 ELSE n END AS c, 'https://t/' || n AS thumbnail, n FROM articles WHERE n < 200)
+_SNK3 = """, s AS (SELECT id, title, 'https://c/' || n AS c, thumbnail, contentSnippet AS sn, n FROM articles),
+i AS (SELECT CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) ELSE 'x' || n END AS id, 'new ' || n AS title, 'https://c/' || CASE WHEN n % 4 = 3 THEN n + 1000000000000 ELSE n END AS c, 'https://t/' || n AS thumbnail, n FROM articles WHERE n % 3 < 2)
 SELECT s.id, CASE WHEN a.id IS NOT NULL THEN a.title ELSE s.title END AS title, CASE WHEN a.id IS NOT NULL THEN a.thumbnail WHEN b.id IS NOT NULL AND coalesce(s.thumbnail, '') = '' THEN b.thumbnail ELSE s.thumbnail END AS thumbnail,
  CASE WHEN a.id IS NOT NULL THEN 'updated' WHEN b.id IS NOT NULL THEN 'backfilled' ELSE 'kept' END AS action FROM s LEFT JOIN i a ON a.id = s.id LEFT JOIN i b ON b.c = s.c AND b.n % 2 = 1
 UNION ALL SELECT i.id, i.title, i.thumbnail, 'inserted' FROM i WHERE i.n % 4 = 3"""
@@ -38,11 +38,11 @@ def snk3(spark: SparkSession, sf: str) -> DataFrame:
     a = role(spark, sf, "articles")
     link = lambda n: F.concat(F.lit("https://c/"), n.cast("string"))
     none = F.array().cast("array<string>").alias("classifications")
-    stored = a.where("n < 300").select("id", "title", "link", link(F.col("n") % 300).alias("canonicalLink"), "pubDate", "createdAt", "source", "feedId", "topic", "thumbnail", "contentSnippet", none)
+    stored = a.select("id", "title", "link", link(F.col("n")).alias("canonicalLink"), "pubDate", "createdAt", "source", "feedId", "topic", "thumbnail", "contentSnippet", none)
     n = F.col("n")
-    incoming = a.where("n < 200").select(
+    incoming = a.where("n % 3 < 2").select(
         F.when(n % 2 == 0, n.cast("string")).otherwise(F.concat(F.lit("x"), n.cast("string"))).alias("id"), F.concat(F.lit("new "), n.cast("string")).alias("title"), "link",
-        link(F.when(n % 4 == 3, n + 1000).otherwise(n)).alias("canonicalLink"), "pubDate", "createdAt", "source", "feedId", "topic", F.concat(F.lit("https://t/"), n.cast("string")).alias("thumbnail"), "contentSnippet", none, n.alias("arrival"),
+        link(F.when(n % 4 == 3, n + 1000000000000).otherwise(n)).alias("canonicalLink"), "pubDate", "createdAt", "source", "feedId", "topic", F.concat(F.lit("https://t/"), n.cast("string")).alias("thumbnail"), "contentSnippet", none, n.alias("arrival"),
     )
     return merge.keyed_merge(stored, incoming).select("id", "title", "thumbnail", "action")
 
@@ -59,11 +59,11 @@ def snk5(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "articles").select("id", merge.array_merge(old, new).alias("m")).select("id", F.array_join("m.value", ",").alias("merged"), F.col("m.changed").alias("changed"))
 
 
-@query("SNK6_replace_on_sync", with_roles("SELECT feedId, count(*) AS n FROM (SELECT feedId FROM articles WHERE n < 400 AND feedId NOT IN (SELECT feedId FROM articles WHERE n >= 400 AND n < 500 AND feedId IN ('src1', 'src2')) UNION ALL SELECT feedId FROM articles WHERE n >= 400 AND n < 500 AND feedId IN ('src1', 'src2', 'src3')) GROUP BY feedId", "articles"))
+@query("SNK6_replace_on_sync", with_roles("SELECT feedId, count(*) AS n FROM (SELECT feedId FROM articles WHERE n % 5 < 4 AND feedId NOT IN (SELECT feedId FROM articles WHERE n % 5 = 4 AND feedId IN ('src1', 'src2')) UNION ALL SELECT feedId FROM articles WHERE n % 5 = 4 AND feedId IN ('src1', 'src2', 'src3')) GROUP BY feedId", "articles"))
 def snk6(spark: SparkSession, sf: str) -> DataFrame:
     a = role(spark, sf, "articles")
-    batch = a.where("n >= 400 and n < 500 and feedId in ('src1', 'src2', 'src3')").select("id", "feedId", (F.col("feedId") != "src3").alias("hasDate"))
-    return merge.replace_on_sync(a.where("n < 400").select("id", "feedId"), batch).groupBy("feedId").agg(F.count("*").alias("n"))
+    batch = a.where("n % 5 = 4 and feedId in ('src1', 'src2', 'src3')").select("id", "feedId", (F.col("feedId") != "src3").alias("hasDate"))
+    return merge.replace_on_sync(a.where("n % 5 < 4").select("id", "feedId"), batch).groupBy("feedId").agg(F.count("*").alias("n"))
 
 
 @query("SNK7_feedback_upsert", with_roles("SELECT \"articleId\", \"clientId\", CASE WHEN CAST(\"articleId\" AS BIGINT) % 2 = 0 THEN 'fixed' ELSE reason END AS reason FROM feedback UNION ALL SELECT 'n1', 'client0', 'late'", "feedback"))
@@ -80,10 +80,10 @@ def snk8(spark: SparkSession, sf: str) -> DataFrame:
     return f.where("not (createdAt < timestamp'2024-06-10' - interval 5 days) and not (articleId = '5' and clientId = 'client2')").select("articleId", "clientId")
 
 
-@query("SNK9_items", with_roles("SELECT id, CASE WHEN workflowStatus = 'Completed' THEN false ELSE isActive END AS active FROM items UNION ALL SELECT 'w9', true", "items"))
+@query("SNK9_items", with_roles("SELECT id, CASE WHEN workflowStatus = 'Completed' THEN false ELSE isActive END AS active FROM items UNION ALL SELECT 'new9', true", "items"))
 def snk9(spark: SparkSession, sf: str) -> DataFrame:
     items = role(spark, sf, "items").select("id", "title", "isActive", "workflowStatus")
-    new = spark.createDataFrame([("w9", "Slovenia passport", True, "Open")], items.schema)
+    new = spark.createDataFrame([("new9", "Slovenia passport", True, "Open")], items.schema)
     both = merge.upsert_latest(items, new, ["id"], "title", "id")
     return both.select("id", F.when(F.col("workflowStatus") == "Completed", False).otherwise(F.col("isActive")).alias("active"))
 
@@ -135,9 +135,9 @@ def snk16(spark: SparkSession, sf: str) -> DataFrame:
     return merge.seed_actions(now, desired, "id", retired).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("SNK17_bulk_import", with_roles("SELECT n, CASE WHEN n % 9 = 0 THEN 'invalid' WHEN k < 5 THEN 'duplicate_of_stored' WHEN r > 1 THEN 'duplicate_in_batch' WHEN sum(CASE WHEN n % 9 <> 0 AND k >= 5 AND r = 1 THEN 1 ELSE 0 END) OVER (ORDER BY n) > 20 THEN 'over_cap' ELSE 'added' END AS outcome FROM (SELECT n, n % 40 AS k, row_number() OVER (PARTITION BY n % 9 <> 0, n % 40 ORDER BY n) AS r FROM articles WHERE n < 100)", "articles"))
+@query("SNK17_bulk_import", with_roles("SELECT n, CASE WHEN n % 9 = 0 THEN 'invalid' WHEN k < 5 THEN 'duplicate_of_stored' WHEN r > 1 THEN 'duplicate_in_batch' WHEN sum(CASE WHEN n % 9 <> 0 AND k >= 5 AND r = 1 THEN 1 ELSE 0 END) OVER (ORDER BY n) > 20 THEN 'over_cap' ELSE 'added' END AS outcome FROM (SELECT n, n % 40 AS k, row_number() OVER (PARTITION BY n % 9 <> 0, n % 40 ORDER BY n) AS r FROM articles)", "articles"))
 def snk17(spark: SparkSession, sf: str) -> DataFrame:
-    rows = role(spark, sf, "articles").where("n < 100").select("n", (F.col("n") % 40).cast("string").alias("key"))
+    rows = role(spark, sf, "articles").select("n", (F.col("n") % 40).cast("string").alias("key"))
     stored = spark.range(5).select(F.col("id").cast("string").alias("key"))
     return merge.import_outcomes(rows, stored, "key", "n", F.col("n") % 9 != 0, 20).select("n", "outcome")
 

@@ -16,33 +16,34 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, sf: str) -> DataFrame:
-    """One feed document for each source, built from the news headlines, as a fetcher would have landed it."""
-    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>"), F.when(F.col("n") % 3 == 0, F.lit(" ")).otherwise(F.col("link")), F.lit("</link><guid>"), "link", F.lit("</guid><category>#"), "source", F.lit("</category><category>x</category><category>news</category></item>"))
-    docs = role(spark, sf, "news").where("n < 400").groupBy("feedId").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", item.alias("x")))), lambda s: s["x"]), "").alias("items"))
+    """Feed documents of each source with a bounded number of items, built from the news headlines, as a fetcher lands them."""
+    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>"), F.when(F.col("n") % 3 == 0, F.lit(" ")).otherwise(F.col("link")), F.lit("</link><guid>"), "link", F.lit("</guid><category>#"), "source", F.lit("</category><category>x</category><category>news</category>"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("<source>Desk "), "source", F.lit("</source>"))).otherwise(F.lit("")), F.lit("</item>"))
+    block = F.floor(F.col("n") / 2000).alias("block")
+    docs = role(spark, sf, "news").groupBy("feedId", block).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", item.alias("x")))), lambda s: s["x"]), "").alias("items"))
     return docs.select("feedId", F.concat(F.lit("<rss><channel><title>t</title>"), "items", F.lit("</channel></rss>")).alias("xml"))
 
 
-@query("SRC1_rss_items", with_roles("SELECT feedId, title, link FROM news WHERE n < 400", "news"))
+@query("SRC1_rss_items", with_roles("SELECT feedId, title, link FROM news", "news"))
 def src1(spark: SparkSession, sf: str) -> DataFrame:
     return html.rss_items(_landed(spark, sf)).select("feedId", "title", "link")
 
 
-@query("SRC2_repeated_fields", with_roles("SELECT feedId, count(*) AS n, count(*) * 2 AS tags FROM news WHERE n < 400 GROUP BY feedId", "news"))
+@query("SRC2_repeated_fields", with_roles("SELECT feedId, count(*) AS n, count(*) * 2 AS tags FROM news GROUP BY feedId", "news"))
 def src2(spark: SparkSession, sf: str) -> DataFrame:
     return html.rss_items(_landed(spark, sf)).groupBy("feedId").agg(F.count("*").alias("n"), F.sum(F.size("tags")).alias("tags"))
 
 
-@query("SRC3_item_link", with_roles("SELECT link, n % 3 = 0 AS from_guid FROM news WHERE n < 400", "news"))
+@query("SRC3_item_link", with_roles("SELECT link, n % 3 = 0 AS from_guid FROM news", "news"))
 def src3(spark: SparkSession, sf: str) -> DataFrame:
     return html.rss_items(_landed(spark, sf)).select("link", (F.regexp_extract("link", "([0-9]+)$", 1).cast("bigint") % 3 == 0).alias("from_guid"))
 
 
-@query("SRC4_item_source", with_roles("SELECT DISTINCT feedId, 'unknown' AS source FROM news WHERE n < 400", "news"))
+@query("SRC4_item_source", with_roles("SELECT link, CASE WHEN n % 2 = 0 THEN 'Desk ' || source ELSE 'unknown' END AS source FROM news", "news"))
 def src4(spark: SparkSession, sf: str) -> DataFrame:
-    return html.rss_items(_landed(spark, sf)).select("feedId", F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("source")).distinct()
+    return html.rss_items(_landed(spark, sf)).select("link", F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("source"))
 
 
-@query("SRC5_item_tags", with_roles("SELECT link, source || ',news' AS tags FROM news WHERE n < 400", "news"))
+@query("SRC5_item_tags", with_roles("SELECT link, source || ',news' AS tags FROM news", "news"))
 def src5(spark: SparkSession, sf: str) -> DataFrame:
     return html.rss_items(_landed(spark, sf)).select("link", F.array_join("tags", ",").alias("tags"))
 
@@ -89,10 +90,10 @@ def src14(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("x.n_nationkey").alias("id"), F.upper("x.n_name").alias("name"))
 
 
-@query("SRC15_sheet_rows", "SELECT item_id, left(replace(text, chr(10), ' '), 30) AS title FROM benchmark")
+@query("SRC15_sheet_rows", "SELECT item_id, replace(text, chr(10), ' ') AS title FROM benchmark")
 def src15(spark: SparkSession, sf: str) -> DataFrame:
     """A sheet's rows as CSV text, read with an explicit schema."""
-    rows = table(spark, sf, "benchmark").select(F.to_csv(F.struct("item_id", F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(30)).alias("t")), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("c"))
+    rows = table(spark, sf, "benchmark").select(F.to_csv(F.struct("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t")), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("c"))
     return rows.select(F.from_csv("c", "item_id bigint, title string").alias("x")).select("x.*")
 
 
@@ -119,8 +120,8 @@ def str5(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "articles").where("fetchStatus in ('pending', 'partial')").dropDuplicates(["id"]).orderBy("createdAt", "id").limit(150).select("id")
 
 
-@query("STR6_backlog_reprocess", with_roles("SELECT id, CASE WHEN contains(lower(title), 'banknote') THEN 'Banknotes' ELSE 'Other' END AS topic FROM news WHERE n % 4 < 2", "news"))
+@query("STR6_backlog_reprocess", with_roles("SELECT id, CASE WHEN contains(lower(title), 'banknote') THEN 'Banknotes' ELSE 'Other' END AS topic FROM news", "news"))
 def str6(spark: SparkSession, sf: str) -> DataFrame:
-    waiting = role(spark, sf, "news").where("n % 4 < 2")
+    waiting = role(spark, sf, "news")
     hit = F.array_contains(rules.classified()["classes"], "banknotes") | F.contains(F.lower("title"), F.lit("banknote"))
     return waiting.select("id", F.when(hit, "Banknotes").otherwise("Other").alias("topic"))

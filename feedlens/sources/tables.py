@@ -29,7 +29,7 @@ HEADLINES = (
 )
 
 ARTICLES = """
-SELECT CAST(doc_id AS STRING) AS id, doc_id AS n, substr(split_part(text, chr(10), 1), 1, 80) AS title, substr(text, 1, 300) AS contentSnippet,
+SELECT CAST(doc_id AS STRING) AS id, doc_id AS n, split_part(text, chr(10), 1) AS title, text AS contentSnippet,
   'https://www.site' || CAST(doc_id % 20 AS STRING) || '.example.com/news/' || CAST(doc_id % 700 AS STRING) || '?utm_source=rss' AS link,
   CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN NULL ELSE 'https://Site' || CAST(doc_id % 20 AS STRING) || '.example.com/news/' || CAST(doc_id % 350 AS STRING) END AS canonicalLink,
   CAST('2024-01-01 00:00:00' AS timestamp) + CAST(doc_id % 365 AS INT) * INTERVAL '1' DAY AS pubDate,
@@ -48,9 +48,10 @@ SELECT source AS id, 'Feed ' || source AS name, 'https://' || source || '.exampl
   CASE WHEN source IN ('src1', 'src2') THEN 'error' WHEN source = 'src4' THEN '' ELSE 'success' END AS lastStatus,
   CASE WHEN source LIKE 'src1%' THEN 'website' ELSE 'rss' END AS sourceType,
   CASE WHEN source IN ('src0', 'src5') THEN 'vendors' WHEN source IN ('src6', 'src7') THEN 'central_banks' ELSE 'news' END AS sourceGroup,
-  CASE WHEN source IN ('src0', 'src5') THEN 'vendors,security_printer' WHEN source IN ('src6', 'src7') THEN 'central_bank' ELSE 'border_control,passport_authority,identity_verification,researcher' END AS affinities
+  CASE WHEN source IN ('src0', 'src5') THEN 'vendors,security_printer' WHEN source IN ('src6', 'src7') THEN 'central_bank' ELSE 'border_control,passport_authority,identity_verification,researcher' END AS affinities,
+  CAST('2024-01-01 00:00:00' AS timestamp) + CAST(min(doc_id) % 365 AS INT) * INTERVAL '1' DAY AS createdAt
 FROM {documents} GROUP BY source
-UNION ALL SELECT 'src99', 'Feed src99', 'https://src99.example.com/rss', true, 'success', 'rss', 'news', ''
+UNION ALL SELECT 'src99', 'Feed src99', 'https://src99.example.com/rss', true, 'success', 'rss', 'news', '', CAST('2024-01-01 00:00:00' AS timestamp)
 """
 
 POLL_LOGS = """
@@ -59,7 +60,7 @@ SELECT event_id AS id, 'src' || CAST(user_id % 20 AS STRING) AS feedId, CAST(ts
 """
 
 NEWS = """
-SELECT CAST(d.doc_id AS STRING) AS id, d.doc_id AS n, h.title, substr(d.text, 1, 60) AS contentSnippet,
+SELECT CAST(d.doc_id AS STRING) AS id, d.doc_id AS n, h.title, d.text AS contentSnippet,
   'https://' || d.source || '.example.com/item/' || CAST(d.doc_id AS STRING) AS link, d.source, d.source AS feedId, 'Feed ' || d.source AS feedName,
   CAST('2024-01-01 00:00:00' AS timestamp) + CAST(d.doc_id % 365 AS INT) * INTERVAL '1' DAY AS pubDate, '' AS topic
 FROM {documents} d JOIN (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{h}')" for k, h in enumerate(HEADLINES)) + f""") AS v(k, title)) h ON d.doc_id % {len(HEADLINES)} = h.k
@@ -70,7 +71,7 @@ SELECT CAST(doc_id AS STRING) AS articleId, 'w' || CAST(doc_id % 5 AS STRING) AS
 """
 
 ITEMS = """
-SELECT 'w' || CAST(item_id AS STRING) AS id, substr(text, 1, 40) AS title, item_id % 4 <> 1 AS isActive, CASE WHEN item_id % 3 = 2 THEN 'Completed' ELSE 'Open' END AS workflowStatus FROM {benchmark} WHERE item_id < 5
+SELECT 'w' || CAST(item_id AS STRING) AS id, text AS title, item_id % 4 <> 1 AS isActive, CASE WHEN item_id % 3 = 2 THEN 'Completed' ELSE 'Open' END AS workflowStatus FROM {benchmark}
 """
 
 FEEDBACK = """

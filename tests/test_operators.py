@@ -117,3 +117,25 @@ def test_filters_shrink(spark):
     assert df.where(predicate(ArticleQuery(search="B"))).count() == 2
     assert df.where(predicate(ArticleQuery(search="b a"))).count() == 1
     assert df.where(predicate(ArticleQuery(search="%"))).count() == 0
+
+
+def test_page_filters_before_it_dedupes(spark):
+    """An older article that matches isn't lost to its newer twin that doesn't; total counts what is left."""
+    rows = [("1", "old match", "k", "2024-01-01"), ("2", "newer twin", "k", "2024-01-02"), ("3", "match too", "m", "2024-01-03")]
+    df = spark.createDataFrame(rows, "id string, title string, canonicalLink string, pubDate string").withColumns({"pubDate": F.col("pubDate").cast("timestamp"), "createdAt": F.col("pubDate").cast("timestamp"), "link": F.lit("")})
+    found = paging.canonical_page(df, F.contains("title", F.lit("match")), 1, 200, 2).collect()
+    assert [(r.id, r.total, r.truncated) for r in found] == [("3", 2, True), ("1", 2, True)]
+    assert not paging.canonical_page(df, F.contains("title", F.lit("match")), 1, 200, 3).first().truncated
+
+
+def test_numbers_run_through_the_parts(spark):
+    df = spark.range(50).select((F.col("id") * 7 % 50).alias("k"))
+    found = paging.numbered(df, F.floor(F.col("k") / 9), "k").collect()
+    assert all(r.pos == r.k + 1 for r in found) and len(found) == 50
+
+
+def test_import_cap(spark):
+    rows = spark.createDataFrame([(k, str(k % 6)) for k in range(12)], "n bigint, key string")
+    out = {r.n: r.outcome for r in merge.import_outcomes(rows, spark.createDataFrame([("0",)], "key string"), "key", "n", F.col("n") != 2, 2).collect()}
+    assert [out[k] for k in range(6)] == ["duplicate_of_stored", "added", "invalid", "added", "over_cap", "over_cap"] and out[7] == "duplicate_in_batch"
+    assert {r.outcome for r in merge.import_outcomes(rows, spark.createDataFrame([], "key string"), "key", "n", F.lit(True), 0).collect()} == {"over_cap", "duplicate_in_batch"}
