@@ -122,15 +122,23 @@ def term_pattern(term: str, flexible: bool = False) -> str:
     return f"(^|[^a-z0-9]){'[\\s\\-/&]+'.join(escaped.split()) if flexible else escaped}([^a-z0-9]|$)"
 
 
-def has_term(lowered: Column, term: str, flexible: bool = False) -> Column:
+def words_of(lowered: Column) -> Column:
+    """The distinct runs of ASCII letters and digits: what has_term() takes as words where many terms are asked."""
+    return F.array_distinct(F.split(lowered, "[^a-z0-9]+"))
+
+
+def has_term(lowered: Column, term: str, flexible: bool = False, words: Column | None = None) -> Column:
+    """Whether the term occurs. words: those of the text, or of one that holds it."""
     t = term.strip().lower()
     if not t:
         return F.lit(False)
     if flexible or all(c.isascii() and (c.isalnum() or c in " -\t") for c in t):
-        # A plain substring test first: the pattern is only tried where the term's first word occurs.
+        # The pattern is only tried where the term's first word occurs.
         first = re.match("[a-z0-9]+", t)
         said = lowered.rlike(term_pattern(t, flexible))
-        return F.coalesce(F.contains(lowered, F.lit(first[0])) & said if first else said, F.lit(False))
+        if first:
+            said = (F.contains(lowered, F.lit(first[0])) if words is None else F.array_contains(words, first[0])) & said
+        return F.coalesce(said, F.lit(False))
     return F.coalesce(F.contains(lowered, F.lit(t)), F.lit(False))
 
 

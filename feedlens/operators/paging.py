@@ -30,17 +30,15 @@ def page(articles: DataFrame, number: int = 1, size: int = 200, most: int = 200)
 
 def candidates(articles: DataFrame, most: int) -> DataFrame:
     """The newest `most` candidates, deduped; truncated tells whether the limit was reached."""
-    head = articles.orderBy(*newest_first()).limit(most)
-    over = head.agg((F.count("*") >= most).alias("truncated"))
-    return dedupe_canonical(head).crossJoin(F.broadcast(over))
+    head = articles.orderBy(*newest_first()).limit(most)  # a top-k: what follows is bounded by it
+    return dedupe_canonical(head.withColumn("truncated", F.count("*").over(Window.partitionBy()) >= most))
 
 
 def canonical_page(articles: DataFrame, matches: Column, number: int = 1, size: int = 200, most: int = 1500) -> DataFrame:
     """The article API's page: filter, order, candidate limit, dedupe, then the page; with total (of the deduped) and
     truncated. The filter comes first, so a match isn't lost to a newer twin that doesn't match, and it reaches the scan."""
     found = candidates(articles.where(matches), most)
-    total = found.agg(F.count("*").alias("total"))
-    return page(found.crossJoin(F.broadcast(total)), number, size)
+    return page(found.withColumn("total", F.count("*").over(Window.partitionBy())), number, size)
 
 
 def numbered(rows: DataFrame, part: Column, *order: str) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedlens.functions.text import has_term
+from feedlens.functions.text import has_term, words_of
 from feedlens.operators.filters import any_of
 
 
@@ -52,12 +52,14 @@ def _count(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(c, 1).otherwise(0) for c in conditions], F.lit(0))
 
 
-def rule_score(rule: ClassRule, text: Column, local: Column, source: Column) -> Column:
+def rule_score(rule: ClassRule, text: Column, local: Column, source: Column, words: Column | None = None) -> Column:
     """Distinct terms of the content, conditional terms that are corroborated, and source terms; 0 under the least."""
-    content = _count([has_term(text, t) for t in rule.terms] + [has_term(local, t) & any_of([has_term(local, c) for c in with_any]) for t, with_any in (rule.conditional or {}).items()])
+    content = _count([has_term(text, t, words=words) for t in rule.terms] + [has_term(local, t, words=words) & any_of([has_term(local, c, words=words) for c in with_any]) for t, with_any in (rule.conditional or {}).items()])
     from_source = _count([has_term(source, t) for t in rule.source_terms])
-    total = content + from_source
-    return F.when(total >= F.when(from_source > 0, 1).otherwise(rule.least), total).otherwise(0)
+    if not rule.source_terms and rule.least <= 1:
+        return content
+    enough = lambda n: F.when(n["all"] >= F.when(n["source"] > 0, 1).otherwise(rule.least), n["all"]).otherwise(0)
+    return bound(F.struct((content + from_source).alias("all"), from_source.alias("source")), enough)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,8 +83,8 @@ def classified(rules: tuple[ClassRule, ...] = CLASSES) -> Column:
         for k, r in enumerate(rules):
             allowed = F.lit(True)
             if r.signal_title:
-                allowed = any_of([has_term(row["title"], t) for t in r.signal_title]) | any_of([has_term(row["text"], t) for t in r.signal_content])
-            score = rule_score(r, row["text"], row["local"], row["source"])
+                allowed = any_of([has_term(row["title"], t) for t in r.signal_title]) | any_of([has_term(row["text"], t, words=row["words"]) for t in r.signal_content])
+            score = rule_score(r, row["text"], row["local"], row["source"], row["words"])
             each.append(F.struct((-score).alias("s"), F.lit(k).alias("k"), F.lit(r.id).alias("id"), F.lit(r.topic).alias("topic"), F.lit(r.domain).alias("domain"), F.when(allowed, F.lit(r.signal)).alias("signal")))
         return bound(F.array_sort(F.filter(F.array(*each), lambda x: x["s"] < 0)), named)
 
@@ -93,7 +95,7 @@ def classified(rules: tuple[ClassRule, ...] = CLASSES) -> Column:
         )
         return F.struct(topic.alias("topic"), distinct("domain").alias("domains"), distinct("signal").alias("signals"), F.transform(hit, lambda x: x["id"]).alias("classes"))
 
-    return bound(F.struct(title.alias("title"), local.alias("local"), text.alias("text"), source.alias("source")), scored)
+    return bound(F.struct(title.alias("title"), local.alias("local"), text.alias("text"), source.alias("source"), words_of(text).alias("words")), scored)
 
 
 def cascade(*gates: tuple[Column, bool, str | Column], accept: str = "accepted") -> Column:
