@@ -20,9 +20,12 @@ from feedlens.operators.merge import latest
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared spark.checkpoint.dir; of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedlens-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder under the cluster's shared spark.checkpoint.dir; where that is unset a temporary one on a local master, and an
+    error on a cluster, whose executors wouldn't see each other's files in it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='feedlens-')}/stream-{uuid.uuid4().hex}"
 
 
 def normalized(items: DataFrame) -> DataFrame:
