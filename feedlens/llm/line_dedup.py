@@ -19,7 +19,7 @@ PERCENT = 80
 #: At a similarity of 0.8 a pair of lines shares none of the 12 bands of 4 coordinates with a probability of 0.002.
 ROWS = 4
 BANDS = 12
-#: Bits of the bitmap made for lines that round two compares.
+#: Parities kept of lines that round two compares.
 MAP = 2048
 
 _POINTS = 0xA24BAED4963EE407

@@ -19,7 +19,7 @@ PERCENT = 75
 #: with a probability of 5e-6.
 COORDINATES = 128
 ROWS = 4
-#: Bits of the bitmap made for documents that round two compares.
+#: Parities kept of documents that round two compares.
 MAP = 4096
 
 

@@ -205,18 +205,17 @@ def minhash(points: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndar
     return out
 
 
-def bitmap(shingles: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
-    """For each set the bits that its shingles name, packed: what one set's bitmap has and another's lacks is in the
-    one set alone, so bitmaps bound the size of an intersection from above, for certain."""
+def parities(shingles: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """For each set one bit a place, packed: whether an odd number of its shingles name the place. Shingles that two sets
+    share cancel out, so the places in which their parities differ bound from below, for certain, how many they don't."""
     ends = np.append(starts[1:], len(shingles))
     bit = (spread(shingles ^ np.uint64(_BASE)) & np.uint32(bits - 1)).astype(np.int64)
     out = np.empty((len(starts), bits // 64), np.uint64)
-    for first in range(0, len(starts), 1024):
-        last = min(first + 1024, len(starts))
-        size = ends[first:last] - starts[first:last]
-        on = np.zeros((last - first, bits), np.uint8)
-        on[np.repeat(np.arange(last - first), size), bit[starts[first] : ends[last - 1]]] = 1
-        out[first:last] = np.packbits(on, axis=1).view(">u8")
+    for first in range(0, len(starts), 256):
+        last = min(first + 256, len(starts))
+        place = np.repeat(np.arange(last - first) * bits, ends[first:last] - starts[first:last]) + bit[starts[first] : ends[last - 1]]
+        odd = (np.bincount(place, minlength=(last - first) * bits) & 1).astype(np.uint8)
+        out[first:last] = np.packbits(odd.reshape(-1, bits), axis=1).view(">u8")
     return out
 
 

@@ -3,7 +3,7 @@
 Round one compares each member of a bucket with the bucket's smallest id (a star), in larger buckets with three more
 centers, so a group of n near copies costs about n comparisons. Verified links give components. Round two takes the buckets
 whose members still lie in several components and meets only their outsiders, those beyond the component of the
-smallest id, with the members of other components. A pair goes on if its sizes and bitmaps leave room for the similarity,
+smallest id, with the members of other components. A pair goes on if its sizes and parities leave room for the similarity,
 a bound that is exact: no link is lost, and members already connected cost nothing. Outsiders are dealt over blocks, so that no
 bucket is one task's work.
 
@@ -69,30 +69,32 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Da
 
 
 def _measured(sets: Sets, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text) to (id, n, map): the size of each set and its bitmap."""
+    """(id, text) to (id, n, map): the size of each set and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in rolling.slices(batch.column(1)):
                 values, first = sets(s)
-                on = rolling.bitmap(values, first[:-1], bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(np.diff(first)), rolling.list_array(np.full(s.rows, bits // 64), on.reshape(-1))], names=["id", "n", "map"])
+                odd = rolling.parities(values, first[:-1], bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(np.diff(first)), rolling.list_array(np.full(s.rows, bits // 64), odd.reshape(-1))], names=["id", "n", "map"])
 
     return run
 
 
 def _bounded(percent: int) -> str:
-    """The sizes and bitmaps of x and y leave room for the similarity: exact, no pair that has it is lost."""
-    alone = lambda a, b: f"aggregate(zip_with({a}.map, {b}.map, (p, q) -> bit_count(p & ~q)), 0, (n, c) -> n + c)"
-    common = f"least(x.n - {alone('x', 'y')}, y.n - {alone('y', 'x')})"
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (100 + {percent}) * {common} >= {percent} * (x.n + y.n)"
+    """The sizes and parities of x and y leave room for the similarity: exact, no pair that has it is lost.
+
+    With d shingles in one set alone the similarity is (n - d) / (n + d), n the sum of the sizes.
+    """
+    apart = "aggregate(zip_with(x.map, y.map, (p, q) -> bit_count(p ^ q)), 0, (n, c) -> n + c)"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (100 + {percent}) * {apart} <= {100 - percent} * (x.n + y.n)"
 
 
 def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, bits: int) -> DataFrame:
     """(id, component) of all linked ids among profiles (id, bands array<bigint>), one row for each id; component is
     the smallest id reachable.
 
-    fetch takes distinct ids and returns a stored table (id, text); bits is the size of a bitmap. profiles is read
+    fetch takes distinct ids and returns a stored table (id, text); bits is the number of parities of a set. profiles is read
     several times: store it.
     """
     keys = profiles.select(F.explode("bands").alias("key"), "id")

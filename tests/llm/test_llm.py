@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, common, decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality, queries, secrets, substring_dedup
+from feedlens.llm import chat, common, decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality, queries, rolling, secrets, substring_dedup
 from tests.compare import oracle, same
 from tests.llm import brute
 
@@ -290,6 +290,17 @@ def test_held_out_accuracy(spark):
     assert got[0] > 0.98 and got[1] > 0.8
 
 
+def test_parities_never_exceed_the_difference_of_two_sets():
+    rng = np.random.default_rng(3)
+    for n, own in ((0, 1), (5, 0), (80, 12), (3000, 400), (20000, 9000)):
+        common, x, y = (rng.integers(0, 2**64, k, np.uint64) for k in (n, own, own // 2))
+        sets = [np.unique(np.concatenate((common, part))) for part in (x, y)]
+        p, q = rolling.parities(np.concatenate(sets), np.array([0, len(sets[0])]), 2048)
+        apart = sum(int(v).bit_count() for v in p ^ q)
+        difference = len(np.setxor1d(*sets))
+        assert apart <= difference and (difference > 20 or difference - apart <= 4)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (102, 102), (None, 5)]
     out = {r.id: r.component for r in common.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
