@@ -91,6 +91,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, removed, texts = [], [], []
         for text, marks in zip(batch.column(1), batch.column(2), strict=True):
             lines = text.as_py().split("\n") if text.is_valid else []
+            worded = [line for line in lines if line.strip(WHITE)]
+            if not marks.is_valid and len(set(worded)) == len(worded):
+                counts.append(len(worded))
+                removed.append(0)
+                texts.append(text.as_py())
+                continue
             component = {m["line"]: m["component"] for m in marks.as_py() or ()}
             kept, seen, n, cut = [], set(), 0, 0
             for k, line in enumerate(lines):
@@ -127,10 +133,10 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kept = [c for c in (keep or docs.columns) if c not in ("n_lines", "n_removed", "kept_text")]
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
-    each = rows.where("doc_id is not null").select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.btrim("text", F.lit(WHITE)) != "")
+    each = rows.where("doc_id is not null").select("doc_id", "tid", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.ltrim("text", F.lit(WHITE)) != "")
     # One row for each distinct line, with its first document; copies of any number cost one comparison from here on.
     distinct = each.groupBy("text").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    lines = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "low", "n", "text"))
+    lines = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "low", "n", _digest(F.col("text")).alias("digest"), "text"))
     profiles = stored(lines.select("id", "text").mapInArrow(_banded, "id bigint, bands array<bigint>"))
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -138,11 +144,12 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     found = linked(profiles, fetch, line_sets, PERCENT, MAP)
     dropped(profiles)
-    fuzzy = stored(lines.join(found, "id").select(_digest(F.col("text")).alias("digest"), "low", "component"))
-    heads = stored(fuzzy.groupBy("component").agg(F.min("low").alias("head")))
-    alone = lines.where("n > 1").join(found, "id", "left_anti").select(_digest(F.col("text")).alias("digest"), F.col("id").alias("component"), F.col("low").alias("head"))
-    fates = stored(fuzzy.join(heads, "component").select("digest", "component", "head").unionByName(alone))
-    dropped(lines, found, fuzzy, heads)
+    # Lines of a component, and others that repeat as components of their own; their texts aren't read again.
+    known = lines.select("id", "low", "n", "digest").join(found, "id", "left").where("n > 1 or component is not null")
+    met = stored(known.select("digest", "low", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("linked")))
+    heads = met.where("linked").groupBy("component").agg(F.min("low").alias("head"))
+    fates = stored(met.join(heads, "component", "left").select("digest", "component", F.coalesce("head", "low").alias("head")))
+    dropped(lines, found, met)
     met = each.select("doc_id", "tid", "line", _digest(F.col("text")).alias("digest")).join(fates, "digest")
     mark = F.struct("line", F.when(F.col("doc_id") == F.col("head"), F.col("component")).alias("component"))
     marks = met.groupBy("doc_id", "tid").agg(F.collect_set(mark).alias("marks"))

@@ -30,6 +30,8 @@ Sets = Callable[[rolling.Slice], tuple[np.ndarray, np.ndarray]]
 BLOCK = 256
 #: Members of a bucket from which on it has more centers; its square is a block of round two.
 LARGE = 32
+#: Words of 64 parities that are compared first.
+FIRST = 12
 
 
 def _compared(sets: Sets, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -81,13 +83,16 @@ def _measured(sets: Sets, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def _bounded(percent: int) -> str:
+def _bounded(percent: int, bits: int) -> str:
     """The sizes and parities of x and y leave room for the similarity: exact, no pair that has it is lost.
 
-    With d shingles in one set alone the similarity is (n - d) / (n + d), n the sum of the sizes.
+    With d shingles in one set alone the similarity is (n - d) / (n + d), n the sum of the sizes. Differences in the first
+    words of the parities alone bound d too: most pairs fall there, in a term without a lambda.
     """
-    apart = "aggregate(zip_with(x.map, y.map, (p, q) -> bit_count(p ^ q)), 0, (n, c) -> n + c)"
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (100 + {percent}) * {apart} <= {100 - percent} * (x.n + y.n)"
+    first = " + ".join(f"bit_count(x.map[{k}] ^ y.map[{k}])" for k in range(min(FIRST, bits // 64)))
+    every = "aggregate(zip_with(x.map, y.map, (p, q) -> bit_count(p ^ q)), 0, (n, c) -> n + c)"
+    room = [f"{100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)" for apart in (first, every)]
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {room[0]} and {room[1]}"
 
 
 def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, bits: int) -> DataFrame:
@@ -111,7 +116,7 @@ def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: S
     ends = stored(large.groupBy("key").agg(F.array_distinct(F.array(F.max("id"), *[f("id", F.xxhash64("id")) for f in (F.min_by, F.max_by)])).alias("ends")))
     more = large.join(ends, "key").select("id", "center", "size", F.explode("ends").alias("a")).where("a not in (id, center)")
     star = star.unionByName(more.select("a", F.col("id").alias("b"), "size"))
-    star = star.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b", "size").groupBy("low", "high").agg(F.max(F.struct("size", "a", "b")).alias("x")).select("x.a", "x.b", "x.size")
+    star = star.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "size").groupBy("low", "high").agg(F.max_by("a", "size").alias("a"), F.max("size").alias("size")).select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"), "size")
     near = stored(verified(star.groupBy("a", "b").agg(F.max("size").alias("degree")), texts, sets, percent))
     found = components(near)
     at = stored(crowded.join(found, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component")))
@@ -122,7 +127,7 @@ def linked(profiles: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: S
     dropped(shared, crowded, ends, near, at, spread, facts)
     x = rest.where("component != low").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).alias("x")
     y = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
-    met = x.join(y, F.expr(f"x.key = y.key and x.block = y.block and x.component != y.component and (y.component = y.low or x.id < y.id) and {_bounded(percent)}"))
+    met = x.join(y, F.expr(f"x.key = y.key and x.block = y.block and x.component != y.component and (y.component = y.low or x.id < y.id) and {_bounded(percent, bits)}"))
     again = stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     degrees = stored(again.groupBy("a").agg(F.count("*").alias("degree")))
     more = verified(again.join(degrees, "a"), texts, sets, percent)
