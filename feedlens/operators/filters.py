@@ -10,6 +10,33 @@ from pyspark.sql import functions as F
 
 SEARCHED = ("title", "source", "topic", "feedName", "link", "canonicalLink", "contentSnippet")
 
+#: What each signal of the article API looks for.
+SIGNALS = {
+    "new-releases": ("issued", "released", "launched", "introduced", "unveiled"),
+    "regulations": ("regulation", "law", "requirement", "compliance", "policy", "directive"),
+    "design-changes": ("redesign", "new design", "updated design", "new series", "portrait"),
+    "security-features": ("security feature", "hologram", "watermark", "microprint", "uv ink", "intaglio"),
+    "technology": ("biometric", "verification", "digital id", "nfc", "mrz", "identity verification"),
+    "fraud": ("fraud", "fraudulent", "forged passport", "fake passport", "identity theft"),
+    "counterfeit": ("counterfeit", "fake notes", "forged notes", "counterfeit banknotes"),
+    "withdrawal": ("withdrawal", "withdrawn from circulation", "legal tender", "demonetisation", "demonetization"),
+    "redesign": ("redesign", "new family", "new artwork", "updated portrait"),
+    "polymer": ("polymer", "substrate", "plastic banknote", "polymer migration"),
+    "commemorative": ("commemorative", "anniversary note", "centennial"),
+    "rollout": ("rollout", "launched", "implemented", "deployment", "go-live"),
+    "delay": ("delay", "backlog", "queue", "technical outage", "technical problem"),
+    "travel-disruption": ("travel disruption", "border delays", "airport delays", "entry disruption"),
+    "criminal-misuse": ("terror", "terrorist", "criminal misuse", "fake passport", "forged passport"),
+    "biometric": ("biometric", "biometrics", "biometric checks", "fingerprint", "facial recognition"),
+    "identity-theft": ("identity theft", "stolen identity"),
+    "border-control": ("border control", "customs", "immigration control", "border checks"),
+}
+
+
+def signal_keywords(signal: str | None) -> tuple[str, ...]:
+    """A signal's keywords; one that nobody knows doesn't filter."""
+    return SIGNALS.get((signal or "").strip(), ())
+
 
 @dataclass(frozen=True)
 class ArticleQuery:

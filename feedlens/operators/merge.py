@@ -157,11 +157,21 @@ def apply_consolidation(articles: DataFrame, plan: DataFrame, expected: int) ->
     return articles.join(p, "id", "left").withColumns({"isDuplicate": F.col("_p").isNotNull() | F.col("isDuplicate"), "duplicateOf": F.col("_p")}).drop("_p")
 
 
-def mirror_plan(feeds: DataFrame, prefix: str = "Mirror ") -> DataFrame:
-    """For each feed the mirror that should be: its address, and whether one is there by address, by name, or not."""
-    base = feeds.where(~F.col("name").startswith(prefix))
-    wanted = base.select("id", F.concat(F.lit(prefix), "name").alias("mirrorName"), F.concat(F.lit("https://mirror.example.com/search?q="), F.url_encode(F.lower("name"))).alias("mirrorUrl"), "isActive")
-    by_url = feeds.select(F.col("rssUrl").alias("mirrorUrl"), F.lit(True).alias("_u")).distinct()
-    by_name = feeds.select(F.col("name").alias("mirrorName"), F.lit(True).alias("_n")).distinct()
-    status = F.when(~F.col("isActive"), "source_inactive").when(F.col("_u") & F.col("_n"), "present").when(F.col("_u"), "url_taken").when(F.col("_n"), "name_taken").otherwise("missing")
-    return wanted.join(by_url, "mirrorUrl", "left").join(by_name, "mirrorName", "left").select("id", "mirrorUrl", status.alias("status"))
+def mirror_plan(feeds: DataFrame, configured: DataFrame, apply: bool = False, prefix: str = "Mirror ") -> DataFrame:
+    """(id, query, mirrorName, mirrorUrl, status): what to do about the mirror of each feed, and of each configured query (id, query).
+
+    A feed's query is its name. A mirror that is there, by address before name, stays, or is to be made active again; a
+    configured query that a feed has already plans nothing. Feeds named with the prefix are mirrors themselves.
+    """
+    comparable = lambda c: F.lower(F.trim(F.regexp_replace(c, "\\s+", " ")))
+    own = feeds.where(~F.col("name").startswith(prefix)).select("id", comparable("name").alias("query"), F.lit(False).alias("repeated"))
+    held = own.select("query", F.lit(True).alias("_held")).distinct()
+    asked = configured.select("id", comparable("query").alias("query")).join(held, "query", "left").select("id", "query", F.coalesce("_held", F.lit(False)).alias("repeated"))
+    wanted = own.unionByName(asked).withColumns({"mirrorName": F.concat(F.lit(prefix), "query"), "mirrorUrl": F.concat(F.lit("https://mirror.example.com/search?q="), F.url_encode("query"))})
+    there = lambda c, k, v: feeds.groupBy(comparable(c).alias(k)).agg(F.bool_or("isActive").alias(v))
+    met = wanted.withColumns({"_u": comparable("mirrorUrl"), "_n": comparable("mirrorName")}).join(there("rssUrl", "_u", "_url"), "_u", "left").join(there("name", "_n", "_name"), "_n", "left")
+    again, fresh = ("pending_reactivate", "pending_create") if apply else ("would_reactivate_inactive", "would_create")
+    status = F.when(F.coalesce("query", F.lit("")) == "", "skipped").when(F.col("repeated"), "already_planned_by_database_feed")
+    for found, name in (("_url", "already_exists_by_url"), ("_name", "already_exists_by_name")):
+        status = status.when(~F.col(found), again).when(F.col(found), name)
+    return met.select("id", "query", "mirrorName", "mirrorUrl", status.otherwise(fresh).alias("status"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.functions.text import inferred_keywords
+from feedlens.functions.text import STOP_WORDS, inferred_keywords
 from feedlens.operators import reports
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, table, with_roles
@@ -164,31 +164,44 @@ def agg14(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "AGG15_dashboard",
     with_roles(
-        "SELECT (SELECT count(*) FROM articles) AS articles, (SELECT count(*) FROM articles WHERE isDuplicate) AS duplicates, (SELECT count(*) FROM articles WHERE fetchStatus = 'pending') AS pending, (SELECT count(*) FROM feeds) AS feeds, (SELECT count(*) FROM feeds WHERE isActive) AS active_feeds, (SELECT count(*) FROM feeds WHERE lastStatus = 'error') AS failing_feeds, 0 AS active_clusters",
+        """SELECT (SELECT count(*) FROM feeds) AS total_feeds, (SELECT count(*) FROM feeds WHERE isActive) AS active_feeds,
+(SELECT count(*) FROM feeds WHERE lastStatus = 'error' AND isActive) AS failed_feeds, (SELECT count(DISTINCT topic) FROM articles WHERE topic <> '') AS topics,
+(SELECT count(*) FROM articles WHERE pubDate >= TIMESTAMP '2024-12-30 00:00:00') AS articles_today, 0 AS active_clusters,
+(SELECT count(*) FROM articles WHERE isDuplicate) AS duplicates_hidden, (SELECT strftime(max(startedAt), '%Y-%m-%d %H:%M:%S') FROM poll_logs) AS latest_poll_at""",
         "articles",
         "feeds",
+        "poll_logs",
     ),
 )
 def agg15(spark: SparkSession, sf: str) -> DataFrame:
-    a = role(spark, sf, "articles").agg(F.count("*").alias("articles"), F.count_if("isDuplicate").alias("duplicates"), F.count_if(F.col("fetchStatus") == "pending").alias("pending"))
-    f = role(spark, sf, "feeds").agg(F.count("*").alias("feeds"), F.count_if("isActive").alias("active_feeds"), F.count_if(F.col("lastStatus") == "error").alias("failing_feeds"))
-    return a.crossJoin(F.broadcast(f)).withColumn("active_clusters", F.lit(0))
+    """One pass over each table; the day is the last one of the test articles."""
+    today = F.lit("2024-12-30 00:00:00").cast("timestamp")
+    a = role(spark, sf, "articles").agg(F.count_distinct(F.nullif("topic", F.lit(""))).alias("topics"), F.count_if(F.col("pubDate") >= today).alias("articles_today"), F.count_if("isDuplicate").alias("duplicates_hidden"))
+    f = role(spark, sf, "feeds").agg(F.count("*").alias("total_feeds"), F.count_if("isActive").alias("active_feeds"), F.count_if((F.col("lastStatus") == "error") & F.col("isActive")).alias("failed_feeds"))
+    polled = role(spark, sf, "poll_logs").agg(F.date_format(F.max("startedAt"), "yyyy-MM-dd HH:mm:ss").alias("latest_poll_at"))
+    return a.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(polled)).withColumn("active_clusters", F.lit(0))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower({x}), '^[^a-z0-9]+', ''), '^(breaking|watch|analysis|live|update):\s+', ''), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2 AND w NOT IN (" + _STOP + "))"
 
 
 @query(
     "AGG16_trends",
     with_roles(
         """, newest AS (SELECT * FROM articles WHERE pubDate >= TIMESTAMP '2024-12-01' ORDER BY pubDate DESC, createdAt DESC, id LIMIT 400),
-labels AS (SELECT DISTINCT id, source, lower(w) AS key FROM (SELECT id, source, topic AS w FROM newest UNION ALL SELECT id, source, unnest(string_split(title, ' ')) FROM newest))
-SELECT key, count(*) AS n, count(DISTINCT source) AS sources, count(*) * 1 + 0.5 * count(DISTINCT source) AS score FROM labels
-WHERE length(key) >= 4 AND key NOT IN ('news', 'alert', 'alerts', 'world', 'tech', 'report', 'update', 'company', 'industry', 'article', 'monitoring') GROUP BY key ORDER BY score DESC, key LIMIT 12""",
+t AS (SELECT id, """
+        + _TOKENS.format(x="concat_ws(' ', title, contentSnippet, topic)")
+        + """ AS w FROM newest), u AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM t),
+five AS (SELECT id, w FROM (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(p)) AS r FROM u GROUP BY id, w) WHERE r <= 5),
+labels AS (SELECT id, lower(trim(w)) AS key FROM five UNION SELECT id, lower(trim(topic)) FROM newest)
+SELECT '30d-' || regexp_replace(key, '\\s+', '-', 'g') AS id, key, count(*) AS n, count(DISTINCT source) AS sources, string_agg(l.id, ',' ORDER BY l.id) AS ids, count(*) * 1 + 0.5 * count(DISTINCT source) AS score
+FROM labels l JOIN newest USING (id) WHERE length(key) >= 4 AND key NOT IN ('news', 'alert', 'alerts', 'world', 'tech', 'report', 'update', 'company', 'industry', 'article', 'monitoring') GROUP BY key ORDER BY score DESC, key LIMIT 12""",
         "articles",
     ),
 )
 def agg16(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels here are the topic and all title words; reports.trends takes any label column."""
-    a = role(spark, sf, "articles").withColumn("labels", F.array_union(F.array("topic"), F.split("title", " ")))
-    return reports.trends(a, "labels", "2024-12-01", days=30)
+    return reports.trends(role(spark, sf, "articles"), "30d", 30, "2024-12-01")
 
 
 @query("AGG17_retention_counts", with_roles(f"SELECT count(*) FILTER (WHERE feedId NOT IN ('src0', 'src5') AND pubDate < CAST('{AS_OF}' AS timestamp) - INTERVAL 180 DAY) AS standard, count(*) FILTER (WHERE feedId IN ('src0', 'src5') AND pubDate < CAST('{AS_OF}' AS timestamp) - INTERVAL 300 DAY) AS extended FROM articles", "articles"))
@@ -214,7 +227,11 @@ def agg19(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "AGG20_vendor_activity",
     with_roles(
-        f"SELECT feedId, CAST(max(pubDate) AS VARCHAR) AS latest, count(*) FILTER (WHERE pubDate >= CAST('{AS_OF}' AS timestamp) - INTERVAL 90 DAY) AS recent, CASE WHEN max(pubDate) >= CAST('{AS_OF}' AS timestamp) - INTERVAL 7 DAY THEN 40 WHEN max(pubDate) >= CAST('{AS_OF}' AS timestamp) - INTERVAL 30 DAY THEN 25 ELSE 5 END + least(count(*), 30) AS score FROM articles GROUP BY feedId",
+        f""", g AS (SELECT feedId, max(pubDate) AS last, count(*) FILTER (WHERE pubDate >= CAST('{AS_OF}' AS timestamp) - INTERVAL 365 DAY) AS year,
+count(*) FILTER (WHERE pubDate >= CAST('{AS_OF}' AS timestamp) - INTERVAL 730 DAY) AS two_years, CAST(least(6, ceil(count(*) / 10)) AS BIGINT) AS archive_depth FROM articles GROUP BY feedId)
+SELECT feedId, CAST(last AS VARCHAR) AS latest, year, two_years, archive_depth,
+CASE WHEN last >= CAST('{AS_OF}' AS timestamp) - INTERVAL 30 DAY THEN 40 WHEN last >= CAST('{AS_OF}' AS timestamp) - INTERVAL 90 DAY THEN 28 WHEN last >= CAST('{AS_OF}' AS timestamp) - INTERVAL 180 DAY THEN 18 WHEN last >= CAST('{AS_OF}' AS timestamp) - INTERVAL 365 DAY THEN 10 ELSE 0 END
++ least(30, year * 2) + least(20, two_years - year) + least(10, archive_depth * 2) AS score FROM g""",
         "articles",
     ),
 )
@@ -222,9 +239,16 @@ def agg20(spark: SparkSession, sf: str) -> DataFrame:
     return reports.activity(role(spark, sf, "articles"), "feedId", AS_OF)
 
 
-@query("AGG21_term_coverage", with_roles(" UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (WHERE contains(lower(title), '{t}')) AS matching, coalesce(sum(textLength) FILTER (WHERE contains(lower(title), '{t}')), 0)::BIGINT AS total FROM articles" for t in ("the", "ung", "tion", "zzz")), "articles"))
+_TERMS = ("the", "ung", "tion", "zzz")
+_EXAMPLES = "coalesce((SELECT string_agg(id, ',' ORDER BY textLength DESC, id) FROM (SELECT id, textLength FROM articles WHERE contains(lower(title), '{t}') ORDER BY textLength DESC, id LIMIT 5)), '')"
+
+
+@query(
+    "AGG21_term_coverage",
+    with_roles(" UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (WHERE contains(lower(title), '{t}')) AS matching, coalesce(sum(textLength) FILTER (WHERE contains(lower(title), '{t}')), 0)::BIGINT AS total, {_EXAMPLES.format(t=t)} AS examples FROM articles" for t in _TERMS), "articles"),
+)
 def agg21(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.term_coverage(role(spark, sf, "articles"), ["the", "ung", "tion", "zzz"], "textLength")
+    return reports.term_coverage(role(spark, sf, "articles"), list(_TERMS), "textLength")
 
 
 @query("AGG22_states", with_roles("SELECT count(*) FILTER (WHERE isActive AND lastStatus = 'success') AS healthy, count(*) FILTER (WHERE lastStatus = 'error') AS failing, count(*) FILTER (WHERE NOT isActive) AS inactive FROM feeds", "feeds"))
@@ -232,11 +256,25 @@ def agg22(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "feeds").agg(F.count_if(F.expr("isActive and lastStatus = 'success'")).alias("healthy"), F.count_if(F.col("lastStatus") == "error").alias("failing"), F.count_if(~F.col("isActive")).alias("inactive"))
 
 
-@query("AGG23_subgroups", with_roles("SELECT g AS subgroup, count(*) AS total, count(*) FILTER (WHERE direct) AS direct, count(*) FILTER (WHERE NOT direct) AS hybrid FROM (SELECT 'banknote' AS g, contains(lower(title), 'new banknote') AS direct FROM news WHERE contains(lower(title), 'banknote') UNION ALL SELECT 'passport', contains(lower(title), 'biometric') FROM news WHERE contains(lower(title), 'passport')) GROUP BY g", "news"))
+_SUBGROUPS = (("banknote", "new banknote"), ("passport", "biometric"), ("security", "security printing"))
+_SUBGROUP_ROWS = " UNION ALL ".join(f"SELECT id, lower(title) AS t, '{g}' AS g, contains(lower(title), '{d}') AS direct FROM news WHERE contains(lower(title), '{g}')" for g, d in _SUBGROUPS)
+
+
+@query(
+    "AGG23_subgroups",
+    with_roles(
+        f"""SELECT g AS subgroup, count(*) AS total, count(*) FILTER (WHERE direct) AS direct, count(*) FILTER (WHERE NOT direct) AS hybrid, count(*) FILTER (WHERE k > 1) AS overlap,
+count(*) FILTER (WHERE contains(t, 'auction') OR contains(t, 'ranking')) AS likely_false_positives FROM (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM ({_SUBGROUP_ROWS})) GROUP BY g""",
+        "news",
+    ),
+)
 def agg23(spark: SparkSession, sf: str) -> DataFrame:
     t = F.lower("title")
-    found = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.struct(F.lit(w).alias("g"), F.contains(t, F.lit(d)).alias("direct"))) for w, d in (("banknote", "new banknote"), ("passport", "biometric"))]))
-    return role(spark, sf, "news").select(F.explode(found).alias("x")).groupBy(F.col("x.g").alias("subgroup")).agg(F.count("*").alias("total"), F.count_if("x.direct").alias("direct"), F.count_if(~F.col("x.direct")).alias("hybrid"))
+    found = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.struct(F.lit(w).alias("g"), F.contains(t, F.lit(d)).alias("direct"))) for w, d in _SUBGROUPS]))
+    rows = role(spark, sf, "news").select(t.alias("t"), found.alias("found")).select("t", (F.size("found") > 1).alias("overlaps"), F.explode("found").alias("x"))
+    doubtful = F.contains("t", F.lit("auction")) | F.contains("t", F.lit("ranking"))
+    counts = [F.count("*").alias("total"), F.count_if("x.direct").alias("direct"), F.count_if(~F.col("x.direct")).alias("hybrid"), F.count_if("overlaps").alias("overlap"), F.count_if(doubtful).alias("likely_false_positives")]
+    return rows.groupBy(F.col("x.g").alias("subgroup")).agg(*counts)
 
 
 @query("AGG24_changed_by_feed", with_roles("SELECT feedId, count(*) AS changed FROM articles WHERE topic IS DISTINCT FROM CASE WHEN contains(lower(title), 'on') THEN 'Banknotes' ELSE topic END GROUP BY feedId ORDER BY changed DESC, feedId", "articles"))

@@ -149,11 +149,21 @@ def snk18(spark: SparkSession, sf: str) -> DataFrame:
     return read("nation").where("n_regionkey in (1, 2) and n_nationkey > 3").join(there, "n_nationkey", "left_anti").select(F.col("n_nationkey").cast("bigint").alias("id"))
 
 
-@query("SNK20_mirror_plan", with_roles("SELECT id, CASE WHEN NOT isActive THEN 'source_inactive' WHEN id = 'src1' THEN 'name_taken' ELSE 'missing' END AS status FROM feeds", "feeds"))
+@query(
+    "SNK20_mirror_plan",
+    with_roles(
+        """SELECT id, CASE id WHEN 'src1' THEN 'already_exists_by_name' WHEN 'src2' THEN 'would_reactivate_inactive' WHEN 'src4' THEN 'already_exists_by_url' WHEN 'src5' THEN 'would_reactivate_inactive' ELSE 'would_create' END AS status FROM feeds
+UNION ALL SELECT * FROM (VALUES ('c1', CASE WHEN EXISTS (SELECT 1 FROM feeds WHERE id = 'src6') THEN 'already_planned_by_database_feed' ELSE 'would_create' END), ('c2', 'would_create'), ('c3', 'skipped'))""",
+        "feeds",
+    ),
+)
 def snk20(spark: SparkSession, sf: str) -> DataFrame:
     f = role(spark, sf, "feeds")
-    taken = f.where("id = 'src1'").withColumns({"id": F.lit("m1"), "name": F.lit("Mirror Feed src1"), "rssUrl": F.lit("https://other.example.com")})
-    return merge.mirror_plan(f.unionByName(taken)).select("id", "status")
+    url = "https://mirror.example.com/search?q=feed+"
+    mirrors = {"src1": ("Mirror Feed src1", "https://other.example.com/1", True), "src2": ("Mirror two", url + "src2", False), "src4": ("Mirror four", url + "src4", True), "src5": ("Mirror Feed src5", "https://other.example.com/5", False)}
+    taken = spark.createDataFrame([(f"m-{k}", *v) for k, v in mirrors.items()], "id string, name string, rssUrl string, isActive boolean")
+    configured = spark.createDataFrame([("c1", " Feed  SRC6"), ("c2", "polymer notes"), ("c3", " ")], "id string, query string")
+    return merge.mirror_plan(f.select("id", "name", "rssUrl", "isActive").unionByName(taken), configured).select("id", "status")
 
 
 @query("SNK21_legacy_cleanup", with_roles("SELECT f.id FROM feeds f JOIN nation n ON f.id = 'src' || CAST(n.n_nationkey AS VARCHAR) WHERE contains(f.rssUrl, 'src1') AND n.n_regionkey = 1", "feeds"))

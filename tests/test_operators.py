@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from feedlens.functions import text as T
-from feedlens.operators import matching, merge, paging, rules
+from feedlens.operators import filters, matching, merge, paging, reports, rules
 from feedlens.operators.filters import ArticleQuery, predicate
 from feedlens.sources import html
 
@@ -139,3 +139,22 @@ def test_import_cap(spark):
     out = {r.n: r.outcome for r in merge.import_outcomes(rows, spark.createDataFrame([("0",)], "key string"), "key", "n", F.col("n") != 2, 2).collect()}
     assert [out[k] for k in range(6)] == ["duplicate_of_stored", "added", "invalid", "added", "over_cap", "over_cap"] and out[7] == "duplicate_in_batch"
     assert {r.outcome for r in merge.import_outcomes(rows, spark.createDataFrame([], "key string"), "key", "n", F.lit(True), 0).collect()} == {"over_cap", "duplicate_in_batch"}
+
+
+def test_signals_by_name():
+    assert filters.signal_keywords(" identity-theft ") == ("identity theft", "stolen identity")
+    assert filters.signal_keywords("no such signal") == () == filters.signal_keywords(None)
+
+
+def test_mirror_plan_to_be_applied(spark):
+    feeds = spark.createDataFrame([("a", "Mint News", "https://a.example.com", True), ("m", "Mirror mint news", "https://m.example.com", False)], "id string, name string, rssUrl string, isActive boolean")
+    asked = spark.createDataFrame([("c", "MINT news"), ("d", "coins"), ("e", None)], "id string, query string")
+    found = {r["id"]: r["status"] for r in merge.mirror_plan(feeds, asked, apply=True).collect()}
+    assert found == {"a": "pending_reactivate", "c": "already_planned_by_database_feed", "d": "pending_create", "e": "skipped"}
+
+
+def test_trend_words_of_long_and_missing_texts(spark):
+    rows = [("1", "s1", "Banknotes", "polymer", "mint " * 3000, "2024-12-05"), ("2", "s2", "Banknotes", None, None, "2024-12-06"), ("3", "s2", None, "polymer", "", "2024-11-01")]
+    articles = spark.createDataFrame(rows, "id string, source string, topic string, title string, contentSnippet string, day string").selectExpr("*", "timestamp(day) as pubDate", "timestamp(day) as createdAt")
+    found = {r["key"]: (r["id"], r["n"], r["sources"], r["ids"], r["score"]) for r in reports.trends(articles, "7d", 7, "2024-12-01").collect()}
+    assert found == {"banknotes": ("7d-banknotes", 2, 2, "1,2", 3.0), "polymer": ("7d-polymer", 1, 1, "1", 1.5), "mint": ("7d-mint", 1, 1, "1", 1.5)}
