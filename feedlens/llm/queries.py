@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality, secrets, substring_dedup
+from feedlens.llm import (
+    chat, decontaminate, language, licenses, line_dedup, merkle, mixing, near_dedup, pii, quality, secrets, substring_dedup, vector_codes
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +137,97 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_pii, op3_license_scans)}
+
+
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.identified(docs, language.learned(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_language_id, op12_merkle_manifest, op13_vector_codes)}
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """The manifest with its levels written out, for up to 16 ** levels rows a source and as many sources."""
+
+    def shown(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in fields)
+
+    def others(k: int, name: str) -> str:
+        """Of each node of a level: its run's other digests before it, after it, its parent, and whether it has one."""
+        run = "PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN"
+        return f"""{name}{k}o AS MATERIALIZED (SELECT g, pos, d, n > 1 AS up,
+          CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS b,
+          CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS a
+          FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}{k}))"""
+
+    def tree(name: str) -> list[str]:
+        out = []
+        for k in range(levels):
+            out.append(others(k, name))
+            out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT g, pos // 16 AS pos, CASE WHEN bool_or(up) THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d
+          FROM {name}{k}o GROUP BY g, pos // 16)""")
+        return out
+
+    def fold(k: int, before: str, name: str, at: str, group: str) -> str:
+        return f"""{before}{name}{k} AS MATERIALIZED (SELECT f.* REPLACE (f.proof || o.b || o.a AS proof, CASE WHEN o.up THEN sha256(o.b || f.now || o.a) ELSE f.now END AS now)
+          FROM {before}{name}{k - 1} f JOIN {name}{k - 1}o o ON o.g IS NOT DISTINCT FROM {group} AND o.pos = {at} // {16 ** (k - 1)})"""
+
+    crc = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, 8 * length(doc_id::VARCHAR)),
+      lambda i: ((ord(substr(doc_id::VARCHAR, i // 8 + 1, 1)) >> (i % 8)::INT) & 1)::BIGINT)), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"hashed AS MATERIALIZED (SELECT doc_id, source AS g, sha256({shown('text')}) AS d, CASE WHEN {crc} % 5 = 0 THEN sha256({shown(lowered)}) END AS t FROM documents)",
+        "leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS pos FROM hashed)",
+        "l0 AS MATERIALIZED (SELECT g, pos, d FROM leaves)", *tree("l"),
+        f"tops AS MATERIALIZED (SELECT g AS source, d, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS pos FROM l{levels})",
+        "t0 AS MATERIALIZED (SELECT 0 AS g, pos, d FROM tops)", *tree("t"),
+        "xl0 AS MATERIALIZED (SELECT doc_id, g, pos, d, coalesce(t, d) AS now, '' AS proof FROM leaves)",
+        *[fold(k, "x", "l", "f.pos", "f.g") for k in range(1, levels + 1)],
+        f"yt0 AS MATERIALIZED (SELECT f.*, p.pos AS top, p.d AS subroot FROM xl{levels} f JOIN tops p ON p.source IS NOT DISTINCT FROM f.g)",
+        *[fold(k, "y", "t", "f.top", "0") for k in range(1, levels + 1)],
+    ]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT y.doc_id, y.d AS leaf, y.subroot, r.d AS root, sha256(y.proof) AS proof_sha256, y.now AS folded_root, y.now = r.d AS verified FROM yt{levels} y, t{levels} r"""
+
+
+def codes_sql(rule: vector_codes.Codes = vector_codes.Codes()) -> str:
+    """The codes with their rounds written out."""
+    away = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))"
+    floor = f"list_transform(embedding, lambda x: floor({rule.scale} * x::DOUBLE)::BIGINT)"
+    good = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT vec_id, label, {floor} AS x, row_number() OVER (ORDER BY vec_id NULLS LAST, {floor}) AS row FROM embeddings WHERE {good})",
+        f"""parts AS MATERIALIZED (SELECT row, k AS part, x[(k * len(x) // {rule.parts} + 1):((k + 1) * len(x) // {rule.parts})] AS x
+      FROM kept, (SELECT unnest(range(0, {rule.parts})) AS k))""",
+        f"c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM parts WHERE row <= {rule.entries})",
+    ]
+    for k in range(rule.rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT row, part, min(struct_pack(away := away, entry := entry)) AS m FROM (
+      SELECT p.row, p.part, c.entry, coalesce({away}, 0)::BIGINT AS away FROM parts p JOIN c{k} c ON c.part = p.part) GROUP BY row, part)""")
+        steps.append(f"""c{k + 1} AS MATERIALIZED (WITH used AS (
+        SELECT a.part, a.m.entry AS entry, i, floor(sum(p.x[i]) / count(*))::BIGINT AS v
+        FROM a{k} a JOIN parts p ON p.row = a.row AND p.part = a.part, unnest(range(1, len(p.x) + 1)) AS u(i) GROUP BY a.part, a.m.entry, i
+      ), means AS (SELECT part, entry, list(v ORDER BY i) AS x FROM used GROUP BY part, entry)
+      SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN means m ON m.part = c.part AND m.entry = c.entry)""")
+    last = rule.rounds
+    return "WITH " + ",\n".join(steps) + f""", books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{last}
+), coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', a.m.entry), '' ORDER BY a.part) AS code, sum(a.m.away)::BIGINT AS error
+  FROM a{last} a JOIN kept k ON k.row = a.row GROUP BY k.row, k.vec_id, k.label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
+
+
+ORACLES["op12_merkle_manifest"] = merkle_sql()
+ORACLES["op13_vector_codes"] = codes_sql()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -150,3 +152,101 @@ def quality(text: str | None) -> tuple:
     full = [x for x in t.split("\n") if WORD.search(x)]
     failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(again), failed
+
+
+def merkle_root(nodes: list[str]) -> str:
+    while len(nodes) > 1:
+        nodes = [sha("".join(nodes[k : k + 16])) for k in range(0, len(nodes), 16)]
+    return nodes[0]
+
+
+def merkle_way(nodes: list[str], at: int) -> list[tuple[int, list[str]]]:
+    found = []
+    while len(nodes) > 1:
+        run = at // 16 * 16
+        found.append((at % 16, [x for k, x in enumerate(nodes[run : run + 16]) if k != at % 16]))
+        nodes, at = [sha("".join(nodes[k : k + 16])) for k in range(0, len(nodes), 16)], at // 16
+    return found
+
+
+def merkle(rows: list[tuple]) -> list[tuple]:
+    """rows: doc_id, source, lang, n_chars, text."""
+
+    def leaf(values) -> str:  # noqa: ANN001
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    groups = defaultdict(list)
+    for r in rows:
+        changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+        groups[r[1]].append((r[0], leaf(r), leaf([*r[:4], r[4] and r[4].translate(LOWER)]) if changed else None))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in groups.values():
+        g.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    tops = [merkle_root([x[1] for x in groups[g]]) for g in order]
+    out = []
+    for k, g in enumerate(order):
+        for at, (doc, own, other) in enumerate(groups[g]):
+            way = merkle_way([x[1] for x in groups[g]], at) + merkle_way(tops, k)
+            now = other or own
+            for place, others in way:
+                now = sha("".join([*others[:place], now, *others[place:]]))
+            root = merkle_root(tops)
+            out.append((doc, own, tops[k], root, sha("".join(x for _, o in way for x in o)), now, now == root))
+    return out
+
+
+def vector_codes(rows: list[tuple]) -> list[tuple]:
+    """rows: vec_id, vector, label; all in Python integers."""
+    kept = [(i, [math.floor(4096 * x) for x in v], lab) for i, v, lab in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    width = len(kept[0][1]) // 8
+    parts = [[r[1][k * width : (k + 1) * width] for k in range(8)] for r in kept]
+    books = [[p[k] for p in parts[:16]] for k in range(8)]
+
+    def near(x: list, book: list) -> tuple:
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), e) for e, c in enumerate(book))
+
+    for _ in range(6):
+        for k, book in enumerate(books):
+            of = defaultdict(list)
+            for p in parts:
+                of[near(p[k], book)[1]].append(p[k])
+            books[k] = [[sum(c) // len(c) for c in zip(*of[e], strict=True)] if e in of else book[e] for e in range(len(book))]
+    found = [[near(p[k], books[k]) for k in range(8)] for p in parts]
+    total = Counter()
+    for r, f in zip(kept, found, strict=True):
+        total[r[2]] += sum(d for d, _ in f)
+    digest = sha(",".join(str(x) for b in books for c in b for x in c))
+    return [(r[0], "".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f), total[r[2]], digest) for r, f in zip(kept, found, strict=True)]
+
+
+def gram_counts(text: str) -> Counter:
+    found = Counter()
+    for word in re.findall(r"[^\W\d_]+", text):
+        padded = f" {''.join(c.lower() if len(c.lower()) == 1 else c for c in word)} "
+        for n in (1, 2, 3):
+            found.update(padded[k : k + n] for k in range(len(padded) - n + 1) if padded[k : k + n] != " ")
+    return found
+
+
+def languages(learn: list[tuple], texts: list, size: int) -> list[tuple]:
+    """learn: text, lang; ranks of n-grams by count, then by their characters, a shorter one's missing characters last."""
+    counts = defaultdict(Counter)
+    for text, lang in learn:
+        if text is not None and lang is not None:
+            counts[lang] += gram_counts(text)
+
+    def ranked(c: Counter) -> list:
+        return sorted(c, key=lambda g: (-c[g], [0 if x == " " else ord(x) for x in g] + [(1 << 21) - 1] * (3 - len(g))))[:size]
+
+    known = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in sorted(counts.items()) if c}
+    out = []
+    for text in texts:
+        own = ranked(gram_counts(text or ""))
+        if not own or not known:
+            out.append(("und", 0.0))
+            continue
+        away = sorted((sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)), lang) for lang, p in known.items())
+        rest = away[1][0] if len(away) > 1 else len(own) * size
+        out.append((away[0][1], 1 - away[0][0] / rest if rest else 0.0))
+    return out
