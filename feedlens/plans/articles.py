@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlens.operators import paging
+from feedlens.operators import paging, ranges
 from feedlens.operators.filters import ArticleQuery, all_of, backlog, expired, holds, predicate, resolve_feed, search_predicate, source_health, wishlisted
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, table, with_roles
@@ -227,12 +227,28 @@ def set3(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "articles").groupBy(key.alias("key")).agg(F.min("n").alias("n"))
 
 
-@query("SET4_date_ranges", "SELECT k AS part, strftime(DATE '2024-01-01' + CAST(k * 90 AS INTEGER), '%Y-%m-%d') AS first, strftime(least(DATE '2024-01-01' + CAST(k * 90 + 89 AS INTEGER), DATE '2024-12-31'), '%Y-%m-%d') AS last FROM (SELECT unnest(range(0, 5)) AS k)")
-def set4(spark: SparkSession, sf: str) -> DataFrame:
-    """The non-overlapping windows of at most 90 days that cover a scope."""
-    from feedlens.functions.text import history_windows
+_BOUND = "greatest(20, (SELECT count(*) FROM articles) // 9)"
+_HALVED = f""", bound AS (SELECT {_BOUND} AS b), days AS (SELECT CAST(pubDate AS DATE) AS d, count(*) AS c FROM articles WHERE pubDate IS NOT NULL GROUP BY 1),
+sizes AS (SELECT a.lo, b.hi, (SELECT coalesce(sum(c), 0) FROM days WHERE d BETWEEN a.lo AND b.hi) AS n FROM
+  (SELECT DATE '2024-01-01' + CAST(k AS INTEGER) AS lo FROM (SELECT unnest(range(0, 366)) AS k)) a, (SELECT DATE '2024-01-01' + CAST(k AS INTEGER) AS hi FROM (SELECT unnest(range(0, 366)) AS k)) b WHERE a.lo <= b.hi),
+r AS (SELECT DATE '2024-01-01' AS lo, DATE '2024-12-31' AS hi
+  UNION ALL SELECT CASE h WHEN 0 THEN r.lo ELSE r.lo + CAST((r.hi - r.lo) // 2 + 1 AS INTEGER) END, CASE h WHEN 0 THEN r.lo + CAST((r.hi - r.lo) // 2 AS INTEGER) ELSE r.hi END
+  FROM r JOIN sizes s ON s.lo = r.lo AND s.hi = r.hi, bound, (SELECT unnest([0, 1]) AS h) WHERE s.n > b AND r.hi - r.lo > 7),
+f AS (SELECT r.lo, r.hi, s.n, s.n > b AS over FROM r JOIN sizes s ON s.lo = r.lo AND s.hi = r.hi, bound WHERE NOT (s.n > b AND r.hi - r.lo > 7) AND s.n > 0),
+k AS (SELECT f.*, row_number() OVER (PARTITION BY CASE WHEN coalesce(canonicalLink, '') <> '' THEN 'canonical:' || canonicalLink ELSE 'id:' || id END ORDER BY f.lo, {NEWEST}) AS r FROM articles a JOIN f ON CAST(a.pubDate AS DATE) BETWEEN f.lo AND f.hi)
+SELECT strftime(lo, '%Y-%m-%d') AS first, strftime(hi, '%Y-%m-%d') AS last, any_value(n)::BIGINT AS n, bool_or(over) AS over, count(*) FILTER (WHERE r = 1) AS kept FROM k GROUP BY lo, hi"""
+
 
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(history_windows("2024-01-01", "2024-12-31", 90))], "part bigint, first string, last string")
+@query("SET4_date_ranges", with_roles(_HALVED, "articles").replace("WITH articles", "WITH RECURSIVE articles", 1))
+def set4(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranges that a year is halved into so that none holds more than a ninth of all articles, and what each adds to the union."""
+    a = role(spark, sf, "articles")
+    bound = max(20, a.count() // 9)
+    days = ranges.day_ranges(a, "pubDate", "2024-01-01", "2024-12-31", bound)
+    sizes = days.groupBy("lo", "hi").agg(F.max("n").alias("n"), F.bool_or("over").alias("over"))
+    kept = ranges.complete(a, "2024-01-01", "2024-12-31", bound).groupBy("lo", "hi").agg(F.count("*").alias("kept"))
+    met = sizes.join(kept, ["lo", "hi"], "left")
+    return met.select(F.col("lo").cast("string").alias("first"), F.col("hi").cast("string").alias("last"), "n", "over", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 @query("SET5_label_sets", with_roles("SELECT id, len(list_distinct(list_concat(k, ['en', 'vendors'])))::BIGINT AS n_union, len(list_filter(k, lambda x: x <> 'en'))::BIGINT AS n_except, list_has_any(k, ['fr', 'src1']) AS overlaps FROM (SELECT id, string_split(keywords, ',') AS k FROM articles)", "articles"))

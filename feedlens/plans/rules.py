@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.operators import matching, relevance, rules
+from feedlens.operators import matching, relevance, rules, source_rules
 from feedlens.operators.filters import any_of
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, with_roles
@@ -64,13 +64,80 @@ def rul5(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "news").select("id", gate["reason"].alias("reason"))
 
 
-GATES = (relevance.FeedGate("feed src9", ("weather report",), "emergency_dispatch_alert_context"),)
+#: Authored openings of articles, by number, so that every reason of the default stream occurs.
+STORIES = (
+    ("Gas leak in the old town", "Fire brigade units were sent out."), ("Officers hold traveller on open warrant", "An arrest at the crossing."),
+    ("Joint operation seizes cocaine", "Narcotics found on a ferry."), ("Schools get new buildings", "Funding was announced."),
+    ("Banknotes with bright colours", "A hobby clip."), ("Central bank issues polymer banknotes", "The series enters circulation."),
+    ("Guide to banknote values", "For every collector."), ("Police arrest man over banknotes", "A suspect was held, the notes were printed at home."),
+    ("Digital identity platform launched", "A partnership for the rollout."), ("Smart-home display gets biometric check", "For each shared household."),
+    ("Airport tests biometric lanes", "Travellers try them."), ("Passport refused to convicted offender", "A court ruling."),
+    ("Embassy receives bid for passport", "The family requests it."), ("Ousted leader and the passport", "Extradition is discussed."),
+    ("Passport granted", "Ministry grants a new passport to a traveller."), ("New passports under a standard", "The authority signs a contract."),
+    ("Celebrity shows passport", "Holiday pictures."), ("City park opens", "Families attended."),
+    ("Border system deployment with biometric gates", "A warrant found by the passport platform at the border."),
+)
+_FEED_NAMES = ("OVD", "CBP Newsroom", "Frontex Newsroom", "Yukon DMV", "Bing Mirror", "Entry Exit System", "Paper Currency", "Driver Licence")
+_STORY = (
+    "SELECT n.id, s.title || ' ' || n.title AS title, s.snippet || ' ' || n.contentSnippet AS content, CASE WHEN n.n % 3 = 0 THEN n.link ELSE 'https://msn.com/news/vi-' || n.id END AS meta, "
+    "CASE n.n % 5 WHEN 0 THEN 'identity_documents passports' WHEN 1 THEN 'bank_notes' ELSE '' END AS stored, f.name || ' ' || n.feedName AS feed "
+    "FROM {news} n JOIN (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}', '{x}')" for k, (t, x) in enumerate(STORIES)) + f") AS v(k, title, snippet)) s ON n.n % {len(STORIES)} = s.k "
+    "JOIN (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate((*_FEED_NAMES, *["Newsroom"] * 5))) + f") AS v(k, name)) f ON n.n % {len(_FEED_NAMES) + 5} = f.k"
+)
+_LOWERED = "SELECT id, " + ", ".join(f"lower({c if c != 'content' else chr(39).join(['title || ', ' ', ' || content'])}) AS {c}" for c in relevance.FIELDS)
 
 
-@query("RUL6_default_stream", with_roles(relevance.sql(GATES), "news"))
+@query(
+    "RUL6_default_stream",
+    with_roles(
+        f", story AS ({_STORY.format(news='news')}), s AS ({_LOWERED} FROM story) SELECT id, {relevance.sql_case('accepted', 'true')} AS accepted, {relevance.sql_case('family', chr(39) * 2)} AS family, {relevance.sql_case('reason', chr(39) + 'family_neutral' + chr(39))} AS reason FROM s",
+        "news",
+    ),
+)
 def rul6(spark: SparkSession, sf: str) -> DataFrame:
-    rows = role(spark, sf, "news").withColumn("feedMeta", F.lower(F.concat_ws(" ", "feedName", "source")))
-    return rows.select("id", relevance.default_stream(GATES).alias("d")).select("id", "d.accepted", "d.reason")
+    story = spark.sql(_STORY, news=role(spark, sf, "news"))
+    fields = {c: F.col(c) for c in relevance.FIELDS} | {"content": F.concat_ws(" ", "title", "content")}
+    return story.select("id", relevance.default_stream(fields).alias("d")).select("id", "d.accepted", "d.family", "d.reason")
+
+
+_RULED_NAMES = tuple(dict.fromkeys(r[1] for r in source_rules.parsed(source_rules.RULES)))
+_RULED_FEEDS = "SELECT id, CASE id " + " ".join(f"WHEN 'src{k}' THEN '{x}'" for k, x in enumerate(_RULED_NAMES)) + " ELSE name END AS name, rssUrl FROM {feeds}"
+_RULED_NEWS = (
+    "SELECT id, title, contentSnippet, feedId, CASE WHEN n % 7 = 0 THEN 'Sponsored Desk' ELSE source END AS source, "
+    "CASE WHEN n % 50 = 0 THEN 'https://twitter.com/intent/tweet?url=' || link WHEN n % 11 = 0 THEN 'https://a.example/Events/' || id WHEN n % 13 = 0 THEN 'https://a.example/news/?print=1' "
+    "WHEN n % 17 = 0 THEN 'https://a.example/' ELSE link END AS link FROM {news}"
+)
+_RULE_ROWS = ", ".join(f"({r}, '{kind}', {at}, '{v}')" for r, _, kind, at, v in source_rules.parsed(source_rules.RULES))
+_SHARED = ", ".join(f"({k}, '{p}')" for k, p in enumerate(source_rules.SHARE_LINKS))
+_RULED_SQL = rf""", rule_rows(rule, class, place, v) AS (VALUES {_RULE_ROWS}), shared(place, v) AS (VALUES {_SHARED}),
+named AS ({_RULED_FEEDS.format(feeds="feeds")}), ruled AS (SELECT f.id AS feedId, min(k.rule) AS rule FROM named f JOIN rule_rows k ON k.class = 'key' AND contains(lower(f.name || ' ' || f.rssUrl), k.v) GROUP BY f.id),
+said AS ({_RULED_NEWS.format(news="news")}),
+a AS (SELECT s.*, r.rule, lower(title || ' ' || link) AS head, lower(title || ' ' || link || ' ' || contentSnippet) AS x,
+  coalesce(nullif(rtrim(regexp_replace(regexp_extract(lower(link), '^https?://[^/?#]*([^?#]*)', 1), '/+$', ''), '/'), ''), '/') AS path FROM said s LEFT JOIN ruled r USING (feedId)),
+m AS (SELECT a.id, k.class, k.place, k.v FROM a JOIN rule_rows k ON k.rule = a.rule WHERE CASE k.class
+    WHEN 'exact_path' THEN a.path = regexp_replace(k.v, '/+$', '') WHEN 'path' THEN contains(a.path, k.v) WHEN 'protected_path' THEN contains(a.path, k.v)
+    WHEN 'title' THEN contains(lower(a.title), k.v) WHEN 'link' THEN contains(lower(a.link), k.v)
+    WHEN 'override' THEN k.v = 'yes' WHEN 'key' THEN false
+    ELSE regexp_matches(CASE k.class WHEN 'publisher' THEN lower(a.source) WHEN 'protected' THEN a.head ELSE a.x END, '(^|[^a-z0-9])' || replace(replace(k.v, '-', '\-'), ' ', '[\s\-/&]+') || '([^a-z0-9]|$)') END),
+g AS (SELECT id, string_agg(CASE class WHEN 'exact_path' THEN 'path:' WHEN 'path' THEN 'path-pattern:' WHEN 'title' THEN 'title:' ELSE 'link-pattern:' END || v, ', '
+      ORDER BY CASE class WHEN 'exact_path' THEN 0 WHEN 'path' THEN 1 WHEN 'title' THEN 2 ELSE 3 END, place) FILTER (WHERE class IN ('exact_path', 'path', 'title', 'link')) AS pages,
+    string_agg(v, ', ' ORDER BY place) FILTER (WHERE class = 'publisher') AS publishers, string_agg(v, ', ' ORDER BY place) FILTER (WHERE class = 'protected') AS protected,
+    string_agg(v, ', ' ORDER BY place) FILTER (WHERE class = 'exclude') AS excluded, count(*) FILTER (WHERE class = 'include') AS included,
+    count(*) FILTER (WHERE class IN ('override', 'protected_path')) AS stands FROM m GROUP BY id),
+w AS (SELECT a.id, string_agg(s.v, ', ' ORDER BY s.place) AS shares FROM a JOIN shared s ON contains(lower(a.link), s.v) GROUP BY a.id),
+v AS (SELECT a.id, CASE WHEN shares IS NOT NULL THEN 'rejected-non-article-link:' || shares WHEN rule IS NULL THEN 'no-source-rule' WHEN pages IS NOT NULL THEN 'rejected-page:' || pages
+    WHEN publishers IS NOT NULL THEN 'excluded-publisher:' || publishers
+    WHEN protected IS NOT NULL AND (stands > 0 OR NOT EXISTS (SELECT 1 FROM rule_rows k WHERE k.rule = a.rule AND k.class = 'protected_path')) THEN 'protected-source-term:' || protected
+    WHEN excluded IS NOT NULL THEN 'excluded-term:' || excluded WHEN included > 0 THEN 'included-term' ELSE 'missing-allowlist-term' END AS reason
+  FROM a LEFT JOIN g USING (id) LEFT JOIN w USING (id))
+SELECT id, regexp_matches(reason, '^(no-source|protected|included)') AS accepted, reason FROM v"""
+
+
+@query("RUL4_rule_table", with_roles(_RULED_SQL, "news", "feeds"))
+def rul4_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source's rule from a table, with the reasons spelled out."""
+    feeds, news = spark.sql(_RULED_FEEDS, feeds=role(spark, sf, "feeds")), spark.sql(_RULED_NEWS, news=role(spark, sf, "news"))
+    return source_rules.assessed(news, feeds, source_rules.rule_table(spark)).select("id", "accepted", "reason")
 
 
 @query("RUL7_grouped_sources", with_roles("SELECT title, count(*) AS n, min(n) AS first_n FROM news WHERE source NOT IN ('src1', 'src2') GROUP BY title", "news"))
