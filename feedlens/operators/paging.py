@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlens.operators.contract import SnapshotError
+
 
 def canonical_key() -> Column:
     """lower(trim(first non-empty of canonical link, link, id))."""
@@ -44,22 +46,25 @@ def canonical_page(articles: DataFrame, matches: Column, number: int = 1, size:
 def numbered(rows: DataFrame, part: Column, *order: str) -> DataFrame:
     """rows with pos, their number from 1 in an order that `part` doesn't break (a day of a leading timestamp, say): numbers
     within each part plus the counts of the parts before, so that only one row a part meets in one task. Rows of a null
-    part are left out."""
+    part are numbered first."""
     dealt = rows.withColumn("_part", part)
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_own", own).join(before, "_part").withColumn("pos", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    return dealt.withColumn("_own", own).join(before.withColumnRenamed("_part", "_at"), F.col("_part").eqNullSafe(F.col("_at"))).drop("_at").withColumn("pos", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
-def composite(components: list[DataFrame]) -> DataFrame:
-    """Union of components, each canonical key from the first component that has it."""
+def composite(components: list[DataFrame], most: int | None = None) -> DataFrame:
+    """Union of components, each canonical key from the first component that has it; refuses more than `most` rows."""
     tagged = [c.withColumn("component", F.lit(k)) for k, c in enumerate(components)]
     every = tagged[0]
     for more in tagged[1:]:
         every = every.unionByName(more)
     order = Window.partitionBy("canonicalKey").orderBy("component", *newest_first())
-    return every.withColumn("canonicalKey", canonical_key()).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    one = every.withColumn("canonicalKey", canonical_key()).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    if most is not None and one.limit(most + 1).count() > most:
+        raise SnapshotError("composite_limit")
+    return one
 
 
 def append_page(before: DataFrame, page_rows: DataFrame) -> DataFrame:

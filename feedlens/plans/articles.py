@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlens.operators import paging, ranges
+from feedlens.operators import paging, ranges, snapshots
 from feedlens.operators.filters import ArticleQuery, all_of, backlog, expired, holds, predicate, resolve_feed, search_predicate, source_health, wishlisted
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, table, with_roles
@@ -212,7 +214,8 @@ _UNION = f"SELECT id, component, row_number() OVER (PARTITION BY {KEY} ORDER BY
 @query("SET1_composite", with_roles(f"SELECT id, component FROM ({_UNION}) WHERE r = 1", "articles"))
 def set1(spark: SparkSession, sf: str) -> DataFrame:
     a = role(spark, sf, "articles")
-    return paging.composite([a.where("topic = 'Banknotes'"), a.where(holds(F.col("title"), "de")), a.where(holds(F.col("title"), "on"))]).select("id", "component")
+    parts = [a.where("topic = 'Banknotes'"), a.where(holds(F.col("title"), "de")), a.where(holds(F.col("title"), "on"))]
+    return paging.composite(parts).select("id", "component")
 
 
 @query("SET2_append_page", with_roles("SELECT id FROM articles", "articles"))
@@ -326,3 +329,15 @@ def str8(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.orderBy(*paging.newest_first())
     items = role(spark, sf, "articles").where(all_of([predicate(ArticleQuery(topic="Banknotes"))])).orderBy(*paging.newest_first()).limit(5000).withColumn("pos", F.row_number().over(order).cast("bigint"))
     return paging.snapshot_page(items, 11, 20).select("id", "pos")
+
+
+@query("STR8_snapshot_store", with_roles(f"SELECT id, pos, total FROM (SELECT id, row_number() OVER (ORDER BY {NEWEST}) AS pos, least(count(*) OVER (), 5000) AS total FROM articles WHERE topic = 'Identity Documents') WHERE pos BETWEEN 21 AND 40", "articles"))
+def str8_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of a snapshot that the first page's request made."""
+    from feedlens.streaming.ingest import work_folder
+
+    store = snapshots.SnapshotStore(spark, f"{work_folder(spark)}/snapshots")
+    newest = lambda: role(spark, sf, "articles").where("topic = 'Identity Documents'").orderBy(*paging.newest_first()).limit(5000)
+    first = store.serve("documents", newest, limit=20)
+    page = store.serve("documents", None, first.id, 2, 20) if first.id else replace(first, rows=first.rows.limit(0))
+    return page.rows.select("id", "pos", F.lit(page.total).cast("bigint").alias("total"))

@@ -12,16 +12,17 @@ from feedlens.streaming import ingest
 
 
 def _run(spark: SparkSession, sf: str) -> tuple[ingest.Tables, int]:
-    """Lands the news items in three files, the last of which repeats the first, and ingests them one file a batch."""
+    """Lands the news items in three parts, the last of which repeats the first, and ingests each as one batch once it is there."""
     root = ingest.work_folder(spark)
     news = role(spark, sf, "news")
+    tables, last = ingest.Tables(f"{root}/tables"), -1
     for k, part in enumerate((news.where("n % 2 = 0"), news.where("n % 2 = 1"), news.where("n % 2 = 0"))):
-        part.coalesce(1).write.parquet(f"{root}/landing/part{k}")
-    landed = spark.readStream.schema(news.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/landing")
-    tables = ingest.Tables(f"{root}/tables")
-    done = ingest.ingest(landed, tables, SOURCE_RULES)
-    done.awaitTermination()
-    return tables, done.lastProgress["batchId"]
+        part.write.parquet(f"{root}/landing/part{k}")
+        landed = spark.readStream.schema(news.schema).option("recursiveFileLookup", "true").parquet(f"{root}/landing")
+        done = ingest.ingest(landed, tables, SOURCE_RULES)
+        done.awaitTermination()
+        last = max(last, done.lastProgress["batchId"])
+    return tables, last
 
 
 @query(
@@ -55,19 +56,62 @@ def str7(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(tables.changes).join(free, "id", "left_semi").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("STR4_late_windows", with_roles("SELECT CAST(date_trunc('day', startedAt) AS VARCHAR) AS day, status, count(*) AS n FROM poll_logs GROUP BY ALL", "poll_logs"))
-def str4(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily counts of the logs as a stream; every landed row counts, because the watermark is as long as the table."""
+def _settled(spark: SparkSession, rows: DataFrame, counted, mode: str = "complete") -> DataFrame:  # noqa: ANN001
+    """The rows as a stream of four files, one a batch, through `counted`; what the sink holds when all is processed."""
     root = ingest.work_folder(spark)
-    logs = role(spark, sf, "poll_logs").select("startedAt", "status")
-    logs.repartition(2, "status").write.parquet(f"{root}/logs")
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/logs")
-    counts = ingest.windowed_counts(stream, "startedAt", "1 day", "status", late="3650 days")
+    rows.repartition(4).write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/{number}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    done = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    done = counted(stream).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     done.awaitTermination()
-    last = spark.read.parquet(f"{root}/out/{done.lastProgress['batchId']}")
+    out = spark.read.parquet(f"{root}/out")
+    return out if mode == "append" else out.where(F.col("batch") == done.lastProgress["batchId"])
+
+
+#: Longer than any of the tables' logs: no row is late.
+_EVER = "3650 days"
+
+
+@query("STR4_late_windows", with_roles("SELECT CAST(date_trunc('day', startedAt) AS VARCHAR) AS day, status, count(*) AS n FROM poll_logs GROUP BY ALL", "poll_logs"))
+def str4(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily counts of the logs as a stream; every landed row counts, because the watermark is as long as the table."""
+    logs = role(spark, sf, "poll_logs").select("startedAt", "status")
+    last = _settled(spark, logs, lambda s: ingest.windowed_counts(s, "startedAt", "1 day", "status", late=_EVER))
     return last.select(F.col("w.start").cast("string").alias("day"), "status", "n")
+
+
+@query(
+    "STR9_sliding_windows",
+    with_roles("SELECT CAST(date_trunc('day', startedAt) - CAST(k AS INTEGER) * INTERVAL 1 DAY AS VARCHAR) AS first, status, count(*) AS n FROM poll_logs, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL", "poll_logs"),
+)
+def str9_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts in windows of three days, a new one each day, of the logs as a stream."""
+    logs = role(spark, sf, "poll_logs").select("startedAt", "status")
+    last = _settled(spark, logs, lambda s: ingest.sliding_counts(s, "startedAt", "3 days", "1 day", "status", late=_EVER))
+    return last.select(F.col("w.start").cast("string").alias("first"), "status", "n")
+
+
+@query(
+    "STR9_sessions",
+    with_roles(
+        """, m AS (SELECT feedId, startedAt, CASE WHEN startedAt - lag(startedAt) OVER (PARTITION BY feedId ORDER BY startedAt) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM poll_logs),
+s AS (SELECT feedId, startedAt, sum(new) OVER (PARTITION BY feedId ORDER BY startedAt ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, row_number() OVER () AS r FROM m))
+SELECT feedId, CAST(epoch_us(min(startedAt)) AS BIGINT) AS first, CAST(epoch_us(max(startedAt)) AS BIGINT) AS last, count(*) AS n FROM s GROUP BY feedId, k""",
+        "poll_logs",
+    ),
+)
+def str9_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of a feed's logs, of which none is more than six hours after the one before, of the logs as a stream."""
+    logs = role(spark, sf, "poll_logs").select("startedAt", "feedId")
+    last = _settled(spark, logs, lambda s: ingest.sessions(s, "startedAt", "6 hours", "feedId", late=_EVER))
+    return last.select("feedId", F.unix_micros("w.start").alias("first"), (F.unix_micros("w.end") - 6 * 3_600_000_000).alias("last"), "n")
+
+
+@query("STR9_stream_dedupe", with_roles("SELECT DISTINCT feedId, status, CAST(CAST(startedAt AS DATE) AS VARCHAR) AS day FROM poll_logs", "poll_logs"))
+def str9_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """One log of each feed, status and day, of the logs as a stream; the state remembers all keys, because no row is late."""
+    logs = role(spark, sf, "poll_logs").select("startedAt", "feedId", "status", F.to_date("startedAt").cast("string").alias("day"))
+    return _settled(spark, logs, lambda s: ingest.first_of_each(s, "startedAt", ["feedId", "status", "day"], _EVER), "append").select("feedId", "status", "day")
