@@ -1,129 +1,235 @@
-"""Web pages and feeds to rows: anchors with scores, page fields, RSS items.
+"""Web pages to rows: anchors with titles and scores, validated articles, metadata with its image.
 
-HTML has no built-in reader, so stored pages are parsed in Arrow batches with the standard library; everything after
-the parse (scores, gates, dates, caps) is columns. Pages are fetched elsewhere: the engine reads a landing folder.
+HTML has no built-in reader, so stored pages are parsed in Arrow batches with the standard library. The parser carries
+the context of each element along (its classes, the headings of its blocks, resolved addresses) and decides nothing; titles,
+scores, gates, dates and images are columns. Pages are fetched elsewhere: the engine reads a landing folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.functions.text import canonical_url, host_of, normal_text, resolved_url
+from feedlens.functions.text import canonical_url, generic_image, host_of, normal_text
+from feedlens.operators.filters import any_of
+from feedlens.operators.rules import bound, cascade
 
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIPPED = {"script", "style", "noscript", "template"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Where an anchor's heading is looked for, in this order.
+BLOCKS = ("article", "li", "section", "div")
+#: Start tags that end an open paragraph.
+_ENDS_P = {*HEADINGS, *BLOCKS, "p", "ul", "ol", "table", "main", "nav", "header", "footer", "aside", "figure", "form", "blockquote", "pre"} - {"li"}
+
+PARSED = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("lang", pa.string()), ("canonical", pa.string()),
+    ("context", pa.string()), ("metas", pa.list_(pa.struct([("name", pa.string()), ("content", pa.string())]))),
+    ("times", pa.list_(pa.struct([("datetime", pa.string()), ("text", pa.string()), ("kind", pa.string())]))), ("ld", pa.list_(pa.string())),
+    ("headings", pa.list_(pa.string())), ("paragraphs", pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("main", pa.bool_()), ("classes", pa.string())]))),
+    ("images", pa.list_(pa.struct([("src", pa.string()), ("width", pa.string()), ("height", pa.string()), ("article", pa.bool_()), ("figure", pa.bool_()), ("main", pa.bool_()), ("classes", pa.string()), ("own", pa.string())]))),
+    ("anchors", pa.list_(pa.struct([("href", pa.string()), ("link", pa.string()), ("text", pa.string()), ("near", pa.list_(pa.string())), ("before", pa.string()), ("article", pa.bool_()), ("main", pa.bool_()), ("li", pa.bool_())]))),
+])
+_KINDS = {pa.int64(): "bigint", pa.string(): "string", pa.bool_(): "boolean"}
+
+
+def _ddl(t: pa.DataType) -> str:
+    if pa.types.is_list(t):
+        return f"array<{_ddl(t.value_type)}>"
+    if pa.types.is_struct(t):
+        return f"struct<{', '.join(f'{f.name}: {_ddl(f.type)}' for f in t)}>"
+    return _KINDS[t]
+
+
+FIELDS = ", ".join(f"{f.name} {_ddl(f.type)}" for f in PARSED)
+
+
+class _Open:
+    """An open element: its tag, classes and number, the heading child that came last, and texts that it collects."""
+
+    def __init__(self, tag: str, attrs: dict[str, str], number: int) -> None:
+        self.tag, self.classes, self.number, self.main = tag, attrs.get("class", ""), number, tag == "main" or attrs.get("role") == "main"
+        self.last, self.sinks = None, []
+
+
+def _joined(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
 
 
 class _Page(HTMLParser):
-    """Collects the title, canonical link, meta values, headings, body text and anchors of one page."""
+    """Collects a page's elements with their context."""
 
-    def __init__(self) -> None:
+    def __init__(self, url: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.title, self.canonical, self.lang, self.time = "", "", "", ""
-        self.meta: dict[str, str] = {}
-        self.heading, self.headings, self.body, self.images = "", [], [], []
-        self.anchors: list[dict] = []
-        self.anchor: dict | None = None
+        self.url, self.open, self.count, self.skip = url, [_Open("", {}, -1)], 0, 0
+        self.title, self.lang, self.canonical = None, "", ""
+        self.classes: dict[str, str] = {}
+        self.crumbs: list[str] = []
+        self.metas, self.times, self.ld, self.headings, self.paragraphs, self.images, self.anchors = [], [], [], [], [], [], []
+        self.heads: dict[int, list[str]] = {}
+
+    def resolved(self, link: str) -> str:
+        try:
+            return urljoin(self.url, link.strip()) if link.strip() else ""
+        except ValueError:
+            return ""
+
+    def chain(self) -> str:
+        return " " + " ".join(o.classes for o in self.open if o.classes) + " "
+
+    def within(self, tag: str) -> bool:
+        return any(o.tag == tag for o in self.open)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        if tag in _ENDS_P and any(o.tag == "p" for o in self.open):
+            self.handle_endtag("p")
+        if tag == "li":
+            for o in reversed(self.open):
+                if o.tag in ("ul", "ol"):
+                    break
+                if o.tag == "li":
+                    self.handle_endtag("li")
+                    break
+        own = _Open(tag, a, self.count)
+        self.count += 1
+        if tag in ("body", "main", "article"):
+            self.classes.setdefault(tag, own.classes)
         if tag == "html":
-            self.lang = a.get("lang", "")
+            self.lang = self.lang or a.get("lang", "")
         elif tag == "meta":
-            name = (a.get("property") or a.get("name") or "").lower()
+            name = (a.get("property") or a.get("name") or a.get("itemprop") or "").lower()
             if name and a.get("content"):
-                self.meta.setdefault(name, a["content"])
+                self.metas.append({"name": name, "content": a["content"]})
         elif tag == "link" and "canonical" in a.get("rel", "").lower().split():
-            self.canonical = self.canonical or a.get("href", "")
-        elif tag == "img" and a.get("src"):
-            self.images.append(a["src"])
-        elif tag == "time" and a.get("datetime"):
-            self.time = self.time or a["datetime"]
-        elif tag == "a" and a.get("href"):
-            self.anchor = {"href": a["href"], "text": "", "before": self.heading, "article": "article" in self.open, "main": "main" in self.open, "li": "li" in self.open}
-        if tag in HEADINGS:
-            self.heading = ""
-        if tag not in ("meta", "link", "img", "br", "hr", "input"):
-            self.open.append(tag)
+            self.canonical = self.canonical or self.resolved(a.get("href", ""))
+        elif tag == "img":
+            first = next((a[k] for k in ("src", "data-src", "data-lazy-src", "data-original") if a.get(k)), "") or (a.get("srcset") or a.get("data-srcset") or "").strip().split(",")[0].strip().split(" ")[0]
+            if first and not first.startswith("data:"):
+                self.images.append({
+                    "src": self.resolved(first), "width": a.get("width") or a.get("data-width") or "", "height": a.get("height") or a.get("data-height") or "", "article": self.within("article"),
+                    "figure": self.within("figure"), "main": any(o.main for o in self.open), "classes": self.chain(), "own": f" {own.classes} ",
+                })
+        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            own.sinks.append(("ld", []))
+        elif tag == "title" and self.title is None:
+            self.title = []
+            own.sinks.append(("title", self.title))
+        elif tag == "p":
+            found = {"text": [], "article": self.within("article"), "main": any(o.main for o in self.open), "classes": self.chain()}
+            self.paragraphs.append(found)
+            own.sinks.append(("text", found["text"]))
+        elif tag == "a" and "href" in a:
+            blocks = {b: next((o.number for o in reversed(self.open) if o.tag == b), None) for b in BLOCKS}
+            found = {
+                "href": a["href"], "link": self.resolved(a["href"]), "text": [], "near": [blocks[b] for b in BLOCKS], "before": self.open[-1].last,
+                "article": blocks["article"] is not None, "main": any(o.main for o in self.open), "li": blocks["li"] is not None,
+            }
+            self.anchors.append(found)
+            own.sinks.append(("text", found["text"]))
+        if tag == "time" or "datetime" in a or "news-date" in own.classes.split():
+            found = {"datetime": a.get("datetime", ""), "text": [], "kind": "news-date" if "news-date" in own.classes.split() else "time" if tag == "time" else "other"}
+            self.times.append(found)
+            own.sinks.append(("text", found["text"]))
+        if tag in HEADINGS or "title" in own.classes or "headline" in own.classes:
+            text: list[str] = []
+            for o in self.open:
+                if o.tag in BLOCKS:
+                    self.heads.setdefault(o.number, text)
+            if tag in HEADINGS:
+                self.headings.append(text)
+                self.open[-1].last = text
+            own.sinks.append(("text", text))
+        if (tag == "nav" and "breadcrumb" in own.classes.split()) or "breadcrumb" in own.classes.split() or a.get("aria-label") == "breadcrumb":
+            own.sinks.append(("text", self.crumbs))
+        if tag not in VOID:
+            self.open.append(own)
+            self.skip += tag in SKIPPED
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HEADINGS and self.heading.strip():
-            self.headings.append(self.heading.strip())
-        if tag == "a" and self.anchor is not None:
-            self.anchors.append(self.anchor)
-            self.anchor = None
-        if tag in self.open:
-            while self.open and self.open.pop() != tag:
-                pass
+        if not any(o.tag == tag for o in self.open):
+            return
+        while self.open:
+            o = self.open.pop()
+            self.skip -= o.tag in SKIPPED
+            for kind, text in o.sinks:
+                if kind == "ld" and "".join(text).strip():
+                    self.ld.append("".join(text).strip())
+            if o.tag == tag:
+                break
 
     def handle_data(self, data: str) -> None:
-        if SKIPPED & set(self.open):
-            return
-        if "title" in self.open:
-            self.title += data
-        if HEADINGS & set(self.open):
-            self.heading += data
-        if self.anchor is not None:
-            self.anchor["text"] += data
-        if "article" in self.open or "main" in self.open:
-            self.body.append(data)
-
-
-FIELDS = (
-    "page_id bigint, url string, title string, canonical string, lang string, description string, image string, published string, heading string, body string, "
-    "anchors array<struct<href:string,text:string,before:string,article:boolean,main:boolean,li:boolean>>"
-)
-#: Where an image and a date are looked for, in this order.
-IMAGE_KEYS = ("og:image", "og:image:url", "twitter:image", "twitter:image:src", "thumbnail")
-DATE_KEYS = ("article:published_time", "og:published_time", "datepublished", "date", "dc.date")
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for o in self.open:
+            for kind, text in o.sinks:
+                if kind == "ld" or not self.skip:
+                    text.append(data)
+
+    def row(self, page_id: int | None) -> dict:
+        metas = {m["name"]: m["content"] for m in reversed(self.metas)}
+        context = [self.url, *[self.classes.get(t, "") for t in ("body", "main", "article")], _joined(self.crumbs), metas.get("og:type", "")]
+        said = lambda rows: [{**r, "text": _joined(r["text"])} for r in rows]
+        anchors = [{**r, "near": [_joined(self.heads.get(n, [])) for n in r["near"]], "before": _joined(r["before"] or [])} for r in said(self.anchors)]
+        return {
+            "page_id": page_id, "url": self.url, "title": _joined(self.title or []), "lang": self.lang, "canonical": self.canonical, "context": " ".join(context).lower(), "metas": self.metas,
+            "times": said(self.times), "ld": self.ld, "headings": [_joined(h) for h in self.headings], "paragraphs": said(self.paragraphs), "images": self.images, "anchors": anchors,
+        }
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for page_id, url, html in zip(batch.page_id, batch.url, batch.html, strict=True):
-            p = _Page()
-            p.feed(html or "")
-            p.close()
-            m = p.meta
-            first = lambda keys: next((m[k] for k in keys if m.get(k)), "")  # noqa: B023, E731
-            rows.append(
-                (
-                    page_id, url, " ".join(p.title.split()), p.canonical, p.lang, m.get("og:description") or m.get("description") or "", first(IMAGE_KEYS) or (p.images[0] if p.images else ""),
-                    first(DATE_KEYS) or p.time, p.headings[0] if p.headings else "", " ".join(" ".join(p.body).split()), p.anchors,
-                )
-            )
-        yield pd.DataFrame(rows, columns=["page_id", "url", "title", "canonical", "lang", "description", "image", "published", "heading", "body", "anchors"])
+        for page_id, url, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            page = _Page(url or "")
+            page.feed(html or "")
+            page.close()
+            page.handle_endtag("html")
+            rows.append(page.row(page_id))
+        yield pa.RecordBatch.from_pylist(rows, PARSED)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) to FIELDS; null html is an empty page."""
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(_parse, FIELDS)
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(_parse, FIELDS)
+
 
+#: What an anchor's address or title says of it.
+NEWS_TOKENS = ("news", "article", "post", "update", "press", "announcement", "aktual", "komunikat")
+NAV_TOKENS = ("login", "privacy", "cookie", "kontakt", "contact", "about", "regulamin", "terms")
+GENERIC_TEXTS = ("more", "read more", "learn more", "discover more", "discover", "view more")
 
-NEWS_TOKEN = "news|press|release|announce|update|article|story"
-REJECTED = "login|signup|privacy|cookie|contact|career|subscribe|javascript:|mailto:"
+
+def anchor_title(a: Column) -> Column:
+    """The first heading of the anchor's article, list item, section or div that isn't its own text; else its text, or for a
+    text that says nothing the heading before it."""
+    low = F.lower(a["text"])
+    heading = F.get(F.filter(a["near"], lambda h: (h != "") & (F.lower(h) != low)), F.lit(0))
+    plain = F.when(low.isin(*GENERIC_TEXTS) & (a["before"] != ""), a["before"]).otherwise(a["text"])
+    return F.coalesce(heading, plain)
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """Every anchor of parsed pages with its resolved link, title and score; -1 is a rejected one."""
-    a = pages.select("page_id", "url", F.posexplode("anchors").alias("pos", "a")).select("page_id", "url", "pos", "a.*")
-    link = resolved_url(F.col("url"), F.col("href"))
-    title = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.nullif(F.trim("before"), F.lit("")), F.lit(""))
-    rows = a.select("*", link.alias("link"), title.alias("label"))
-    n = F.length("label")
+    inside = lambda x, tokens: any_of([F.contains(x, F.lit(t)) for t in tokens])
+    a = pages.select("page_id", "url", F.posexplode("anchors").alias("pos", "a"))
+    rows = a.select("page_id", "url", "pos", "a", F.col("a.link").alias("link"), anchor_title(F.col("a")).alias("label"), F.trim("a.href").alias("href"))
+    said = F.lower(F.concat_ws(" ", "href", "label"))
     points = lambda c, p: F.when(c, p).otherwise(0)
+    n = F.length("label")
     score = (
         points(n >= 24, 4) + points(n >= 48, 2) + points(F.col("link") != F.col("url"), 3) + points(host_of(F.col("link")) == host_of(F.col("url")), 2)
-        + points(F.col("article"), 6) + points(F.col("main"), 3) + points(F.col("li"), 1) + points(F.lower("link").rlike(NEWS_TOKEN), 2)
+        + points(F.col("a.article"), 6) + points(F.col("a.main"), 3) + points(F.col("a.li"), 1) + points(inside(said, NEWS_TOKENS), 2)
     )
-    rejected = F.lower(F.concat_ws(" ", "link", "label")).rlike(REJECTED) | ~F.lower("link").rlike("^https?://")
+    rejected = (F.col("href") == "") | (F.col("label") == "") | F.col("href").rlike("^(#|javascript:)") | inside(said, NAV_TOKENS) | ~F.lower("link").rlike("^https?:")
     return rows.select("page_id", "url", "pos", "link", "label", F.when(rejected, -1).otherwise(score).alias("score"))
 
 
@@ -135,25 +241,47 @@ def listing(pages: DataFrame, least: int = 4, most: int = 20, link_pattern: str
     found = anchors(pages).where(F.col("score") >= least).withColumn("canonical", canonical_url(F.col("link")))
     if link_pattern:
         found = found.where(F.col("link").rlike(link_pattern))
-    once = Window.partitionBy("page_id", "canonical").orderBy(F.desc("score"), "pos")
+    one = found.groupBy("page_id", "canonical").agg(F.max_by(F.struct("url", "pos", "link", "label", "score"), F.struct("score", -F.col("pos"))).alias("a"))
     best = Window.partitionBy("page_id").orderBy(F.desc("score"), "pos")
-    one = found.withColumn("_r", F.row_number().over(once)).where("_r = 1")
-    return one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("_r")
+    return one.select("page_id", "canonical", "a.*").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
 
-def page_verdict(title: Column, url: Column, body: Column, published: Column) -> Column:
-    """Why a page isn't an article, or accepted: blocked titles and addresses, no signal, products, marketing."""
-    signals = F.when(published != "", 1).otherwise(0) + F.when(F.length(body) >= 140, 1).otherwise(0) + F.when(F.lower(url).rlike(NEWS_TOKEN), 1).otherwise(0)
-    low = F.lower(title)
-    return (
-        F.when(low == "", "missing_title")
-        .when(low.rlike("^(home|login|contact|search|404)"), "blocked_title")
-        .when(F.lower(url).rlike("/(tag|category|author|login|search)/") & (published == ""), "blocked_url_without_date")
-        .when(signals == 0, "no_signal")
-        .when(F.lower(url).rlike("/(product|shop|store)s?/"), "product_page")
-        .when(low.rlike("webinar|brochure|datasheet|demo") & (signals < 2), "marketing_with_few_signals")
-        .otherwise("accepted")
-    )
+#: Titles and address parts of pages that are no articles, and of news.
+NAV_TITLES = (
+    "home", "projects", "downloads", "download", "support", "careers", "career", "jobs", "vacancies", "contact", "contact us", "about us", "imprint", "privacy", "privacy policy", "cookie policy",
+    "terms", "legal", "sitemap", "search", "login", "register",
+)
+NAV_PATHS = ("/careers/", "/jobs/", "/support/", "/download/", "/downloads/", "/contact/", "/privacy/", "/imprint/", "/legal/", "/terms/", "/login/", "/sitemap/")
+NEWS_CONTEXT = ("newsroom", "news", "press", "media")
+NEWS_PATHS = ("/news/", "/press/", "/media/", "/blog/", "/article/", "/announcement/", "/case-study/", "/case-studies/")
+MARKETING_TITLES = ("solutions", "products", "portfolio", "capabilities", "services", "offerings", "identity management", "physical documents", "document readers")
+MARKETING_PATHS = ("/solutions/", "/products/", "/portfolio/", "/capabilities/", "/services/", "/offerings/", "/identity-management/", "/physical-documents/", "/document-readers/")
+PRODUCT_TITLES = (
+    "document readers", "document reader", "manual devices", "manual control devices", "verification devices", "identity verification devices", "biometric and document verification software",
+    "biometric verification software", "border management egates", "border management solutions", "self kiosks", "self-kiosks", "seamless travel solutions", "identity management",
+    "product overview", "solution overview", "our products", "our solutions",
+)
+PRODUCT_PATHS = ("/products/", "/product/", "/solutions/", "/solution/", "/services/", "/service/", "/platform/", "/portfolio/", "/capabilities/", "/offerings/", "/industries/", "/use-cases/", "/use-case/")
+NEWS_WORDS = (
+    "published", "press release", "news release", "media release", "announcement", "announcements", "launch", "launched", "rollout", "deployment", "contract", "partnership", "award", "awarded",
+    "implemented", "implementation", "expanded", "expansion", "case study", "case studies",
+)
+SITE_NEWS = ("press", "press release", "media", "news", "announcement", "announcements", "case study", "case studies")
+DATE_METAS = ("article:published_time", "publish-date", "pubdate", "date")
+BODY_CLASSES = ("entry-content", "post-content", "article-content", "content")
+
+
+def _in(x: Column, parts: tuple[str, ...]) -> Column:
+    return any_of([F.contains(x, F.lit(p)) for p in parts])
+
+
+def _metas(*names: str) -> Column:
+    return F.flatten(F.array(*[F.transform(F.filter("metas", lambda m: m["name"] == n), lambda m: m["content"]) for n in names]))  # noqa: B023
+
+
+def _meta(*names: str) -> Column:
+    """The first value by the order of names."""
+    return F.coalesce(F.get(_metas(*names), F.lit(0)), F.lit(""))
 
 
 MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
@@ -174,29 +302,175 @@ def text_date(x: Column) -> Column:
     )
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """What a scrape of stored pages gives: address, image, description, snippet, language, status."""
-    address = F.when(F.col("canonical") != "", resolved_url(F.col("url"), F.col("canonical"))).otherwise(F.col("url"))
-    snippet = F.left("body", F.lit(280))
-    image = F.col("image")
-    status = F.when((F.col("title") == "") & (F.col("body") == ""), "failed").when((image == "") | (F.length("body") < 140), "partial").otherwise("enriched")
-    return pages.select("page_id", canonical_url(address).alias("canonicalLink"), image, normal_text(F.coalesce(F.nullif("description", F.lit("")), snippet)).alias("description"), snippet.alias("snippet"), F.col("lang").alias("language"), status.alias("fetchStatus"))
+def said_date(x: Column) -> Column:
+    """A timestamp as pages write one: ISO 8601, or a date in words."""
+    return F.coalesce(F.try_to_timestamp(F.regexp_replace(F.trim(x), " ?(UTC|GMT)$", "Z")), text_date(x))
+
+
+def published(url: Column) -> Column:
+    """The first date of a parsed page that can be read: meta values, date elements, times, JSON-LD, then the address."""
+    times = lambda kind: F.transform(F.filter("times", lambda t: t["kind"] == kind), lambda t: F.coalesce(F.nullif(t["datetime"], F.lit("")), t["text"]))
+    ld = F.flatten(F.transform("ld", lambda x: F.array(*[F.regexp_extract(x, rf'(?i)"{k}"\s*:\s*"([^"]+)"', 1) for k in ("datePublished", "dateCreated", "dateModified")])))
+    parts = lambda k: F.regexp_extract(url, r"/(20\d{2})/(\d{1,2})/(\d{1,2})(?:/|$)", k)
+    said = F.concat(F.slice(_metas(*DATE_METAS), 1, 8), times("news-date"), times("time"), times("other"), ld, F.array(F.concat_ws("-", parts(1), F.lpad(parts(2), 2, "0"), F.lpad(parts(3), 2, "0"))))
+    return F.get(F.filter(F.transform(F.filter(said, lambda x: F.length(x) > 5), said_date), lambda d: d.isNotNull()), F.lit(0))
+
+
+def _classed(part: str):  # noqa: ANN202
+    """Whether the classes of a paragraph's ancestors hold a text."""
+    return lambda p: F.contains(p["classes"], F.lit(part))
 
 
-ITEM = "title string, link string, guid string, id string, url string, pubDate string, source string, category array<string>, description string"
+def article_body() -> Column:
+    """The text of a page's paragraphs: of the first place, in order, whose first twelve hold 140 characters or more; else empty."""
+    places = [lambda p: p["article"], *[_classed(f" {c} ") for c in BODY_CLASSES], lambda p: p["main"]]
+    texts = [F.trim(F.array_join(F.transform(F.slice(F.filter("paragraphs", f), 1, 12), lambda p: p["text"]), " ")) for f in places]
+    return F.coalesce(F.get(F.filter(F.array(*texts), lambda t: F.length(t) >= 140), F.lit(0)), F.lit(""))
 
 
-def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """Landing rows (feedId, xml) to one row for each item, with its resolved link, tags and source.
+def plain(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
-    The schema is explicit: fields that may repeat are arrays, all else is text; items of a broken document are none.
+
+def blocked_title(title: Column) -> Column:
+    """A title that is empty, a page's of navigation, or such a one with at most 24 characters more."""
+    name = plain(title)
+    longer = [name.startswith(f"{p} ") & F.length(F.trim(F.substring(name, len(p) + 1, 10_000))).between(1, 24) for p in NAV_TITLES]
+    return (name == "") | name.isin(*NAV_TITLES) | any_of(longer)
+
+
+def news_indicators(title: Column | str, url: Column | str, body: Column | str, newsroom: Column, date: Column) -> Column:
+    """Whether a date, the page's place or its words say that it is news."""
+    return date.isNotNull() | newsroom | _in(F.lower(url), NEWS_PATHS) | _in(F.lower(F.concat_ws(" ", title, url, body)), NEWS_WORDS)
+
+
+def validated(pages: DataFrame, candidate: Column) -> DataFrame:
+    """Parsed pages with title, published, body, newsroom (its context is one), accepted and reason; candidate: the title that the
+    page was listed under. Pages without a title of their own keep the candidate's."""
+    own = F.coalesce(F.nullif(F.trim(_meta("og:title")), F.lit("")), F.nullif("title", F.lit("")), candidate)
+    rows = pages.select("page_id", "url", candidate.alias("candidate"), own.alias("title"), published(F.col("url")).alias("published"), article_body().alias("body"), _in(F.col("context"), NEWS_CONTEXT).alias("newsroom"), _said_first(1500).alias("_start"))
+
+    def judged(x: Column) -> Column:
+        dated, bodied, room, link = x["published"].isNotNull(), x["body"] != "", x["newsroom"], F.lower(x["url"])
+        news = news_indicators(x["title"], x["url"], x["body"], room, x["published"])
+        name = plain(x["title"])
+        product, marketing, marketed = _in(link, PRODUCT_PATHS), _in(link, MARKETING_PATHS), _in(name, MARKETING_TITLES) | _in(link, MARKETING_PATHS)
+        host = host_of(x["url"])
+        return cascade(
+            (blocked_title(x["candidate"]), False, "blocked-title"),
+            (blocked_title(x["title"]), False, "blocked-page-title"),
+            (_in(link, NAV_PATHS) & ~dated, False, "blocked-url-without-date"),
+            (~(dated | bodied | room), False, "missing-article-signals"),
+            (product & ~_in(link, NEWS_PATHS) & ~news, False, "product-url"),
+            (_in(name, PRODUCT_TITLES) & ~news, False, "product-title"),
+            (marketed & (dated.cast("int") + bodied.cast("int") + room.cast("int") < 2), False, "marketing-page-without-article-signals"),
+            (F.contains(host, F.lit("regula")) & (product | marketing) & ~_in(link, NEWS_PATHS), False, "regula-product-page"),
+            (F.contains(host, F.lit("veridos")) & marketed & ~_in(F.lower(F.concat_ws(" ", x["title"], x["url"], x["start"])), SITE_NEWS), False, "veridos-marketing-page"),
+        )
+
+    verdict = bound(F.struct("candidate", "title", "url", "published", "body", "newsroom", F.col("_start").alias("start")), judged)
+    return rows.withColumn("_v", verdict).select("page_id", "url", "title", "published", "body", "newsroom", "_v.accepted", "_v.reason")
+
+
+def _said_first(n: int) -> Column:
+    """The first characters of a page's headings and paragraphs."""
+    return F.left(F.concat_ws(" ", F.array_join("headings", " "), F.array_join(F.transform("paragraphs", lambda p: p["text"]), " ")), F.lit(n))
+
+
+def _nested_images(x: Column, depth: int = 3) -> Column:
+    """The addresses in a JSON value of an image: a text, an object's url, contentUrl and image, or an array of such."""
+    none = F.array().cast("array<string>")
+    if depth == 0:
+        return none
+    fields = F.from_json(x, "struct<url: string, contentUrl: string, image: string>")
+    within = F.when(fields["image"].isNotNull(), _nested_images(fields["image"], depth - 1)).otherwise(none)
+    each = F.flatten(F.transform(F.from_json(x, "array<string>"), lambda e: F.when(e.startswith("{"), F.concat(F.array_compact(F.array(*[F.from_json(e, "struct<url: string, contentUrl: string>")[c] for c in ("url", "contentUrl")])), _nested_images(F.from_json(e, "struct<image: string>")["image"], depth - 1) if depth > 1 else none)).otherwise(F.array(e))))
+    found = F.when(x.startswith("{"), F.concat(F.array_compact(F.array(fields["url"], fields["contentUrl"])), within)).when(x.startswith("["), each).otherwise(F.array(x))
+    return F.when(F.coalesce(x, F.lit("")) == "", none).otherwise(F.coalesce(found, none))
+
+
+def schema_images() -> Column:
+    """The addresses of the images of a page's JSON-LD: of each entry, then of the nodes of its graph. Broken blocks have none."""
+    entries = lambda x: F.from_json(x, "array<struct<image: string, `@graph`: string>>")
+    of = lambda e: F.concat(_nested_images(e["image"]), _nested_images(e["@graph"]))
+    return F.flatten(F.transform("ld", lambda x: F.coalesce(F.flatten(F.transform(F.filter(entries(x), lambda e: e.isNotNull()), of)), F.array().cast("array<string>"))))
+
+
+def joined_url(base: Column, link: Column) -> Column:
+    """A link as seen from an address, for the forms that need no dots resolved; empty for data: and for nothing."""
+    origin, scheme = F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]*)", 1), F.regexp_extract(base, "^([a-zA-Z]+:)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "(?<!/)/[^/]*$", "")
+    return (
+        F.when((link == "") | link.startswith("data:"), "").when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(origin, link)).otherwise(F.concat(folder, F.lit("/"), link))
+    )
+
+
+IMAGE_PATHS = ("/binaries/content/gallery/", "/images/", "/media/", "/uploads/", "/files/styles/", "/wp-content/uploads/")
+IMAGE_CLASSES = ("article-content", "entry-content", "post-content", "content")
+
+
+def own_image(image: Column, words: Column) -> Column:
+    """An image that clearly belongs to an article: an image file of a dated or upload folder, or named by one of its words."""
+    low = F.lower(image)
+    file = low.rlike(r"\.(?:jpg|jpeg|png|gif|webp|avif|svg)(?:$|[?#])") | _in(low, IMAGE_PATHS)
+    return ~generic_image(low) & file & (low.rlike(r"/20\d{2}/\d{2}/") | F.contains(low, F.lit("/uploads/")) | F.exists(words, lambda w: F.contains(low, w)))
+
+
+def metadata(pages: DataFrame, placeholder: str = "") -> DataFrame:
+    """What a scrape of parsed pages gives: address, thumbnail with its source, description, snippet, date, language, status, and
+    the reasons why images were passed over.
+
+    Open Graph, Twitter and JSON-LD images come first, if one is clearly the article's; else the largest of its images that
+    is no logo and not too small, by place and position; else the first that is no logo.
     """
-    schema = f"channel struct<title:string,item:array<struct<{', '.join(f.replace(' ', ':', 1) for f in ITEM.split(', '))}>>>"
-    read = feeds.select("feedId", F.from_xml(xml, schema, {"mode": "PERMISSIVE"}).alias("x"))
-    item = read.select("feedId", F.posexplode("x.channel.item").alias("pos", "i")).select("feedId", "pos", "i.*")
-    filled = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    tags = F.transform(F.coalesce("category", F.array().cast("array<string>")), lambda t: F.trim(F.regexp_replace(t, "^#+", "")))
-    return item.select(
-        "feedId", "pos", normal_text(F.col("title")).alias("title"), F.coalesce(filled("link"), filled("guid"), filled("id"), filled("url"), F.lit("")).alias("link"),
-        F.coalesce(filled("source"), F.lit("")).alias("source"), F.array_distinct(F.filter(tags, lambda t: F.length(t).between(2, 80))).alias("tags"), "pubDate", "description",
+    address = F.coalesce(F.nullif("canonical", F.lit("")), F.col("url"))
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "url", "title")), "[^a-z0-9]+"), lambda w: F.length(w) >= 4)
+    named = lambda source, found: F.filter(F.transform(found, lambda x: F.struct(joined_url(F.col("url"), F.trim(x)).alias("src"), F.lit(source).alias("source"))), lambda c: c["src"] != "")
+    size = lambda x: F.coalesce(F.regexp_extract(x, r"(\d{2,5})", 1).try_cast("int"), F.lit(0))
+    place = lambda i: (
+        F.when(i["article"], 0).when(i["figure"], 1).when(F.contains(i["own"], F.lit(" wp-post-image ")), 2).when(F.contains(i["src"], F.lit("/wp-content/uploads/")), 3).when(i["main"], 4)
+        .when(_in(i["classes"], tuple(f" {c} " for c in IMAGE_CLASSES)), 5).otherwise(6)
+    )
+    sized = F.transform("images", lambda i, k: F.struct((-size(i["width"]) * size(i["height"])).alias("area"), (-size(i["width"])).alias("w"), place(i).alias("place"), k.alias("k"), size(i["height"]).alias("h"), i["src"].alias("src")))
+    base = pages.select(
+        "page_id", "url", address.alias("address"), words.alias("words"), _meta("og:description", "description").alias("description"), "lang", published(F.col("url")).alias("publishedAt"),
+        named("og-image", _metas("og:image", "og:image:secure_url")).alias("og"), named("twitter-image", _metas("twitter:image")).alias("tw"), named("schema-image", schema_images()).alias("ld"), sized.alias("images"), _snippet().alias("snippet"),
     )
+    plainly = lambda c: F.filter(F.col(c), lambda x: ~generic_image(x["src"]))
+    small = lambda i: ((i["w"] != 0) & (-i["w"] < 300)) | ((i["w"] == 0) & (i["h"] != 0) & (i["h"] < 180))
+    good = F.filter("images", lambda i: ~generic_image(i["src"]))
+    best = F.get(F.array_sort(F.filter(good, lambda i: ~small(i))), F.lit(0))["src"]
+    fallback = F.get(F.array_sort(F.transform(good, lambda i: F.struct(F.when(i["place"].isin(1, 2, 3), 6).otherwise(i["place"]).alias("p"), i["k"].alias("k"), i["src"].alias("src")))), F.lit(0))["src"]
+    meta = F.concat(plainly("og"), plainly("tw"), F.slice(plainly("ld"), 1, 1))
+    chosen = F.get(F.filter("meta", lambda c: own_image(c["src"], F.col("words"))), F.lit(0))
+    why = lambda c, reason: F.when(c, F.lit(reason))
+    reasons = F.array_distinct(F.array_compact(F.array(
+        why((F.size("og") > 0) & (F.size(plainly("og")) == 0), "og_image_generic"), why((F.size("tw") > 0) & (F.size(plainly("tw")) == 0), "twitter_image_generic"),
+        why((F.size("ld") > 0) & (F.size(plainly("ld")) == 0), "schema_image_generic"), why((F.size("meta") > 0) & F.col("chosen").isNull(), "metadata_not_article_specific"),
+        why(F.size(good) < F.size("images"), "article_image_generic"), why(F.exists(good, lambda i: (i["w"] != 0) & (-i["w"] < 300)), "width_too_small"),
+        why(F.exists(good, lambda i: (i["w"] == 0) & small(i)), "height_too_small"), why((F.size("images") > 0) & F.col("best").isNull() & F.col("fallback").isNotNull(), "article_image_fallback_used"),
+    )))
+    rows = base.withColumn("meta", meta).select("*", chosen.alias("chosen"), best.alias("best"), fallback.alias("fallback")).withColumn("rejectedReasons", reasons)
+    image = F.coalesce("chosen.src", "best", "fallback", F.lit(placeholder))
+    source = F.coalesce("chosen.source", F.when(F.coalesce("best", "fallback").isNotNull(), "article-image"), F.lit("fallback"))
+    known = (image != placeholder) | (F.col("address") != F.col("url")) | (F.col("description") != "") | (F.col("snippet") != "")
+    return rows.select(
+        "page_id", canonical_url(F.col("address")).alias("canonicalLink"), image.alias("image"), source.alias("thumbnailSource"), "rejectedReasons", normal_text(F.col("description")).alias("description"),
+        "snippet", "publishedAt", F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("language"), F.when(known, "enriched").otherwise("partial").alias("fetchStatus"),
+    )
+
+
+#: Paragraphs that stand on every page of a site.
+BOILERPLATE = (
+    "we are looking for committed experts", "all our offers and services", "whether industry-specific or cross-industry", "our portfolio ranges from specific products to general consulting services",
+    "projects at a glance we have already successfully implemented", "cookie settings", "privacy policy", "subscribe to (our )?newsletter",
+)
+
+
+def _snippet() -> Column:
+    """Up to five paragraphs of 35 characters or more that aren't boilerplate, of the first place whose text has 80; else empty."""
+    places = [lambda p: p["article"], *[_classed(c) for c in ("article", "press", "detail", " entry-content ", " post-content ")], lambda p: p["main"]]
+    good = F.filter("paragraphs", lambda p: (F.length(p["text"]) >= 35) & ~F.lower(p["text"]).rlike("|".join(BOILERPLATE)))
+    texts = [F.array_join(F.transform(F.slice(F.filter(good, f), 1, 5), lambda p: p["text"]), " ") for f in places]
+    return F.coalesce(F.get(F.filter(F.array(*texts), lambda t: F.length(t) >= 80), F.lit(0)), F.lit(""))

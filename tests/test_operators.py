@@ -87,21 +87,6 @@ def test_unified_reports_the_first_failure(spark):
     assert one(spark, x["failedStage"]) == "profilePolicy"
 
 
-def test_feed_items(spark):
-    xml = "<rss><channel><item><title> A </title><guid>g1</guid><category>#tag</category><category>#tag</category><category>z</category></item><item><title>B</title><link>l2</link></item></channel></rss>"
-    rows = html.rss_items(spark.createDataFrame([("f", xml), ("broken", "<rss><channel>")], "feedId string, xml string")).orderBy("pos").collect()
-    assert [(r.title, r.link, r.tags) for r in rows] == [("A", "g1", ["tag"]), ("B", "l2", [])]
-
-
-def test_pages(spark):
-    page = '<html lang="en"><head><title>T</title><link rel="canonical" href="/c"><meta property="og:image" content="i.jpg"></head><body><article><h2>Head line of the day is long</h2><a href="/news/1"></a><p>' + "x" * 150 + "</p></article></body></html>"
-    parsed = html.parsed(spark.createDataFrame([(1, "https://www.a.com/x", page), (2, "https://a.com", None)], "page_id bigint, url string, html string"))
-    meta = {r.page_id: r for r in html.metadata(parsed).collect()}
-    assert meta[1].canonicalLink == "https://a.com/c" and meta[1].fetchStatus == "enriched" and meta[2].fetchStatus == "failed"
-    anchor = html.anchors(parsed).first()
-    assert anchor.label == "Head line of the day is long" and anchor.score == 4 + 3 + 2 + 6 + 2
-
-
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 3), st.sampled_from(["", "a", "B", "b "])), min_size=1, max_size=12))
 def test_dedupe_keeps_one_of_each_key(spark, rows):
