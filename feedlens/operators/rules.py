@@ -31,17 +31,20 @@ class ClassRule:
     #: The signal counts only with one of these in the title, or of the next in the content.
     signal_title: tuple[str, ...] = ()
     signal_content: tuple[str, ...] = ()
+    tags: tuple[str, ...] = ()
+    #: An article with one of these keywords has the domain, whatever its text says.
+    keywords: tuple[str, ...] = ()
 
 
 #: A small authored table of the monitor's ten classes; production tables are passed in the same form.
 CLASSES = (
-    ClassRule("banknotes", "Banknotes", "banknotes", "central_bank", ("banknote", "banknotes", "currency note", "polymer note", "note series"), source_terms=("banknotenews",)),
+    ClassRule("banknotes", "Banknotes", "banknotes", "central_bank", ("banknote", "banknotes", "currency note", "polymer note", "note series"), source_terms=("banknotenews",), tags=("banknote", "currency"), keywords=("banknotes", "currency")),
     ClassRule("border_control", "Identity Documents", "identity_documents", "border_control", ("border control", "entry exit system", "egate", "port of entry"), signal_title=("border", "entry exit"), signal_content=("border control authority",)),
     ClassRule("identity_documents", "Identity Documents", "identity_documents", "passport_authority", ("identity document", "travel document", "residence permit")),
-    ClassRule("passports", "Identity Documents", "identity_documents", "passport_authority", ("passport", "passports", "epassport")),
+    ClassRule("passports", "Identity Documents", "identity_documents", "passport_authority", ("passport", "passports", "epassport"), tags=("passport",), keywords=("passports",)),
     ClassRule("id_cards", "Identity Documents", "identity_documents", "passport_authority", ("id card", "identity card", "national id"), least=1),
     ClassRule("visas", "Identity Documents", "identity_documents", "passport_authority", ("visa sticker", "evisa"), conditional={"visa": ("consular", "embassy", "immigration")}),
-    ClassRule("biometrics", "Digital Identity & Biometrics", "digital_identity_biometrics", "identity_verification", ("biometric", "biometrics", "fingerprint", "facial recognition")),
+    ClassRule("biometrics", "Digital Identity & Biometrics", "digital_identity_biometrics", "identity_verification", ("biometric", "biometrics", "fingerprint", "facial recognition"), tags=("biometrics",), keywords=("biometrics",)),
     ClassRule("digital_identity", "Digital Identity & Biometrics", "digital_identity_biometrics", "identity_verification", ("digital identity", "identity wallet", "mobile licence", "eid")),
     ClassRule("identity_verification", "Digital Identity & Biometrics", "digital_identity_biometrics", "identity_verification", ("identity verification", "kyc", "document verification")),
     ClassRule("security_features", "Shared Security Printing", "security_printing", "security_printer", ("security thread", "optically variable", "hologram", "security printing", "security features", "polycarbonate")),
@@ -67,11 +70,17 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def classified(rules: tuple[ClassRule, ...] = CLASSES) -> Column:
-    """struct<topic, domains, signals, classes> of a row with title, contentSnippet, link, source, feedName and topic.
+#: Sources whose articles on banknotes are headed so.
+BANKNOTE_SOURCES = ("banknotenews", "notafilia")
 
-    Rules are ordered by score, ties by their place in the table; the headline topic is the strongest rule's.
+
+def classified(rules: tuple[ClassRule, ...] = CLASSES, keywords: Column | None = None) -> Column:
+    """struct<topic, domains, signals, classes, tags> of a row with title, contentSnippet, link, source, feedName and topic.
+
+    Rules are ordered by score, ties by their place in the table; the headline topic is the strongest rule's, but Banknotes
+    where that rule matches and the topic or the source is of banknotes. keywords, an array, add domains alone.
     """
+    listed = F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.lower(F.trim(k))) if keywords is not None else None
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     title = F.lower(blank("title"))
     local = F.lower(F.concat_ws(" ", blank("title"), blank("contentSnippet")))
@@ -85,15 +94,21 @@ def classified(rules: tuple[ClassRule, ...] = CLASSES) -> Column:
             if r.signal_title:
                 allowed = any_of([has_term(row["title"], t) for t in r.signal_title]) | any_of([has_term(row["text"], t, words=row["words"]) for t in r.signal_content])
             score = rule_score(r, row["text"], row["local"], row["source"], row["words"])
-            each.append(F.struct((-score).alias("s"), F.lit(k).alias("k"), F.lit(r.id).alias("id"), F.lit(r.topic).alias("topic"), F.lit(r.domain).alias("domain"), F.when(allowed, F.lit(r.signal)).alias("signal")))
+            each.append(F.struct((-score).alias("s"), F.lit(k).alias("k"), F.lit(r.id).alias("id"), F.lit(r.topic).alias("topic"), F.lit(r.domain).alias("domain"), F.when(allowed, F.lit(r.signal)).alias("signal"), F.array(*[F.lit(t) for t in r.tags]).cast("array<string>").alias("tags")))
         return bound(F.array_sort(F.filter(F.array(*each), lambda x: x["s"] < 0)), named)
 
     def named(hit: Column) -> Column:
         distinct = lambda name: F.array_distinct(F.array_compact(F.transform(hit, lambda x: x[name])))
-        topic = F.when(F.exists(hit, lambda x: x["id"] == "banknotes") & (F.lower(blank("topic")) == "banknotes"), F.lit("Banknotes")).otherwise(
+        of_banknotes = (F.lower(F.trim(blank("topic"))) == "banknotes") | any_of([has_term(source, t) for t in BANKNOTE_SOURCES])
+        topic = F.when(F.exists(hit, lambda x: x["id"] == "banknotes") & of_banknotes, F.lit("Banknotes")).otherwise(
             F.coalesce(F.get(hit, F.lit(0))["topic"], F.nullif(blank("topic"), F.lit("")), F.lit("General"))
         )
-        return F.struct(topic.alias("topic"), distinct("domain").alias("domains"), distinct("signal").alias("signals"), F.transform(hit, lambda x: x["id"]).alias("classes"))
+        domains = distinct("domain")
+        if listed is not None:
+            more = F.array_compact(F.array(*[F.when(F.arrays_overlap(listed, F.array(*[F.lit(k) for k in r.keywords])), F.lit(r.domain)) for r in rules if r.keywords]))
+            domains = F.array_union(domains, more.cast("array<string>"))
+        tags = F.array_distinct(F.flatten(F.transform(hit, lambda x: x["tags"])))
+        return F.struct(topic.alias("topic"), domains.alias("domains"), distinct("signal").alias("signals"), F.transform(hit, lambda x: x["id"]).alias("classes"), tags.alias("tags"))
 
     return bound(F.struct(title.alias("title"), local.alias("local"), text.alias("text"), source.alias("source"), words_of(text).alias("words")), scored)
 
@@ -162,17 +177,21 @@ PROFILES = {
 }
 #: What a vendor's pages say that is no news.
 VENDOR_NOISE = (
-    r"\b(?:careers?|vacanc(?:y|ies)|jobs?)\b", r"\b(?:contact us|privacy policy|cookie policy|login|sign up)\b",
+    r"\b(?:career|careers|vacanc(?:y|ies)|job|jobs)\b", r"\b(?:contact us|privacy policy|cookie policy|login|sign up)\b",
     r"\b(?:tutorial|how to|step-by-step|setup guide|developer guide|api tutorial|sdk integration)\b", r"\b(?:linkedin|banknote catalog|collector banknote|auction|for sale)\b",
 )
 
 
+#: A word's edge among ASCII letters, digits and "_", whatever the JVM takes for letters.
+ASCII_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def profile_decision(profile: str, affiliated: Column, domains: Column, signals: Column, classes: Column, text: Column) -> Column:
     """struct<accepted, reason> of one profile: affinity, then vendor noise, then industry evidence or stored signal."""
     known = F.coalesce(F.arrays_overlap(domains, F.array(*[F.lit(d) for d in PROFILES[profile]])), F.lit(False))
     gates: list[tuple[Column, bool, str]] = [(~F.array_contains(affiliated, profile), False, "source_not_affiliated")]
     if profile == "vendors":
-        gates.append((any_of([F.lower(text).rlike(p) for p in VENDOR_NOISE]), False, "vendor_quality_filter_rejected"))
+        gates.append((any_of([F.lower(text).rlike(p.replace(r"\b", ASCII_EDGE)) for p in VENDOR_NOISE]), False, "vendor_quality_filter_rejected"))
     if profile in ("vendors", "researcher"):
         gates.append((~known | (F.size(classes) == 0), False, "article_industry_evidence_missing"))
         return cascade(*gates, accept="source_affinity_and_industry_evidence")
@@ -220,3 +239,11 @@ def recency_points(days: Column, steps: tuple[tuple[int, int], ...] = ((7, 10),
     for most, points in reversed(steps):
         out = F.when(days <= most, points).otherwise(out)
     return out
+
+
+def feedback_input(reasons: tuple[str, ...], most_chars: int = 160, most_interests: int = 60) -> Column:
+    """struct<valid, clientId, reason, context, interests> of a report (articleId, clientId, reason, context, interests)."""
+    said = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    client, interests = said("clientId"), F.filter(F.transform(F.coalesce("interests", F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    valid = (said("articleId") != "") & (client != "") & (F.length(client) <= most_chars) & said("reason").isin(*reasons)
+    return F.struct(valid.alias("valid"), client.alias("clientId"), said("reason").alias("reason"), F.left(said("context"), F.lit(most_chars)).alias("context"), F.slice(interests, 1, most_interests).alias("interests"))

@@ -61,7 +61,7 @@ def ruled_feeds(feeds: DataFrame, table: DataFrame) -> DataFrame:
     return met.select("feedId", rule.alias("rule")).where("rule is not null")
 
 
-def _pattern(term: Column) -> Column:
+def term_regex(term: Column) -> Column:
     """A term between characters other than a-z and 0-9; its blanks also match dashes, slashes and ampersands."""
     literal = F.regexp_replace(term, r"([\\.*+?^${}()|\[\]\-/&])", r"\\$1")
     return F.concat(F.lit("(^|[^a-z0-9])"), F.regexp_replace(literal, r"\s+", r"[\\s\\-/&]+"), F.lit("([^a-z0-9]|$)"))
@@ -73,7 +73,7 @@ def said(text: Column, words: Column, terms: Column) -> Column:
     def found(firsts: Column) -> Column:
         known = F.array_intersect(words, F.filter(firsts, lambda x: x != ""))
         tried = lambda t: (F.regexp_extract(t, "^[a-z0-9]*", 0) == "") | F.array_contains(known, F.regexp_extract(t, "^[a-z0-9]*", 0))
-        return F.filter(terms, lambda t: tried(t) & F.rlike(text, _pattern(t)))
+        return F.filter(terms, lambda t: tried(t) & F.rlike(text, term_regex(t)))
 
     return bound(F.transform(terms, lambda t: F.regexp_extract(t, "^[a-z0-9]*", 0)), found)
 

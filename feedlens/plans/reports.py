@@ -130,9 +130,16 @@ def agg8(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "poll_logs").groupBy(F.to_date("startedAt").cast("string").alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("day")).limit(30)
 
 
-@query("AGG9_repeated_logs", with_roles("SELECT feedId, status, left(errorMessage, 6) AS error, count(*) AS n, CAST(min(startedAt) AS DATE)::VARCHAR AS first_seen, CAST(max(startedAt) AS DATE)::VARCHAR AS last_seen FROM poll_logs GROUP BY feedId, status, left(errorMessage, 6) HAVING count(*) > 1", "poll_logs"))
+#: Messages as a feed's errors say them: long, alike at their beginning, and different after it.
+_SAID = "repeat('Connection to ' || feedId || ' failed. ', 4) || errorMessage"
+
+
+@query(
+    "AGG9_repeated_logs",
+    with_roles(f"SELECT feedId, status, left({_SAID}, 120) AS error, count(*) AS n, CAST(min(startedAt) AS DATE)::VARCHAR AS first_seen, CAST(max(startedAt) AS DATE)::VARCHAR AS last_seen FROM poll_logs GROUP BY feedId, status, left({_SAID}, 120) HAVING count(*) > 1", "poll_logs"),
+)
 def agg9(spark: SparkSession, sf: str) -> DataFrame:
-    g = role(spark, sf, "poll_logs").groupBy("feedId", "status", F.left("errorMessage", F.lit(6)).alias("error"))
+    g = role(spark, sf, "poll_logs").groupBy("feedId", "status", F.left(F.expr(_SAID), F.lit(120)).alias("error"))
     return g.agg(F.count("*").alias("n"), F.to_date(F.min("startedAt")).cast("string").alias("first_seen"), F.to_date(F.max("startedAt")).cast("string").alias("last_seen")).where("n > 1")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.operators import matching, relevance, rules, source_rules
+from feedlens.operators import gates, interests, matching, relevance, rules, source_rules
 from feedlens.operators.filters import any_of
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, with_roles
@@ -57,11 +57,24 @@ def rul4(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", rules.source_relevance(SOURCE_RULES, ("/item/99",))["reason"].alias("reason"))
 
 
-@query("RUL5_discovery_quality", with_roles("SELECT id, CASE WHEN source = 'src4' AND NOT regexp_matches(lower(title), 'banknote|currency') THEN 'discovery_missing_subject' WHEN source = 'src5' AND regexp_matches(lower(title), 'auction|collector') THEN 'discovery_collector_noise' ELSE 'accepted' END AS reason FROM news", "news"))
+_LIST = lambda terms: "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + "]"
+#: Names and addresses of discovery feeds, by number.
+_ALERTS = (("OVD", "https://www.google.com/alerts/feeds/1"), (" Security Features", "https://www.google.com/alerts/feeds/2"), ("Banknotes", "https://www.google.com/alerts/feeds/3"), ("passports", "https://www.google.com/alerts/feeds/4"), ("Banknotes", "https://a.example/rss"))
+_ALERTED = "SELECT n.id, n.title, n.title || ' ' || n.contentSnippet AS text, f.name, f.url FROM {news} n JOIN (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', '{u}')" for k, (a, u) in enumerate(_ALERTS)) + ") AS v(k, name, url)) f ON n.n % 5 = f.k"
+_RE = lambda column, pattern: f"regexp_matches(lower({column}), '{pattern}')"
+_NOTE = f"({_RE('text', gates.BANKNOTE)} AND {_RE('text', gates.BANKNOTE_EVENT)} AND ({_RE('title', gates.BANKNOTE)} OR {_RE('title', gates.ISSUER)}))"
+_RUL5 = f""", a AS ({_ALERTED.format(news="news")}), b AS (SELECT id, CASE WHEN url NOT LIKE 'https://www.google.com/%' THEN 'discovery_feed_quality_not_applicable'
+  WHEN name = 'OVD' THEN CASE WHEN {_RE("text", gates.OPTICAL)} AND {_RE("text", gates.DOCUMENT_SECURITY)} THEN 'ovd_document_security_context' ELSE 'ovd_missing_document_security_context' END
+  WHEN name = ' Security Features' THEN CASE WHEN {_NOTE} OR {_RE("text", gates.DOCUMENT_SECURITY)} THEN 'security_features_document_security_context' ELSE 'security_features_missing_document_security_context' END
+  WHEN name = 'Banknotes' THEN CASE WHEN {_NOTE} THEN 'banknotes_concrete_context' ELSE 'banknotes_missing_concrete_context' END
+  WHEN {_RE("text", gates.PASSPORT)} AND {_RE("text", gates.PASSPORT_EVENT)} THEN 'passports_concrete_context' ELSE 'passports_missing_concrete_context' END AS reason FROM a)
+SELECT id, NOT contains(reason, 'missing') AS accepted, reason FROM b"""
+
+
+@query("RUL5_discovery_quality", with_roles(_RUL5, "news"))
 def rul5(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.lower("title")
-    gate = rules.cascade(((F.col("source") == "src4") & ~t.rlike("banknote|currency"), False, "discovery_missing_subject"), ((F.col("source") == "src5") & t.rlike("auction|collector"), False, "discovery_collector_noise"))
-    return role(spark, sf, "news").select("id", gate["reason"].alias("reason"))
+    rows = spark.sql(_ALERTED, news=role(spark, sf, "news"))
+    return rows.select("id", gates.discovery_quality(F.col("name"), F.col("url"), F.col("title"), F.col("text")).alias("d")).select("id", "d.accepted", "d.reason")
 
 
 #: Authored openings of articles, by number, so that every reason of the default stream occurs.
@@ -147,28 +160,43 @@ def rul7(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("title", F.size("k").cast("bigint").alias("n"), F.get("k", F.lit(0))["n"].alias("first_n"))
 
 
-_AFF = "CASE WHEN source IN ('src0', 'src5') THEN ['vendors', 'security_printer'] WHEN source IN ('src6', 'src7') THEN ['central_bank'] ELSE ['border_control', 'researcher'] END"
-_NOISE = " OR ".join(f"regexp_matches(lower(title), '{p}')" for p in rules.VENDOR_NOISE)
-_DOM = "coalesce((SELECT list(rd) FROM hits h WHERE h.id = n.id), [])"
-_RUL8 = f"""{_SCORED}, d AS (SELECT n.*, {_DOM} AS dom, coalesce((SELECT list(sig) FROM hits h WHERE h.id = n.id), []) AS sigs, {_AFF} AS aff FROM news n)
-SELECT id, CASE WHEN NOT list_contains(aff, 'vendors') THEN 'source_not_affiliated' WHEN {_NOISE} THEN 'vendor_quality_filter_rejected' WHEN len(dom) = 0 THEN 'article_industry_evidence_missing' ELSE 'source_affinity_and_industry_evidence' END AS vendors,
- CASE WHEN NOT list_contains(aff, 'central_bank') THEN 'source_not_affiliated' WHEN NOT list_contains(sigs, 'central_bank') THEN 'article_signal_missing' WHEN NOT list_contains(dom, 'banknotes') THEN 'profile_domain_missing' ELSE 'source_affinity_and_article_evidence' END AS central_bank FROM d"""
+_AFF = "CASE n % 5 WHEN 0 THEN ['vendors', 'security_printer'] WHEN 1 THEN ['central_bank', 'researcher'] WHEN 2 THEN ['border_control', 'researcher'] WHEN 3 THEN ['passport_authority', 'identity_verification'] ELSE [] END"
+_NOISE = " OR ".join(_RE("said", p) for p in rules.VENDOR_NOISE)
+_KNOWN = lambda p: f"list_has_any(dom, {_LIST(rules.PROFILES[p])})"
+_DECISION = {
+    p: f"CASE WHEN NOT list_contains(aff, '{p}') THEN 'source_not_affiliated' "
+    + ("WHEN noise THEN 'vendor_quality_filter_rejected' " if p == "vendors" else "")
+    + (f"WHEN NOT {_KNOWN(p)} THEN 'article_industry_evidence_missing' ELSE 'source_affinity_and_industry_evidence' END" if p in ("vendors", "researcher") else f"WHEN NOT list_contains(sigs, '{p}') THEN 'article_signal_missing' WHEN NOT {_KNOWN(p)} THEN 'profile_domain_missing' ELSE 'source_affinity_and_article_evidence' END")
+    for p in rules.PROFILES
+}
+_RUL8 = f"""{_SCORED}, found AS (SELECT id, list(DISTINCT rd) AS dom, list(sig) AS sigs FROM hits GROUP BY id),
+e AS (SELECT n.id, coalesce(f.dom, []) AS dom, {_AFF} AS aff, (' ' || n.title || ' ' || n.contentSnippet || ' ' || n.source) AS said, lower(n.title) AS ttl, lower(n.title || ' ' || n.contentSnippet || ' ' || n.link) AS x, coalesce(f.sigs, []) AS raw FROM news n LEFT JOIN found f ON f.id = n.id),
+d AS (SELECT *, {_NOISE} AS noise, list_filter(raw, lambda g: g <> 'border_control' OR {_has("ttl", "border")} OR {_has("ttl", "entry exit")} OR {_has("x", "border control authority")}) AS sigs FROM e)
+SELECT id, {", ".join(f"{sql} AS {p}" for p, sql in _DECISION.items())} FROM d"""
 
 
 @query("RUL8_profile_decisions", with_roles(_RUL8, "news"))
 def rul8(spark: SparkSession, sf: str) -> DataFrame:
-    lists = lambda *v: F.array(*[F.lit(x) for x in v])
-    aff = F.when(F.col("source").isin("src0", "src5"), lists("vendors", "security_printer")).when(F.col("source").isin("src6", "src7"), lists("central_bank")).otherwise(lists("border_control", "researcher"))
-    rows = role(spark, sf, "news").select("*", rules.classified().alias("c"), aff.alias("aff"))
-    decide = lambda p: rules.profile_decision(p, F.col("aff"), F.col("c.domains"), F.col("c.signals"), F.col("c.classes"), F.col("title"))["reason"].alias(p)
-    return rows.select("id", decide("vendors"), decide("central_bank"))
+    """The decisions of all seven profiles over whole texts."""
+    lists = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    n = F.col("n") % 5
+    aff = F.when(n == 0, lists("vendors", "security_printer")).when(n == 1, lists("central_bank", "researcher")).when(n == 2, lists("border_control", "researcher")).when(n == 3, lists("passport_authority", "identity_verification")).otherwise(lists())
+    rows = role(spark, sf, "news").select("*", rules.classified().alias("c"), aff.alias("aff"), F.concat_ws(" ", "title", "contentSnippet", "source").alias("said"))
+    decide = lambda p: rules.profile_decision(p, F.col("aff"), F.col("c.domains"), F.col("c.signals"), F.col("c.classes"), F.col("said"))["reason"].alias(p)
+    return rows.select("id", *[decide(p) for p in rules.PROFILES])
+
+
+_FLAT = "trim(regexp_replace(regexp_replace(lower(title || ' ' || contentSnippet), '[-–—_/]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_SAID = lambda terms: f"list_filter({_LIST(terms)}, lambda t: contains(x, replace(t, '-', ' ')))"
+_EVIDENT = ", ".join(f"len({_SAID(a)}) > 0 AND len({_SAID(e)}) > 0 AS {p}, array_to_string(({_SAID(a)})[1:10] || ({_SAID(e)})[1:10], ',') AS {p}_terms" for p, (a, e) in gates.EVIDENCE.items())
 
 
-@query("RUL9_anchor_and_event", with_roles("SELECT id, regexp_matches(lower(title), 'passport|banknote|identity') AS anchor, regexp_matches(lower(title), 'passport|banknote|identity') AND regexp_matches(lower(title), 'launch|issues|rollout|unveiled') AS matched FROM news", "news"))
+@query("RUL9_anchor_and_event", with_roles(f", t AS (SELECT id, {_FLAT} AS x FROM news) SELECT id, {_EVIDENT} FROM t", "news"))
 def rul9(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.lower("title")
-    anchor = any_of([F.contains(t, F.lit(w)) for w in ("passport", "banknote", "identity")])
-    return role(spark, sf, "news").select("id", anchor.alias("anchor"), (anchor & any_of([F.contains(t, F.lit(w)) for w in ("launch", "issues", "rollout", "unveiled")])).alias("matched"))
+    """For each of the seven profiles whether an article's whole text has an anchor and an event, and which."""
+    rows = role(spark, sf, "news").select("id", gates.evidence_text(F.col("title"), F.col("contentSnippet")).alias("x"))
+    found = rows.select("id", *[gates.profile_evidence(p, F.col("x")).alias(p) for p in gates.EVIDENCE])
+    return found.select("id", *[c for p in gates.EVIDENCE for c in (F.col(f"{p}.passed").alias(p), F.array_join(F.concat(f"{p}.anchors", f"{p}.events"), ",").alias(f"{p}_terms"))])
 
 
 _STAGES = "source <> 'src1' AS s1, regexp_matches(lower(title), 'passport|banknote|identity') AS s2, n % 3 <> 0 AS s3, length(title) > 40 AS s4"
@@ -188,11 +216,41 @@ def rul12(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "m.mode", (F.col("s") * F.col("m.f")).alias("weighted"), (F.col("s") * F.col("m.f") >= F.col("m.t")).alias("passed"))
 
 
-@query("RUL13_gates", with_roles("SELECT id, CASE WHEN NOT d THEN 'outside_domain' WHEN j THEN 'professional_guard' WHEN b AND NOT e THEN 'banknote_without_event' ELSE 'accepted' END AS reason FROM (SELECT id, regexp_matches(lower(title), 'banknote|passport|identity|security|licence|visa|id card') AS d, regexp_matches(lower(title), 'job|collector|credit card') AS j, contains(lower(title), 'banknote') AS b, regexp_matches(lower(title), 'issues|production|series') AS e FROM news)", "news"))
+#: What the profile gates go by, derived from an article's number and words.
+_FINDINGS = """SELECT id, title || ' ' || contentSnippet AS text, title, link, n, CASE n % 4 WHEN 0 THEN 'banknotes' WHEN 1 THEN 'identity_documents' WHEN 2 THEN 'other' END AS primary_domain,
+  n % 7 = 0 AS b7, n % 5 = 0 AS b5, n % 3 = 0 AS b3, n % 2 = 0 AS b2, CASE WHEN n % 6 = 0 THEN n % 4 = 0 END AS maybe, CASE WHEN n % 9 = 0 THEN '' WHEN n % 10 = 0 THEN 'own_reason' END AS why FROM {news}"""
+_RUL13 = f""", a AS ({_FINDINGS.format(news="news")}), s AS (SELECT *, CASE n % 3 WHEN 0 THEN [] WHEN 1 THEN ['banknotes'] ELSE ['identity_documents', 'security_printing'] END AS chosen, coalesce(primary_domain, 'other') AS p, lower(text) AS low,
+  CASE WHEN n % 8 < 4 THEN 'https://www.identityweek.net/' || id ELSE link END AS addr, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS flat_title, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS flat FROM a)
+SELECT id,
+  CASE WHEN p = 'other' AND NOT b7 AND NOT b5 THEN 'primary_domain_other' WHEN len(chosen) > 0 AND NOT list_contains(chosen, p) AND NOT (b7 AND list_contains(chosen, 'identity_documents') OR b5 AND list_contains(chosen, 'banknotes')) THEN 'selected_main_domain_mismatch' ELSE 'domain_scope_passed' END AS domain_scope,
+  CASE WHEN b7 THEN 'professional_guard_not_applicable' WHEN NOT coalesce(maybe, true) THEN 'digital_identity_professional_guard' WHEN NOT b3 THEN 'authentication_professional_guard' ELSE 'professional_guard_passed' END AS professional,
+  CASE WHEN NOT b2 THEN 'shared_security_only_rejected' WHEN NOT coalesce(maybe, true) THEN coalesce(nullif(why, ''), 'security_printer_profile_guard_rejected') ELSE 'shared_security_only_passed' END AS shared,
+  CASE WHEN b3 AND maybe IS NOT NULL AND NOT b5 THEN CASE WHEN maybe THEN 'shared_security_bridge_passed' ELSE 'shared_security_bridge_rejected' END WHEN b2 THEN 'shared_security_technique_passed' ELSE 'shared_security_technique_rejected' END AS refinement,
+  CASE WHEN b2 AND b3 AND (n % 4 > 0 AND n % 5 = 0 OR n % 4 >= 2) THEN 'border_control_travel_queue_noise' WHEN b2 AND why IS NOT NULL THEN coalesce(nullif(why, ''), 'visa_residence_permit_service_noise') WHEN b2 AND NOT b7 THEN 'identity_documents_passed' ELSE 'identity_documents_rejected' END AS document,
+  CASE WHEN contains(low, 'honda') AND contains(low, 'passport') AND ({" OR ".join(f"contains(low, '{t}')" for t in gates.VEHICLE)}) THEN 'identity_document_honda_passport_vehicle_noise' WHEN NOT coalesce(maybe, true) THEN coalesce(nullif(why, ''), 'identity_document_bundle_quality_noise') ELSE 'identity_document_quality_passed' END AS quality,
+  CASE WHEN (n % 3 = 0 OR b2) AND NOT b5 THEN 'digital_identity_passed' ELSE 'digital_identity_rejected' END AS digital,
+  CASE WHEN b7 THEN 'banknote_contaminated' WHEN why IS NOT NULL THEN coalesce(nullif(why, ''), 'banknote_consumer_noise') WHEN NOT coalesce(maybe, true) THEN 'central_bank_profile_guard' WHEN len(chosen) = 0 THEN CASE WHEN b2 AND NOT b5 THEN 'banknote_domain_passed' ELSE 'banknote_domain_rejected' END
+    ELSE CASE WHEN b5 THEN 'banknote_parent_gate' ELSE 'banknote_interest' END || CASE WHEN b2 AND NOT b3 THEN '_passed' ELSE '_rejected' END END AS banknote,
+  CASE WHEN b5 OR NOT regexp_matches(addr, '^https?://(www.)?identityweek.net/') THEN 'identity_week_quality_not_applicable' WHEN {" OR ".join(f"contains(flat_title, '{t}')" for t in (*gates.PROMOTION, *gates.CORPORATE))} THEN 'identity_week_event_or_generic_corporate_noise'
+    WHEN NOT ({" OR ".join(f"contains(flat, '{t}')" for t in gates.VERIFICATION)}) THEN 'identity_week_missing_verification_focus' ELSE 'identity_week_verification_focus' END AS week
+FROM s"""
+
+
+@query("RUL13_gates", with_roles(_RUL13, "news"))
 def rul13(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.lower("title")
-    gate = rules.cascade((~t.rlike("banknote|passport|identity|security|licence|visa|id card"), False, "outside_domain"), (t.rlike("job|collector|credit card"), False, "professional_guard"), (F.contains(t, F.lit("banknote")) & ~t.rlike("issues|production|series"), False, "banknote_without_event"))
-    return role(spark, sf, "news").select("id", gate["reason"].alias("reason"))
+    """The nine gates of profiles, each with its reason; what they go by follows from an article's number and whole text."""
+    a, c = spark.sql(_FINDINGS, news=role(spark, sf, "news")), F.col
+    n = c("n")
+    lists = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    chosen = F.when(n % 3 == 0, lists()).when(n % 3 == 1, lists("banknotes")).otherwise(lists("identity_documents", "security_printing"))
+    at = F.when(n % 8 < 4, F.concat(F.lit("https://www.identityweek.net/"), "id")).otherwise(c("link"))
+    found = {
+        "domain_scope": gates.domain_scope(c("primary_domain"), chosen, c("b7"), c("b5")), "professional": gates.professional_guard(c("b7"), c("maybe"), c("b3")), "shared": gates.shared_security(c("b2"), c("maybe"), c("why")),
+        "refinement": gates.shared_refinement(c("b3"), c("maybe"), c("b5"), c("b2")), "document": gates.identity_document(c("b2"), ~c("b7"), c("b3"), n % 4, F.when(n % 5 == 0, 0).otherwise(1), c("why")),
+        "quality": gates.identity_quality(c("maybe"), c("why"), c("text")), "digital": gates.digital_identity(n % 3, F.when(c("b2"), lists("x")).otherwise(lists()), ~c("b5")),
+        "banknote": gates.banknote(c("b7"), c("why"), c("maybe"), chosen, c("b5"), c("b2"), c("b2"), F.when(F.size(chosen) == 0, ~c("b5")).otherwise(~c("b3"))), "week": gates.identity_week(~c("b5"), at, c("title"), c("text")),
+    }
+    return a.select("id", *[v["reason"].alias(k) for k, v in found.items()])
 
 
 ITEMS = (("w1", "Slovenia passport", True, "Open"), ("w2", "Croatia residence permit 2024", True, "Open"), ("w3", "Croatia residence permit", True, "Completed"), ("w4", "national id card", True, "Open"), ("w5", "Central visa", True, "Open"))
@@ -223,7 +281,7 @@ def jon9(spark: SparkSession, sf: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "news").select(
-        F.col("n").alias("id"), "title", F.lit("").alias("summary"), F.concat(F.lit("k"), (F.col("n") % 7).cast("string")).alias("identityEventKey"), "pubDate",
+        F.col("n").alias("id"), "title", F.col("contentSnippet").alias("summary"), F.concat(F.lit("k"), (F.col("n") % 7).cast("string")).alias("identityEventKey"), "pubDate",
         F.lit("banknote").alias("domain"), F.lit("banknotes").alias("topicFamily"), F.when(F.col("n") % 2 == 0, "banknote_redesign").otherwise("commemorative_note").alias("canonicalEventType"),
         F.concat(F.lit("c"), (F.col("n") % 10).cast("string")).alias("country"), F.lit("").alias("primaryEntity"), F.lit("").alias("authority"), F.array().cast("array<string>").alias("systems"),
         (F.col("n") % 3 != 0).alias("grouped"), F.lit("high").alias("confidence"),
@@ -243,6 +301,33 @@ def rul15(spark: SparkSession, sf: str) -> DataFrame:
     return matching.event_pairs(_events(spark, sf)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+_GIVEN = "SELECT n, n + k AS m FROM {news}, (SELECT explode(sequence(1, 4)) AS k)"
+_RICH = """SELECT n AS id, title, contentSnippet AS summary, 'k' || CAST(n % 9 AS STRING) AS identityEventKey, pubDate, CASE WHEN n % 11 = 0 THEN ' Passport ' ELSE 'banknote' END AS domain, CASE WHEN n % 13 = 0 THEN 'other' ELSE 'Banknotes' END AS topicFamily,
+  CASE n % 6 WHEN 0 THEN 'banknote_redesign' WHEN 5 THEN 'auction' ELSE 'commemorative_note' END AS canonicalEventType, CASE WHEN n % 4 < 2 THEN 'C' || CAST(n % 3 AS STRING) ELSE '' END AS country, CASE WHEN n % 5 = 0 THEN 'c1' ELSE NULL END AS primaryEntity,
+  CASE WHEN n % 7 < 4 THEN 'Bank' ELSE '' END AS authority, {systems} AS systems, n % 8 <> 0 AS grouped, CASE WHEN n % 10 = 0 THEN 'low' ELSE 'high' END AS confidence, n % 17 = 0 AS excluded FROM {news}"""
+_GIVEN_SQL = (
+    ", e AS (SELECT *, lower(trim(domain)) AS d, lower(topicFamily) AS f, CASE WHEN lower(trim(domain)) = 'banknote' AND canonicalEventType <> 'auction' THEN 'design' ELSE canonicalEventType END AS t, "
+    "list_distinct(list_filter([lower(coalesce(primaryEntity, '')), lower(country)], lambda x: x <> '')) AS ents FROM (" + _RICH.replace("{systems}", "CASE WHEN n % 2 = 0 THEN ['EES'] ELSE [] END").replace("{news}", "news") + ")), "
+    """p AS (SELECT n AS l, n + k AS r FROM news, (SELECT unnest([1, 2, 3, 4]) AS k))
+SELECT a.id AS a, b.id AS b, CASE WHEN a.identityEventKey = b.identityEventKey THEN 'not_cross_bucket' WHEN a.id % 19 = 0 OR a.excluded OR b.excluded THEN 'existing_conflict_or_exclusion'
+  WHEN abs(epoch(a.pubDate) - epoch(b.pubDate)) > 864000 THEN 'outside_10_day_window' WHEN a.d <> b.d OR a.f <> b.f THEN 'different_domain_or_topic_family' WHEN a.t <> b.t THEN 'incompatible_canonical_event_type'
+  WHEN len(a.ents) > 0 AND len(b.ents) > 0 AND NOT list_has_any(a.ents, b.ents) THEN 'conflicting_primary_entity_or_country'
+  WHEN NOT (list_has_any(a.ents, b.ents) OR (a.authority <> '' AND a.authority = b.authority) OR list_has_any(a.systems, b.systems)) THEN 'missing_shared_hard_anchor'
+  WHEN NOT (a.grouped AND a.confidence = 'high') THEN 'fingerprint_not_high_confidence'
+  ELSE 'high_confidence_' || CASE WHEN list_has_any(a.ents, b.ents) THEN 'entity_or_country' WHEN a.authority <> '' AND a.authority = b.authority THEN 'authority' ELSE 'system' END END AS reason
+FROM p JOIN e a ON a.id = p.l JOIN e b ON b.id = p.r"""
+)
+
+
+@query("RUL15_given_pairs", with_roles(_GIVEN_SQL, "news"))
+def rul15_given(spark: SparkSession, sf: str) -> DataFrame:
+    """The reasons of given pairs of articles, each with the four after it; every nineteenth is in conflict with all of them."""
+    news = role(spark, sf, "news")
+    pairs = spark.sql(_GIVEN, news=news).select(F.col("n").alias("a"), F.col("m").alias("b"))
+    events = spark.sql(_RICH.replace("{systems}", "CASE WHEN n % 2 = 0 THEN array('EES') ELSE array() END"), news=news)
+    return matching.decided(pairs, events, pairs.where("a % 19 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 STRONG = {"banknote": {"banknote": 5.0, "polymer": 4.0}, "passport": {"passport": 5.0, "biometric": 4.0}, "digital": {"digital identity": 5.0, "wallet": 3.5}}
 WEAK = {"banknote": {"series": 2.0, "bank": 1.5}, "passport": {"page": 1.25, "border": 2.0}, "digital": {"platform": 1.25}}
 _DOMSCORE = {d: " + ".join(f"CASE WHEN {_has('lower(title)', t)} THEN {w} ELSE 0 END" for t, w in (STRONG[d] | WEAK[d]).items()) for d in STRONG}
@@ -262,12 +347,31 @@ def rul17(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "news").select("id", rules.dominant(scores, least=5).alias("dominant"))
 
 
-@query("RUL18_interest_score", with_roles("SELECT id, CASE WHEN neg >= 2 THEN -500 ELSE 15 * pos - 20 * neg END + CASE WHEN age <= 7 THEN 10 WHEN age <= 30 THEN 6 WHEN age <= 90 THEN 3 ELSE 0 END AS score FROM (SELECT id, (CASE WHEN contains(lower(title), 'passport') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title), 'biometric') THEN 1 ELSE 0 END) AS pos, (CASE WHEN contains(lower(title), 'ranking') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title), 'travel') THEN 1 ELSE 0 END) AS neg, date_diff('day', CAST(pubDate AS DATE), DATE '2024-12-31') AS age FROM news)", "news"))
+_INTERESTED = "SELECT id, title, topic || ' ' || source AS tags, link AS meta, contentSnippet AS body, CASE n % 5 WHEN 0 THEN 'ICAO newsroom' WHEN 1 THEN 'The Ministry' WHEN 2 THEN 'A blog' WHEN 3 THEN 'Daily news' ELSE source END AS sourceText, CASE WHEN n % 31 = 0 THEN NULL ELSE pubDate - INTERVAL '1' DAY * (n % 7 * 200) END AS pubDate FROM {news}"
+_AS_OF = "2024-12-31 00:00:00"
+_POINTS = {k: ("15" if k == "intent_strong" else "4" if k == "intent_weak" else "-20") for k in interests.INTENT}
+_HIT = lambda field: f"regexp_matches(lower({field}), '(^|[^a-z0-9])' || replace(replace(t.term, '-', '\\-'), ' ', '[\\s\\-/&]+') || '([^a-z0-9]|$)')"
+_WEIGHT = " + ".join(f"CASE WHEN h{k} THEN CASE kind " + " ".join(f"WHEN '{kind}' THEN {w[k]}" for kind, w in interests.WEIGHTS.items()) + " ELSE 0 END ELSE 0 END" for k in range(4))
+_RUL18 = f""", a AS ({_INTERESTED.format(news="news")}), t(interest, kind, term) AS (VALUES {", ".join(f"('{i}', '{k}', '{t}')" for i, k, t in interests.parsed(interests.TERMS))}),
+h AS (SELECT a.id, t.interest, t.kind, {", ".join(f"{_HIT(f)} AS h{k}" for k, f in enumerate(interests.FIELDS))} FROM a, t),
+s AS (SELECT id, interest, sum({_WEIGHT}) AS profile, sum(CASE WHEN h0 OR h1 OR h2 OR h3 THEN CASE kind WHEN 'intent_strong' THEN 15 WHEN 'intent_weak' THEN 4 WHEN 'intent_negative' THEN -20 ELSE 0 END ELSE 0 END) AS intent,
+  count(*) FILTER (WHERE kind = 'intent_negative' AND (h0 OR h1 OR h2 OR h3)) AS negatives, bool_or(kind IN ('strong', 'intent_strong') AND (h0 OR h1 OR h2 OR h3)) AS direct, bool_or(kind IN ('medium', 'weak', 'intent_weak') AND (h0 OR h1 OR h2 OR h3)) AS partly FROM h GROUP BY id, interest),
+b AS (SELECT a.id, CASE WHEN contains(lower(sourceText), 'icao') THEN 120 WHEN contains(lower(sourceText), 'ministry') THEN 60 WHEN contains(lower(sourceText), 'blog') THEN -35 WHEN contains(lower(sourceText), 'news') THEN 12 ELSE 0 END AS boost,
+  (epoch(TIMESTAMP '{_AS_OF}') - epoch(pubDate)) / 86400 AS age FROM a),
+c AS (SELECT s.*, boost, CASE WHEN age IS NULL THEN -45 WHEN age <= 30 THEN 125 WHEN age <= 90 THEN 70 WHEN age <= 180 THEN 30 WHEN age > 1825 THEN -260 WHEN age > 1095 THEN -180 WHEN age > 365 THEN -90 ELSE 0 END AS recent,
+  CAST(CASE interest {" ".join(f"WHEN '{i}' THEN {w}" for i, w in interests.SHARES.items())} END AS DOUBLE) * (profile + greatest(0.0, boost * 0.35::DOUBLE)) + intent - CASE WHEN negatives >= 2 THEN 500 ELSE 0 END AS core FROM s JOIN b USING (id)),
+d AS (SELECT *, (SELECT max(o.core) FROM c o WHERE o.id = c.id AND o.interest <> c.interest) AS other FROM c),
+e AS (SELECT *, greatest(0.0, other - core) AS penalty FROM d),
+f AS (SELECT *, greatest(0, boost + recent + greatest(-120, floor(core + 0.5)) - least(110, floor(penalty + 0.5)))::BIGINT AS score FROM e)
+SELECT id, interest, round(core, 4) AS core, round(penalty, 4) AS penalty, score, score >= {interests.LEAST} AND (direct OR partly) AS included FROM f"""
+
+
+@query("RUL18_interest_score", with_roles(_RUL18, "news"))
 def rul18(spark: SparkSession, sf: str) -> DataFrame:
-    hits = lambda *w: sum((F.contains(F.lower("title"), F.lit(x)).cast("int") for x in w), F.lit(0))
-    pos, neg = hits("passport", "biometric"), hits("ranking", "travel")
-    age = F.date_diff(F.lit("2024-12-31").cast("date"), F.to_date("pubDate"))
-    return role(spark, sf, "news").select("id", (F.when(neg >= 2, -500).otherwise(pos * 15 - neg * 20) + rules.recency_points(age)).alias("score"))
+    """Every article's score for each interest, from a table of terms, its source's authority and its age."""
+    rows = spark.sql(_INTERESTED, news=role(spark, sf, "news"))
+    out = interests.scored(rows, interests.term_table(spark), F.lit(_AS_OF).cast("timestamp"))
+    return out.select("id", "interest", F.round("core", 4).alias("core"), F.round("penalty", 4).alias("penalty"), F.col("score").cast("bigint").alias("score"), "included")
 
 
 @query("RUL19_overlap", with_roles("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p AND d THEN 'overlap' WHEN p THEN 'passport_only' WHEN d THEN 'digital_only' ELSE 'neither' END AS kind FROM (SELECT contains(lower(title), 'passport') AS p, regexp_matches(lower(title), 'biometric|digital') AS d FROM news)) GROUP BY kind", "news"))
@@ -284,7 +388,23 @@ def rul20(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("id", score.alias("score"), F.when(score >= 55, "activate").when(score >= 40, "review").otherwise("skip").alias("action"))
 
 
-@query("RUL22_feedback_validation", with_roles("SELECT \"articleId\", CASE WHEN reason NOT IN ('spam', 'off_topic') THEN 'invalid_reason' WHEN length(\"clientId\") > 7 THEN 'client_too_long' WHEN \"clientId\" = 'client1' THEN 'blocked' ELSE 'ok' END AS verdict FROM feedback", "feedback"))
+#: Why an article may be reported.
+FEEDBACK_REASONS = ("wrong_topic", "wrong_word_meaning", "noisy_source", "promotion_or_navigation", "stale_or_duplicate")
+_REPORTED = """SELECT articleId, CASE length(articleId) % 3 WHEN 0 THEN ' wrong_topic ' WHEN 1 THEN 'spam' ELSE 'noisy_source' END AS reason, CASE WHEN articleId LIKE '%7' THEN ' ' WHEN articleId LIKE '%3' THEN repeat(clientId, 30) ELSE clientId END AS clientId,
+  repeat('balanced ', 1 + length(articleId) * 9) AS context, reason || ', ,' || repeat('x,', 30 * length(articleId)) AS interests FROM {feedback}"""
+
+
+@query(
+    "RUL22_feedback_validation",
+    with_roles(
+        ", r AS (" + _REPORTED.format(feedback="feedback") + f""")
+SELECT articleId, CASE WHEN trim(clientId) = '' OR length(trim(clientId)) > 160 OR trim(reason) NOT IN ({", ".join(f"'{x}'" for x in FEEDBACK_REASONS)}) THEN 'invalid' ELSE 'ok' END AS verdict, length(left(trim(context), 160))::INTEGER AS context_chars,
+  len(list_filter(list_transform(string_split(interests, ','), lambda x: trim(x)), lambda x: x <> '')[1:60])::INTEGER AS n_interests FROM r""",
+        "feedback",
+    ),
+)
 def rul22(spark: SparkSession, sf: str) -> DataFrame:
-    gate = rules.cascade((~F.col("reason").isin("spam", "off_topic"), False, "invalid_reason"), (F.length("clientId") > 7, False, "client_too_long"), (F.col("clientId") == "client1", False, "blocked"), accept="ok")
-    return role(spark, sf, "feedback").select("articleId", gate["reason"].alias("verdict"))
+    """Reports of articles: an id, a client of at most 160 characters and a known reason; context and interests are cut to 160 and 60."""
+    rows = spark.sql(_REPORTED, feedback=role(spark, sf, "feedback")).withColumn("interests", F.split("interests", ","))
+    valid = rules.feedback_input(FEEDBACK_REASONS)
+    return rows.select("articleId", valid.alias("v")).select("articleId", F.when(F.col("v.valid"), "ok").otherwise("invalid").alias("verdict"), F.length("v.context").alias("context_chars"), F.size("v.interests").alias("n_interests"))

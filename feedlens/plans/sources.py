@@ -94,7 +94,7 @@ def src5(spark: SparkSession, sf: str) -> DataFrame:
 
 #: The test pages read by patterns: anchors of the navigation, and the article's paragraphs, titles and language.
 _LIKE = lambda column, parts: "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")"
-_ANCHORS = f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS raw,
+_ANCHORS = rf"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS raw,
   unnest(range(0, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages),
 b AS (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS label, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS link FROM a),
 c AS (SELECT *, lower(href || ' ' || label) AS said FROM b),
@@ -119,7 +119,7 @@ def src8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DECODED = lambda x: f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
-_BARE = lambda x: f"trim(regexp_replace({_DECODED(f'regexp_replace({x}, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, '\s+', ' ', 'g'))"
+_BARE = lambda x: rf"trim(regexp_replace({_DECODED(f'regexp_replace({x}, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, '\s+', ' ', 'g'))"
 _TITLES = "', '".join(html.NAV_TITLES)
 _PARSED = f"""WITH t AS (SELECT page_id, url, regexp_extract(html, '<html lang=.([a-z]+)', 1) AS lang, {_BARE("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title,
   {_BARE("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS heading,
