@@ -104,16 +104,37 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(normal_title(x), " "), lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS))
 
 
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def inferred_keywords(x: Column, most: int = 8) -> Column:
-    """The most frequent tokens, by count, then by where each first occurs."""
-    found = tokens(x)
-    counted = F.transform(F.array_distinct(found), lambda t: F.struct((-F.size(F.filter(found, lambda u: u == t))).alias("c"), F.array_position(found, t).alias("at"), t.alias("t")))
-    return F.transform(F.slice(F.sort_array(counted), 1, most), lambda s: s["t"])
+    """The most frequent tokens, by count, then by where each first occurs.
+
+    Sorted tokens in a row are cut into runs of equal ones; only tokens as frequent as the last that is taken are looked for.
+    """
+    run = "(\\S+)(?: \\1(?= |$))*(?: |$)"
+
+    def counted(row: Column) -> Column:
+        token = lambda r: F.regexp_extract(r, "^\\S+", 0)
+        return F.transform(row, lambda r: F.struct(((F.length(F.rtrim(r)) + 1) / (F.length(token(r)) + 1)).cast("int").alias("n"), token(r).alias("t")))
+
+    def best(both: Column) -> Column:
+        found, each = both["found"], both["each"]
+        least = F.coalesce(F.get(F.sort_array(F.transform(each, lambda c: c["n"]), asc=False), F.lit(most - 1)), F.lit(0))
+        near = _bound(least, lambda n: F.filter(each, lambda c: c["n"] >= n))
+        placed = F.transform(near, lambda c: F.struct((-c["n"]).alias("c"), F.array_position(found, c["t"]).alias("at"), c["t"].alias("t")))
+        return F.transform(F.slice(F.sort_array(placed), 1, most), lambda s: s["t"])
+
+    runs = lambda found: F.regexp_extract_all(F.array_join(F.sort_array(found), " "), F.lit(run), F.lit(0))
+    return _bound(tokens(x), lambda found: _bound(F.struct(found.alias("found"), counted(runs(found)).alias("each")), best))
 
 
 def summary_short(x: Column, most: int = 220) -> Column:
-    """The first sentence, at most so many characters."""
-    return F.left(F.regexp_extract(trimmed(x), "^((?s:.*?)[.!?])(?:\\s|$)", 1), F.lit(most))
+    """The first sentence, or the whole text where no sentence ends, at most so many characters."""
+    whole = trimmed(x)
+    return F.left(F.coalesce(F.nullif(F.regexp_extract(whole, "^((?s:.*?)[.!?])(?:\\s|$)", 1), F.lit("")), whole), F.lit(most))
 
 
 def term_pattern(term: str, flexible: bool = False) -> str:

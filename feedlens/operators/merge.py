@@ -149,7 +149,8 @@ def apply_delete(table: DataFrame, plan: DataFrame, expected: int | None = None,
 
 
 def apply_consolidation(articles: DataFrame, plan: DataFrame, expected: int) -> DataFrame:
-    """Marks the duplicates of a plan; refuses one whose count of duplicates isn't what was shown."""
+    """Marks the duplicates of a plan; refuses one whose count of duplicates isn't `expected`, the count that was shown to whoever
+    approved it. Store the plan once and pass the stored rows: the count and the update then see the same."""
     duplicates = plan.where("isDuplicate")
     if (n := duplicates.count()) != expected:
         raise ValueError(f"the plan marks {n} duplicates, not {expected}")
@@ -157,6 +158,31 @@ def apply_consolidation(articles: DataFrame, plan: DataFrame, expected: int) ->
     return articles.join(p, "id", "left").withColumns({"isDuplicate": F.col("_p").isNotNull() | F.col("isDuplicate"), "duplicateOf": F.col("_p")}).drop("_p")
 
 
+def catalog_import(catalog: DataFrame, feeds: DataFrame) -> DataFrame:
+    """catalog (name, mode, url, and its order n) with outcome: imported, or why an entry is skipped: not_rss, no_url, existing.
+
+    Only entries of mode rss with an address are feeds; of several with one address the first by n is imported, if no feed has it.
+    """
+    url = F.nullif(F.trim(F.coalesce("url", F.lit(""))), F.lit(""))
+    rss = F.coalesce(F.lower(F.trim("mode")) == "rss", F.lit(False))
+    there = feeds.select(F.trim("rssUrl").alias("_url")).where("_url is not null").distinct().withColumn("_there", F.lit(True))
+    rows = catalog.withColumns({"_u": url, "_rss": rss}).join(there, F.col("_u") == F.col("_url"), "left")
+    first = F.row_number().over(Window.partitionBy("_u", "_rss").orderBy("n"))
+    outcome = F.when(~F.col("_rss"), "not_rss").when(F.col("_u").isNull(), "no_url").when(F.coalesce("_there", F.lit(False)) | (first > 1), "existing").otherwise("imported")
+    return rows.withColumn("outcome", outcome).select(*[F.col(c) for c in catalog.columns], "outcome")
+
+
+def legacy_feeds(feeds: DataFrame, catalog: DataFrame, prefix: str, region: str, names: tuple[str, ...]) -> DataFrame:
+    """Feeds behind a proxy's prefix that are of a region: by their catalog entry (url, or path at the proxy), or where they have
+    none by a token in their name."""
+    path = F.lower(F.regexp_extract(F.coalesce("rssUrl", F.lit("")), "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1))
+    proxied = feeds.where(F.contains(F.coalesce("rssUrl", F.lit("")), F.lit(prefix))).withColumn("_keys", F.array(F.col("rssUrl"), path))
+    entries = catalog.select("region", F.explode(F.array("url", F.lower("path"))).alias("_key")).where("coalesce(_key, '') != ''")
+    held = proxied.select("id", F.explode("_keys").alias("_key")).join(entries, "_key").groupBy("id").agg(F.bool_or(F.lower("region") == region).alias("_here"))
+    named = F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(F.coalesce("name", F.lit(""))), n))
+    return proxied.join(held, "id", "left").where(F.coalesce("_here", named)).drop("_keys", "_here")
+
+
 def mirror_plan(feeds: DataFrame, configured: DataFrame, apply: bool = False, prefix: str = "Mirror ") -> DataFrame:
     """(id, query, mirrorName, mirrorUrl, status): what to do about the mirror of each feed, and of each configured query (id, query).
 

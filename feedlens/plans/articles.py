@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedlens.operators import paging, ranges, snapshots
+from feedlens.operators import paging, projections, ranges, snapshots
 from feedlens.operators.filters import ArticleQuery, all_of, backlog, expired, holds, predicate, resolve_feed, search_predicate, source_health, wishlisted
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, table, with_roles
@@ -271,11 +271,22 @@ def set6(spark: SparkSession, sf: str) -> DataFrame:
 _THUMB = "CASE WHEN thumbnail IS NULL OR thumbnail = '' OR contains(thumbnail, 'placeholder') THEN 'placeholder' ELSE thumbnail END"
 
 
-@query("PRJ1_article_dto", with_roles(f"SELECT id, title, coalesce(nullif(canonicalLink, ''), link) AS url, {_THUMB} AS image, coalesce(nullif(topic, ''), 'General') AS topic FROM articles", "articles"))
-def prj1(spark: SparkSession, sf: str) -> DataFrame:
-    from feedlens.functions.text import presentable
+_STORED = """SELECT *, CASE n % 3 WHEN 0 THEN array('banknotes') WHEN 1 THEN array('identity_documents', 'security_printing') END AS domains, CASE WHEN n % 4 < 2 THEN array('central_bank', 'passport_authority') ELSE array() END AS profileSignals,
+  CASE WHEN n % 5 > 0 THEN array('passports') ELSE array() END AS classifications, CASE n % 2 WHEN 0 THEN array('central_bank', 'vendors') ELSE array('passport_authority', 'researcher') END AS affinities FROM {articles}"""
+_DTO = f""", s AS ({_STORED.format(articles="articles").replace("array(", "list_value(").replace("list_value()", "[]::VARCHAR[]")}),
+d AS (SELECT *, coalesce(domains, []) AS dom FROM s)
+SELECT id, title, coalesce(nullif(canonicalLink, ''), link) AS url, {_THUMB} AS image, coalesce(nullif(topic, ''), 'General') AS topic, keywords AS tags,
+  CASE WHEN n % 2 = 1 THEN 'source_not_affiliated' WHEN n % 4 >= 2 THEN 'article_signal_missing' WHEN NOT list_contains(dom, 'banknotes') THEN 'profile_domain_missing' ELSE 'source_affinity_and_article_evidence' END AS central_bank,
+  CASE WHEN n % 2 = 0 THEN 'source_not_affiliated' WHEN n % 4 >= 2 THEN 'article_signal_missing' WHEN NOT list_contains(dom, 'identity_documents') THEN 'profile_domain_missing' ELSE 'source_affinity_and_article_evidence' END AS passport_authority,
+  CASE WHEN n % 2 = 0 THEN 'source_not_affiliated' WHEN len(dom) = 0 OR n % 5 = 0 THEN 'article_industry_evidence_missing' ELSE 'source_affinity_and_industry_evidence' END AS researcher FROM d"""
+
 
-    return role(spark, sf, "articles").select("id", "title", F.coalesce(F.nullif("canonicalLink", F.lit("")), "link").alias("url"), F.when(presentable(F.col("thumbnail")), F.col("thumbnail")).otherwise("placeholder").alias("image"), F.coalesce(F.nullif("topic", F.lit("")), F.lit("General")).alias("topic"))
+@query("PRJ1_article_dto", with_roles(_DTO, "articles"))
+def prj1(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(_STORED, articles=_articles(spark, sf))
+    dto = projections.article_dto(rows, F.col("affinities"))
+    why = lambda p: F.get(F.filter("profileDecisions", lambda d: d["profile"] == p), F.lit(0))["reason"].alias(p)
+    return dto.select("id", "title", F.col("canonicalLink").alias("url"), F.col("thumbnail").alias("image"), "topic", F.array_join("tags", ",").alias("tags"), why("central_bank"), why("passport_authority"), why("researcher"))
 
 
 @query("PRJ2_feed_dto", with_roles("SELECT f.id, f.name, coalesce(n.n_name, '') AS region FROM feeds f LEFT JOIN nation n ON 'src' || CAST(n.n_nationkey AS VARCHAR) = f.id", "feeds"))
@@ -287,14 +298,22 @@ def prj2(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "PRJ3_normalized_item",
     with_roles(
-        r"SELECT sha256(u) AS id, trim(regexp_replace(regexp_replace(lower(title), '^[^a-z0-9]+', ''), '^(breaking|watch|analysis|live|update):\s+', '')) AS lead, u AS canonical FROM (SELECT title, regexp_replace(link, '^(https?://)www\.', '\1') AS u FROM news)",
+        r""", i AS (SELECT *, regexp_replace(link, '^(https?://)www\.', '\1') AS u, CASE WHEN n % 2 = 0 THEN source ELSE regexp_extract(link, '^https?://(www\.)?([^/?#:]+)', 2) END AS s,
+  trim(regexp_replace(contentSnippet, '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')) AS snip, CASE WHEN n % 3 = 0 THEN [source, 'banknotes'] ELSE [] END AS own FROM news),
+b AS (SELECT *, lower(title || ' ' || snip || ' ' || link) AS x FROM i)
+SELECT sha256(u) AS id, u AS canonical, s AS source, sha256(snip) AS snippet, left(coalesce(nullif(regexp_extract(snip, '^((?s:.*?)[.!?])(?:\s|$)', 1), ''), nullif(snip, ''), title), 220) AS summary,
+  array_to_string(own, ',') AS tags, len(own) > 0 OR regexp_matches(x, '(^|[^a-z0-9])(banknotes?|currency note|polymer note|note series)([^a-z0-9]|$)') AS of_banknotes FROM b""",
         "news",
     ),
 )
 def prj3(spark: SparkSession, sf: str) -> DataFrame:
-    from feedlens.functions.text import canonical_url, title_lead
-
-    return role(spark, sf, "news").select(F.sha2(canonical_url(F.col("link")), 256).alias("id"), F.trim(title_lead(F.col("title"))).alias("lead"), canonical_url(F.col("link")).alias("canonical"))
+    """Items as article rows; every second names its source, every third has tags, which add a domain."""
+    none = F.array().cast("array<string>")
+    items = role(spark, sf, "news").withColumns({"description": F.col("contentSnippet"), "source": F.when(F.col("n") % 2 == 0, F.col("source")).otherwise(""), "tags": F.when(F.col("n") % 3 == 0, F.array("source", F.lit("banknotes"))).otherwise(none)})
+    out = projections.article_rows(items.drop("contentSnippet"))
+    known = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("src"), k.cast("string")))
+    tags = F.when(F.size(F.array_intersect("keywords", known)) > 0, F.slice("keywords", 1, 2)).otherwise(none)
+    return out.select("id", F.col("canonicalLink").alias("canonical"), "source", F.sha2("contentSnippet", 256).alias("snippet"), F.col("summaryShort").alias("summary"), F.array_join(tags, ",").alias("tags"), F.array_contains("domains", "banknotes").alias("of_banknotes"))
 
 
 @query("PRJ4_feedback_export", with_roles("SELECT articleId, reason, 'exclude' AS expectedAction, row_number() OVER (ORDER BY createdAt, articleId, clientId) AS pos FROM feedback", "feedback"))

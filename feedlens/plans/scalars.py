@@ -75,7 +75,7 @@ def scl10(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "articles").select("id", F.sha2(F.coalesce("canonicalLink", F.lit("")), 256).alias("t"))
 
 
-@query("SCL12_summary", with_roles(r"SELECT id, left(regexp_extract(trim(contentSnippet), '^((?s:.*?)[.!?])(?:\s|$)', 1), 220) AS t FROM articles", "articles"))
+@query("SCL12_summary", with_roles(r"SELECT id, left(coalesce(nullif(regexp_extract(trim(contentSnippet), '^((?s:.*?)[.!?])(?:\s|$)', 1), ''), trim(contentSnippet)), 220) AS t FROM articles", "articles"))
 def scl12(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "articles").select("id", T.summary_short(F.col("contentSnippet")).alias("t"))
 

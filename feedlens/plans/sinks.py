@@ -10,6 +10,7 @@ from feedlens.operators.filters import expired
 from feedlens.plans.articles import _EXPIRED, _PROFILED, AS_OF
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, with_roles
+from feedlens.streaming.ingest import work_folder
 
 
 @query("SNK1_insert", with_roles("SELECT id, topic, 'pending' AS status FROM articles WHERE n % 5 <> 0 UNION ALL SELECT 'new' || id, 'General', 'pending' FROM articles WHERE n % 5 = 0", "articles"))
@@ -123,8 +124,12 @@ def snk14(spark: SparkSession, sf: str) -> DataFrame:
 @query("SNK15_consolidate", with_roles("SELECT id, isDuplicate OR (size > 1 AND NOT skipped AND r > 1) AS \"isDuplicate\", CASE WHEN size > 1 AND NOT skipped AND r > 1 THEN p END AS \"duplicateOf\" FROM (SELECT a.id, a.isDuplicate, coalesce(canonicalLink, '') <> '' AND true AS linked, CASE WHEN coalesce(canonicalLink, '') = '' THEN 1 ELSE count(*) OVER w END AS size, row_number() OVER (w ORDER BY createdAt, a.id) AS r, first_value(a.id) OVER (w ORDER BY createdAt, a.id) AS p, bool_or(f.id IS NOT NULL) OVER w AS skipped FROM articles a LEFT JOIN (SELECT DISTINCT \"articleId\" AS id FROM feedback) f ON f.id = a.id WINDOW w AS (PARTITION BY canonicalLink))", "articles", "feedback"))
 def snk15(spark: SparkSession, sf: str) -> DataFrame:
     a = role(spark, sf, "articles")
-    plan = paging.consolidation_plan(a, role(spark, sf, "feedback").select(F.col("articleId").alias("id")))
-    return merge.apply_consolidation(a, plan, plan.where("isDuplicate").count()).select("id", "isDuplicate", "duplicateOf")
+    path = f"{work_folder(spark)}/plan"
+    paging.consolidation_plan(a, role(spark, sf, "feedback").select(F.col("articleId").alias("id"))).write.parquet(path)
+    plan = spark.read.parquet(path)
+    # What was approved: one article of each group that isn't skipped stays.
+    shown = plan.agg(F.count("*") - F.countDistinct("canonicalLink")).first()[0]
+    return merge.apply_consolidation(a, plan, shown).select("id", "isDuplicate", "duplicateOf")
 
 
 @query("SNK16_seed_actions", with_roles("SELECT action, count(*) AS n FROM (SELECT CASE WHEN id = 'src7' THEN 'retire' WHEN id IN ('src0', 'src5') THEN 'update' WHEN id IN ('src1', 'src2') THEN 'skip' ELSE 'keep' END AS action FROM feeds UNION ALL SELECT 'create' FROM (VALUES (1), (2))) GROUP BY action", "feeds"))
@@ -142,11 +147,23 @@ def snk17(spark: SparkSession, sf: str) -> DataFrame:
     return merge.import_outcomes(rows, stored, "key", "n", F.col("n") % 9 != 0, 20).select("n", "outcome")
 
 
-@query("SNK18_catalog_import", "SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey > 3 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 10)")
+#: Suppliers as a catalog of feeds: some without an address, some of one that a feed has, some that repeat another's.
+_CATALOG = """SELECT s_suppkey AS n, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'link' ELSE 'RSS ' END AS mode,
+  CASE WHEN s_suppkey % 5 = 0 THEN ' ' WHEN s_suppkey % 3 = 0 THEN 'https://src' || CAST(s_nationkey AS STRING) || '.example.com/rss' ELSE 'https://catalog.example.com/' || CAST(s_suppkey % 60 AS STRING) END AS url FROM {supplier}"""
+
+
+@query(
+    "SNK18_catalog_import",
+    with_roles(
+        ", c AS (" + _CATALOG.format(supplier="supplier") + """),
+d AS (SELECT *, EXISTS (SELECT 1 FROM feeds f WHERE f.rssUrl = c.url) AS there, row_number() OVER (PARTITION BY trim(mode), trim(url) ORDER BY n) AS r FROM c)
+SELECT n, CASE WHEN mode = 'link' THEN 'not_rss' WHEN trim(url) = '' THEN 'no_url' WHEN there OR r > 1 THEN 'existing' ELSE 'imported' END AS outcome FROM d""",
+        "feeds",
+    ),
+)
 def snk18(spark: SparkSession, sf: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    there = read("supplier").where("s_suppkey < 10").select(F.col("s_nationkey").alias("n_nationkey"))
-    return read("nation").where("n_regionkey in (1, 2) and n_nationkey > 3").join(there, "n_nationkey", "left_anti").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    catalog = spark.sql(_CATALOG, supplier=spark.read.parquet(f"{sf}/supplier.parquet"))
+    return merge.catalog_import(catalog, role(spark, sf, "feeds")).select("n", "outcome")
 
 
 @query(
@@ -166,7 +183,13 @@ def snk20(spark: SparkSession, sf: str) -> DataFrame:
     return merge.mirror_plan(f.select("id", "name", "rssUrl", "isActive").unionByName(taken), configured).select("id", "status")
 
 
-@query("SNK21_legacy_cleanup", with_roles("SELECT f.id FROM feeds f JOIN nation n ON f.id = 'src' || CAST(n.n_nationkey AS VARCHAR) WHERE contains(f.rssUrl, 'src1') AND n.n_regionkey = 1", "feeds"))
+_NATIONS = "SELECT CASE WHEN n_regionkey = 1 THEN 'Canada' ELSE 'us' END AS region, CASE WHEN n_nationkey % 2 = 0 THEN 'https://src' || CAST(n_nationkey AS STRING) || '.example.com/rss' ELSE '' END AS url, CAST(NULL AS STRING) AS path FROM {nation}"
+
+
+@query(
+    "SNK21_legacy_cleanup",
+    with_roles(", c AS (" + _NATIONS.format(nation="nation").replace("AS STRING", "AS VARCHAR") + ") SELECT f.id FROM feeds f WHERE contains(f.rssUrl, 'example.com/rss') AND coalesce((SELECT bool_or(c.region = 'Canada') FROM c WHERE c.url = f.rssUrl), regexp_matches(lower(f.name), 'src1|src3'))", "feeds"),
+)
 def snk21(spark: SparkSession, sf: str) -> DataFrame:
-    catalog = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("id"), "n_regionkey")
-    return role(spark, sf, "feeds").where(F.contains("rssUrl", F.lit("src1"))).join(catalog, "id", "left").where("n_regionkey = 1").select("id")
+    catalog = spark.sql(_NATIONS, nation=spark.read.parquet(f"{sf}/nation.parquet"))
+    return merge.legacy_feeds(role(spark, sf, "feeds"), catalog, "example.com/rss", "canada", ("src1", "src3")).select("id")
