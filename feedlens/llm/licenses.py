@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -120,7 +122,7 @@ def canonical(text: Column) -> Column:
     marked = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©")) | F.contains(low, F.lit("all rights reserved"))
     out = F.concat(F.lit(" "), F.regexp_replace(F.when(marked, F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "), F.lit(" "))
     spelled = out
-    for x, y in SPELLINGS:
+    for x, y in SPELLINGS * 2:  # twice, because neighbours share a blank
         spelled = F.replace(spelled, F.lit(f" {x} "), F.lit(f" {y} "))
     other = " (?:" + "|".join(x for x, _ in SPELLINGS) + ") "
     return F.btrim(F.when(out.rlike(other), spelled).otherwise(out))
@@ -142,24 +144,55 @@ def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> Da
 
 
 def known_long(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license, passage) of the long known texts in canonical form between spaces, but for those that hold another of
-    the same licence (one with a title, say): where they stand the other does."""
+    """license, digest, words (how many), anchor and place of the long known texts, but for those that hold another of the same
+    licence (one with a title, say): where they stand the other does. A text's anchor is the word that the fewest of these texts
+    hold, of those the longest; place is where it first stands among the text's words."""
     long = [(name, text) for name, text in texts if len(text) > LONG]
     long = [(name, text) for name, text in long if not any(n == name and t != text and t in text for n, t in long)]
     if lost := [text for _, text in long if not any(cue in text.lower() for cue in CUES)]:
         raise ValueError(f"no cue is in the known text {lost[0][:60]!r}")
-    return spark.createDataFrame(long, "license string, text string").select("license", F.concat(F.lit(" "), canonical(F.col("text")), F.lit(" ")).alias("passage")).distinct()
+    form = spark.createDataFrame(long, "license string, text string").select("license", canonical(F.col("text")).alias("text")).distinct().collect()
+    words = [r.text.split(" ") for r in form]
+    held = Counter(w for ws in words for w in set(ws))
+    rows = []
+    for r, ws in zip(form, words, strict=True):
+        anchor = min(ws, key=lambda w: (held[w], -len(w), w))
+        rows.append((r.license, hashlib.sha256(r.text.encode()).hexdigest(), len(ws), anchor, ws.index(anchor), ws[0], ws[-1]))
+    return spark.createDataFrame(rows, "license string, digest string, words int, anchor string, place int, first string, last string")
 
 
 def _within(rows: DataFrame, texts: tuple[tuple[str, str], ...]) -> DataFrame:
-    """doc_id, tid and license of each long known text that stands in a document, whatever its wrapping and surroundings."""
+    """doc_id, tid and license of each long known text that stands in a document, whatever its wrapping and surroundings.
+
+    Where one of the anchors stands in a document, the window of words that its text would take is hashed, if its first and
+    last word are the text's; the digests of such windows meet the known ones in a join.
+    """
     low = ascii_lower(F.col("text"))
     cued = F.contains(low, F.lit(CUES[0]))
     for cue in CUES[1:]:
         cued = cued | F.contains(low, F.lit(cue))
-    # The generator keeps the optimizer from evaluating the canonical form for each use of body.
-    held = rows.where(cued).select("doc_id", "tid", F.explode_outer(F.array(F.concat(F.lit(" "), canonical(F.col("text")), F.lit(" ")))).alias("body"))
-    return held.join(F.broadcast(known_long(rows.sparkSession, texts)), F.expr("contains(body, passage)")).select("doc_id", "tid", "license")
+    table = known_long(rows.sparkSession, texts)
+    known_rows = table.collect()  # the fixed table
+    of: dict[str, list] = {}
+    for r in known_rows:
+        of.setdefault(r.anchor, []).append(F.struct(F.lit(r.place).alias("place"), F.lit(r.words).alias("words"), F.lit(r.first).alias("first"), F.lit(r.last).alias("last")))
+    anchors = F.create_map(*[x for word, entries in of.items() for x in (F.lit(word), F.array(*entries))])
+    listed = F.array(*[F.lit(w) for w in of])
+
+    def windows(words: Column) -> Column:
+        def at(i: Column) -> Column:
+            inside = lambda e: (i > e["place"]) & (i - e["place"] + e["words"] - 1 <= F.size(words))
+            ends = lambda e: (F.get(words, i - e["place"] - 1) == e["first"]) & (F.get(words, i - e["place"] + e["words"] - 2) == e["last"])
+            good = F.filter(F.element_at(anchors, F.get(words, i - 1)), lambda e: inside(e) & ends(e))
+            return F.transform(good, lambda e: F.sha2(F.array_join(F.slice(words, i - e["place"], e["words"]), " ").cast("binary"), 256))
+
+        places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(listed, F.get(words, i - 1)))
+        return F.array_distinct(F.flatten(F.transform(places, at)))
+
+    # The generator keeps the optimizer from evaluating the canonical form for each use of the words.
+    held = rows.where(cued).select("doc_id", "tid", F.explode_outer(F.array(F.split(canonical(F.col("text")), " "))).alias("w")).where(F.arrays_overlap("w", listed))
+    found = held.select("doc_id", "tid", F.explode(windows(F.col("w"))).alias("digest"))
+    return found.join(F.broadcast(table.select("license", "digest")), "digest").select("doc_id", "tid", "license")
 
 
 def licenses(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:

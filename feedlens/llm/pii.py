@@ -3,7 +3,7 @@
 A pattern is the one or two words right before an identifier. Seeds are the valid base spans. In each round a pattern's
 confidence is the score of its instances over their number, and an instance's score is the chance that at least
 one of its confident patterns is right; so instances that seeds haven't named gain a score, and count as support of further
-patterns in the next round, until no pattern is added. Identifier-like strings in a confident pattern's slot become spans of
+patterns in the next round, until scores stand still. Identifier-like strings in a confident pattern's slot become spans of
 the kind "ctx". Built-in functions only.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import stored, whole
+from feedlens.llm.common import dropped, stored, whole
 
 KINDS = ("email", "ip", "card", "phone", "ctx")
 #: Fixed shapes, written without backtracking: possessive where nothing is given back, and an address's local part
@@ -33,10 +33,13 @@ DIGITS = 5
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """The most rounds of scoring; the least confidence of a pattern, and the least number of instances it must hold whose
-    own score reaches that confidence; code points before an instance in which its pattern is looked for."""
+    """The sum of changes of all confidences under which scores stand still, and the rounds after which it is an error that they
+    don't (a confident pattern's gap closes by more than half a round); the least confidence of a pattern, and the least number
+    of instances it must hold whose own score reaches that confidence; code points before an instance in which its pattern is
+    looked for."""
 
-    rounds: int = 12
+    settled: float = 1e-4
+    rounds: int = 100
     confidence: float = 0.6
     seeds: int = 3
     reach: int = 60
@@ -96,20 +99,27 @@ def confident(spans: DataFrame, rule: Bootstrap = Bootstrap()) -> DataFrame:
     """The confident patterns, from the graph of distinct (pattern, instance) pairs, after the rounds of scoring."""
     edges = stored(spans.where("pattern != ''").groupBy("pattern", "value").agg(F.max(F.when(F.col("kind") < 4, 1.0).otherwise(0.0)).alias("seed")))
     seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    scored, found = seeds.select("value", F.col("seed").alias("score")), -1
+    scored, before, patterns = seeds.select("value", F.col("seed").alias("score")), (-1, 0.0), None
     for _ in range(rule.rounds):
         each = edges.join(scored, "value")
-        patterns = stored(
+        last, patterns = patterns, stored(
             each.groupBy("pattern")
             .agg(F.sum("score").alias("mass"), F.count("*").alias("n"), F.count(F.when(F.col("score") >= rule.confidence, True)).alias("support"))
             .select("pattern", "support", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
             .where(f"support >= {rule.seeds} and confidence >= {rule.confidence}")
         )
-        before, found = found, patterns.count()
-        if found == before:
+        if last is not None:
+            dropped(last)
+        # Scores and confidences only rise, so that the sum's change bounds each one's.
+        found = tuple(patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first())
+        if found[0] == before[0] and found[1] - before[1] < rule.settled:
             break
+        before = found
         gained = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("confidence"))))).alias("gain"))
         scored = seeds.join(gained, "value", "left").select("value", F.greatest("seed", F.coalesce("gain", F.lit(0.0))).alias("score"))
+    else:
+        raise RuntimeError(f"scores have not settled after {rule.rounds} rounds")
+    dropped(edges)
     return patterns
 
 
