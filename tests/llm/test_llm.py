@@ -87,9 +87,15 @@ def test_decontamination(spark, docs, empty):
 
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 8)
+    seen = []
+    monkeypatch.setattr(decontaminate, "stored", lambda df: seen.append(df) or common.stored(df))
     bench = spark.createDataFrame(list(ITEMS.items()), "item_id bigint, text string")
     found = decontaminate.contamination(docs, bench)
     assert by_id(decontaminate.report(found)) == brute.contaminated(DOCS, ITEMS)
+    assert not seen, "one pass reads the documents once"
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 40)
+    assert by_id(decontaminate.report(decontaminate.contamination(docs, bench))) == brute.contaminated(DOCS, ITEMS)
+    assert seen, "several passes over stored rows"
     row = found.where("size(words) > 0").first()
     places = [DOCS[row.doc_id][a:b] for a, b in zip(row.offsets[::2], row.offsets[1::2], strict=True)]
     assert [p.lower() for p in places] == [brute.bench_words(DOCS[row.doc_id])[k].lower() for k in row.words]
@@ -98,7 +104,6 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
 def test_decontamination_with_numbers_beyond_one_character(spark, docs, monkeypatch):
     """More words than single characters: word numbers of two characters give the same result; null ids hit words."""
     monkeypatch.setattr(decontaminate, "SINGLE", 3)
-    decontaminate.automaton.cache_clear()
     tree = decontaminate.Automaton(tuple((k, t) for k, t in ITEMS.items() if t))
     plain = {d: {w for a, b, _ in tree.matches(decontaminate.normal_words(t)) for w in range(a, b)} for d, t in DOCS.items()}
     assert {d: len(h) for d, h in plain.items()} == {d: r[1] for d, r in brute.contaminated(DOCS, ITEMS).items()}
