@@ -84,7 +84,8 @@ def authority(text: Column, sources: str = SOURCES) -> Column:
 
 
 def scored(articles: DataFrame, terms: DataFrame, as_of: Column) -> DataFrame:
-    """articles (id, title, tags, meta, body, sourceText, pubDate) to a row for each id and interest: core, penalty, score, direct, included.
+    """articles (id, title, tags, meta, body, sourceText, pubDate) to a row for each id and interest: core, penalty, score, strong (how
+    many strong terms), direct, included.
 
     core: shares of a profile's points, with a third of a good source's authority, and intent, where two negatives rule an
     article out. penalty: by how much another interest's core is larger. score adds authority and recency, and is at least 0.
@@ -97,12 +98,12 @@ def scored(articles: DataFrame, terms: DataFrame, as_of: Column) -> DataFrame:
     weight = sum((F.when(F.col(f), F.coalesce(F.get(points[F.col("kind")], F.lit(k)), F.lit(0))).otherwise(0) for k, f in enumerate(FIELDS)), F.lit(0))
     sums = met.groupBy("id", "interest").agg(
         F.sum(weight).alias("profile"), F.sum(F.coalesce(intents[F.col("kind")], F.lit(0))).alias("intent"), F.count_if(F.col("kind") == "intent_negative").alias("negatives"),
-        F.bool_or(F.col("kind").isin("strong", "intent_strong")).alias("direct"), F.bool_or(F.col("kind").isin("medium", "intent_weak", "weak")).alias("some"),
+        F.count_if(F.col("kind").isin("strong", "intent_strong")).alias("strong"), F.bool_or(F.col("kind").isin("medium", "intent_weak", "weak")).alias("some"),
     )
     interests = spark.createDataFrame(list(SHARES.items()), "interest string, share double")
     boost = F.create_map(*[x for k, v in AUTHORITY.items() for x in (F.lit(k), F.lit(v))])[authority(F.coalesce("sourceText", F.lit("")))]
     base = articles.select("id", boost.alias("boost"), recency(F.col("pubDate"), as_of).alias("recent")).crossJoin(F.broadcast(interests))
-    rows = base.join(sums, ["id", "interest"], "left").fillna(0, ["profile", "intent", "negatives"]).fillna(False, ["direct", "some"])
+    rows = base.join(sums, ["id", "interest"], "left").fillna(0, ["profile", "intent", "negatives", "strong"]).fillna(False, ["some"]).withColumn("direct", F.col("strong") > 0)
     own = F.col("share") * (F.col("profile") + F.greatest(F.lit(0.0), F.col("boost") * 0.35)) + F.col("intent") - F.when(F.col("negatives") >= 2, 500).otherwise(0)
     by_id = Window.partitionBy("id")
     ranked = rows.withColumn("core", own).withColumn("tops", F.slice(F.sort_array(F.collect_list("core").over(by_id), asc=False), 1, 2))
@@ -111,4 +112,4 @@ def scored(articles: DataFrame, terms: DataFrame, as_of: Column) -> DataFrame:
     rounded = lambda x: F.floor(x + 0.5)
     score = F.greatest(F.lit(0), F.col("boost") + F.col("recent") + F.greatest(F.lit(-120), rounded(F.col("core"))) - F.least(F.lit(110), rounded(F.col("penalty"))))
     out = ranked.withColumn("penalty", penalty).withColumn("score", score)
-    return out.select("id", "interest", "core", "penalty", "score", "direct", ((F.col("score") >= LEAST) & (F.col("direct") | F.col("some"))).alias("included"))
+    return out.select("id", "interest", "core", "penalty", "score", "strong", "direct", ((F.col("score") >= LEAST) & (F.col("direct") | F.col("some"))).alias("included"))

@@ -263,25 +263,6 @@ def agg22(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "feeds").agg(F.count_if(F.expr("isActive and lastStatus = 'success'")).alias("healthy"), F.count_if(F.col("lastStatus") == "error").alias("failing"), F.count_if(~F.col("isActive")).alias("inactive"))
 
 
-_SUBGROUPS = (("banknote", "new banknote"), ("passport", "biometric"), ("security", "security printing"))
-_SUBGROUP_ROWS = " UNION ALL ".join(f"SELECT id, lower(title) AS t, '{g}' AS g, contains(lower(title), '{d}') AS direct FROM news WHERE contains(lower(title), '{g}')" for g, d in _SUBGROUPS)
-
-
-@query(
-    "AGG23_subgroups",
-    with_roles(
-        f"""SELECT g AS subgroup, count(*) AS total, count(*) FILTER (WHERE direct) AS direct, count(*) FILTER (WHERE NOT direct) AS hybrid, count(*) FILTER (WHERE k > 1) AS overlap,
-count(*) FILTER (WHERE contains(t, 'auction') OR contains(t, 'ranking')) AS likely_false_positives FROM (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM ({_SUBGROUP_ROWS})) GROUP BY g""",
-        "news",
-    ),
-)
-def agg23(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.lower("title")
-    found = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.struct(F.lit(w).alias("g"), F.contains(t, F.lit(d)).alias("direct"))) for w, d in _SUBGROUPS]))
-    rows = role(spark, sf, "news").select(t.alias("t"), found.alias("found")).select("t", (F.size("found") > 1).alias("overlaps"), F.explode("found").alias("x"))
-    doubtful = F.contains("t", F.lit("auction")) | F.contains("t", F.lit("ranking"))
-    counts = [F.count("*").alias("total"), F.count_if("x.direct").alias("direct"), F.count_if(~F.col("x.direct")).alias("hybrid"), F.count_if("overlaps").alias("overlap"), F.count_if(doubtful).alias("likely_false_positives")]
-    return rows.groupBy(F.col("x.g").alias("subgroup")).agg(*counts)
 
 
 @query("AGG24_changed_by_feed", with_roles("SELECT feedId, count(*) AS changed FROM articles WHERE topic IS DISTINCT FROM CASE WHEN contains(lower(title), 'on') THEN 'Banknotes' ELSE topic END GROUP BY feedId ORDER BY changed DESC, feedId", "articles"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.operators import gates, interests, matching, relevance, rules, source_rules
+from feedlens.operators import gates, interests, matching, relevance, rules, source_rules, subgroups
 from feedlens.operators.filters import any_of
 from feedlens.plans.registry import query
 from feedlens.sources.tables import role, with_roles
@@ -328,23 +328,82 @@ def rul15_given(spark: SparkSession, sf: str) -> DataFrame:
     return matching.decided(pairs, events, pairs.where("a % 19 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-STRONG = {"banknote": {"banknote": 5.0, "polymer": 4.0}, "passport": {"passport": 5.0, "biometric": 4.0}, "digital": {"digital identity": 5.0, "wallet": 3.5}}
-WEAK = {"banknote": {"series": 2.0, "bank": 1.5}, "passport": {"page": 1.25, "border": 2.0}, "digital": {"platform": 1.25}}
-_DOMSCORE = {d: " + ".join(f"CASE WHEN {_has('lower(title)', t)} THEN {w} ELSE 0 END" for t, w in (STRONG[d] | WEAK[d]).items()) for d in STRONG}
+_FIELDED = "SELECT id, n, title, topic || ' ' || source AS tags, link AS meta, contentSnippet AS body FROM {news}"
 
 
-@query("RUL16_weighted_domains", with_roles("SELECT id, " + ", ".join(f"CAST({e} AS DOUBLE) AS {d}" for d, e in _DOMSCORE.items()) + " FROM news", "news"))
+def _fielded(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_FIELDED, news=role(spark, sf, "news"))
+
+
+def _hits_sql(name: str, terms: str) -> str:
+    """CTEs of the terms and of each article's counts of them: name(id, owner, kind_field, kind_n)."""
+    rows = interests.parsed(terms)
+    kinds = list(dict.fromkeys(k for _, k, _ in rows))
+    hit = lambda f: f"regexp_matches(lower({f}), '(^|[^a-z0-9])' || replace(replace(t.term, '-', '\\-'), ' ', '[\\s\\-/&]+') || '([^a-z0-9]|$)')"
+    counts = ", ".join([f"count(*) FILTER (WHERE kind = '{k}' AND h{i}) AS {k}_{f}" for k in kinds for i, f in enumerate(interests.FIELDS)] + [f"count(*) FILTER (WHERE kind = '{k}' AND (h0 OR h1 OR h2 OR h3)) AS {k}_n" for k in kinds])
+    return f"""{name}_t(owner, kind, term) AS (VALUES {", ".join(f"('{o}', '{k}', '{t}')" for o, k, t in rows)}),
+{name}_h AS (SELECT a.id, t.owner, t.kind, t.term, {", ".join(f"{hit(f)} AS h{i}" for i, f in enumerate(interests.FIELDS))} FROM a, {name}_t t),
+{name} AS (SELECT id, owner, {counts} FROM {name}_h GROUP BY id, owner)"""
+
+
+_PTS = lambda weights: " + ".join(f"{k}_{f} * CAST({w} AS DOUBLE)" for k, ws in weights.items() for f, w in zip(interests.FIELDS, ws, strict=True))
+_SCORES = ", a AS (" + _FIELDED.format(news="news") + "), " + _hits_sql("d", subgroups.DOMAINS) + f""",
+ds AS (SELECT id, owner, {_PTS(subgroups.DOMAIN_WEIGHTS)} + CASE WHEN b THEN 4 ELSE 0 END AS score, excluded_title + excluded_tags + excluded_meta AS excluded, CASE WHEN b THEN
+  CASE WHEN signal_strong_n > 0 AND support_n > 0 THEN 6 + 4 * signal_strong_n ELSE 0 END + CASE WHEN signal_medium_n > 0 AND support_n > 0 THEN 3 + 3 * signal_medium_n ELSE 0 END
+  + CASE WHEN signal_strong_n + signal_medium_n >= 2 AND support_n > 0 THEN 5 ELSE 0 END + CASE WHEN support_n >= 2 AND signal_strong_n + signal_medium_n > 0 THEN 4 ELSE 0 END
+  - CASE WHEN negative_tech_n > 0 THEN CASE WHEN support_n > 0 THEN 6 ELSE 14 END ELSE 0 END ELSE 0 END AS earned FROM (SELECT d.*, a.n % 2 = 0 AS b FROM d JOIN a USING (id))),
+dp AS (SELECT *, floor(score + earned + 0.5) AS production FROM ds)
+"""
+
+
+def _domains(spark: SparkSession, sf: str) -> DataFrame:
+    return subgroups.domain_scores(_fielded(spark, sf), subgroups.term_table(spark, subgroups.DOMAINS), F.col("n") % 2 == 0)
+
+
+@query("RUL16_weighted_domains", with_roles(_SCORES + "SELECT id, owner AS domain, round(score, 4) AS score, production::BIGINT AS production, excluded::BIGINT AS excluded, production >= 7 AS included FROM dp", "news"))
 def rul16(spark: SparkSession, sf: str) -> DataFrame:
-    return role(spark, sf, "news").select("id", *[rules.weighted_score(F.lower("title"), STRONG[d], WEAK[d]).alias(d) for d in STRONG])
+    """Every article's points for each domain over title, tags, address and whole text; every second is boosted."""
+    return _domains(spark, sf).select("id", F.col("owner").alias("domain"), F.round("score", 4).alias("score"), F.col("production").cast("bigint").alias("production"), F.col("excluded").cast("bigint").alias("excluded"), "included")
 
 
 @query(
-    "RUL17_dominant_subgroup",
-    with_roles(", s AS (SELECT id, " + ", ".join(f"{e} AS {d}" for d, e in _DOMSCORE.items()) + " FROM news), u AS (SELECT id, unnest([banknote, passport, digital]) AS v, unnest([0, 1, 2]) AS k, unnest(['banknote', 'passport', 'digital']) AS d FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, k) AS p FROM u) SELECT a.id, CASE WHEN a.v >= 5 AND (a.v - b.v >= 2 OR a.v >= 14) THEN a.d END AS dominant FROM r a JOIN r b ON a.id = b.id AND a.p = 1 AND b.p = 2", "news"),
+    "RUL16_dominant_domain",
+    with_roles(_SCORES + ", r AS (SELECT *, lead(score, 1, 0.0) OVER w AS nxt, row_number() OVER w AS r FROM dp WINDOW w AS (PARTITION BY id ORDER BY score DESC, owner)) SELECT id, CASE WHEN score >= 8 AND (score - nxt >= 2 OR score >= 14) THEN owner END AS dominant FROM r WHERE r = 1", "news"),
 )
+def rul16_dominant(spark: SparkSession, sf: str) -> DataFrame:
+    return subgroups.dominant_domain(_domains(spark, sf))
+
+
+_ASSESSED = _SCORES + ", " + _hits_sql("s", subgroups.SUBGROUPS) + f""",
+sp AS (SELECT s.*, p.production, greatest(0, floor(p.production * CAST(0.65 AS DOUBLE) + {_PTS(subgroups.SUBGROUP_WEIGHTS)} - p.excluded * 10 + 0.5)) AS score FROM s JOIN dp p ON p.id = s.id AND p.owner = 'security_printing'),
+sd AS (SELECT *, strong_n > 0 OR (weak_n > 0 AND score >= 18) AS direct, strong_n * 4 + related_n * 2 + weak_n AS weight FROM sp),
+sh AS (SELECT *, NOT direct AND production >= 7 AND score >= 18 AND (weak_n > 0 OR related_n > 0) AS hybrid FROM sd),
+si AS (SELECT *, direct OR hybrid AS included FROM sh),
+so AS (SELECT i.*, o.owner AS other, o.score AS other_score, o.weight AS other_weight, row_number() OVER (PARTITION BY i.id, i.owner ORDER BY o.score DESC NULLS LAST, o.owner) AS r FROM si i LEFT JOIN si o ON o.id = i.id AND o.owner <> i.owner AND o.included),
+sf AS (SELECT id, owner AS subgroup, score::BIGINT AS score, direct, hybrid, included, CASE WHEN NOT included THEN '' WHEN NOT direct AND weak_n = 0 AND related_n = 0 THEN 'no_subgroup_specific_evidence'
+  WHEN other_score >= score + 30 AND other_weight >= weight + 2 THEN 'looks_more_like_' || other
+  WHEN owner = 'ovd' AND strong_n = 0 AND EXISTS (SELECT 1 FROM s_h h WHERE h.id = so.id AND h.term = 'security device' AND (h0 OR h1 OR h2 OR h3)) THEN 'generic_security_device_only'
+  WHEN owner = 'secure_documents' AND strong_n = 0 AND weak_n > 0 THEN 'generic_document_security_only' ELSE '' END AS doubt FROM so WHERE r = 1)
+"""
+
+
+def _assessed(spark: SparkSession, sf: str) -> DataFrame:
+    domain = _domains(spark, sf).where("owner = 'security_printing'")
+    return subgroups.assessed(_fielded(spark, sf), subgroups.term_table(spark, subgroups.SUBGROUPS), domain)
+
+
+@query("RUL17_dominant_subgroup", with_roles(_ASSESSED + "SELECT * FROM sf", "news"))
 def rul17(spark: SparkSession, sf: str) -> DataFrame:
-    scores = {d: rules.weighted_score(F.lower("title"), STRONG[d], WEAK[d]) for d in STRONG}
-    return role(spark, sf, "news").select("id", rules.dominant(scores, least=5).alias("dominant"))
+    """Every article's score for each subgroup, whether direct or hybrid evidence includes it, and why that may be wrong."""
+    return _assessed(spark, sf).withColumn("score", F.col("score").cast("bigint"))
+
+
+@query(
+    "AGG23_subgroups",
+    with_roles(_ASSESSED + "SELECT subgroup, count(*) AS total, count(*) FILTER (WHERE direct) AS direct, count(*) FILTER (WHERE hybrid) AS hybrid, count(*) FILTER (WHERE k > 1) AS overlap, count(*) FILTER (WHERE doubt <> '') AS likely_false_positives FROM (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM sf WHERE included) GROUP BY subgroup", "news"),
+)
+def agg23(spark: SparkSession, sf: str) -> DataFrame:
+    return subgroups.subgroup_summary(_assessed(spark, sf))
 
 
 _INTERESTED = "SELECT id, title, topic || ' ' || source AS tags, link AS meta, contentSnippet AS body, CASE n % 5 WHEN 0 THEN 'ICAO newsroom' WHEN 1 THEN 'The Ministry' WHEN 2 THEN 'A blog' WHEN 3 THEN 'Daily news' ELSE source END AS sourceText, CASE WHEN n % 31 = 0 THEN NULL ELSE pubDate - INTERVAL '1' DAY * (n % 7 * 200) END AS pubDate FROM {news}"
@@ -374,10 +433,40 @@ def rul18(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "interest", F.round("core", 4).alias("core"), F.round("penalty", 4).alias("penalty"), F.col("score").cast("bigint").alias("score"), "included")
 
 
-@query("RUL19_overlap", with_roles("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p AND d THEN 'overlap' WHEN p THEN 'passport_only' WHEN d THEN 'digital_only' ELSE 'neither' END AS kind FROM (SELECT contains(lower(title), 'passport') AS p, regexp_matches(lower(title), 'biometric|digital') AS d FROM news)) GROUP BY kind", "news"))
+_KYC_SQL = ", a AS (" + _FIELDED.format(news="news") + "), " + _hits_sql("k", subgroups.KYC) + ", " + _hits_sql("p", subgroups.PASSPORTS) + """
+SELECT k.id, CASE WHEN k.strong_n >= 2 OR (k.strong_n = 1 AND k.idv_n <= 2 AND k.auth_n = 0) THEN 'keep_as_kyc' WHEN k.strong_n = 0 AND (k.idv_n >= 2 OR k.auth_n >= 2) THEN 'demote_from_kyc'
+  WHEN k.strong_n = 0 AND k.weak_n > 0 THEN 'require_stronger_kyc_evidence' ELSE 'ambiguous_keep_for_now' END AS kyc,
+  CASE WHEN p.strong_n >= 2 AND p.id_card_n + p.residence_n + p.border_n + p.idv_n = 0 THEN 'Genuine Passport Article' WHEN p.strong_n >= 1 THEN 'Passport-heavy but multi-category' WHEN p.residence_n >= 2 THEN 'Generic Identity Document Article'
+  WHEN p.idv_n >= 2 AND p.medium_n = 0 THEN 'Identity Verification Article' WHEN p.border_n >= 2 THEN 'Border Control Article' WHEN p.medium_n = 0 AND p.weak_n > 0 THEN 'Likely Passport False Positive'
+  WHEN p.id_card_n + p.residence_n > 0 THEN 'Generic Identity Document Article' ELSE 'Passport-heavy but multi-category' END AS passport
+FROM k JOIN p ON p.id = k.id"""
+
+
+@query("RUL19_actions", with_roles(_KYC_SQL, "news"))
+def rul19_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """What to do with each article under customer checks, and what it is under passports."""
+    n = lambda *kinds: [F.col(k)["n"] for k in kinds]
+    rows = _fielded(spark, sf)
+    kyc = subgroups.evidence(rows, subgroups.term_table(spark, subgroups.KYC), ("strong", "weak", "idv", "auth")).select("id", subgroups.kyc_action(*n("strong", "weak", "idv", "auth")).alias("kyc"))
+    kinds = ("strong", "medium", "weak", "id_card", "residence", "border", "idv")
+    passport = subgroups.evidence(rows, subgroups.term_table(spark, subgroups.PASSPORTS), kinds).select("id", subgroups.passport_class(*n(*kinds)).alias("passport"))
+    return kyc.join(passport, "id")
+
+
+_HEAVY = {"passports": "Passport-heavy", "residence_permits": "Residence-heavy", "visas": "Visa-heavy"}
+_OVERLAP = (
+    _RUL18.replace("SELECT id, interest, round(core, 4) AS core", ", g AS (SELECT f.*, score >= 18 AND (direct OR partly) AS included, strongs FROM f JOIN (SELECT id, interest, count(*) FILTER (WHERE kind IN ('strong', 'intent_strong') AND (h0 OR h1 OR h2 OR h3)) AS strongs FROM h GROUP BY id, interest) USING (id, interest)) SELECT id, interest, round(core, 4) AS core").split("SELECT id, interest, round(core, 4)")[0]
+    + """, r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt, count(*) OVER (PARTITION BY id) AS k, bool_or(penalty < 5) FILTER (WHERE penalty > 0) OVER (PARTITION BY id) AS near FROM g WHERE included WINDOW w AS (PARTITION BY id ORDER BY score DESC, interest))
+SELECT id, CASE WHEN score >= nxt + 80 AND strongs >= 2 AND interest <> 'border_control' THEN CASE interest WHEN 'passports' THEN 'Passport-heavy' WHEN 'visas' THEN 'Visa-heavy' ELSE 'Residence-heavy' END WHEN near THEN 'Legitimate overlap' ELSE 'Ambiguous' END AS classification FROM r WHERE r = 1 AND k > 1"""
+)
+
+
+@query("RUL19_overlap", with_roles(_OVERLAP, "news"))
 def rul19(spark: SparkSession, sf: str) -> DataFrame:
-    p, d = F.contains(F.lower("title"), F.lit("passport")), F.lower("title").rlike("biometric|digital")
-    return role(spark, sf, "news").groupBy(F.when(p & d, "overlap").when(p, "passport_only").when(d, "digital_only").otherwise("neither").alias("kind")).agg(F.count("*").alias("n"))
+    """Articles that several interests include; a second that is nearly as good is taken for a bridge between them."""
+    rows = spark.sql(_INTERESTED, news=role(spark, sf, "news"))
+    out = interests.scored(rows, interests.term_table(spark), F.lit(_AS_OF).cast("timestamp"))
+    return subgroups.overlap_class(out, _HEAVY, (F.col("penalty") > 0) & (F.col("penalty") < 5))
 
 
 @query("RUL20_vendor_priority", with_roles("SELECT id, score, CASE WHEN score >= 55 THEN 'activate' WHEN score >= 40 THEN 'review' ELSE 'skip' END AS action FROM (SELECT f.id, least(count(a.id), 50) + CASE WHEN f.sourceGroup = 'vendors' THEN 10 ELSE 0 END - CASE WHEN f.lastStatus = 'error' THEN 15 ELSE 0 END AS score FROM feeds f LEFT JOIN articles a ON a.feedId = f.id GROUP BY f.id, f.sourceGroup, f.lastStatus)", "feeds", "articles"))

@@ -100,3 +100,35 @@ def test_feedback_input(spark):
     rows = spark.createDataFrame([("1", " c ", "spam", "x" * 200, [" a", "", None] + ["i"] * 70), ("1", "c" * 161, "spam", None, None), ("", "c", "spam", None, None), ("1", "c", "other", None, None), (None, None, None, None, None)], "articleId string, clientId string, reason string, context string, interests array<string>")
     v = [r.v for r in rows.select(rules.feedback_input(("spam",)).alias("v")).collect()]
     assert [x.valid for x in v] == [True, False, False, False, False] and len(v[0].context) == 160 and len(v[0].interests) == 60 and v[1].interests == []
+
+
+def test_subgroups_direct_hybrid_and_doubts(spark):
+    from feedlens.operators import subgroups
+
+    table = "substrates | strong: polymer note | weak: polymer | related: production\novd | strong: hologram | weak: optical | related: security device\nsecure_documents | strong: secure document | weak: permit | related: border"
+    rows = spark.createDataFrame([
+        ("a", "A polymer note", "", "", ""), ("b", "production", "", "", ""), ("c", "security device", "", "", ""), ("d", "permit", "permit", "permit", "permit"), ("e", "polymer note hologram", "hologram", "hologram", "hologram"), ("f", None, None, None, None),
+    ], "id string, title string, tags string, meta string, body string")
+    domain = rows.select("id", F.when(F.col("id").isin("b", "c", "d"), 40).otherwise(F.when(F.col("id") == "f", 0).otherwise(10)).alias("production"), F.lit(0).alias("excluded"))
+    found = {(r.id, r.subgroup): r for r in subgroups.assessed(rows, subgroups.term_table(spark, table), domain).collect()}
+    assert len(found) == 18 and found["a", "substrates"].direct and not found["a", "ovd"].included
+    assert found["b", "substrates"].hybrid and not found["b", "substrates"].direct and found["b", "substrates"].doubt == ""
+    assert found["c", "ovd"].hybrid and found["c", "ovd"].doubt == "generic_security_device_only"
+    assert found["d", "secure_documents"].direct and found["d", "secure_documents"].doubt == "generic_document_security_only"
+    assert not any(found["f", s].included for s in ("substrates", "ovd", "secure_documents"))
+    total = {r.subgroup: (r.total, r.direct, r.hybrid, r.overlap) for r in subgroups.subgroup_summary(subgroups.assessed(rows, subgroups.term_table(spark, table), domain)).collect()}
+    assert total == {"substrates": (3, 2, 1, 1), "ovd": (2, 1, 1, 1), "secure_documents": (1, 1, 0, 0)}
+
+
+def test_actions_by_counts(spark):
+    from feedlens.operators import subgroups
+
+    said = [(2, 0, 0, 1, "keep_as_kyc"), (1, 0, 2, 0, "keep_as_kyc"), (1, 0, 3, 0, "ambiguous_keep_for_now"), (0, 1, 2, 0, "demote_from_kyc"), (0, 1, 0, 2, "demote_from_kyc"), (0, 1, 1, 1, "require_stronger_kyc_evidence"), (0, 0, 2, 0, "demote_from_kyc"), (0, 0, 0, 0, "ambiguous_keep_for_now")]
+    rows = spark.createDataFrame(said, "s int, w int, i int, a int, x string")
+    assert rows.where(subgroups.kyc_action(*[F.col(c) for c in "swia"]) != F.col("x")).count() == 0
+    said = [
+        (2, 0, 0, 0, 0, 0, 0, "Genuine Passport Article"), (2, 0, 0, 1, 0, 0, 0, "Passport-heavy but multi-category"), (0, 0, 0, 0, 2, 0, 0, "Generic Identity Document Article"), (0, 0, 0, 0, 0, 0, 2, "Identity Verification Article"),
+        (0, 1, 0, 0, 0, 2, 2, "Border Control Article"), (0, 0, 1, 0, 0, 0, 1, "Likely Passport False Positive"), (0, 1, 0, 1, 0, 0, 0, "Generic Identity Document Article"), (0, 1, 1, 0, 0, 0, 0, "Passport-heavy but multi-category"),
+    ]
+    rows = spark.createDataFrame(said, "s int, m int, w int, c int, r int, b int, v int, x string")
+    assert rows.where(subgroups.passport_class(*[F.col(c) for c in "smwcrbv"]) != F.col("x")).count() == 0
