@@ -170,8 +170,11 @@ def without_marks(x: pd.Series) -> pd.Series:
 
 
 def wish_text(x: Column) -> Column:
-    """Lower case letters and digits alone, one spelling of license."""
-    low = F.regexp_replace(F.lower(without_marks(x)), "(?<![A-Za-z0-9_])licence(?![A-Za-z0-9_])", "license")
+    """Lower case letters and digits alone, one spelling of license. Only texts with a sign beyond ASCII leave the JVM."""
+    x = F.coalesce(x, F.lit(""))
+    odd = x.rlike("[^\\x00-\\x7F]")
+    bare = F.when(odd, without_marks(F.when(odd, x))).otherwise(x)
+    low = F.regexp_replace(F.lower(bare), "(?<![A-Za-z0-9_])licence(?![A-Za-z0-9_])", "license")
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
