@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions.text import host_of
 from feedlens.operators.filters import any_of
-from feedlens.operators.relevance import ascii_edges
-from feedlens.operators.rules import cascade
+from feedlens.operators.rules import ascii_edges, cascade
 
 #: What discovery feeds are asked for.
 BANKNOTE = r"\bbank\s?notes?\b|\bcurrency notes?\b|\bcedi notes?\b"

@@ -6,6 +6,7 @@ and Catalyst evaluates them beside the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -182,8 +183,10 @@ VENDOR_NOISE = (
 )
 
 
-#: A word's edge among ASCII letters, digits and "_", whatever the JVM takes for letters.
-ASCII_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+def ascii_edges(pattern: str) -> str:
+    """The pattern with word edges among ASCII letters, digits and "_", whatever the JVM takes for letters. An edge before a
+    letter, a digit or a group begins a word, any other ends one, as it is in all patterns here."""
+    return re.sub(r"\\b(?=[A-Za-z0-9(])", "(?<![A-Za-z0-9_])", pattern).replace(r"\b", "(?![A-Za-z0-9_])")
 
 
 def profile_decision(profile: str, affiliated: Column, domains: Column, signals: Column, classes: Column, text: Column) -> Column:
@@ -191,7 +194,7 @@ def profile_decision(profile: str, affiliated: Column, domains: Column, signals:
     known = F.coalesce(F.arrays_overlap(domains, F.array(*[F.lit(d) for d in PROFILES[profile]])), F.lit(False))
     gates: list[tuple[Column, bool, str]] = [(~F.array_contains(affiliated, profile), False, "source_not_affiliated")]
     if profile == "vendors":
-        gates.append((any_of([F.lower(text).rlike(p.replace(r"\b", ASCII_EDGE)) for p in VENDOR_NOISE]), False, "vendor_quality_filter_rejected"))
+        gates.append((any_of([F.lower(text).rlike(ascii_edges(p)) for p in VENDOR_NOISE]), False, "vendor_quality_filter_rejected"))
     if profile in ("vendors", "researcher"):
         gates.append((~known | (F.size(classes) == 0), False, "article_industry_evidence_missing"))
         return cascade(*gates, accept="source_affinity_and_industry_evidence")
