@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators import rules
 from feedlens.plans.registry import query
-from feedlens.sources import feeds, html
+from feedlens.sources import feeds, html, sheets
 from feedlens.sources.tables import role, table, with_roles
 
 
@@ -168,11 +173,28 @@ def src14(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("x.n_nationkey").alias("id"), F.upper("x.n_name").alias("name"))
 
 
-@query("SRC15_sheet_rows", "SELECT item_id, replace(text, chr(10), ' ') AS title FROM benchmark")
+def _workbooks(rows: DataFrame) -> DataFrame:
+    """Rows (block, n, title) as workbooks, one a block: shared texts, a header row, and a column left empty, as an office writes them."""
+    cell = lambda column, number, kind, value: f'<c r="{column}{number}"{kind}><v>{value}</v></c>'
+
+    def written(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        texts, lines = [" Title ", "ID", *pdf.sort_values("n").title], ['<row r="1">' + cell("A", 1, ' t="s"', 1) + cell("C", 1, ' t="s"', 0) + "</row>"]
+        lines += [f'<row r="{k + 2}">{cell("A", k + 2, "", n)}{cell("C", k + 2, chr(32) + "t=" + chr(34) + "s" + chr(34), k + 2)}</row>' for k, n in enumerate(sorted(pdf.n))]
+        out, main = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+            z.writestr("xl/sharedStrings.xml", f"<sst {main}>{''.join(f'<si><t>{escape(t)}</t></si>' for t in texts)}</sst>")
+        return pd.DataFrame({"path": [f"book{key[0]}.xlsx"], "content": [out.getvalue()]})
+
+    return rows.groupBy("block").applyInPandas(written, "path string, content binary")
+
+
+@query("SRC15_sheet_rows", "SELECT 'book' || (item_id // 25) || '.xlsx' AS path, CAST(item_id % 25 + 1 AS INTEGER) AS row, item_id AS id, trim(text) AS title FROM benchmark")
 def src15(spark: SparkSession, sf: str) -> DataFrame:
-    """A sheet's rows as CSV text, read with an explicit schema."""
-    rows = table(spark, sf, "benchmark").select(F.to_csv(F.struct("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t")), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("c"))
-    return rows.select(F.from_csv("c", "item_id bigint, title string").alias("x")).select("x.*")
+    """The rows of workbooks that hold the benchmark's items, twenty-five each."""
+    rows = table(spark, sf, "benchmark").select(F.floor(F.col("item_id") / 25).alias("block"), F.col("item_id").alias("n"), F.col("text").alias("title"))
+    found = sheets.headed(sheets.sheet_rows(_workbooks(rows)), ("id", "title"))
+    return found.select("path", "row", F.col("id").cast("bigint").alias("id"), "title")
 
 
 @query("SRC16_newest_scan", with_roles("SELECT id, title FROM articles ORDER BY createdAt DESC, id LIMIT 100", "articles"))

@@ -116,3 +116,27 @@ def test_documents_beyond_a_fetchers_limits(spark):
 @pytest.mark.parametrize(("link", "whole"), [("", ""), ("data:x", ""), ("//b.c/d", "https://b.c/d"), ("/e", "https://a.com/e"), ("f.jpg", "https://a.com/x/f.jpg"), ("ftp://q", "ftp://q")])
 def test_joined_url(spark, link, whole):
     assert spark.range(1).select(html.joined_url(F.lit("https://a.com/x/y?z=/q"), F.lit(link))).first()[0] == whole
+
+
+def test_sheets(spark):
+    import io
+    import zipfile
+
+    from feedlens.sources import sheets
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def book(rows: str, shared: str = "", name: str = "xl/worksheets/sheet1.xml") -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/worksheets/sheet10.xml", f"<worksheet {main}><row><c><v>no</v></c></row></worksheet>")
+            z.writestr(name, f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+            if shared:
+                z.writestr("xl/sharedStrings.xml", f"<sst {main}>{shared}</sst>")
+        return out.getvalue()
+
+    good = book('<row><c r="A1" t="s"><v>0</v></c><c r="AB1" t="inlineStr"><is><t>ti</t><t>tle </t></is></c></row><row><c r="B2"><v>7</v></c><c r="C2"/></row><row/><row><c r="A4"><v>1</v></c><c r="AB4" t="str"><v>x</v></c></row>', "<si><r><t>I</t></r><r><t>D</t></r></si>")
+    files = spark.createDataFrame([("a", good), ("b", b"no zip"), ("c", None), ("d", book("<broken", name="xl/worksheets/sheet2.xml"))], "path string, content binary")
+    rows = sheets.sheet_rows(files)
+    assert [(r.path, r.row, r.cells) for r in rows.orderBy("row").collect()] == [("a", 0, ["ID", *[None] * 26, "title "]), ("a", 1, [None, "7"]), ("a", 2, []), ("a", 3, ["1", *[None] * 26, "x"])]
+    assert [tuple(r) for r in sheets.headed(rows, ("id", "title", "other")).collect()] == [("a", 3, "1", "x", None)]
