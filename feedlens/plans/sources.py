@@ -7,7 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators import rules
@@ -20,7 +20,8 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return html.parsed(table(spark, sf, "pages"))
 
 
-_FEED_NUMBER = F.regexp_extract("feedId", "([0-9]+)$", 1).cast("int")
+def _feed_number() -> Column:
+    return F.regexp_extract("feedId", "([0-9]+)$", 1).cast("int")
 
 
 def _landed(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +42,7 @@ def _landed(spark: SparkSession, sf: str) -> DataFrame:
         tag("id", F.concat(F.lit("urn:"), "id")), F.when(even, tag("source", tag("title", desk))).otherwise(none),
         F.concat(F.lit('<category term="#'), "source", F.lit('" label="News desk"/><category term="news"/>')),
     ))
-    rows = role(spark, sf, "news").select("feedId", "n", F.floor(n / 2000).alias("block"), (_FEED_NUMBER % 2 == 1).alias("atom"), F.when(_FEED_NUMBER % 2 == 1, atom).otherwise(rss).alias("x"))
+    rows = role(spark, sf, "news").select("feedId", "n", F.floor(n / 2000).alias("block"), (_feed_number() % 2 == 1).alias("atom"), F.when(_feed_number() % 2 == 1, atom).otherwise(rss).alias("x"))
     docs = rows.groupBy("feedId", "block", "atom").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]), "").alias("items"))
     channel = tag("rss", tag("channel", F.concat(F.lit("<title>t</title>"), "items")), ' xmlns:dc="http://purl.org/dc/elements/1.1/"')
     return docs.select("feedId", F.when(F.col("atom"), tag("feed", F.concat(F.lit("<title>t</title>"), "items"), ' xmlns="http://www.w3.org/2005/Atom"')).otherwise(channel).alias("xml"))
@@ -84,7 +85,7 @@ def src2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SRC3_item_link", with_roles(_ITEMS + "SELECT target AS link, atom, target LIKE 'urn:%' AS from_id FROM items", "news"))
 def src3(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.feed_items(_landed(spark, sf)).select("link", (_FEED_NUMBER % 2 == 1).alias("atom"), F.startswith("link", F.lit("urn:")).alias("from_id"))
+    return feeds.feed_items(_landed(spark, sf)).select("link", (_feed_number() % 2 == 1).alias("atom"), F.startswith("link", F.lit("urn:")).alias("from_id"))
 
 
 @query("SRC4_item_source", with_roles(_ITEMS + 'SELECT target AS link, desk AS source, deskUrl AS "sourceUrl" FROM items', "news"))
