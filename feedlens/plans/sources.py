@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.operators import rules
 from feedlens.plans.registry import query
 from feedlens.sources import feeds, html, sheets
 from feedlens.sources.tables import role, table, with_roles
@@ -220,10 +219,3 @@ def src18(spark: SparkSession, sf: str) -> DataFrame:
 @query("STR5_enrichment_queue", with_roles("SELECT id FROM articles WHERE fetchStatus IN ('pending', 'partial') ORDER BY createdAt, id LIMIT 150", "articles"))
 def str5(spark: SparkSession, sf: str) -> DataFrame:
     return role(spark, sf, "articles").where("fetchStatus in ('pending', 'partial')").dropDuplicates(["id"]).orderBy("createdAt", "id").limit(150).select("id")
-
-
-@query("STR6_backlog_reprocess", with_roles("SELECT id, CASE WHEN contains(lower(title), 'banknote') THEN 'Banknotes' ELSE 'Other' END AS topic FROM news", "news"))
-def str6(spark: SparkSession, sf: str) -> DataFrame:
-    waiting = role(spark, sf, "news")
-    hit = F.array_contains(rules.classified()["classes"], "banknotes") | F.contains(F.lower("title"), F.lit("banknote"))
-    return waiting.select("id", F.when(hit, "Banknotes").otherwise("Other").alias("topic"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlens.operators import backlog
 from feedlens.plans.registry import query
-from feedlens.plans.rules import SOURCE_RULES
-from feedlens.sources.tables import role, with_roles
+from feedlens.plans.rules import _RUL14 as WISHLIST_SQL
+from feedlens.plans.rules import _SCORED as SCORED_SQL
+from feedlens.plans.rules import ITEMS, SOURCE_RULES
+from feedlens.plans.sources import _PARSED as PARSED_SQL
+from feedlens.sources import html
+from feedlens.sources.tables import role, table, with_roles
 from feedlens.streaming import ingest
 
 
@@ -115,3 +120,29 @@ def str9_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """One log of each feed, status and day, of the logs as a stream; the state remembers all keys, because no row is late."""
     logs = role(spark, sf, "poll_logs").select("startedAt", "feedId", "status", F.to_date("startedAt").cast("string").alias("day"))
     return _settled(spark, logs, lambda s: ingest.first_of_each(s, "startedAt", ["feedId", "status", "day"], _EVER), "append").select("feedId", "status", "day")
+
+
+#: Waiting articles: every second has no snippet, and each stands at the address of the page of its number.
+_WAITING = """SELECT n.id, n.n, n.title, coalesce(p.url, n.link) AS link, CASE WHEN n.n % 2 = 0 THEN 'Short.' ELSE n.contentSnippet END AS contentSnippet, '' AS thumbnail, n.pubDate, n.topic, n.source, n.feedName,
+  CASE n.n % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'partial' ELSE 'enriched' END AS fetchStatus FROM {news} n LEFT JOIN {pages} p ON p.page_id = n.n"""
+_BACKLOG = (
+    ", " + PARSED_SQL.removeprefix("WITH ")
+    + ", waits AS (" + _WAITING.format(news="news", pages="pages") + """),
+fixed AS (SELECT a.* REPLACE (CASE WHEN length(a.contentSnippet) < 40 AND length(s.snippet) > length(a.contentSnippet) THEN s.snippet ELSE a.contentSnippet END AS contentSnippet,
+  CASE WHEN s.link IS NULL THEN 'failed' WHEN s.snippet <> '' THEN 'enriched' ELSE 'partial' END AS fetchStatus)
+  FROM waits a LEFT JOIN (SELECT url AS link, max(snippet) AS snippet FROM x GROUP BY url) s ON s.link = a.link WHERE a.fetchStatus <> 'enriched')
+""" + SCORED_SQL.replace("FROM news", "FROM fixed")
+    + """, matched AS (WITH """ + WISHLIST_SQL.removeprefix(", ").replace("FROM news", "FROM fixed") + """)
+SELECT f.id, f.fetchStatus AS status, sha256(f.contentSnippet) AS snippet, coalesce((SELECT string_agg(rule, ',' ORDER BY s DESC, k) FROM hits h WHERE h.id = f.id), '') AS classes, m."itemId" AS item FROM fixed f LEFT JOIN matched m ON m."articleId" = f.id"""
+)
+
+
+@query("STR6_backlog_reprocess", with_roles(_BACKLOG, "news"))
+def str6(spark: SparkSession, sf: str) -> DataFrame:
+    """The backlog of articles through scrape, update, classification and matching."""
+    pages = table(spark, sf, "pages")
+    waiting = spark.sql(_WAITING, news=role(spark, sf, "news"), pages=pages)
+    scraped = html.metadata(html.parsed(pages)).join(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("link")), "page_id")
+    items = spark.createDataFrame(list(ITEMS), "id string, title string, isActive boolean, workflowStatus string")
+    out = backlog.rematched(backlog.reprocessed(waiting, scraped), items)
+    return out.select("id", F.col("fetchStatus").alias("status"), F.sha2("contentSnippet", 256).alias("snippet"), F.array_join("classifications", ",").alias("classes"), F.col("itemId").alias("item"))
