@@ -69,7 +69,7 @@ def formatted(turns: DataFrame, t: Template = PRODUCTION) -> DataFrame:
     stay repeated turns). Null role or text counts as empty, a null turn comes first, a null conv_id is a
     conversation of its own. valid tells whether the role machine accepts the whole order; rejected
     conversations are formatted all the same. A role that isn't in the template is written escaped.
-    Extra columns are left out; an empty table gives no rows.
+    A very long text is one turn of its conversation's row. Extra columns are left out; an empty table gives no rows.
     """
     one = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", whole(F.col("role")).alias("role"), whole(F.col("text")).alias("text")))).alias("turns"))
     step = F.create_map(*[F.lit(x) for a, row in t.moves.items() for r, b in row.items() for x in (f"{a}\n{r}", b)])

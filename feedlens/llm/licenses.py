@@ -200,7 +200,9 @@ def licenses(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN) -> Dat
 
     The entire text, each paragraph (parted by blank lines) and each line are looked up by digest; the known texts of
     more than LONG characters also wherever they stand in a document. Null text counts as empty and is no licence. Rows
-    of equal doc_id and text get the same result; an empty table gives no rows; extra columns are left out.
+    of equal doc_id and text, a null doc_id included, get the same result; a text known under several identifiers is found under
+    the first by name as the whole and under all in the list; a very long text is one row, of which every window of words is looked
+    at; an empty table gives no rows; extra columns are left out.
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), whole(F.col("text")).alias("text"))
     rows = rows.select("*", F.xxhash64("text").alias("tid"))

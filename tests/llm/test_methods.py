@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from feedlens.llm import licenses, pii
+from feedlens.llm import chat, decontaminate, licenses, mixing, pii
 from tests.llm.test_llm import prose
 
 
@@ -68,3 +68,43 @@ def test_long_licences_within_documents_against_brute_force(spark):
     assert windows == cued
     plan = licenses._within(within, licenses.KNOWN)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Python" not in plan
+
+
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns named as the operators' own."""
+    long = "word number " * 60_000
+    rows = [(None, "a b c d e f g h i j k", None), (None, None, None), (1, "", "x"), (1, "", "x"), (2, long, "x"), (3, "a b c d e f g h i j k", "x"), (3, "a b c d e f g h i j k", "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    return df.select("*", *[F.lit("mine").alias(c) for c in ("words", "items", "row", "p", "rate", "n_words", "tid", "licenses", "digest", "body", "unit")])
+
+
+def test_decontamination_of_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "A B C D E F G H I J"), (1, "A B C D E F G H I J"), (2, None), (3, ""), (None, "number word"), (4, "word number word")], "item_id bigint, text string")
+    out = decontaminate.contamination(odd(spark), bench.withColumn("h", F.lit(1))).select("doc_id", "row", F.size("words").alias("n"), "items", "n_words").collect()
+    assert len(out) == 8 and {r.row for r in out} == {"mine"}
+    by = {(r.doc_id, r.n, tuple(r["items"]), r.n_words) for r in out}
+    assert by == {(None, 10, (1,), 11), (None, 0, (), 0), (1, 0, (), 0), (2, 119_999, (4,), 120_000), (3, 10, (1,), 11), (4, 0, (), 0)}
+
+
+def test_licenses_of_odd_rows(spark):
+    text = max((t for n, t in licenses.KNOWN if n == "ISC"), key=len)
+    rows = odd(spark).select("doc_id", "text", "licenses", "tid").unionByName(spark.createDataFrame([(None, text, "", ""), (9, "word " * 100_000 + "permission " + text + " tail" * 50_000, "", ""), (9, text, "", "")], "doc_id bigint, text string, licenses string, tid string"))
+    out = licenses.licenses(rows).collect()
+    assert len(out) == 11 and sorted((r.doc_id or 0, r.whole_license or "") for r in out if "ISC" in r.licenses) == [(0, "ISC"), (9, ""), (9, "ISC")]
+
+
+def test_mixing_of_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 1), (None, 1, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    out = mixing.mixed(odd(spark), labels, keep=["doc_id", "source", "row"]).collect()
+    assert len(out) == 8 and {r["row"] for r in out} == {"mine"} and all(len(r.p) == len(mixing.DOMAINS) and r.rate >= 0 for r in out)
+    assert len({(r.doc_id, r.n_words, r.rate) for r in out if r.doc_id == 3}) == 1 and {r.n_words for r in out if r.doc_id == 2} == {120_000}
+    assert mixing.mixed(odd(spark).limit(0), labels).count() == 0
+    alike = mixing.mixed(odd(spark), labels.limit(0)).collect()
+    assert len(alike) == 8 and len({tuple(r.p) for r in alike if r.n_words == 0}) == 1
+
+
+def test_chat_of_odd_rows(spark):
+    rows = [(None, None, None, None), (None, None, None, None), (1, 0, "user", "x" * 1_000_000), (1, 1, "assistant", ""), (2, None, "user", "q"), (2, 0, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").select("*", F.lit(1).alias("segments"), F.lit(2).alias("formatted"))
+    out = {r.conv_id: r for r in chat.digests(chat.formatted(turns)).collect()}
+    assert {k: (r.n_turns, r.valid) for k, r in out.items()} == {None: (2, False), 1: (2, True), 2: (2, True)} and out[1].formatted_chars > 1_000_000
