@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,17 +67,46 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path, compression="zstd")
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    if (made := _made.get()) is not None:
+        made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, what stored() has written within it, but for the tables put into the list that it gives.
+
+    For a caller that stores its result: an operator's own tables can't go while a result that reads them isn't written.
+    """
+    token = _made.set([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        made = _made.get() or []
+        _made.reset(token)
+        read = [df.inputFiles() for df in kept]
+        folders = {f.rpartition("/")[0].rpartition("/")[2] for files in read for f in files}
+        for spark, path in made if all(read) else ():  # a table without files can't be told from the others
+            if path.rpartition("/")[2] not in folders:
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by stored() that no later result reads."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            if at.getName().startswith("feedlens-"):
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            if path.rpartition("/")[2].startswith("feedlens-"):
+                _delete(spark, path)
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:

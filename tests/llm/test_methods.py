@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, decontaminate, licenses, mixing, pii
+from feedlens.llm import chat, common, decontaminate, licenses, mixing, pii
 from tests.llm.test_llm import prose
 
 
@@ -108,3 +108,20 @@ def test_chat_of_odd_rows(spark):
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").select("*", F.lit(1).alias("segments"), F.lit(2).alias("formatted"))
     out = {r.conv_id: r for r in chat.digests(chat.formatted(turns)).collect()}
     assert {k: (r.n_turns, r.valid) for k, r in out.items()} == {None: (2, False), 1: (2, True), 2: (2, True)} and out[1].formatted_chars > 1_000_000
+
+
+def test_the_pipeline_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    out = cp.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and len(list(tmp_path.glob("feedlens-*"))) == 1
+    with common.scratch() as kept:
+        common.stored(spark.range(3))
+        two = common.stored(spark.range(4))
+        kept.append(two.where("id > 0"))
+    assert two.count() == 4 and len(list(tmp_path.glob("feedlens-*"))) == 2
+    with common.scratch() as kept:
+        none = common.stored(spark.range(3).where("id > 5"))
+        kept.append(none)
+    assert none.count() == 0
