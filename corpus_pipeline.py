@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from feedlens.llm.common import stored
+from feedlens.llm.common import dropped, scratch, stored
 
 #: The stages aren't all expressible in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
@@ -96,8 +96,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and reread."""
+    """All stages over documents, each written and reread; what a stage leaves behind goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch() as kept:
+            before, docs = docs, stored(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        dropped(before)
     return docs
