@@ -34,20 +34,40 @@ IDENTIFIERS = (
 @dataclass(frozen=True)
 class Novelty:
     """A candidate is novel if it adds at least percent / 100 of its length to the compressed context before it; strict for
-    one without a digit or without a letter. reach: bytes between it and a sensitive word on either side."""
+    one without a digit or without a letter. reach: bytes between it and a sensitive word on either side. parts: how many of the
+    words that identifiers of the corpus are made of prime the compressor, the most frequent first, each of at least part_docs
+    documents."""
 
+    parts: int = 2000
+    part_docs: int = 20
     reach: int = 64
     percent: int = 70
     strict: int = 85
     level: int = 19
 
 
+#: Names with an underscore or with a capital inside, and the words of four letters or more that they are made of.
+NAME = "(?<![A-Za-z0-9_])(?:[A-Za-z][A-Za-z0-9]*+_[A-Za-z0-9_]*+|[A-Za-z]*?[a-z][A-Z][A-Za-z0-9]*+)"
+PART = "[A-Z]?[a-z]{3,}+"
+
+
+def identifier_parts(docs: DataFrame, rule: Novelty = Novelty()) -> list[str]:
+    """The words that most documents' identifiers are made of, counted over all rows; copies of a random string add none, whose
+    runs of one case are too short. At most rule.parts words reach the driver; ties go to the first by name."""
+    names = F.regexp_extract_all("text", F.lit(NAME), F.lit(0))
+    parts = F.array_distinct(F.flatten(F.transform(names, lambda n: F.transform(F.regexp_extract_all(n, F.lit(PART), F.lit(0)), lambda p: F.lower(p)))))
+    rows = docs.select(F.col("text").cast("string").alias("text")).where(F.contains("text", F.lit("_")) | F.col("text").rlike("[a-z][A-Z]"))
+    counts = rows.select(F.explode(parts).alias("part")).where(F.length("part") > 3).groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= rule.part_docs)
+    return [r.part for r in counts.orderBy(F.desc("n"), "part").limit(rule.parts).collect()]
+
+
 class Meter:
     """Marginal compressed bytes of a candidate against the surrounding text and the identifier dictionary."""
 
     def __init__(self, rule: Novelty, identifiers: str = IDENTIFIERS) -> None:
         self.rule = rule
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=rule.level)  # once, not for each candidate
         self.size = lambda x, c=zstandard.ZstdCompressor(level=rule.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False): len(c.compress(x))
 
     def novel(self, data: bytes, start: int, end: int, percent: int) -> bool:
@@ -91,9 +111,9 @@ def spans_of(data: bytes, meter: Meter) -> list[tuple[int, int, int]]:
     return found + more
 
 
-def _scan(rule: Novelty):  # noqa: ANN202
+def _scan(rule: Novelty, parts: list[str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(rule)
+        meter = Meter(rule, " ".join([*reversed(parts), *[p.capitalize() for p in reversed(parts)], IDENTIFIERS]))
         for batch in batches:
             rows = []
             for text in batch.column(1).cast(pa.large_binary()):
@@ -112,7 +132,8 @@ def _scan(rule: Novelty):  # noqa: ANN202
 
 
 def secret_spans(docs: DataFrame, rule: Novelty = Novelty()) -> DataFrame:
-    """doc_id and found, array<struct<start, end, kind>> by start and kind (numbers of KINDS), in code points.
+    """doc_id and found, array<struct<start, end, kind>> by start and kind (numbers of KINDS), in code points. The dictionary
+    that primes the compressor is a fixed list and the words of the identifiers that docs hold, gathered first.
 
     Null and empty texts hold nothing. Base spans of different kinds may overlap and are all kept, ordered by start and
     kind; novel spans overlap none. Repeated rows, a null doc_id included, each get a row; a very long text is scanned in
@@ -121,7 +142,7 @@ def secret_spans(docs: DataFrame, rule: Novelty = Novelty()) -> DataFrame:
     a digit only if lower case turns upper inside.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(rule), "doc_id bigint, found array<struct<start:bigint,end:bigint,kind:int>>")
+    return rows.mapInArrow(_scan(rule, identifier_parts(rows, rule)), "doc_id bigint, found array<struct<start:bigint,end:bigint,kind:int>>")
 
 
 def digests(found: DataFrame) -> DataFrame:

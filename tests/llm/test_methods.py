@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, common, decontaminate, licenses, mixing, pii
+from feedlens.llm import chat, common, decontaminate, licenses, mixing, pii, secrets
 from tests.llm.test_llm import prose
 
 
@@ -125,3 +125,17 @@ def test_the_pipeline_leaves_its_result_alone(spark, tmp_path, monkeypatch):
         none = common.stored(spark.range(3).where("id > 5"))
         kept.append(none)
     assert none.count() == 0
+
+
+def test_secret_dictionary_from_the_corpus(spark):
+    """A name made of words that many identifiers of the corpus hold isn't novel; a random string is, however often it is copied."""
+    rng = random.Random(2)
+    words = ["quota", "ledger", "shard", "wombat", "tenant", "gamut", "parcel", "vellum", "ostrich", "jigsaw"]
+    rows = [(k, f"{prose(rng, 20)} {rng.choice(words)}_{rng.choice(words)} and {rng.choice(words)}{rng.choice(words).capitalize()} {prose(rng, 20)}") for k in range(400)]
+    rows += [(k, f"{prose(rng, 20)} secret for Zk3vQ9xT7bLm2RwY8nPs4HdG here") for k in range(1000, 1060)] + [(2000, "the token is vellumOstrich7Jigsaw here"), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert set(secrets.identifier_parts(docs)) == set(words) and secrets.identifier_parts(docs, secrets.Novelty(parts=3))[0] in words
+    found = {r.doc_id: [s.kind for s in r.found] for r in secrets.secret_spans(docs).collect()}
+    assert all(found[k] == [3] for k in range(1000, 1060)) and found[2000] == [] and found[2001] == []
+    alone = secrets.secret_spans(docs.where("doc_id = 2000")).first()
+    assert [s.kind for s in alone.found] == [3]
