@@ -1,6 +1,6 @@
 """Words, shingles and windows of whole Arrow batches at once: polynomial (Rabin-Karp) hashes with numpy.
 
-A batch is cut into slices of a megabyte, or some thousand rows, between documents, so that working memory is
+A batch is cut into slices of half a megabyte, or some thousand rows, between documents, so that working memory is
 bounded by the slice (or by one document that is longer). All hashes are 64-bit, taken modulo 2**64 with odd bases, and
 mixed so that single bits of the input reach all bits.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SLICE_ROWS = 1 << 13
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
