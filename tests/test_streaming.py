@@ -119,3 +119,24 @@ def test_composite_is_bounded(spark):
 def test_numbers_include_rows_of_a_null_part(spark):
     rows = spark.createDataFrame([("b", "2024-01-02"), ("a", None), ("c", "2024-01-01"), ("d", None)], "id string, day string")
     assert [r.id for r in paging.numbered(rows, F.col("day"), "day", "id").orderBy("pos").collect()] == ["a", "d", "c", "b"]
+
+
+def test_the_backlog_is_filled_classified_and_matched(spark):
+    from feedlens.operators import backlog
+
+    kind = "id string, title string, link string, contentSnippet string, thumbnail string, pubDate string, topic string, source string, feedName string, fetchStatus string"
+    said = [
+        ("1", "Slovenia launches new passport", "u1", "", None, "2024-05-10", "", "s", "f", "pending"), ("2", "Weather", "u2", "A stored snippet that is long enough to stay as it is.", "https://a.com/x.jpg", "2024-05-10", "t", "s", "f", "partial"),
+        ("3", "Weather", "gone", None, None, None, "", "s", "f", "partial"), ("4", "Weather", "u1", "", None, None, "", "s", "f", "enriched"),
+    ]
+    articles = spark.createDataFrame(said, kind).withColumn("pubDate", F.col("pubDate").cast("timestamp"))
+    found = [("u1", "https://a.com/p.jpg", "Biometric passport with a security thread, a longer snippet.", "2024-05-01", "enriched"), ("u1", "", "", None, "partial"), ("u2", "https://a.com/y.jpg", "Another", "2024-05-09", "partial")]
+    scraped = spark.createDataFrame(found, "link string, image string, snippet string, publishedAt string, fetchStatus string").withColumn("publishedAt", F.col("publishedAt").cast("timestamp"))
+    items = spark.createDataFrame([("w", "Slovenia passport", True, "Open")], "id string, title string, isActive boolean, workflowStatus string")
+    rows = {r.id: r for r in backlog.rematched(backlog.reprocessed(articles, scraped), items).collect()}
+    assert set(rows) == {"1", "2", "3"}
+    one, two, three = rows["1"], rows["2"], rows["3"]
+    assert (one.thumbnail, one.fetchStatus, str(one.pubDate)[:10], one.itemId) == ("https://a.com/p.jpg", "enriched", "2024-05-01", "w") and one.contentSnippet.startswith("Biometric")
+    assert "passports" in one.classifications and one.topic == "Identity Documents"
+    assert (two.thumbnail, two.fetchStatus, str(two.pubDate)[:10], two.itemId) == ("https://a.com/x.jpg", "partial", "2024-05-10", None) and two.contentSnippet.startswith("A stored")
+    assert (three.fetchStatus, three.contentSnippet, three.topic) == ("failed", None, "General")
