@@ -24,7 +24,8 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
+    """Without the signs of BLANK at both ends; a pattern would be tried at each sign between them."""
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r\u00a0\ufeff"))
 
 
 def normal_text(x: Column, fallback: str = "") -> Column:
@@ -33,7 +34,7 @@ def normal_text(x: Column, fallback: str = "") -> Column:
 
 
 def stripped_html(x: Column) -> Column:
-    return F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]+>", " ")
+    return F.regexp_replace(F.coalesce(x, F.lit("")), "<[^>]++>", " ")
 
 
 @F.pandas_udf(StringType())
@@ -60,7 +61,7 @@ def sanitized(x: Column, fallback: str = "", numeric: bool = True) -> Column:
 
 def title_lead(x: Column) -> Column:
     """Lower case without leading signs and without a leading marker such as "breaking:"."""
-    return F.regexp_replace(F.regexp_replace(F.lower(x), "^[^a-z0-9]+", ""), "^(breaking|watch|analysis|live|update):\\s+", "")
+    return F.regexp_extract(F.lower(x), "^[^a-z0-9]*+(?:(?:breaking|watch|analysis|live|update):\\s+)?((?s:.*))", 1)
 
 
 def normal_title(x: Column, numeric: bool = False) -> Column:
@@ -117,7 +118,7 @@ def inferred_keywords(x: Column, most: int = 8) -> Column:
     run = "(\\S+)(?: \\1(?= |$))*(?: |$)"
 
     def counted(row: Column) -> Column:
-        token = lambda r: F.regexp_extract(r, "^\\S+", 0)
+        token = lambda r: F.substring_index(r, " ", 1)
         return F.transform(row, lambda r: F.struct(((F.length(F.rtrim(r)) + 1) / (F.length(token(r)) + 1)).cast("int").alias("n"), token(r).alias("t")))
 
     def best(both: Column) -> Column:

@@ -85,7 +85,6 @@ def classified(rules: tuple[ClassRule, ...] = CLASSES, keywords: Column | None =
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     title = F.lower(blank("title"))
     local = F.lower(F.concat_ws(" ", blank("title"), blank("contentSnippet")))
-    text = F.lower(F.concat_ws(" ", blank("title"), blank("contentSnippet"), blank("link")))
     source = F.lower(F.concat_ws(" ", blank("source"), blank("feedName")))
 
     def scored(row: Column) -> Column:
@@ -111,7 +110,12 @@ def classified(rules: tuple[ClassRule, ...] = CLASSES, keywords: Column | None =
         tags = F.array_distinct(F.flatten(F.transform(hit, lambda x: x["tags"])))
         return F.struct(topic.alias("topic"), domains.alias("domains"), distinct("signal").alias("signals"), F.transform(hit, lambda x: x["id"]).alias("classes"), tags.alias("tags"))
 
-    return bound(F.struct(title.alias("title"), local.alias("local"), text.alias("text"), source.alias("source"), words_of(text).alias("words")), scored)
+    def read(low: Column) -> Column:
+        text = F.concat_ws(" ", low, F.lower(blank("link")))
+        return bound(F.struct(title.alias("title"), low.alias("local"), text.alias("text"), source.alias("source"), words_of(text).alias("words")), scored)
+
+    # A long text is put into lower case once.
+    return bound(local, read)
 
 
 def cascade(*gates: tuple[Column, bool, str | Column], accept: str = "accepted") -> Column:

@@ -66,6 +66,23 @@ def test_event_pairs(spark):
     assert found[(1, 7)] == "high_confidence_entity_or_country"  # the left fingerprint counts
 
 
+def test_normal_forms_of_odd_texts(spark):
+    blank = T.BLANK
+    said = ["", " \u00a0\ufeff\t x \x0b y\n\n", "\ufeff", "  ...Breaking:  Live: News\nmore", "watch:x", "UPDATE:\n\u2003y", "a <<< b > c < d", "\u00c9t\u00e9 a a b a", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, x string")
+    old = F.regexp_replace(F.regexp_replace(F.lower("x"), "^[^a-z0-9]+", ""), "^(breaking|watch|analysis|live|update):\\s+", "")
+    same = rows.where(~T.trimmed(F.col("x")).eqNullSafe(F.regexp_replace("x", f"^{blank}+|{blank}+$", "")) | ~T.title_lead(F.col("x")).eqNullSafe(old))
+    assert same.collect() == []
+    assert rows.where("k = 7").select(T.inferred_keywords(F.lit("beta beta alpha gamma gamma"), 2).alias("w")).first().w == ["beta", "gamma"]
+
+
+def test_long_texts_are_lowered_once(spark):
+    columns = ("title", "contentSnippet", "link", "source", "feedName", "topic")
+    rows = spark.range(1).select(*[F.col("id").cast("string").alias(c) for c in columns]).localCheckpoint()
+    plan = rows.select(rules.classified())._jdf.queryExecution().analyzed().toString()
+    assert plan.count("coalesce(contentSnippet#") == 1
+
+
 def test_pairs_of_alike_events(spark, monkeypatch):
     """Pairs and their counts against every pair of ids decided alone; rows of alike events are far fewer than events."""
     monkeypatch.setattr(matching, "ALIKE", 7)
